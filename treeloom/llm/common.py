@@ -52,3 +52,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of all texts, one text after the other, and the number of words of each text.
+
+    One pass over the bytes of all texts; no Python object per word.
+    """
+    coded = [t.lower().encode("utf-8", "replace") for t in texts]
+    letters = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8)
+    space = _SPACE[letters]
+    begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    inside = np.flatnonzero(~space)
+    first = np.searchsorted(inside, begins)
+    sizes = np.diff(np.append(first, len(inside)))
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    mixed = mix64((letters[inside].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+    hashes = mix64(np.add.reduceat(mixed, first))
+    bounds = np.cumsum([1] + [len(c) + 1 for c in coded])
+    return hashes, np.diff(np.searchsorted(begins, bounds))
+
+
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n consecutive entries."""
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(hashes) - n + 1, np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x100000001B3) + hashes[i : len(hashes) - n + 1 + i]
+    return mix64(out)
