@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, ngram_join, substring_dedup, token_counts, url_filter
+from . import bpe, language_id, mixing, ngram_join, substring_dedup, token_counts, url_filter, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +27,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "removed_sentences", "removed_words", "text")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_nearest": op5_nearest,
     "op6_url_filter": op6_url_filter,
+    "op7_top_products": op7_top_products,
     "op8_mix": op8_mix,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
