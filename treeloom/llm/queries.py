@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, ngram_join, substring_dedup, token_counts, url_filter, vectors
+from . import bpe, language_id, lm_scoring, mixing, ngram_join, substring_dedup, token_counts, url_filter, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scoring.score(docs, docs.where(~lm_scoring.held_out()))
+    return scored.select("doc_id", lm_scoring.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return bpe.digests(coded)
@@ -55,6 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
     "op4_substring_dedup": op4_substring_dedup,
