@@ -60,7 +60,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
     "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
     "op3_ngram_join": op3_ngram_join,
