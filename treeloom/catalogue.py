@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag
+from .queries import dag, trees
 
-AREAS = (dag,)
+AREAS = (dag, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
