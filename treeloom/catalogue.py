@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag, trees
+from .queries import dag, keys, trees
 
-AREAS = (dag, trees)
+AREAS = (dag, trees, keys)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
