@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag, keys, trees
+from .queries import dag, history, keys, trees
 
-AREAS = (dag, trees, keys)
+AREAS = (dag, trees, keys, history)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
