@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag, history, keys, trees
+from .queries import dag, history, keys, live, trees
 
-AREAS = (dag, trees, keys, history)
+AREAS = (dag, trees, keys, history, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dag
+from ..operators import dag, fold
 from ..sources import fleet
 
 
@@ -198,3 +198,47 @@ SELECT vault_id, count(*) AS nodes, count(DISTINCT (n, lo, hi)) = 1 AS converged
     "g6_known_at": _CLO + """, early AS (SELECT vault_id, oid, author_time FROM d_commits WHERE author_time % 86400 <= 43200)
 SELECT vault_id, oid, author_time FROM early e WHERE NOT EXISTS (SELECT 1 FROM clo JOIN early f ON f.vault_id = clo.vault_id AND f.oid = clo.descendant WHERE clo.vault_id = e.vault_id AND clo.ancestor = e.oid)""",
 }
+
+
+def _tree_rows(spark, sf_dir):
+    """A small tree per commit, by rule: which of six paths it holds, and in which version."""
+    c = fleet.commits(spark, sf_dir).select("vault_id", "oid", "counter", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("p"))
+    there = c.where("(counter * 7 + p * 5) % 11 < 8")
+    return there.select("vault_id", "oid", F.concat(F.lit("f"), F.col("p").cast("string"), F.lit(".md")).alias("path"), F.sha1(F.concat(F.expr("counter div 3").cast("string"), F.lit("/"), F.col("p").cast("string")).cast("binary")).alias("blob_oid"))
+
+
+def g3_compute_main(spark, sf_dir):
+    """The folded tree of every vault (files to merge line by line are marked, and hold the later tip's version)."""
+    tips, commits, clo = _tips(spark, sf_dir)
+    tips = tips.select("vault_id", "oid", "k", "counter")
+    bases = dag.fold_bases(tips, commits, clo).select("vault_id", "k", "base")
+    done = fold.folded(fold.steps_of(tips.select("vault_id", "oid", "k"), bases, _tree_rows(spark, sf_dir)))
+    return done.where("blob_oid IS NOT NULL")
+
+
+def g4_verify_folds(spark, sf_dir):
+    """Merge commits whose recorded parent time is wrong (every seventh), and all commits that build on one."""
+    commits, edges, clo = _parts(spark, sf_dir)
+    merges = edges.groupBy("vault_id", F.col("child").alias("oid")).agg(F.count("*").alias("n")).where("n = 2")
+    claimed = commits.join(merges, ["vault_id", "oid"], "left_semi").withColumn("claimed", F.when(F.col("counter") % 7 == 0, F.col("counter") + 1).otherwise(F.col("counter")))
+    known = edges.join(commits.select("vault_id", F.col("oid").alias("parent"), F.col("counter").alias("pc")), ["vault_id", "parent"]).groupBy("vault_id", F.col("child").alias("oid")).agg((F.max("pc") + 1).alias("due"))
+    bad = claimed.join(known, ["vault_id", "oid"]).where("claimed <> due")
+    return fold.poisoned(bad, clo)
+
+
+QUERIES |= {"g3_compute_main": g3_compute_main, "g4_verify_folds": g4_verify_folds}
+
+ORACLES |= {
+    "g3_compute_main": _CLO + """, reached AS (SELECT t.vault_id, k, ancestor FROM tips t JOIN incl i ON i.vault_id = t.vault_id AND descendant = oid),
+common AS (SELECT DISTINCT r.vault_id, r.k, r.ancestor FROM reached r JOIN reached q ON q.vault_id = r.vault_id AND q.ancestor = r.ancestor AND q.k < r.k),
+best AS (SELECT vault_id, k, min(ancestor) AS base FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN clo ON clo.vault_id = d.vault_id AND clo.descendant = d.ancestor WHERE d.vault_id = c.vault_id AND d.k = c.k AND clo.ancestor = c.ancestor) GROUP BY ALL),
+trees AS (SELECT vault_id, oid, 'f' || p::VARCHAR || '.md' AS path, sha1((counter // 3)::VARCHAR || '/' || p::VARCHAR) AS blob_oid FROM d_commits, range(1, 7) r(p) WHERE (counter * 7 + p * 5) % 11 < 8),
+st AS (SELECT t.vault_id, t.k, 'f' || p::VARCHAR || '.md' AS path, (SELECT blob_oid FROM trees x WHERE x.vault_id = t.vault_id AND x.oid = t.oid AND x.path = 'f' || p::VARCHAR || '.md') AS tip,
+  (SELECT blob_oid FROM trees x WHERE x.vault_id = t.vault_id AND x.oid = b.base AND x.path = 'f' || p::VARCHAR || '.md') AS base FROM tips t LEFT JOIN best b ON b.vault_id = t.vault_id AND b.k = t.k, range(1, 7) r(p)),
+run AS (SELECT vault_id, path, k, tip AS o, false AS lines FROM st WHERE k = 1
+  UNION SELECT s.vault_id, s.path, s.k, CASE WHEN s.tip IS NOT DISTINCT FROM s.base THEN o ELSE s.tip END, lines OR coalesce(o <> s.tip AND o <> s.base AND s.tip <> s.base, false) FROM run r JOIN st s ON s.vault_id = r.vault_id AND s.path = r.path AND s.k = r.k + 1)
+SELECT vault_id, path, o AS blob_oid, lines FROM run r WHERE k = (SELECT max(k) FROM tips t WHERE t.vault_id = r.vault_id) AND o IS NOT NULL""",
+    "g4_verify_folds": _CLO + """, due AS (SELECT e.vault_id, e.child AS oid, max(c.counter) + 1 AS due, count(*) AS n FROM d_edges e JOIN d_commits c ON c.vault_id = e.vault_id AND c.oid = e.parent GROUP BY ALL),
+bad AS (SELECT c.vault_id, c.oid FROM d_commits c JOIN due d ON d.vault_id = c.vault_id AND d.oid = c.oid WHERE n = 2 AND CASE WHEN counter % 7 = 0 THEN counter + 1 ELSE counter END <> due)
+SELECT vault_id, oid FROM bad UNION SELECT b.vault_id, descendant FROM bad b JOIN clo ON clo.vault_id = b.vault_id AND clo.ancestor = b.oid""",
+}
