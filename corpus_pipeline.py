@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import bpe, language_id, mixing, ngram_join, substring_dedup
-from treeloom.llm.common import saved
+from treeloom.llm.common import saved, shielded
 
 #: Below this mean probability of its language a document has none (with four languages, chance is 0.25).
 LEAST_LANGUAGE_SCORE = 0.4
@@ -18,6 +18,11 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def only_named_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are `und`, or whose language is a guess, go. The field learns from a bounded sample of docs."""
+    return _named(docs)
+
+
+@shielded
+def _named(docs: DataFrame) -> DataFrame:
     field = language_id.fit(docs)
     if not field.langs:  # nothing to learn from: only texts without a letter can be told
         return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
@@ -33,6 +38,11 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated spans go from the texts; a document of which nothing is left goes too."""
+    return _cleaned(docs)
+
+
+@shielded
+def _cleaned(docs: DataFrame) -> DataFrame:
     cleaned = substring_dedup.dedup(docs)
     left = cleaned.where((F.col("removed_sentences") == 0) | (F.length("text") > 0))
     return left.withColumn("n_chars", F.when(F.col("removed_sentences") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +56,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Columns that operators address by name; all others only pass through.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators on documents: columns that they don't address get neutral names while they work, so that no name can
+    clash. Where such a column has the name of a column that the operator adds, the added one stands."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = docs.columns
+        hidden = [n if n in OWN else f"__x{i}" for i, n in enumerate(names)]
+        if hidden == names:
+            return operator(docs, *args, **options)
+        out = operator(docs.toDF(*hidden), *args, **options)
+        back = {h: n for h, n in zip(hidden, names) if h not in OWN}
+        added = {c.lower() for c in out.columns if c not in back}
+        kept = [c for c in out.columns if c not in back or back[c].lower() not in added]
+        return out.select(*kept).toDF(*[back.get(c, c) for c in kept])
+
+    return run
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -5,7 +5,7 @@ floor(rate) times plus one copy drawn from a hash of the document with probabili
 
 Cases: a null or empty text has size 0 and is taken 0 words, its document still gets copies; the null source is a source
 of its own and comes last; repeated rows draw alike; a source without words has rate 0; an empty table gives an empty
-result; further columns pass through, and this module's own begin with two underscores.
+result; further columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, saved, shielded
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -56,6 +56,7 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     return capped.select("__source", "__source_size", "__target", rate.alias("__rate"))
 
 
+@shielded
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with __size, __source_size, __target and __copies (how often the mix holds the document)."""
     sizes = docs.select(F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"))
@@ -69,6 +70,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return joined.withColumn("__copies", F.coalesce(copies, F.lit(0))).drop("__source", "__rate")
 
 
+@shielded
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as its draw says, with the columns of docs."""
     taken = mix(docs, **options)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import sub_batches
-from .common import hashed_words, mix64, runs_of, saved, utf8
+from .common import hashed_words, mix64, runs_of, saved, shielded, utf8
 from .components import components
 
 NGRAM = 5
@@ -299,6 +299,7 @@ def classes_of(docs: DataFrame, **options) -> DataFrame:
     return join(docs.select("doc_id", "text"), **options).select(F.col("__key").alias("doc_id"), "class_id", "n_links")
 
 
+@shielded
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stand for their class, each once; rows without words all stay."""
     keyed = docs.withColumns({"__key": row_key(), "__text": F.coalesce(F.xxhash64("text"), F.lit(0))})

@@ -8,7 +8,8 @@ meet globally on their hashes; a sentence goes if some span that covers it occur
 Only hashes with places are shuffled, and they are pre-aggregated; a hash that is everywhere is a skewed join key whose
 partner side is one row. Cases: a null text stays null, an empty one empty; a text all of whose sentences go becomes empty;
 rows that repeat whole (id and text) are one document and get one result; with a null doc_id a hash of the text orders it;
-texts of any length are cut alike; an empty table gives an empty result; further columns pass through.
+texts of any length are cut alike; an empty table gives an empty result; further columns pass through whatever
+their names (but one called removed_sentences or removed_words is replaced).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BATCH_CHARS
-from .common import _SPACE, mix64, saved, utf8
+from .common import _SPACE, mix64, saved, shielded, utf8
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -126,6 +127,7 @@ def spans_of(docs: DataFrame, min_words: int = MIN_WORDS, lone_words: int = LONE
     return fed.mapInArrow(run, "hash long, doc long, place long")
 
 
+@shielded
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the repeated sentences taken out of the text, then removed_sentences and removed_words."""
     spans = spans_of(docs, min_words, lone_words, key, text)
