@@ -128,3 +128,8 @@ def chunk_frames(objects: DataFrame, limit: int) -> DataFrame:
 
     packed = listed.select("session_id", F.aggregate("all", start, step).alias("s"))
     return packed.select("session_id", F.col("s.frame").alias("__last"), F.explode("s.out").alias("x")).select("session_id", "x.seq", "x.bytes", "x.frame", (F.col("x.frame") == F.col("__last")).alias("is_last"))
+
+
+def log_text(source: Column, ts: Column, level: Column, message: Column) -> Column:
+    """A log line as it is shown: source and time of day to the millisecond, errors marked."""
+    return F.concat(F.lit("["), source, F.lit(" "), F.date_format(ts, "HH:mm:ss.SSS"), F.lit("] "), F.when(level == "error", "ERROR ").otherwise(""), message)

@@ -179,6 +179,13 @@ def w3_ring_buffer(spark, sf_dir):
     return e.withColumn("n", F.row_number().over(newest)).where("n <= 500").select("event_type", "event_id", "n")
 
 
+def x19_log_lines(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    source = F.when(F.col("event_id") % 2 == 0, "main").otherwise("worker")
+    level = F.when(F.col("event_type") == "error", "error").otherwise("info")
+    return e.select("event_id", history.log_text(source, F.col("ts"), level, F.concat_ws(" ", "event_type", "props")).alias("line"))
+
+
 def w4_chunk_frames(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("seq")).agg(F.max(F.floor(F.col("l_extendedprice") * 4).cast("long")).alias("bytes"))
     return history.chunk_frames(l, 262144)
@@ -251,7 +258,7 @@ def g7_restore_snapshot(spark, sf_dir):
     return trees.restore(base.where("vault_id < 'v3'"), ours.where("vault_id < 'v3'")).where("op = 'remove' OR path LIKE '%7.md'")
 
 
-QUERIES = {f.__name__: f for f in (f1_classify_commits, f2_parse_readds, s3_parse_commits, x2_commit_oid, g5_fsck_objects, x1_blob_oid, s10_history_json, f13_history_filters, a12_shortlog, a3_most_recent_touch, a5_ghost_add_commits, j16_classify_local_adds, a7_fold_commit_oid, a8_vault_status, a9_aggregate_status, a10_wire_stats, a14_file_inventory, a15_connection_state, w3_ring_buffer, w4_chunk_frames, w5_asof_snapshot, w7_settle_time, w8_handshake_failure_streak, w9_backoff_delay, s11_merge_replica_state, s8_put_objects, z8_ls_tree, t7_lww_converge, g7_restore_snapshot)}
+QUERIES = {f.__name__: f for f in (f1_classify_commits, f2_parse_readds, s3_parse_commits, x2_commit_oid, g5_fsck_objects, x1_blob_oid, s10_history_json, f13_history_filters, a12_shortlog, a3_most_recent_touch, a5_ghost_add_commits, j16_classify_local_adds, a7_fold_commit_oid, a8_vault_status, a9_aggregate_status, a10_wire_stats, a14_file_inventory, a15_connection_state, w3_ring_buffer, x19_log_lines, w4_chunk_frames, w5_asof_snapshot, w7_settle_time, w8_handshake_failure_streak, w9_backoff_delay, s11_merge_replica_state, s8_put_objects, z8_ls_tree, t7_lww_converge, g7_restore_snapshot)}
 
 _M = "WITH RECURSIVE " + fleet.COMMITS_SQL + """, msg AS (SELECT *, subject || chr(10) || chr(10) || 'SYNC-Counter: ' || CASE WHEN counter % 6 = 0 THEN 'x' ELSE counter::VARCHAR END || chr(10) || 'SYNC-Node: ' || CASE WHEN counter % 7 = 0 THEN 'short' ELSE upper(node_id || left(node_id, 24)) END
   || CASE WHEN counter % 5 = 0 THEN chr(10) || 'SYNC-Readd: ' || oid || chr(10) || 'SYNC-Readd: zz' ELSE '' END || CASE WHEN counter % 10 = 0 THEN chr(10) || 'SYNC-Counter: 5' ELSE '' END AS message FROM d_commits)"""
@@ -292,6 +299,7 @@ SELECT vault_id, oid, sha1('commit ' || strlen(body)::VARCHAR || chr(0) || body)
     "a14_file_inventory": "WITH " + fleet.VERSIONS_SQL + ", o AS (SELECT vault_id, path, turn AS ts, max(CASE WHEN NOT (author = 'user' AND turn % 4 = 2) THEN content END) AS content FROM d_versions GROUP BY ALL) SELECT vault_id, path, strlen((array_agg(content ORDER BY ts))[-1])::BIGINT AS size, min(ts) AS created, max(ts) AS updated, CASE WHEN (array_agg(content ORDER BY ts))[-1] IS NULL THEN max(ts) END AS deleted_at FROM o GROUP BY ALL",
     "a15_connection_state": "WITH k AS (SELECT user_id AS vault_id, ts, event_id AS seq, CASE event_type WHEN 'click' THEN 'progress' WHEN 'error' THEN 'error' WHEN 'view' THEN 'disconnected' WHEN 'signup' THEN 'idle' ELSE 'connected' END AS kind FROM events), t AS (SELECT *, lag(kind) OVER (PARTITION BY vault_id ORDER BY ts, seq) AS before, row_number() OVER (PARTITION BY vault_id ORDER BY ts DESC, seq DESC) AS n FROM k WHERE kind <> 'progress') SELECT vault_id, CASE WHEN kind = 'disconnected' THEN CASE WHEN coalesce(before, 'idle') = 'idle' THEN 'idle' ELSE 'reconnecting' END ELSE kind END AS state FROM t WHERE n = 1",
     "w3_ring_buffer": "SELECT event_type, event_id, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC)::INTEGER AS n FROM events) WHERE n <= 500",
+    "x19_log_lines": "SELECT event_id, '[' || CASE WHEN event_id % 2 = 0 THEN 'main' ELSE 'worker' END || ' ' || strftime(ts, '%H:%M:%S.%g') || '] ' || CASE WHEN event_type = 'error' THEN 'ERROR ' ELSE '' END || event_type || ' ' || props AS line FROM events",
     "w4_chunk_frames": """WITH RECURSIVE o AS (SELECT l_orderkey AS session_id, l_linenumber AS seq, max(floor(l_extendedprice * 4)::BIGINT) AS bytes FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM o),
 f AS (SELECT session_id, seq, bytes, n, 0 AS frame, bytes AS fill FROM r WHERE n = 1 UNION ALL SELECT r.session_id, r.seq, r.bytes, r.n, CASE WHEN fill + r.bytes > 262144 THEN frame + 1 ELSE frame END, CASE WHEN fill + r.bytes > 262144 THEN r.bytes ELSE fill + r.bytes END FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n + 1)
 SELECT session_id, seq, bytes, frame, frame = max(frame) OVER (PARTITION BY session_id) AS is_last FROM f""",

@@ -68,6 +68,16 @@ def t10_handshake_timeout(spark, sf_dir):
     return live.timed_out(e, 20000)
 
 
+def t9_live_delta(spark, sf_dir):
+    """Every commit of a vault's chain as it would be published."""
+    from .history import _folder
+
+    f = _folder(spark, sf_dir)
+    version = F.concat("path", F.lit("@"), F.expr("counter div 4").cast("string"))
+    trees = f.where("now").select("vault_id", "oid", "path", F.sha1(version.cast("binary")).alias("blob_oid"))
+    return live.live_delta(f.where("parent IS NOT NULL").select("vault_id", "oid", "parent").distinct(), trees)
+
+
 def t12_quarantine_events(spark, sf_dir):
     """The side output of the pre-publish guard: what goes to the orphan folder of its second."""
     from .history import j16_classify_local_adds
@@ -77,7 +87,7 @@ def t12_quarantine_events(spark, sf_dir):
     return q.select("vault_id", "path", F.concat(F.lit(".context/orphans/"), bucket, F.lit("/"), "path").alias("to_path"))
 
 
-QUERIES = {f.__name__: f for f in (t1_debounce_commits, t2_coalesce_leading, t3_integrate, t4_reassemble_batches, t5_relay, t6_bootstrap_gate, t8_suppress_self_writes, t10_handshake_timeout, t12_quarantine_events)}
+QUERIES = {f.__name__: f for f in (t1_debounce_commits, t2_coalesce_leading, t3_integrate, t4_reassemble_batches, t5_relay, t6_bootstrap_gate, t8_suppress_self_writes, t9_live_delta, t10_handshake_timeout, t12_quarantine_events)}
 
 _B = "WITH b AS (SELECT event_id // 7 AS batch_id, 'o' || (event_id * 3 // 4)::VARCHAR AS oid, event_id % 97 <> 0 AS fold_ok, event_id % 13 <> 0 AS sig_ok FROM events), adm AS (SELECT min(batch_id) AS batch_id, oid FROM b WHERE sig_ok AND batch_id NOT IN (SELECT batch_id FROM b WHERE NOT fold_ok) AND right(oid, 1) NOT IN ('1', '5') GROUP BY oid)"
 
@@ -100,4 +110,8 @@ SELECT vault_id, path, arg_max(seq, (ts, seq)) AS seq, any_value(op[1]) AS publi
 s AS (SELECT *, sum(CASE WHEN own THEN 1 ELSE -1 END) OVER (PARTITION BY room, path ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS s FROM e),
 l AS (SELECT *, least(coalesce(min(s) OVER (PARTITION BY room, path ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS low FROM s) SELECT room, path, seq FROM l WHERE NOT own AND s < low""",
     "t10_handshake_timeout": "WITH e AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS session, floor(epoch(ts))::BIGINT AS t, event_type = 'purchase' AS ok FROM events) SELECT session, min(t) AS began, min(t) FILTER (ok) AS done, coalesce(min(t) FILTER (ok) > min(t) + 20000, true) AS timed_out FROM e GROUP BY ALL",
+    "t9_live_delta": "WITH " + fleet.COMMITS_SQL + """, chain AS (SELECT *, lag(oid) OVER w AS parent, lag(counter) OVER w AS pc FROM d_commits WINDOW w AS (PARTITION BY vault_id ORDER BY counter)),
+t AS (SELECT vault_id, oid, counter, sha1('f' || p::VARCHAR || '.md@' || (counter // 4)::VARCHAR) AS b FROM d_commits, range(1, 7) r(p) WHERE (counter * 7 + p * 5) % 11 < 6)
+SELECT c.vault_id, c.oid, 'blob' AS kind, t.b AS object FROM chain c JOIN t ON t.vault_id = c.vault_id AND t.oid = c.oid WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t x WHERE x.vault_id = c.vault_id AND x.oid = c.parent AND x.b = t.b)
+UNION ALL SELECT vault_id, oid, 'commit', oid FROM chain WHERE parent IS NOT NULL""",
 }

@@ -105,6 +105,15 @@ def integrate_each(known_path: str):
     return run
 
 
+def live_delta(commits: DataFrame, trees: DataFrame) -> DataFrame:
+    """What new commits (vault_id, oid, parent) publish at once: the commit, and each blob of its tree (vault_id, oid, path,
+    blob_oid) that its parent's tree lacks. In a stream: call it in foreachBatch with the batch's commits."""
+    of = commits.join(trees.select("vault_id", "oid", "blob_oid"), ["vault_id", "oid"]).select("vault_id", "oid", "parent", "blob_oid").distinct()
+    before = trees.select("vault_id", F.col("oid").alias("parent"), "blob_oid").distinct()
+    new = of.join(before, ["vault_id", "parent", "blob_oid"], "left_anti").select("vault_id", "oid", F.lit("blob").alias("kind"), F.col("blob_oid").alias("object"))
+    return new.unionByName(commits.select("vault_id", "oid", F.lit("commit").alias("kind"), F.col("oid").alias("object")))
+
+
 def gated(edits: DataFrame) -> DataFrame:
     """edits (vault_id, ts, seq, path, kind): before a replica's first 'ready' event only the latest edit of each path is
     held, and all are published at that event; later ones pass."""
