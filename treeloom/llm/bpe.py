@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from .common import utf8
 
 #: Characters of text that one sub-batch holds at most (a longer single text is a sub-batch of its own).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Entries of the per-worker memo of units; the rarer ones go when it is full, which changes time and never results.
-MEMO = 500_000
+MEMO = 250_000
 PAIRS = 1_000_000
 #: Texts with other characters than these take the tokenizers library's own normaliser and splitter.
 PLAIN = re.compile("[\x00\x01\x1c-\x1f]|[^\x00-ɏ]")
@@ -227,9 +227,10 @@ def coder(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def sub_batches(texts: list[bytes | None], most: int = BATCH_CHARS) -> Iterator[list[str]]:
+def sub_batches(texts: pa.Array, most: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """The texts of a column of bytes in bounded lists; only one list is held as Python strings at a time."""
     held, size = [], 0
-    for raw in texts:
+    for raw in (r for i in range(0, len(texts), 256) for r in texts.slice(i, 256).to_pylist()):
         text = (raw or EMPTY).decode("utf-8", "replace")
         if held and size + len(text) > most:
             yield held
@@ -260,12 +261,13 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", p
         own = coder(path)
         for batch in batches:
             at = 0
-            for texts in sub_batches(batch.column(batch.num_columns - 1).to_pylist()):
+            for texts in sub_batches(batch.column(batch.num_columns - 1)):
                 done = own.encode_texts(texts, specials)
                 shown = own.decode_lists(done)
                 part = batch.slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists(done), pa.array(shown, pa.binary()).cast(pa.string())], names=[*keep, ids, decoded])
+        own.memo.clear()  # workers outlive their tasks, and other stages need the memory
 
     return fed.mapInArrow(run, schema)
 

@@ -34,7 +34,7 @@ SAMPLE_CHARS = 4000
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4, 5)
 STEPS = 24
-MEMO = 400_000
+MEMO = 200_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -228,7 +228,8 @@ def fit(docs: DataFrame, **options) -> Field:
 def identify(docs: DataFrame, field: Field, keep: list[str], text: str = "text", spans: bool = False) -> DataFrame:
     """The columns of keep, then lang_pred and score; with spans also the runs of words of one language."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    fed = docs.select(*[f"`{c}`" for c in keep], utf8(text).alias("__raw"))
+    carried = text in keep  # then the text goes to the workers once
+    fed = docs.select(*[f"`{c}`" for c in keep], *([] if carried else [utf8(text).alias("__raw")]))
     out_fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     span_type = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())]))
     if spans:
@@ -242,7 +243,8 @@ def identify(docs: DataFrame, field: Field, keep: list[str], text: str = "text",
         table = np.zeros((MEMO, len(own.langs)), np.float32)
         for batch in batches:
             at = 0
-            for texts in sub_batches(batch.column(batch.num_columns - 1).to_pylist()):
+            raw = batch.column(keep.index(text)).cast(pa.binary()) if carried else batch.column(batch.num_columns - 1)
+            for texts in sub_batches(raw):
                 cut = [words_of(t) if own.langs and LETTER.search(t) else [] for t in texts]
                 new = list({w for ws in cut for w in ws if w not in memo})
                 if len(memo) + len(new) > MEMO:
@@ -250,8 +252,8 @@ def identify(docs: DataFrame, field: Field, keep: list[str], text: str = "text",
                     new = list({w for ws in cut for w in ws})
                     if len(new) > len(table):
                         table = np.zeros((len(new), len(own.langs)), np.float32)
-                for k in range(0, len(new), 50_000):
-                    part = new[k : k + 50_000]
+                for k in range(0, len(new), 10_000):
+                    part = new[k : k + 10_000]
                     table[len(memo) : len(memo) + len(part)] = own.evidence(part)
                     memo.update(zip(part, range(len(memo), len(memo) + len(part))))
                 sizes = np.array([len(ws) for ws in cut])
@@ -274,7 +276,7 @@ def identify(docs: DataFrame, field: Field, keep: list[str], text: str = "text",
                             runs[i] = [{"lang": own.langs[mine[a]], "first_word": a, "n_words": z - a} for a, z in zip(turns, turns[1:])]
                 part = batch.slice(at, len(texts))
                 at += len(texts)
-                columns = [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)] + ([pa.array(runs, arrow_spans)] if spans else [])
+                columns = [*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)] + ([pa.array(runs, arrow_spans)] if spans else [])
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return fed.mapInArrow(run, schema)

@@ -85,7 +85,7 @@ def sketch(docs: DataFrame, bands: int, rows: int = ROWS, n: int = NGRAM) -> Dat
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             at = 0
-            for texts in sub_batches(batch.column(2).to_pylist()):
+            for texts in sub_batches(batch.column(2)):
                 sets = gram_sets(texts, n)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 short: list = [None] * len(sets)
@@ -247,7 +247,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in sub_batches(batch.column(1).to_pylist()):
+            for texts in sub_batches(batch.column(1)):
                 made = gram_sets(texts, n)
                 ids = batch.column(0).slice(at, len(texts))
                 at += len(texts)

@@ -89,7 +89,7 @@ class Cut:
 
 def _raws(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[list[bytes]]:
     held, size = [], 0
-    for raw in column.to_pylist():
+    for raw in (r for i in range(0, len(column), 256) for r in column.slice(i, 256).to_pylist()):
         raw = raw or b""
         if held and size + len(raw) > most:
             yield held

@@ -47,7 +47,7 @@ def flatten(docs: DataFrame, path: str | None = None, end: int = END_OF_DOCUMENT
 
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
-            for texts in bpe.sub_batches(batch.column(1).to_pylist()):
+            for texts in bpe.sub_batches(batch.column(1)):
                 for coded in own.encode_texts(texts, False):
                     held += np.frombuffer(coded, np.int32).astype(np.uint16).tobytes() + stop
                 while len(held) >= size:
@@ -58,6 +58,7 @@ def flatten(docs: DataFrame, path: str | None = None, end: int = END_OF_DOCUMENT
                 at, place = at + len(texts), place + len(texts)
         if held:
             yield rows(0, [block], [bytes(held)], [None])
+        own.memo.clear()
 
     return docs.select(F.col(key).cast("long"), utf8(text)).mapInArrow(run, FLAT)
 
