@@ -132,6 +132,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, lone_words: int = LONE_WO
     """The rows of docs with the repeated sentences taken out of the text, then removed_sentences and removed_words."""
     spans = spans_of(docs, min_words, lone_words, key, text)
     first = spans.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = saved(first, "first")  # a table of its own: a join of two plain exchanges can split a hot hash over tasks
     later = spans.join(first, "hash").where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
     marks = saved(later.groupBy("doc").agg(F.collect_set("place").alias("places")), "marks")
     names = docs.columns
