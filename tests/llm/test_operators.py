@@ -176,6 +176,32 @@ def test_dedup_is_brute_force(spark, sf_dir):
     assert [got[r.doc_id] for r in rows] == brute_dedup([r.text for r in rows])
 
 
+def repeated_runs(texts, words=50, kinds=20):
+    """(text, place) of every run of so many words that occurs before, told by the words alone."""
+    seen, found = set(), []
+    for at, text in enumerate(texts):
+        split = WORDS.findall(text.lower().encode())
+        for i in range(len(split) - words + 1):
+            run = tuple(split[i : i + words])
+            if run in seen and len(set(run)) >= kinds:
+                found.append((at, i))
+            seen.add(run)
+    return found
+
+
+def test_no_run_of_fifty_words_stays_twice(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    inside, short = some(60), some(17) + ". " + some(8) + ". " + some(8) + ". " + some(19)
+    texts = [f"{some(40 + i)} {p} {some(60 - i)}. {some(9)}." for i in range(20) for p in (inside, short, some(60))]
+    given = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    rows = list(enumerate(texts + given))
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {at for at, _ in repeated_runs(texts)} == {i for i in range(3, 60) if i % 3 < 2}
+    assert repeated_runs([got[i].text for i, _ in rows]) == []
+    assert all(got[i].text == texts[i] for i in range(60) if i < 2 or i % 3 == 2)
+
+
 def test_dedup_on_odd_rows(spark):
     docs = odd_docs(spark)
     out = substring_dedup.dedup(docs)

@@ -1,5 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
+A sentence of more than LONG_WORDS words counts as several: it is cut on behind every word whose hash is 0 modulo CUT_ONE_IN,
+so that a passage within longer sentences is cut alike wherever it stands.
+
 A span is a shortest run of two or more consecutive sentences with at least MIN_WORDS words, seen forwards from every
 sentence and backwards to every sentence (so that a repeated passage is covered to both its ends), or one sentence of at
 least LONE_WORDS words. Spans are hashed on their words (ASCII letters lower-cased, white space and case of no account) and
@@ -26,8 +29,11 @@ from .bpe import BATCH_CHARS
 from .common import _SPACE, mix64, saved, shielded, utf8
 
 MIN_SENTENCES = 2
-MIN_WORDS = 20
-LONE_WORDS = 20
+MIN_WORDS = 14
+LONE_WORDS = 14
+#: Sentences of more words are cut further, behind one word in CUT_ONE_IN.
+LONG_WORDS = 16
+CUT_ONE_IN = 8
 #: A place is one long: sentence, sentences in the span, and bits of the text's hash.
 _LENGTH_BITS, _TEXT_BITS = 6, 26
 _STOPS = np.zeros(256, bool)
@@ -56,6 +62,10 @@ class Cut:
         if len(begins) > 1:
             broken = np.searchsorted(lines, begins[1:]) > np.searchsorted(lines, ends[:-1])
             opens[1:] = broken | _STOPS[letters[ends[:-1] - 1]] | (text_of[1:] != text_of[:-1])
+            # A long one is cut on behind words that their hash alone chooses, so that copies are cut alike whatever is around.
+            heads = np.flatnonzero(opens)
+            sizes = np.diff(np.append(heads, len(begins)))
+            opens[1:] |= (np.repeat(sizes, sizes)[1:] > LONG_WORDS) & (words[:-1] % np.uint64(CUT_ONE_IN) == 0)
         heads = np.flatnonzero(opens)
         self.words = np.diff(np.append(heads, len(begins)))
         at = np.arange(len(begins)) - np.repeat(heads, self.words)
