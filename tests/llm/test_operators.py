@@ -372,6 +372,26 @@ def test_hot_and_cold_words_give_the_same_base(spark, sf_dir, monkeypatch):
     assert {r.doc_id: round(r.base_score, 6) for r in lm_scoring.score(docs, docs).collect()} == one
 
 
+def test_training_reaches_every_token_of_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "ENOUGH", 1)
+    trained, averaged = [], lm_scoring.averaged
+    monkeypatch.setattr(lm_scoring, "averaged", lambda *given: trained.append(averaged(*given)))
+    rng = np.random.default_rng(1)
+    late = " ".join(f"n{x}" for x in rng.integers(0, 50, 2000))
+    texts = [f"text {i} of many" for i in range(2300)] + ["same words " * 300 + late, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = bpe.default_path()
+    lm_scoring.score(docs, docs, path)
+    assert sum(trained) == lm_scoring.Read([(t or "").encode() for t in texts], lm_scoring.subwords(path)).sizes.sum()
+
+
+def test_text_behind_any_prefix_moves_the_weights(spark):
+    path, units = bpe.default_path(), lm_scoring.subwords(bpe.default_path())
+    pairs = np.ones(units.size**2, np.int32)
+    models = [lm_scoring.train_on(spark.createDataFrame([(1, "same words " * 500 + end)], "doc_id long, text string"), path, pairs) for end in ("a cat sat here", "le chien dort")]
+    assert not np.array_equal(models[0].p["e"], models[1].p["e"])
+
+
 def test_model_is_a_probability():
     units = lm_scoring.subwords(bpe.default_path())
     model = lm_scoring.train([b"the cat sat on the mat. " * 20, b"le chat dort sur le lit. " * 20], bpe.default_path(), np.zeros(units.size**2, np.int32), steps=5)

@@ -6,8 +6,10 @@ predicts the class of the next subword; corpus-wide counts predict the subword w
 product is a probability of the text. Windows overlap by half: each scores its second half, batched and masked, with its
 first half as context, so every token is scored once.
 
-The attention weights are trained in numpy on a bounded sample (SAMPLE_DOCS documents, SAMPLE_CHARS of each); counts of words
-and of subword pairs cover all training documents. Word counts meet texts in two ways: words that make up at least
+The attention weights are trained in numpy on every window of every training document, where its rows lie: the documents are
+dealt over ROUNDS rounds, in a round every partition makes its steps from the broadcast weights over its share of the round,
+and the weights (of fixed size) are averaged by tokens in a tree. Classes come from the counts of subword pairs; these and
+the counts of words cover all training documents. Word counts meet texts in two ways: words that make up at least
 1 / HOT_SHARE of all tokens (so at most HOT_SHARE of them) are broadcast, all others are joined by hash.
 
 Cases: a null text counts as empty and has one token, its end; very long texts go window by window; repeated rows repeat
@@ -24,15 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path
 from .common import _SPACE, crc_rest, mix64, saved, utf8
 from .substring_dedup import _raws
 
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 3000
 HOT_SHARE = 1 << 21
 MERGES = 3000
 LONGEST = 8
@@ -43,6 +43,11 @@ BATCH = 1024
 #: Bytes of text that a task has in hand at once (a longer single text is taken alone).
 READ_CHARS = 1_000_000
 STEPS = 1200
+ROUNDS = 8
+#: Windows of a step; a small corpus is gone over until about ENOUGH windows were seen, MOST_PASSES times at most.
+STEP_WINDOWS = 512
+ENOUGH, MOST_PASSES = 150_000, 10
+RATE = 0.004
 #: Pseudo-counts by which the pair counts are led back to the subword's share of its class.
 BACK_OFF = 8.0
 END_WORD = np.uint64(0x5EED)
@@ -195,56 +200,64 @@ class Model:
         inputs, targets, first = self.windows(ids, sizes, begin)
         if not len(inputs):
             return
-        rng, p = np.random.default_rng(seed), self.p
-        pairs = np.full((len(p["e"]), CLASSES), 0.05)
+        rng = np.random.default_rng(seed)
         good = targets >= 0
+        pairs = np.zeros((len(self.p["e"]), CLASSES))
         np.add.at(pairs, (inputs[:, HALF:][good], self.class_of[targets[good]]), 1)
-        share = pairs.sum(axis=0) / pairs.sum()
-        pairs = pairs + 3 * share
-        p["t"] = np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
-        mean, var = {n: np.zeros_like(w) for n, w in p.items()}, {n: np.zeros_like(w) for n, w in p.items()}
+        self.set_table(pairs)
+        state = self.fresh()
         for step in range(1, steps + 1):
             pick = rng.integers(0, len(inputs), windows)
-            x_ids, y, one = inputs[pick], targets[pick].ravel(), first[pick]
-            x, q, k, v, s, o = self.attend(x_ids, one)
-            logits = self.class_logits(x_ids, o)
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            live = np.flatnonzero(y >= 0)
-            logits[y < 0] = 0
-            logits[live, self.class_of[y[live]]] -= 1
-            logits /= max(len(live), 1)
-            g = {n: np.zeros_like(w) for n, w in p.items()}
-            np.add.at(g["t"], x_ids[:, HALF:].ravel(), logits)
-            g["u"] = o.reshape(-1, VALUES).T @ logits
-            d_o = (logits @ p["u"].T).reshape(o.shape)
-            d_v = s.transpose(0, 2, 1) @ d_o
-            d_s = d_o @ v.transpose(0, 2, 1)
-            d_s = s * (d_s - (d_s * s).sum(axis=2, keepdims=True)) * np.float32(KEYS**-0.5)
-            d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-            flat, late = x.reshape(-1, WIDTH), x[:, HALF:].reshape(-1, WIDTH)
-            g["q"], g["k"], g["v"] = late.T @ d_q.reshape(-1, KEYS), flat.T @ d_k.reshape(-1, KEYS), flat.T @ d_v.reshape(-1, VALUES)
-            d_x = d_k @ p["k"].T + d_v @ p["v"].T
-            d_x[:, HALF:] += d_q @ p["q"].T
-            np.add.at(g["e"], x_ids.ravel(), d_x.reshape(-1, WIDTH))
-            g["pos"] = d_x.sum(axis=0)
-            pace = rate * min(1.0, step / 30) * (1 - 0.9 * step / steps)
-            for n in p:
-                mean[n] = 0.9 * mean[n] + 0.1 * g[n]
-                var[n] = 0.99 * var[n] + 0.01 * g[n] ** 2
-                p[n] -= (pace * (mean[n] / (1 - 0.9**step)) / (np.sqrt(var[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-
-    def set_classes(self, ids: np.ndarray, sizes: np.ndarray, begin: int, seed: int = 4) -> None:
-        """Classes of subwords with alike neighbours: k-means on the leading directions of the sample's pair counts."""
+            self.descend(inputs[pick], targets[pick], first[pick], state, rate * min(1.0, step / 30) * (1 - 0.9 * step / steps))
+
+    def set_table(self, counts: np.ndarray) -> None:
+        """Start of the table from a subword to the next one's class: logs of its share, from counts."""
+        pairs = counts + 0.05
+        pairs = pairs + 3 * pairs.sum(axis=0) / pairs.sum()
+        self.p["t"] = np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def fresh(self) -> dict:
+        """Adam's state before the first step."""
+        return {"step": 0, "mean": {n: np.zeros_like(w) for n, w in self.p.items()}, "var": {n: np.zeros_like(w) for n, w in self.p.items()}}
+
+    def descend(self, x_ids: np.ndarray, targets: np.ndarray, one: np.ndarray, state: dict, pace: float) -> None:
+        """One step of Adam on the cross entropy of the next subword's class."""
+        p, y = self.p, targets.ravel()
+        x, q, k, v, s, o = self.attend(x_ids, one)
+        logits = self.class_logits(x_ids, o)
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        live = np.flatnonzero(y >= 0)
+        logits[y < 0] = 0
+        logits[live, self.class_of[y[live]]] -= 1
+        logits /= max(len(live), 1)
+        g = {"t": gathered(x_ids[:, HALF:].ravel(), logits), "u": o.reshape(-1, VALUES).T @ logits}
+        d_o = (logits @ p["u"].T).reshape(o.shape)
+        d_v = s.transpose(0, 2, 1) @ d_o
+        d_s = d_o @ v.transpose(0, 2, 1)
+        d_s = s * (d_s - (d_s * s).sum(axis=2, keepdims=True)) * np.float32(KEYS**-0.5)
+        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
+        flat, late = x.reshape(-1, WIDTH), x[:, HALF:].reshape(-1, WIDTH)
+        g["q"], g["k"], g["v"] = late.T @ d_q.reshape(-1, KEYS), flat.T @ d_k.reshape(-1, KEYS), flat.T @ d_v.reshape(-1, VALUES)
+        d_x = d_k @ p["k"].T + d_v @ p["v"].T
+        d_x[:, HALF:] += d_q @ p["q"].T
+        g["e"] = gathered(x_ids.ravel(), d_x.reshape(-1, WIDTH))
+        g["pos"] = d_x.sum(axis=0)
+        state["step"] += 1
+        step, mean, var = state["step"], state["mean"], state["var"]
+        for n in p:
+            at, d = g[n] if isinstance(g[n], tuple) else (slice(None), g[n])  # of the tables only rows that the step met
+            m = mean[n][at] = np.float32(0.9) * mean[n][at] + np.float32(0.1) * d
+            w = var[n][at] = np.float32(0.99) * var[n][at] + np.float32(0.01) * d * d
+            p[n][at] -= np.float32(pace / (1 - 0.9**step)) * m / (np.sqrt(w * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+
+    def set_classes(self, counts: np.ndarray, seed: int = 4) -> None:
+        """Classes of subwords with alike neighbours: k-means on the leading directions of the counts of pairs (before, after)."""
         units = len(self.class_of)
         # Neighbours are told apart only if they are frequent: 512 to either side.
-        frequent = np.argsort(-np.bincount(ids, minlength=units), kind="stable")[:512]
-        column = np.full(units, len(frequent))
-        column[frequent] = np.arange(len(frequent))
-        left, wide = before(ids, sizes, begin), len(frequent) + 1
-        after = np.bincount(left.astype(np.int64) * wide + column[ids], minlength=units * wide).reshape(units, wide)[:, :-1]
-        ahead = np.bincount(ids.astype(np.int64) * wide + column[left], minlength=units * wide).reshape(units, wide)[:, :-1]
+        frequent = np.argsort(-counts.sum(axis=0, dtype=np.int64), kind="stable")[:512]
+        after, ahead = counts[:, frequent], counts[frequent].T
         both = np.sqrt(np.hstack([after, ahead]))
         norm = np.linalg.norm(both, axis=1)
         often = np.flatnonzero(norm > 3)
@@ -276,6 +289,14 @@ class Model:
             self.within[a : a + 128] = np.log((some + BACK_OFF * share) / ((some @ member)[:, self.class_of] + BACK_OFF))
 
 
+def gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of each one's values."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    own = rows[order]
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[heads], np.add.reduceat(values[order], heads, axis=0)
+
+
 MASK = (np.arange(2 * HALF)[None, :] <= np.arange(HALF, 2 * HALF)[:, None]).astype(np.float32)
 
 
@@ -307,25 +328,76 @@ def counted(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame,
     return totals.where("kind = 0").select(F.col("key").alias("hash"), "n"), totals.where("kind = 1").select(F.col("key").alias("pair"), "n")
 
 
-def sample_texts(docs: DataFrame, most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[bytes]:
-    """At most `most` texts by the order of a hash of the id; ids are chosen first, without their texts."""
-    some = docs.where(F.col("text").isNotNull() & (F.length("text") > 0))
-    chosen = some.select("doc_id").withColumn("__o", F.xxhash64("doc_id")).orderBy("__o", "doc_id").limit(most).select("doc_id").distinct()
-    rows = some.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.substring("text", 1, chars).alias("t"), F.xxhash64("doc_id", "text").alias("__o"))
-    return [r[0].encode() for r in rows.orderBy("__o", "t").limit(most).collect()]
-
-
 def train(texts: list[bytes], path: str, pairs: np.ndarray, **options) -> Model:
+    """A model of texts in hand."""
     units = subwords(path)
     model = Model(units.size)
     if texts:
         read = Read(texts, units)
-        model.set_classes(read.ids, read.sizes, units.begin)
+        left = before(read.ids, read.sizes, units.begin).astype(np.int64)
+        model.set_classes(np.bincount(left * units.size + read.ids, minlength=units.size**2).reshape(units.size, units.size))
         model.fit(read.ids, read.sizes, units.begin, **options)
     model.set_within(pairs)
     return model
 
 
+def train_on(docs: DataFrame, path: str, pairs: np.ndarray, text: str = "text") -> Model:
+    """A model of all docs, whose pair counts are given. Only weights travel, and their size is fixed."""
+    units = subwords(path)
+    model = Model(units.size)
+    counts = pairs.reshape(units.size, units.size)
+    tokens = int(counts.sum(dtype=np.int64))
+    if tokens:
+        model.set_classes(counts)
+        model.set_table(counts @ np.eye(CLASSES)[model.class_of])
+        passes = min(MOST_PASSES, max(1, -(-ENOUGH * HALF // tokens)))
+        turn = F.pmod(F.xxhash64("doc_id", text), F.lit(ROUNDS))
+        for number in range(ROUNDS):
+            averaged(docs.where(turn == number).select(utf8(text)), model, path, passes, RATE * (1 - 0.9 * number / ROUNDS))
+    model.set_within(pairs)
+    return model
+
+
+def averaged(docs: DataFrame, model: Model, path: str, passes: int, rate: float) -> int:
+    """One round: steps over all windows of docs in every partition, then the mean of the weights by tokens. Returns the tokens."""
+    names, shapes = list(model.p), [w.shape for w in model.p.values()]
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((model.p, model.class_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = subwords(path)
+        own = Model.__new__(Model)
+        weights, own.class_of = shared.value
+        own.p = {n: w.copy() for n, w in weights.items()}
+        state, seen, rng = own.fresh(), 0, np.random.default_rng(TaskContext.get().partitionId())
+        for batch in batches:
+            for raws in _raws(batch.column(0), READ_CHARS):
+                read = Read(raws, cut)
+                inputs, targets, first = own.windows(read.ids, read.sizes, cut.begin)
+                seen += len(read.ids)
+                for _ in range(passes):
+                    mixed = rng.permutation(len(inputs))
+                    for a in range(0, len(mixed), STEP_WINDOWS):
+                        pick = mixed[a : a + STEP_WINDOWS]
+                        own.descend(inputs[pick], targets[pick], first[pick], state, rate * min(1.0, (state["step"] + 1) / 10))
+        if seen:
+            flat = np.concatenate([own.p[n].ravel() for n in names])
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], names=["tokens", "weights"])
+
+    def add(a: tuple | None, b: tuple | None) -> tuple | None:
+        return a if b is None else b if a is None else (a[0] + b[0], a[1] + b[1])
+
+    told = docs.mapInArrow(run, "tokens long, weights binary").rdd.map(lambda r: (r[0], np.frombuffer(r[1], np.float32).astype(np.float64) * r[0]))
+    total = told.treeAggregate(None, add, add)
+    shared.unpersist()
+    if total is None:
+        return 0
+    at = np.cumsum([0] + [int(np.prod(x)) for x in shapes])
+    for i, n in enumerate(names):
+        model.p[n] = (total[1][at[i] : at[i + 1]] / total[0]).reshape(shapes[i]).astype(np.float32)
+    return total[0]
+
+
 def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs, learning from the rows of learn."""
     path = path or default_path()
@@ -336,7 +408,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     pairs = np.zeros(units.size**2, np.int32)
     met = pair_counts.toArrow()  # at most the square of the vocabulary's size, and fitted by no data
     pairs[met["pair"].to_numpy()] = np.minimum(met["n"].to_numpy(), np.iinfo(np.int32).max)
-    model = train(sample_texts(learn), path, pairs)
+    model = train_on(learn, path, pairs)
     hot_rows = words.where(F.col("n") * HOT_SHARE >= F.lit(int(total))).toArrow()
     hot = hot_rows["hash"].to_numpy().view(np.uint64)
     by = np.argsort(hot)
