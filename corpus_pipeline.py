@@ -17,15 +17,14 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def only_named_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are `und`, or whose language is a guess, go. The field learns from a bounded sample of docs."""
+    """Documents that are `und`, or whose language is a guess, go. The field learns from a bounded sample of docs; where docs
+    name no language, nothing is learned, every document is `und`, and none stays."""
     return _named(docs)
 
 
 @shielded
 def _named(docs: DataFrame) -> DataFrame:
     field = language_id.fit(docs)
-    if not field.langs:  # nothing to learn from: only texts without a letter can be told
-        return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
     named = language_id.identify(docs, field, keep=docs.columns)
     kept = named.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return kept.select(*docs.columns)

@@ -13,20 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (one machine, tests)."""
+    """The folder of spark.checkpoint.dir. Where the session names none, one of our own on a single machine (tests); on a
+    cluster that is an error, since a local folder would be another one on every node."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     kept = spark.sparkContext.getCheckpointDir()
     if kept is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         kept = spark.sparkContext.getCheckpointDir()
     return kept.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df, written once and read again: loops keep short plans, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/treeloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_saved_at"] = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that saved() wrote and that nothing reads any more: superseded rounds of a loop."""
+    for t in tables:
+        path = t.__dict__.get("_saved_at") if t is not None else None
+        if path:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
