@@ -3,42 +3,18 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import forget, saved, shared_dir, table  # noqa: F401  (for the operators of this folder)
+
 #: A word: a run of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests on one machine)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    kept = spark.sparkContext.getCheckpointDir()
-    if kept is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        kept = spark.sparkContext.getCheckpointDir()
-    return kept.rstrip("/")
-
-
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df, written once to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: str = "text") -> Column:
     """The text as bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

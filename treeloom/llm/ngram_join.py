@@ -11,8 +11,8 @@ Result: one row per document with class_id (the least doc_id of all documents it
 n_links (the other documents whose similarity to it is at least the threshold, copies included).
 
 Cases: a null text, or one without a word, is alone in its class with no links; a text of fewer than NGRAM words is the set
-of one run, all its words; repeated rows are copies of each other and count as links; where doc_id is null a hash of the
-text stands for it in class_id; very long texts have long sets, and blocks hold fewer of them; further columns are not read.
+of one run, all its words; repeated rows are copies of each other and count as links; where doc_id is null (and stays null) a
+hash of the text stands for it in class_id; of rows that share id and text one_of_each keeps the first by their other columns; very long texts have long sets, and blocks hold fewer of them; further columns are not read.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
 
 
 def sketch(docs: DataFrame, bands: int, rows: int = ROWS, n: int = NGRAM) -> DataFrame:
-    """__key, __text (a hash of it), set_a and set_b (of the n-gram set; null if there is none), size, short (one byte per
+    """__key, __text (a hash of it), __named (whether the row has an id), set_a and set_b (of the n-gram set; null if there is none), size, short (one byte per
     minimum hash) and bands (a hash each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +103,10 @@ def sketch(docs: DataFrame, bands: int, rows: int = ROWS, n: int = NGRAM) -> Dat
                 with np.errstate(over="ignore"):
                     a = [int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
                     b = [int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["__key", "__text", "set_a", "set_b", "size", "short", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["__key", "__text", "__named", "set_a", "set_b", "size", "short", "bands"])
 
-    fed = docs.select(row_key().alias("__key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__text"), utf8().alias("__raw"))
-    return fed.mapInArrow(run, "__key long, __text long, set_a long, set_b long, size long, short binary, bands array<long>")
+    fed = docs.select(row_key().alias("__key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__text"), utf8().alias("__raw"), F.col("doc_id").isNotNull().alias("__named"))
+    return fed.mapInArrow(run, "__key long, __text long, __named boolean, set_a long, set_b long, size long, short binary, bands array<long>")
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def _links(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -> np.nda
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM) -> DataFrame:
-    """__key, __text (which row of docs it is), class_id, n_links, and __first: whether it stands for its class."""
+    """__key, __text (which row of docs it is), __named, class_id, n_links, and __first: whether it stands for its class."""
     bands = bands_for(threshold, recall)
     sketched = saved(sketch(docs, bands, ROWS, n), "sketched")
     sets = sketched.where("size > 0")
@@ -288,15 +288,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     heads = named.groupBy("root").agg(F.min("rep").alias("head"))
     told = named.join(heads, "root").select("set_a", "set_b", F.col("size").alias("size"), "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     told = saved(told, "told")
-    alone = sketched.where("size = 0").select("__key", "__text", F.col("__key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("__first"))
-    rest = sets.select("__key", "__text", "set_a", "set_b", "size").join(told, ["set_a", "set_b", "size"]).select(
-        "__key", "__text", F.col("head.__key").alias("class_id"), "n_links", ((F.col("head.__key") == F.col("__key")) & (F.col("head.__text") == F.col("__text"))).alias("__first"))
+    alone = sketched.where("size = 0").select("__key", "__text", "__named", F.col("__key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("__first"))
+    rest = sets.select("__key", "__text", "__named", "set_a", "set_b", "size").join(told, ["set_a", "set_b", "size"]).select(
+        "__key", "__text", "__named", F.col("head.__key").alias("class_id"), "n_links", ((F.col("head.__key") == F.col("__key")) & (F.col("head.__text") == F.col("__text"))).alias("__first"))
     return rest.unionByName(alone)
 
 
 def classes_of(docs: DataFrame, **options) -> DataFrame:
-    """doc_id (a hash of the text where it is null), class_id and n_links of every row of docs."""
-    return join(docs.select("doc_id", "text"), **options).select(F.col("__key").alias("doc_id"), "class_id", "n_links")
+    """doc_id, class_id and n_links of every row of docs."""
+    return join(docs.select("doc_id", "text"), **options).select(F.when(F.col("__named"), F.col("__key")).alias("doc_id"), "class_id", "n_links")
 
 
 @shielded
@@ -307,6 +307,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     out = keyed.join(kept.hint("shuffle_hash"), ["__key", "__text"])
     again = kept.where("__rows > 1 and __links > 0")
     if not again.isEmpty():  # a row that comes again whole is its own copy
-        many = out.where((F.col("__rows") > 1) & (F.col("__links") > 0)).dropDuplicates(["__key", "__text"])
+        many = out.where((F.col("__rows") > 1) & (F.col("__links") > 0))
+        first = F.min_by(F.struct(*[f"`{c}`" for c in many.columns]), F.to_json(F.struct(*[f"`{c}`" for c in docs.columns if c != "text"])))
+        many = many.groupBy(F.col("__key").alias("__k"), F.col("__text").alias("__t")).agg(first.alias("__row")).select("__row.*")
         out = out.where(~((F.col("__rows") > 1) & (F.col("__links") > 0))).unionByName(many)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
