@@ -4,7 +4,7 @@ Sizes are counted per source, targets come from a water-filling over the sources
 floor(rate) times plus one copy drawn from a hash of the document with probability equal to the fraction.
 
 Cases: a null or empty text has size 0 and is taken 0 words, its document still gets copies; the null source is a source
-of its own and comes last; repeated rows draw alike; a source without words has rate 0; an empty table gives an empty
+of its own and comes last, also where sources tie; repeated rows draw alike; a source without words has rate 0; an empty table gives an empty
 result; further columns pass through whatever their names.
 """
 
@@ -45,10 +45,12 @@ def source_rates(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: fl
     stepped = limited.withColumns({
         "__left": F.sum("__source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0)),
         "__left_w": F.sum("__w").over(everything) - F.coalesce(F.sum("__w").over(before), F.lit(0.0)),
+        "__turn": F.row_number().over(by_level),
     })
     stepped = stepped.withColumn("__level", F.col("__left") / F.col("__left_w"))
-    # The first source that does not reach its cap fixes the level; if all reach it, every target is the cap.
-    open_level = F.min_by(F.when(F.col("__full_at") > F.col("__level"), F.col("__level")), F.when(F.col("__full_at") > F.col("__level"), F.struct("__full_at", F.coalesce(F.col("__source"), F.lit("")))))
+    # The first source, in the order of the sums above, that does not reach its cap fixes the level; if all reach it, every
+    # target is the cap.
+    open_level = F.min_by(F.col("__level"), F.when(F.col("__full_at") > F.col("__level"), F.col("__turn")))
     levelled = stepped.withColumn("__level", open_level.over(everything))
     target = F.when(F.col("__level").isNull() | (F.col("__full_at") <= F.col("__level")), F.col("__cap")).otherwise(F.col("__level") * F.col("__w"))
     capped = levelled.withColumn("__target", F.least(target, F.col("__cap")))

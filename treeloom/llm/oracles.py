@@ -10,9 +10,10 @@ WITH sized AS (
   SELECT *, CASE ix WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM per
 ), steps AS (
   SELECT *, cap / w AS full_at,
-    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lvl
+    (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lvl,
+    row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS turn
   FROM lim WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), level AS (SELECT arg_min(lvl, full_at) AS l FROM steps WHERE full_at > lvl
+), level AS (SELECT arg_min(lvl, turn) AS l FROM steps WHERE full_at > lvl
 ), rated AS (
   SELECT source, source_size, least(cap, CASE WHEN l IS NULL OR full_at <= l THEN cap ELSE l * w END) AS target FROM steps, level
 ), drawn AS (
