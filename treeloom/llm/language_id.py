@@ -5,22 +5,22 @@ n-grams at a border are affixes) and of its membership in learned lexicons. Lear
 forward-backward gives each word's distribution, so a code-switched text gets a label per word. A text's language is the one
 with the largest mean over its words, and that mean is the score.
 
-The field is trained in numpy on a bounded sample of labelled rows (SAMPLE_DOCS per language, SAMPLE_CHARS of each);
-prediction reads every whole text and shuffles nothing.
+The field is trained in numpy on a bounded sample of labelled rows (SAMPLE_DOCS distinct ones in each of the SAMPLE_LANGS most
+frequent languages, whole texts); prediction reads every whole text and shuffles nothing.
 
-Cases: a null text, or one without a letter, is `und` with score 0; very long texts are followed word by word to their end;
+Cases: a null text, or one without a letter (of Unicode's category L), is `und` with score 0; very long texts are followed word by word to their end;
 repeated rows repeat their result; ties go to the language that sorts first; without a labelled row everything is `und`;
 an empty table gives an empty result; further columns pass through where asked for.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +30,12 @@ from .common import crc_rest, mix64, utf8
 
 SAMPLE_DOCS = 400
 SAMPLE_LANGS = 32
-SAMPLE_CHARS = 4000
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4, 5)
 STEPS = 24
 MEMO = 200_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -94,17 +93,17 @@ class Field:
         at = np.minimum(np.searchsorted(self.lexicon, whole), len(self.lexicon) - 1)
         return self.members[at] * (self.lexicon[at] == whole)[:, None]
 
-    def posteriors(self, evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Forward-backward over many texts at once (evidence: their words' rows, one text after the other)."""
+    def passes(self, evidence: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward-backward over many texts at once (evidence: their words' rows, one text after the other). Of every word: its
+        own factor, the forward message (its own factor included) and the backward message, each up to a factor per word."""
         n = len(self.langs)
         local = np.exp(evidence - evidence.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
-        step = np.exp(self.moves - self.moves.max())
-        enter = np.exp(self.first - self.first.max())
+        step, enter = self.moving()
         begins = np.cumsum(sizes) - sizes
         order = np.argsort(-sizes, kind="stable")
         begins, sizes = begins[order], sizes[order]
         active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
-        ahead = np.empty_like(local)
+        ahead, behind = np.empty_like(local), np.ones_like(local)
         state = None
         for t, k in enumerate(active.tolist()):
             rows = begins[:k] + t
@@ -115,14 +114,37 @@ class Field:
         for t in range(len(active) - 1, 0, -1):
             k = active[t]
             rows = begins[:k] + t
-            behind = (local[rows] * back[:k]) @ step.T
-            behind /= behind.sum(axis=1, keepdims=True)
-            ahead[rows] *= back[:k]
-            back[:k] = behind
-        if len(active):
-            ahead[begins[: active[0]]] *= back[: active[0]]
+            back[:k] = (local[rows] * back[:k]) @ step.T
+            back[:k] /= back[:k].sum(axis=1, keepdims=True)
+            behind[rows - 1] = back[:k]
+        return local, ahead, behind
+
+    def moving(self) -> tuple[np.ndarray, np.ndarray]:
+        """Factors of a move from one word's language to the next one's, and of a text's first language."""
+        return np.exp(self.moves - self.moves.max()), np.exp(self.first - self.first.max())
+
+    def posteriors(self, evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        _, ahead, behind = self.passes(evidence, sizes)
+        ahead *= behind
         return ahead / ahead.sum(axis=1, keepdims=True)
 
+    def slopes(self, evidence: np.ndarray, sizes: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log probability of the labels gold: its gradient by the words' evidence, the moves and the first languages."""
+        n = len(self.langs)
+        local, ahead, behind = self.passes(evidence, sizes)
+        post = ahead * behind
+        post /= post.sum(axis=1, keepdims=True)
+        begins = np.cumsum(sizes) - sizes
+        miss = np.eye(n)[gold] - post
+        inside = np.ones(len(gold), bool)
+        inside[begins] = False
+        then = np.flatnonzero(inside)
+        told = np.zeros((n, n))
+        np.add.at(told, (gold[then - 1], gold[then]), 1)
+        joint = ahead[then - 1][:, :, None] * self.moving()[0] * (local[then] * behind[then])[:, None, :]
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        return miss, told - joint.sum(axis=0), miss[begins].sum(axis=0)
+
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
@@ -161,7 +183,7 @@ def train(sample: list[tuple[str, str]], seed: int = 5, passes: int = 2, rate: f
     field.members = np.clip(odds, -2, 2).astype(np.float32)
     listed = field.listed(whole)
     every = [(k, p) for k in range(n) for p in pieces[k] if p]
-    grad_w, grad_m, grad_t = np.full((BUCKETS, n), 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6)
+    grad_w, grad_m, grad_t, grad_f = np.full((BUCKETS, n), 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6), np.full(n, 1e-6)
     for _ in range(passes):
         for at in range(0, len(every), batch):
             taken = [every[i] for i in rng.integers(0, len(every), batch)] if n else []
@@ -183,8 +205,7 @@ def train(sample: list[tuple[str, str]], seed: int = 5, passes: int = 2, rate: f
             gram, gram_word = buckets[at_gram], np.repeat(np.arange(len(used)), sizes[used])
             score = np.add.reduceat(field.weights[gram], np.cumsum(sizes[used]) - sizes[used], axis=0) * scale[used][:, None]
             score = score + field.trust * listed[used]
-            post = field.posteriors(score[inverse].astype(np.float32), lengths_)
-            miss = np.eye(n)[gold_] - post
+            miss, slope_m, slope_f = field.slopes(score[inverse].astype(np.float32), lengths_, gold_)
             per_word = np.stack([np.bincount(inverse, miss[:, l], len(used)) for l in range(n)], 1)
             slope = np.stack([np.bincount(gram, (per_word[:, l] * scale[used])[gram_word], BUCKETS) for l in range(n)], 1) / batch
             grad_w += slope**2
@@ -192,33 +213,25 @@ def train(sample: list[tuple[str, str]], seed: int = 5, passes: int = 2, rate: f
             trust = (per_word * listed[used]).sum(axis=0) / batch
             grad_t += trust**2
             field.trust = (field.trust + 0.1 * rate * trust / np.sqrt(grad_t)).astype(np.float32)
-            inside = np.ones(len(rows_), bool)
-            inside[np.cumsum(lengths_) - lengths_] = False
-            then = np.flatnonzero(inside)
-            told = np.zeros((n, n))
-            np.add.at(told, (gold_[then - 1], gold_[then]), 1)
-            # Expected moves: neighbouring distributions joined by the present moves.
-            step = np.exp(field.moves - field.moves.max())
-            joint = post[then - 1][:, :, None] * step * post[then][:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            slope_m = (told - joint.sum(axis=0)) / batch
-            grad_m += slope_m**2
-            field.moves = field.moves + 0.3 * rate * slope_m / np.sqrt(grad_m)
+            for weights, slope_, grad in ((field.moves, slope_m / batch, grad_m), (field.first, slope_f / batch, grad_f)):
+                grad += slope_**2
+                weights += 0.3 * rate * slope_ / np.sqrt(grad)
     return field
 
 
-def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_lang documents in each of at most SAMPLE_LANGS languages, by the order of a hash of the id.
-
-    Ids are chosen without their texts; window group limits leave at most per_lang rows a language in each task.
-    """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    ranked = known.select("doc_id", "lang").withColumn("__order", F.xxhash64("doc_id"))
-    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__order", "doc_id"))).where(F.col("__rank") <= per_lang)
-    most = per_lang * SAMPLE_LANGS
-    chosen = ranked.orderBy("__rank", "lang").limit(most).select("doc_id").distinct()
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("__order"))
-    return [(r[0], r[1]) for r in rows.orderBy("__order", "lang", "text").limit(most).collect()]
+def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+    """(lang, text) of at most per_lang distinct documents in each of the SAMPLE_LANGS most frequent languages, by a hash of id
+    and text. Each language's count sets a bound on the hash that about twice as many rows pass, so that only these are
+    ranked, however many rows a language has; rows that repeat collapse before they are shuffled."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("__order"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
+    if not counts:
+        return []
+    bounds = [(r["lang"], min((1 << 63) - 1, (2 * per_lang << 63) // r["n"])) for r in counts]
+    bound = docs.sparkSession.createDataFrame(bounds, "lang string, __bound long")
+    few = known.join(F.broadcast(bound), "lang").where("__order <= __bound").groupBy("lang", "__order").agg(F.min("text").alias("text"))
+    best = few.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__order"))).where(F.col("__rank") <= per_lang)
+    return [(r["lang"], r["text"]) for r in best.orderBy("__order", "lang").collect()]
 
 
 def fit(docs: DataFrame, **options) -> Field:
