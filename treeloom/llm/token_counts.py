@@ -12,10 +12,12 @@ empty; repeated rows are documents of their own; further columns of the input ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,17 +66,26 @@ def flatten(docs: DataFrame, path: str | None = None, end: int = END_OF_DOCUMENT
 
 
 def blocks_of_files(spark: SparkSession, path: str, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, at, tokens) of raw flat files below path, each of up to 2 GB; file is the file's path."""
+    """Blocks (file, at, tokens) of raw flat files of any length below path; file is the file's path. Spark lists the files and
+    their lengths, deals out the byte ranges of all blocks, and each task reads its ranges; the store must be one that pyarrow
+    opens by its address (file, hdfs, s3, gs)."""
     size = np.dtype(dtype).itemsize * block_tokens
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    ranges = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("at"))
+    dealt = ranges.repartition(F.col("file"), F.col("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                view = memoryview(content.as_buffer())
-                for k in range(0, len(view), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([bytes(view[k : k + size])], pa.binary())], names=["file", "at", "tokens"])
+            for name, length, at in zip(*(c.to_pylist() for c in batch.columns)):
+                address = re.sub(r"^file:/+", "file:///", name)
+                store, inner = fs.FileSystem.from_uri(address)
+                with store.open_input_file(inner) as f:
+                    raw = f.read_at(min(size, length - at * size), at * size)
+                if len(raw) != min(size, length - at * size):
+                    raise OSError(f"{name} ends before its listed length")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([raw], pa.binary())], names=["file", "at", "tokens"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, at long, tokens binary")
+    return dealt.mapInArrow(run, "file string, at long, tokens binary")
 
 
 def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, dtype: str = "uint16") -> DataFrame:
@@ -93,15 +104,17 @@ def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, dtype: str = "uint16") -
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["file", "at", "n", "stops", "head", "last", "inner"])
 
-    found = blocks.select("file", "at", "tokens").mapInArrow(run, f"file {kind}, at long, n long, stops long, head long, last long, inner array<long>")
+    found = saved(blocks.select("file", "at", "tokens").mapInArrow(run, f"file {kind}, at long, n long, stops long, head long, last long, inner array<long>"), "found")
+    # The windows see one narrow row per block; the lengths of whole documents within a block join their block again.
     order = Window.partitionBy("file").orderBy("at")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumns({"start": F.coalesce(F.sum("n").over(before), F.lit(0)), "place": F.coalesce(F.sum("stops").over(before), F.lit(0)), "next": F.lead("at").over(order)})
+    placed = found.drop("inner").withColumns({"start": F.coalesce(F.sum("n").over(before), F.lit(0)), "place": F.coalesce(F.sum("stops").over(before), F.lit(0)), "next": F.lead("at").over(order)})
     placed = placed.withColumn("stop_at", F.when(F.col("stops") > 0, F.col("start") + F.col("last")))
     carried = placed.withColumn("open", F.col("start") - F.coalesce(F.max("stop_at").over(before), F.lit(0)))
-    ended = F.when(F.col("stops") > 0, F.concat(F.array(F.col("open") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
     left = F.when(F.col("stops") > 0, F.col("n") - F.col("last")).otherwise(F.col("open") + F.col("n"))
-    whole = carried.select("file", "place", F.posexplode(ended).alias("i", "n_tokens")).select("file", (F.col("place") + F.col("i")).alias("place"), "n_tokens", F.lit(True).alias("ended"))
+    met = carried.where("stops > 0").select("file", "at", "place", (F.col("open") + F.col("head")).alias("first")).join(found.select("file", "at", "inner"), ["file", "at"])
+    ended = F.concat(F.array("first"), F.col("inner"))
+    whole = met.select("file", "place", F.posexplode(ended).alias("i", "n_tokens")).select("file", (F.col("place") + F.col("i")).alias("place"), "n_tokens", F.lit(True).alias("ended"))
     rest = carried.where(F.col("next").isNull() & (left > 0)).select("file", (F.col("place") + F.col("stops")).alias("place"), left.alias("n_tokens"), F.lit(False).alias("ended"))
     return whole.unionByName(rest)
 
@@ -111,4 +124,5 @@ def token_counts(docs: DataFrame, path: str | None = None, block_tokens: int = B
     flat = saved(flatten(docs, path, block_tokens=block_tokens), "flat")
     counted = saved(scan(flat.where("kind = 0").select("file", "at", "tokens")), "counted")
     listed = flat.where("kind = 1").select("file", "at", F.posexplode("docs").alias("i", "doc_id")).select("file", (F.col("at") + F.col("i")).alias("place"), "doc_id")
-    return listed.join(counted, ["file", "place"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    lost = F.raise_error(F.lit("a document's separator is missing")).cast("long")
+    return listed.join(counted, ["file", "place"], "left").select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens"))
