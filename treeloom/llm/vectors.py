@@ -2,12 +2,16 @@
 
 Cases, for both: vectors that are null or hold a null or non-finite component take no part (for cosines, zero vectors
 neither), nor do rows without a vec_id; rows repeated whole count once; equal vectors tie and the smaller vec_id wins; only
-vectors of one length are compared; an empty table gives an empty result; further columns are not read.
+vectors of one length are compared; an empty table gives an empty result; further columns are not read. Products of components
+so large that a sum could leave 64 bits are computed and ranked in whole numbers of any length; a score beyond 64 bits is
+returned as the largest (or least) 64-bit number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +22,21 @@ from .common import saved
 
 TOP = 5
 EVERY = 50
-CURVES = 16
-DIMS = 8
-BITS = 3
-#: The part of a curve that a query sees, half on either side. Neighbours without structure in few dimensions are found
-#: only so; see the README for recall and cost.
-WINDOW = 0.08
+#: Components of products are floor(SCALE * x).
+SCALE = 256
+#: Many curves with a small window each find more than a few with a wide one.
+CURVES = 96
+DIMS = 16
+BITS = 2
+#: The part of a curve that a query sees, half on either side, and the least number of rows to a side. Neighbours without
+#: structure need a share of all rows; see the README for recall and rows compared.
+WINDOW = 0.0031
+LEAST_REACH = 64
 BLOCK = 1024
+#: Candidates whose cosine is computed exactly, for each query.
+RERANKED = 24
+#: Unit vectors travel along the curves as 16-bit integers.
+CODE = 32767
 SHARD = 4096
 CHUNK = 512
 
@@ -69,7 +81,7 @@ def curve_keys(vectors: np.ndarray, curves: int, dims: int = DIMS, bits: int = B
         basis, _ = np.linalg.qr(rng.normal(size=(size, min(dims, size))))
         shift = rng.random(basis.shape[1])
         even = 1 / (1 + np.exp(-1.7 * np.sqrt(size) * (vectors @ basis)))
-        cells = ((even + shift / 2) / 1.5 * (1 << bits)).astype(np.int64)
+        cells = ((even + shift / 4) / 1.25 * (1 << bits)).astype(np.int64)
         out[:, c] = hilbert_keys(np.clip(cells, 0, (1 << bits) - 1), bits)
     return out
 
@@ -79,29 +91,20 @@ def _matrix(column: pa.Array, dtype: str = "float64") -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), dtype)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores of each row, ties to the smaller id; ids rise along the columns."""
-    if scores.shape[1] <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    out = np.empty((len(scores), k), np.int64)
-    for r in range(len(scores)):
-        at = np.flatnonzero(scores[r] >= least[r])
-        out[r] = at[np.argsort(-scores[r, at], kind="stable")[:k]]
-    return out
+def _joined(column: pa.Array) -> np.ndarray:
+    """The bytes of all entries of a binary column, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) else np.zeros(0, np.uint8)
 
 
-def nearest(table: DataFrame, top: int = TOP, every: int = EVERY, curves: int = CURVES, window: float = WINDOW, v: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score (cosine) of the nearest vectors found for each row whose vec_id is divisible by
-    every. Equal vectors stand together as one, with the smallest top + 1 of their ids."""
-    rows = table.where(_usable(v)).select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0)).distinct()
-    asks = F.pmod("vec_id", F.lit(every)) == 0
-    kinds = saved(rows.groupBy("v").agg(F.min("vec_id").alias("rid"), F.max(asks).alias("asks"), F.count("*").alias("copies")), "kinds")
-    copied = rows.join(kinds.where("copies > 1").select("v", "rid"), "v").select("rid", "vec_id")
-    by_id = Window.partitionBy("rid").orderBy("vec_id")
-    ids = kinds.where("copies = 1").select("rid", F.col("rid").alias("vec_id")).unionByName(
-        copied.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= top + 1).select("rid", "vec_id"))
-    queries = kinds.where("copies = 1 and asks").select("rid", F.col("rid").alias("query_id")).unionByName(copied.where(asks).select("rid", F.col("vec_id").alias("query_id")))
+def _units(raw: np.ndarray) -> np.ndarray:
+    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _blocks_along_curves(kinds: DataFrame, curves: int) -> DataFrame:
+    """Blocks of neighbours along every curve, in the order in which range partitions hold them: the first row's curve, key and
+    rid, the rows' ids and codes, and apart those of the rows that ask (with their places in the block)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,88 +112,119 @@ def nearest(table: DataFrame, top: int = TOP, every: int = EVERY, curves: int =
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(at))
-                raw = _matrix(part.column(1))
-                big = np.abs(raw).max(axis=1, keepdims=True)
-                unit = raw / big
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _units(_matrix(part.column(1)))
                 keys = curve_keys(unit, curves)
+                codes = pa.array([r.tobytes() for r in np.rint(unit * CODE).astype(np.int16)], pa.binary())
                 for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size * 1000 + c)), pa.array(keys[:, c]), part.column(0), part.column(2), pa.array([r.tobytes() for r in raw], pa.binary())], names=["curve", "key", "rid", "asks", "raw"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size * 1000 + c)), pa.array(keys[:, c]), part.column(0), part.column(2), codes], names=["curve", "key", "rid", "asks", "code"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of neighbours along a curve, in the order in which the partition holds them."""
-        seq, held, curve = 0, [], None
+        held: list[tuple] = []
+        curve, room = None, BLOCK
 
         def block() -> pa.RecordBatch:
-            key, rid, ask, raw = (sum((h[i] for h in held), []) for i in range(4))
-            own = [i for i, a in enumerate(ask) if a]
-            return pa.RecordBatch.from_arrays([
-                pa.array([curve], pa.int64()), pa.array([key[0]], pa.int64()), pa.array([rid[0]], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(rid)], pa.int64()), pa.array([len(own)], pa.int64()),
-                pa.array([np.array(rid, np.int64).tobytes()], pa.binary()), pa.array([b"".join(raw)], pa.binary()),
-                pa.array([np.array([rid[i] for i in own], np.int64).tobytes()], pa.binary()), pa.array([b"".join(raw[i] for i in own)], pa.binary())],
-                names=["curve", "key", "rid", "seq", "n", "n_asks", "ids", "vectors", "ask_ids", "ask_vectors"])
+            key, rid, asks, code = (np.concatenate([h[i] for h in held]) for i in range(4))
+            code = code.reshape(len(rid), -1)
+            own = np.flatnonzero(asks)
+            binary = [pa.array([x.tobytes()], pa.binary()) for x in (rid, code, own, rid[own], code[own])]
+            return pa.RecordBatch.from_arrays([*(pa.array([int(x)], pa.int64()) for x in (curve, key[0], rid[0], len(rid), len(own))), *binary], names=["curve", "key", "rid", "n", "n_asks", "ids", "codes", "asks_at", "ask_ids", "ask_codes"])
 
         for batch in batches:
-            curve_of = batch.column(0).to_numpy()
+            curve_of, keys, rids = (batch.column(i).to_numpy() for i in range(3))
+            asks = batch.column(3).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(curve_of)) + 1).tolist(), len(curve_of)]
-            columns = [batch.column(i).to_pylist() for i in range(1, 5)]
             for a, z in zip(cuts, cuts[1:]):
-                if z > a:
-                    if held and (curve != int(curve_of[a])):
+                if held and z > a and curve != int(curve_of[a]):
+                    yield block()
+                    held, room = [], BLOCK
+                while a < z:
+                    curve, stop = int(curve_of[a]), min(z, a + room)
+                    held.append((keys[a:stop], rids[a:stop], asks[a:stop], _joined(batch.column(4).slice(a, stop - a))))
+                    a, room = stop, room - (stop - a)
+                    if not room:
                         yield block()
-                        held, seq = [], seq + 1
-                    curve = int(curve_of[a])
-                    while a < z:
-                        room = BLOCK - sum(len(h[0]) for h in held)
-                        held.append([c[a : min(z, a + room)] for c in columns])
-                        a = min(z, a + room)
-                        if sum(len(h[0]) for h in held) == BLOCK:
-                            yield block()
-                            held, seq = [], seq + 1
+                        held, room = [], BLOCK
         if held:
             yield block()
 
-    kinds_long = "curve long, key long, rid long, asks boolean, raw binary"
-    ordered = kinds.select("rid", "v", "asks").mapInArrow(keyed, kinds_long).repartitionByRange("curve", "key", "rid").sortWithinPartitions("curve", "key", "rid")
-    blocks = saved(ordered.mapInArrow(packed, "curve long, key long, rid long, seq long, n long, n_asks long, ids binary, vectors binary, ask_ids binary, ask_vectors binary"), "blocks")
+    ordered = kinds.select("rid", "v", "asks").mapInArrow(keyed, "curve long, key long, rid long, asks boolean, code binary").repartitionByRange("curve", "key", "rid").sortWithinPartitions("curve", "key", "rid")
+    return saved(ordered.mapInArrow(packed, "curve long, key long, rid long, n long, n_asks long, ids binary, codes binary, asks_at binary, ask_ids binary, ask_codes binary"), "blocks")
+
+
+def _visits(blocks: DataFrame, window: float) -> DataFrame:
+    """(curve, key, rid) of blocks that hold queries with their first row's place, the reach of their windows, and the blocks
+    (c_key, c_rid, c_first) that these meet."""
     along = Window.partitionBy("curve").orderBy("key", "rid")
     placed = blocks.select("curve", "key", "rid", "n", "n_asks").withColumns({"last": F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy("curve"))})
-    placed = placed.withColumn("first", F.col("last") - F.col("n"))
+    placed = placed.withColumns({"first": F.col("last") - F.col("n"), "reach": F.greatest(F.lit(LEAST_REACH), F.ceil(F.col("all") * F.lit(window / 2)))})
     cell = lambda rank: F.floor(rank / F.lit(float(BLOCK))).cast("long")
-    reach = F.ceil(F.col("all") * F.lit(window / 2))
-    there = placed.select("curve", F.col("key").alias("c_key"), F.col("rid").alias("c_rid"), F.explode(F.sequence(cell(F.col("first")), cell(F.col("last") - 1))).alias("cell"))
-    seen = placed.where("n_asks > 0").select("curve", "key", "rid", F.explode(F.sequence(cell(F.greatest(F.col("first") - reach, F.lit(0))), cell(F.least(F.col("last") - 1 + reach, F.col("all") - 1)))).alias("cell"))
-    visits = seen.join(there, ["curve", "cell"]).select("curve", "key", "rid", "c_key", "c_rid").distinct()
-    asking = visits.join(blocks.select("curve", "key", "rid", "ask_ids", "ask_vectors"), ["curve", "key", "rid"])
-    met = asking.groupBy("curve", F.col("c_key").alias("key"), F.col("c_rid").alias("rid")).agg(F.collect_list(F.struct("ask_ids", "ask_vectors")).alias("visitors"))
-    work = met.join(blocks.select("curve", "key", "rid", "ids", "vectors"), ["curve", "key", "rid"]).select("ids", "vectors", "visitors")
+    there = placed.select("curve", F.col("key").alias("c_key"), F.col("rid").alias("c_rid"), F.col("first").alias("c_first"), F.explode(F.sequence(cell(F.col("first")), cell(F.col("last") - 1))).alias("cell"))
+    seen = placed.where("n_asks > 0").select("curve", "key", "rid", "first", "reach", F.explode(F.sequence(cell(F.greatest(F.col("first") - F.col("reach"), F.lit(0))), cell(F.least(F.col("last") - 1 + F.col("reach"), F.col("all") - 1)))).alias("cell"))
+    return seen.join(there, ["curve", "cell"]).drop("cell").distinct()
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def nearest(table: DataFrame, top: int = TOP, every: int = EVERY, curves: int = CURVES, window: float = WINDOW, v: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id and score (cosine) of the nearest vectors found for each row whose vec_id is divisible by
+    every. Equal vectors stand together as one, with the smallest top + 1 of their ids. Windows are compared on 16-bit codes in
+    single precision; the best RERANKED candidates of a query are ranked on their cosines in double precision."""
+    rows = table.where(_usable(v)).select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0)).distinct()
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    kinds = saved(rows.groupBy("v").agg(F.min("vec_id").alias("rid"), F.max(asks).alias("asks"), F.count("*").alias("copies")), "kinds")
+    copied = rows.join(kinds.where("copies > 1").select("v", "rid"), "v").select("rid", "vec_id")
+    by_id = Window.partitionBy("rid").orderBy("vec_id")
+    ids = kinds.where("copies = 1").select("rid", F.col("rid").alias("vec_id")).unionByName(
+        copied.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= top + 1).select("rid", "vec_id"))
+    queries = kinds.where("copies = 1 and asks").select("rid", F.col("rid").alias("query_id")).unionByName(copied.where(asks).select("rid", F.col("vec_id").alias("query_id")))
+    found = saved(_candidates(_blocks_along_curves(kinds, curves), window, top).groupBy("asker", "rid").agg(F.max("near").alias("near")), "candidates")
+    order = Window.partitionBy("asker").orderBy(F.desc("near"), "rid")
+    few = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= RERANKED).select("asker", "rid")
+    pairs = few.join(kinds.select("rid", F.col("v").alias("theirs")), "rid").join(kinds.select(F.col("rid").alias("asker"), F.col("v").alias("own")), "asker").select("asker", "rid", "own", "theirs")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids_, vectors, visitors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids_ = np.frombuffer(ids_, np.int64)
-                by = np.argsort(ids_)
-                ids_, c = ids_[by], np.frombuffer(vectors).reshape(len(by), -1)[by]
-                scale = np.abs(c).max(axis=1)
-                unit = c / scale[:, None]
-                unit = unit / np.linalg.norm(unit, axis=1)[:, None]
-                for visitor in visitors:
-                    q_ids = np.frombuffer(visitor["ask_ids"], np.int64)
-                    q = np.frombuffer(visitor["ask_vectors"]).reshape(len(q_ids), -1)
-                    q = q / np.abs(q).max(axis=1)[:, None]
-                    q = q / np.linalg.norm(q, axis=1)[:, None]
-                    best = _best(q @ unit.T, ids_, top + 1)
-                    who, what = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-                    score = (q[who] * unit[what]).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[who]), pa.array(ids_[what]), pa.array(score)], names=["asker", "rid", "score"])
-
-    found = work.mapInArrow(rank, "asker long, rid long, score double").groupBy("asker", "rid").agg(F.max("score").alias("score"))
-    few = found.withColumn("n", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "rid"))).where(F.col("n") <= top + 1).drop("n")
-    named = few.join(ids, "rid").join(queries.withColumnRenamed("rid", "asker"), "asker").where("vec_id <> query_id")
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            for size in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                score = (_units(_matrix(part.column(2))) * _units(_matrix(part.column(3)))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], names=["asker", "rid", "score"])
+
+    exact = pairs.mapInArrow(measured, "asker long, rid long, score double")
+    named = exact.join(ids, "rid").join(queries.withColumnRenamed("rid", "asker"), "asker").where("vec_id <> query_id")
     final = named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= top)
     return final.select("query_id", "rank", "vec_id", "score")
 
 
+def _candidates(blocks: DataFrame, window: float, top: int) -> DataFrame:
+    """asker, rid and near (the cosine on codes) of the best rows of every window; a query is among its own candidates."""
+    visits = _visits(blocks, window)
+    asking = visits.join(blocks.select("curve", "key", "rid", "asks_at", "ask_ids", "ask_codes"), ["curve", "key", "rid"])
+    met = blocks.select("curve", F.col("key").alias("c_key"), F.col("rid").alias("c_rid"), "ids", "codes")
+    work = asking.drop("key", "rid").join(met, ["curve", "c_key", "c_rid"]).select("first", "reach", "c_first", "ids", "codes", "asks_at", "ask_ids", "ask_codes")
+    keep = top + 1 + 6
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                first, reach, c_first = (batch.column(k)[i].as_py() for k in range(3))
+                ids, codes, at, ask_ids, ask_codes = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((3, np.int64), (4, np.int16), (5, np.int64), (6, np.int64), (7, np.int16)))
+                theirs = codes.reshape(len(ids), -1).astype(np.float32)
+                own = ask_codes.reshape(len(at), -1).astype(np.float32) * np.float32(CODE**-2.0)
+                low = np.maximum(first + at - reach - c_first, 0).tolist()
+                high = np.minimum(first + at + reach - c_first + 1, len(ids)).tolist()
+                who, what, near = [], [], []
+                for q, (a, z) in enumerate(zip(low, high)):
+                    if a < z:
+                        score = theirs[a:z] @ own[q]
+                        best = np.argpartition(score, len(score) - keep)[-keep:] if len(score) > keep else np.arange(len(score))
+                        who.append(np.full(len(best), ask_ids[q]))
+                        what.append(ids[a + best])
+                        near.append(score[best])
+                if who:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (who, what, near)], names=["asker", "rid", "near"])
+
+    return work.mapInArrow(rank, "asker long, rid long, near float")
+
+
 class Shard:
     """Rows of integer vectors, by rising id, with what MaxScore needs: each component's least and largest value."""
 
@@ -231,34 +265,69 @@ class Shard:
         return best_ids, best
 
 
-def top_products(table: DataFrame, top: int = TOP, every: int = EVERY, scale: int = 256, v: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score: exact top inner products of floor(scale * component). Shards of about SHARD rows
-    meet blocks of queries, MaxScore runs in each shard, and the shards' best merge."""
-    whole = table.where(_usable(v)).select("vec_id", F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v")).distinct()
-    rows = saved(whole, "integers")
+def _exactly(x: float) -> int:
+    """floor(256 * x) for a component of any size."""
+    return math.floor(Fraction(x) * SCALE)
+
+
+def _ranked(score: int) -> tuple[int, str, int]:
+    """What a score of any length is ordered by, falling: whether it lies above, within or below 64 bits, its digits (those
+    that lie beyond), and the score as 64 bits hold it."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, "", score
+    digits = str(abs(score))
+    if score > 0:
+        return 1, f"{len(digits):05d}{digits}", (1 << 63) - 1
+    return -1, f"{99999 - len(digits):05d}" + digits.translate(str.maketrans("0123456789", "9876543210")), -(1 << 63)
+
+
+def top_products(table: DataFrame, top: int = TOP, every: int = EVERY, v: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id and score: exact top inner products of floor(SCALE * component). Shards of about SHARD rows
+    meet blocks of queries, MaxScore runs in each shard, and the shards' best merge. Rows whose products with others like them
+    might leave 62 bits are packed apart, as they came, and meet all others in whole numbers of any length."""
+    whole = table.where(_usable(v)).select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("v"))
+    most = F.array_max(F.transform("v", F.abs)) * F.sqrt(F.size("v"))
+    whole = whole.withColumn("big", most >= float(1 << 31) / SCALE)
+    floors = F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE))).cast("double"))
+    rows = saved(whole.select("vec_id", "big", F.when(F.col("big"), F.col("v")).otherwise(floors).alias("v")).distinct(), "integers")
     n = rows.count()
     shards = max(1, -(-n // SHARD))
     ask_blocks = max(1, -(-n // (every * 1024)))
-    sized = rows.select("vec_id", "v", F.size("v").alias("dim"))
+    sized = rows.select("vec_id", "v", "big", F.size("v").alias("dim"))
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        return pa.table({"dim": group["dim"][:1], "part": group["part"][:1], "ids": pa.array([group["vec_id"].to_numpy().tobytes()], pa.binary()), "rows": pa.array([_matrix(group["v"].chunk(0), "int64").tobytes()], pa.binary())})
+        return pa.table({"dim": group["dim"][:1], "part": group["part"][:1], "big": group["big"][:1], "ids": pa.array([group["vec_id"].to_numpy().tobytes()], pa.binary()), "rows": pa.array([_matrix(group["v"].chunk(0)).tobytes()], pa.binary())})
 
-    kinds = "dim int, part long, ids binary, rows binary"
-    candidates = sized.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("dim", "part").applyInArrow(pack, kinds)
-    asking = sized.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ask_blocks))).groupBy("dim", "part").applyInArrow(pack, kinds)
-    everywhere = asking.select("dim", F.col("ids").alias("ask_ids"), F.col("rows").alias("ask_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    work = candidates.join(everywhere, ["dim", "part"]).select("ids", "rows", "ask_ids", "ask_rows")
+    kinds = "dim int, part long, big boolean, ids binary, rows binary"
+    candidates = sized.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("dim", "big", "part").applyInArrow(pack, kinds)
+    asking = sized.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ask_blocks))).groupBy("dim", "big", "part").applyInArrow(pack, kinds)
+    everywhere = asking.select("dim", F.col("big").alias("ask_big"), F.col("ids").alias("ask_ids"), F.col("rows").alias("ask_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
+    work = candidates.join(everywhere, ["dim", "part"]).select("big", "ids", "rows", "ask_big", "ask_ids", "ask_rows")
+
+    def whole_numbers(rows_: np.ndarray, big: bool) -> np.ndarray:
+        out = np.empty(rows_.shape, object)
+        out[:] = [[_exactly(x) if big else int(x) for x in r] for r in rows_.tolist()]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, rows_, ask_ids, ask_rows in zip(*(c.to_pylist() for c in batch.columns)):
+            for big, ids, rows_, ask_big, ask_ids, ask_rows in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, ask_ids = np.frombuffer(ids, np.int64), np.frombuffer(ask_ids, np.int64)
-                shard = Shard(ids, np.frombuffer(rows_, np.int64).reshape(len(ids), -1))
-                out = [(q, *shard.search(row, q, top)) for q, row in zip(ask_ids.tolist(), np.frombuffer(ask_rows, np.int64).reshape(len(ask_ids), -1))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([o[0] for o in out], np.int64), [len(o[1]) for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                rows_, ask_rows = np.frombuffer(rows_).reshape(len(ids), -1), np.frombuffer(ask_rows).reshape(len(ask_ids), -1)
+                out = []
+                if big or ask_big:
+                    theirs = whole_numbers(rows_, big)
+                    for q, row in zip(ask_ids.tolist(), whole_numbers(ask_rows, ask_big)):
+                        best = sorted((-s, i) for s, i in zip((theirs @ row).tolist(), ids.tolist()) if i != q)[:top]
+                        out += [(q, i, *_ranked(-s)) for s, i in best]
+                else:
+                    shard = Shard(ids, rows_.astype(np.int64))
+                    for q, row in zip(ask_ids.tolist(), ask_rows.astype(np.int64)):
+                        out += [(q, i, 0, "", s) for i, s in zip(*(x.tolist() for x in shard.search(row, q, top)))]
+                columns = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["query_id", "vec_id", "beyond", "digits", "score"])
+
+    found = work.mapInArrow(run, "query_id long, vec_id long, beyond int, digits string, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("digits"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
