@@ -1,13 +1,16 @@
 """Each operator against brute force on small tables, and on the odd rows that any table may hold."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -137,6 +140,14 @@ def test_ngram_join_on_odd_rows(spark):
     assert ngram_join.classes_of(empty(spark)).count() == 0
 
 
+def test_the_row_that_stays_is_the_same_in_any_order(spark):
+    rows = [(1, "one text that comes three times over", "en", s, 5) for s in ("c", "a", "b")] + [(None, "no id", "en", "z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 2, 3):
+        assert {(r.doc_id, r.source) for r in ngram_join.one_of_each(docs.repartition(parts)).collect()} == {(1, "a"), (None, "z")}
+    assert sorted((r.doc_id or 0, r.n_links) for r in ngram_join.classes_of(docs).collect()) == [(0, 0), (1, 2), (1, 2), (1, 2)]
+
+
 def test_bands_reach_the_recall():
     bands = ngram_join.bands_for()
     assert 1 - (1 - 0.8**ngram_join.ROWS) ** bands >= ngram_join.RECALL
@@ -235,13 +246,16 @@ def usable(table, zero):
 def test_products_are_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 100)
     monkeypatch.setattr(vectors, "CHUNK", 16)
-    table = vector_table(spark).where("score <> 'large'")
-    rows = {i: np.floor(256 * v).astype(np.int64) for i, v in usable(table, True).items()}
+    table = vector_table(spark)
+    more = [(700, [1e300] * 8), (701, [1e17, -1e17, 3.5] * 2 + [0.0] * 2), (702, [-1e300] * 8), (703, [1e300] * 7 + [-1e300]), (704, [2.0**62] + [0.0] * 7), (800, [1e6 * x for x in range(8)]), (801, [0.1] * 8)]
+    table = table.where("score <> 'large'").unionByName(spark.createDataFrame([(i, v, "big") for i, v in more], table.schema))
+    rows = {i: [math.floor(Fraction(float(x)) * 256) for x in v] for i, v in usable(table, True).items()}
     want = set()
     for q in [i for i in rows if i % 50 == 0]:
-        best = sorted((-int(rows[q] @ v), i) for i, v in rows.items() if i != q and len(v) == len(rows[q]))[:5]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in vectors.top_products(table).collect()} == want
+        best = sorted((-sum(a * b for a, b in zip(rows[q], v)), i) for i, v in rows.items() if i != q and len(v) == len(rows[q]))[:5]
+        want |= {(q, k + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, i) in enumerate(best)}
+    got = [tuple(r) for r in vectors.top_products(table).collect()]
+    assert set(got) == want and len(got) == len(want)
     assert vectors.top_products(table.limit(0)).count() == 0
 
 
@@ -263,6 +277,25 @@ def test_nearest_with_copies_and_recall(spark):
     assert vectors.nearest(table.limit(0)).count() == 0
 
 
+def test_recall_where_windows_see_a_part_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 128)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(10_000, 24)).astype(np.float32)
+    points[2000:2600] = points[7] + rng.normal(size=(600, 24)).astype(np.float32) / 50  # a tight cluster
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in vectors.nearest(table, window=0.01).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+        assert abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-12
+    hits = {False: [], True: []}
+    for q in range(0, 10_000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits[2000 <= q < 2600].append(len(set(np.argsort(-score, kind="stable")[:5].tolist()) & {i for _, i in got[q]}) / 5)
+    assert np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9, {k: np.mean(v) for k, v in hits.items()}
+
+
 def test_hilbert_neighbours_are_grid_neighbours():
     side = np.stack(np.meshgrid(*[np.arange(4)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = vectors.hilbert_keys(side, 2)
@@ -292,6 +325,47 @@ def test_mined_rules_fire(spark):
     assert {r.page_id for r in rows if r.verdict == "block"} == {i for i in range(400) if i % 6 == 0}
 
 
+def rules_by_enumeration(baskets, min_support, min_confidence, min_lift):
+    """Token sets (of any length) whose share of bad pages is as asked for, none of which holds one as confident with a token less."""
+    held, bad = Counter(), Counter()
+    for tokens, is_bad in baskets:
+        for n in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), n):
+                held[some] += 1
+                bad[some] += is_bad
+    total, n_bad = len(baskets), sum(b for _, b in baskets)
+
+    def surely(k, n, z=url_filter.DEVIATIONS):
+        return (k / n + z * z / (2 * n) - z * math.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    strong = {s: bad[s] / n for s, n in held.items() if bad[s] >= min_support * total and surely(bad[s], n) >= min_confidence and bad[s] / n * total / max(n_bad, 1) >= min_lift}
+    return {s for s in strong if not any(strong.get(s[:i] + s[i + 1 :], -1) >= strong[s] for i in range(len(s)))}
+
+
+def test_mined_rules_are_those_of_enumeration(spark):
+    rng = np.random.default_rng(8)
+    urls = [f"http://{rng.choice(['a', 'b'])}.{rng.choice(['x', 'y', 'z'])}.test/" + "/".join(rng.permutation(["p", "q", "r", "s", "t", "u"])[: rng.integers(1, 6)]) + (f"?k{rng.integers(3)}=1" if rng.random() < 0.5 else "") for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    tokens = {r.page_id: r.tokens for r in url_filter.parsed(pages).collect()}
+    held = lambda i, *some: all(t in tokens[i] for t in some)
+    toxic = [int(held(i, "p:p", "p:q", "p:r", "d:x.test") or held(i, "p:s", "q:k1") or rng.random() < 0.1) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    want = rules_by_enumeration([(tokens[i], toxic[i]) for i in range(400)], url_filter.MIN_SUPPORT, url_filter.MIN_CONFIDENCE, url_filter.MIN_LIFT)
+    rows = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+    assert any(len(s) > 1 for s in want)
+    assert rows == {i: "block" if any(set(s) <= set(t) for s in want) else "allow" for i, t in tokens.items()}
+    mined = url_filter.mine(url_filter.parsed(pages), labels).collect()
+    # Of tokens on the same pages only one is mined, so each mined rule is one of the enumeration's, up to such tokens.
+    assert {tuple(sorted(r.antecedent)) for r in mined} <= want and all(r.index_token in r.antecedent for r in mined)
+
+
+def test_a_long_url_in_many_copies_makes_no_flood_of_rules(spark):
+    long = "http://h.test/" + "/".join(f"{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(60))
+    pages = spark.createDataFrame([(i, long if i % 2 else f"http://o{i}.test/n") for i in range(300)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    assert {r.page_id for r in url_filter.judge(pages, labels).collect() if r.verdict == "block"} == set(range(1, 300, 2))
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -309,6 +383,13 @@ def test_targets_and_copies(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in rows}
 
 
+@pytest.mark.parametrize("last", [None, "s3"])
+def test_targets_where_the_last_source_ties(spark, last):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate(((1000, "s0"), (10, "s1"), (10, "s2"), (1000, last)))]
+    got = {r.doc_id: r.target for r in mixing.mixing_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: round(t, 6) for i, t in got.items()} == {0: 1495.0, 1: 20.0, 2: 20.0, 3: 1495.0}
+
+
 def test_mixing_on_odd_rows(spark):
     docs = odd_docs(spark)
     assert mixing.mixing_report(docs).count() == docs.count()
@@ -343,11 +424,74 @@ def test_language_on_odd_rows(spark):
     rows = language_id.identify(docs, field, keep=["doc_id", "text"]).collect()
     assert len(rows) == docs.count()
     for r in rows:
-        assert (r.lang_pred == "und" and r.score == 0) == (not r.text or not re.search(r"[^\W\d_]", r.text))
+        assert (r.lang_pred == "und" and r.score == 0) == (not regex.search(r"\p{L}", r.text or ""))
     none = language_id.fit(empty(spark))
     assert {r.lang_pred for r in language_id.identify(docs, none, keep=["doc_id"]).collect()} == {"und"}
 
 
+def some_field():
+    rng = np.random.default_rng(1)
+    field = language_id.Field(["a", "b", "c"])
+    field.moves, field.first = rng.normal(size=(3, 3)), rng.normal(size=3)
+    return field, rng.normal(size=(7, 3)), np.array([3, 1, 3]), rng.integers(0, 3, 7)
+
+
+def label_paths(field, evidence):
+    """(labels, score) of every way to label one text's words."""
+    n = len(evidence)
+    for path in itertools.product(range(3), repeat=n):
+        yield path, field.first[path[0]] + sum(evidence[i, path[i]] for i in range(n)) + sum(field.moves[a, b] for a, b in zip(path, path[1:]))
+
+
+def test_posteriors_are_those_of_all_label_paths():
+    field, evidence, sizes, _ = some_field()
+    want, at = [], 0
+    for n in sizes.tolist():
+        total = np.zeros((n, 3))
+        for path, score in label_paths(field, evidence[at : at + n]):
+            total[np.arange(n), list(path)] += np.exp(score)
+        want.append(total / total.sum(axis=1, keepdims=True))
+        at += n
+    assert np.allclose(field.posteriors(evidence, sizes), np.concatenate(want), atol=1e-12)
+
+
+def test_slopes_are_finite_differences():
+    field, evidence, sizes, gold = some_field()
+
+    def told():
+        total, at = 0.0, 0
+        for n in sizes.tolist():
+            scores = dict(label_paths(field, evidence[at : at + n]))
+            total += scores[tuple(gold[at : at + n].tolist())] - np.log(sum(np.exp(s) for s in scores.values()))
+            at += n
+        return total
+
+    for slope, held in zip(field.slopes(evidence, sizes, gold), (evidence, field.moves, field.first)):
+        for i in np.ndindex(held.shape):
+            was, ends = held[i], []
+            for step in (1e-5, -1e-5):
+                held[i] = was + step
+                ends.append(told())
+            held[i] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - slope[i]) < 1e-7
+
+
+def test_numerals_and_marks_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① _ ٣", None)] + [(i, f"some words of text {'the' if i % 2 else 'der'}", "en" if i % 2 else "de") for i in range(2, 40)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in language_id.identify(docs, language_id.fit(docs), keep=["doc_id"]).collect()}
+    assert (rows[1].lang_pred, rows[1].score) == ("und", 0.0)
+
+
+def test_the_sample_is_bounded_distinct_and_whole(spark):
+    long = "word " * 3000 + "end"
+    docs = spark.createDataFrame([(i, f"text {i} {long if i == 7 else ''}", "en") for i in range(3000)] + [(9, "again", "fr")] * 500 + [(i, "x", None) for i in range(50)], "doc_id long, text string, lang string")
+    sample = language_id.labelled_sample(docs, per_lang=100)
+    assert Counter(lang for lang, _ in sample) == {"en": 100, "fr": 1}
+    assert sample == language_id.labelled_sample(docs.repartition(7), per_lang=100)
+    whole = language_id.labelled_sample(docs.where("doc_id = 7"), per_lang=100)
+    assert [t.endswith("end") for _, t in whole if "text 7" in t] == [True]
+
+
 def test_scores(spark):
     docs = odd_docs(spark).select("doc_id", "text")
     learn = docs.where(~lm_scoring.held_out())
@@ -425,6 +569,7 @@ def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = corpus_pipeline.only_named_languages(spark, docs, sf_dir)
     assert first.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert corpus_pipeline.only_named_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), sf_dir).count() == 0
     second = corpus_pipeline.one_of_near_copies(spark, docs, sf_dir)
     classes = ngram_join.classes_of(docs).collect()
     assert {r.doc_id for r in second.collect()} == {r.class_id for r in classes}
