@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag, history, keys, live, trees
+from .queries import dag, history, keys, live, mainline, trees
 
-AREAS = (dag, trees, keys, history, live)
+AREAS = (dag, trees, keys, history, live, mainline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

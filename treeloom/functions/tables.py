@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,14 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def saved_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """saved(), and the number of rows, which is told by the same job."""
+    seen = Observation()
+    df_ = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    out = saved(df_, name)
+    return out, seen.get["n"]
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables that saved() wrote and that nothing reads any more: superseded rounds of a loop."""
     for t in tables:

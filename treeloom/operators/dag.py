@@ -1,7 +1,8 @@
 """Operators over commit DAGs of many vaults at once: closure, frontier, merge bases, reachability.
 
 Edges are (vault_id, child, parent). Loops write each round to the shared folder and stop when nothing is new; vault_id is
-part of every key, so no vault is looped over and none meets in one task.
+part of every key, so no vault is looped over and none meets in one task. The closure is quadratic in a history's depth, so only
+the operator of that name builds it; all others walk from the commits that they are asked for.
 """
 
 from __future__ import annotations
@@ -9,22 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import saved
+from ..functions.tables import forget, saved, saved_counted
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
 
 
 def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(vault_id, descendant, ancestor), by squaring: paths double in length each round."""
-    now = saved(edges.select("vault_id", F.col("child").alias("descendant"), F.col("parent").alias("ancestor")).distinct(), "closure")
-    size = now.count()
+    """(vault_id, descendant, ancestor). Each round joins only the pairs that the last one found with all pairs so far, so paths
+    double in length and no pair is written twice."""
+    parts = [saved(edges.select("vault_id", F.col("child").alias("descendant"), F.col("parent").alias("ancestor")).distinct(), "closure")]
     for _ in range(most_rounds):
-        onward = now.select("vault_id", F.col("descendant").alias("ancestor"), F.col("ancestor").alias("further"))
-        longer = now.join(onward, ["vault_id", "ancestor"]).select("vault_id", "descendant", F.col("further").alias("ancestor"))
-        then = saved(now.unionByName(longer).distinct(), "closure")
-        grown = then.count()
-        now = then
-        if grown == size:
-            return now
-        size = grown
+        known = _all(parts)
+        onward = known.select("vault_id", F.col("descendant").alias("ancestor"), F.col("ancestor").alias("further"))
+        longer = parts[-1].join(onward, ["vault_id", "ancestor"]).select("vault_id", "descendant", F.col("further").alias("ancestor")).distinct()
+        new, found = saved_counted(longer.join(known, ["vault_id", "descendant", "ancestor"], "left_anti"), "closure")
+        if not found:
+            return known
+        parts.append(new)
     raise RuntimeError("the edges have a path longer than 2 to the number of rounds")
 
 
@@ -40,10 +47,25 @@ def inclusive(commits: DataFrame, clo: DataFrame) -> DataFrame:
     return clo.unionByName(commits.select("vault_id", F.col("oid").alias("descendant"), F.col("oid").alias("ancestor")))
 
 
-def frontier(commits: DataFrame, clo: DataFrame) -> DataFrame:
+def dominated(commits: DataFrame, edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """(vault_id, oid) of all ancestors of commits. A parent that is itself among the commits is not followed any further, since
+    its own parents are there from the start; where histories are whole this is one shuffle, and only stretches of commits
+    that are left out are walked."""
+    up = edges.select("vault_id", F.col("child").alias("oid"), "parent")
+    own = commits.select("vault_id", "oid")
+    parts = [saved(up.join(own, ["vault_id", "oid"], "left_semi").select("vault_id", F.col("parent").alias("oid")).distinct(), "dominated")]
+    for _ in range(most_rounds):
+        front, left = saved_counted(parts[-1].join(own, ["vault_id", "oid"], "left_anti"), "front")
+        if not left:
+            return _all(parts)
+        above = front.join(up, ["vault_id", "oid"]).select("vault_id", F.col("parent").alias("oid")).distinct()
+        parts.append(saved(above.join(_all(parts), ["vault_id", "oid"], "left_anti"), "dominated"))
+    raise RuntimeError("too many rounds")
+
+
+def frontier(commits: DataFrame, edges: DataFrame) -> DataFrame:
     """Commits that are no ancestor of another of these commits."""
-    among = clo.join(commits.select("vault_id", F.col("oid").alias("descendant")), ["vault_id", "descendant"], "left_semi")
-    return commits.join(among.select("vault_id", F.col("ancestor").alias("oid")), ["vault_id", "oid"], "left_anti")
+    return commits.join(dominated(commits, edges), ["vault_id", "oid"], "left_anti")
 
 
 def ranked(commits: DataFrame, name: str = "rank") -> DataFrame:
@@ -52,42 +74,51 @@ def ranked(commits: DataFrame, name: str = "rank") -> DataFrame:
     return commits.withColumn(name, F.row_number().over(order))
 
 
-def merge_bases(pairs: DataFrame, commits: DataFrame, clo: DataFrame) -> DataFrame:
+def maximal(common: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """Of each set of common ancestors (vault_id, *by, oid) the members that are no ancestor of another. Such a set holds all
+    ancestors of its members, so it is enough to look for a child within it."""
+    children = edges.select("vault_id", F.col("parent").alias("oid"), "child").join(common, ["vault_id", "oid"])
+    covered = children.join(common.select("vault_id", *by, F.col("oid").alias("child")), ["vault_id", *by, "child"], "left_semi")
+    return common.join(covered.select("vault_id", *by, "oid").distinct(), ["vault_id", *by, "oid"], "left_anti")
+
+
+def merge_bases(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs (vault_id, a, b) -> with base: the least oid among the maximal common ancestors, the two included."""
-    whole = saved(inclusive(commits, clo), "inclusive")
-    of_a = pairs.join(whole.withColumnRenamed("descendant", "a"), ["vault_id", "a"])
-    common = saved(of_a.join(whole.select("vault_id", F.col("descendant").alias("b"), "ancestor"), ["vault_id", "b", "ancestor"]), "common")
-    below = common.join(clo.select("vault_id", F.col("descendant").alias("ancestor"), F.col("ancestor").alias("beneath")), ["vault_id", "ancestor"])
-    covered = below.select("vault_id", "a", "b", F.col("beneath").alias("ancestor")).distinct()
-    best = common.join(covered, ["vault_id", "a", "b", "ancestor"], "left_anti").groupBy("vault_id", "a", "b").agg(F.min("ancestor").alias("base"))
+    sides = pairs.select("vault_id", "a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("oid")), F.struct(F.lit(2).alias("side"), F.col("b").alias("oid")))).alias("s"))
+    seen = reachable(sides.select("vault_id", "a", "b", "s.side", "s.oid"), edges.select("vault_id", F.col("child").alias("src"), F.col("parent").alias("dst")), by=["a", "b", "side"])
+    common = saved(seen.groupBy("vault_id", "a", "b", "oid").agg(F.count("*").alias("n")).where("n = 2").drop("n"), "common")
+    best = maximal(common, edges, ["a", "b"]).groupBy("vault_id", "a", "b").agg(F.min("oid").alias("base"))
     return pairs.join(best, ["vault_id", "a", "b"], "left")
 
 
-def fold_bases(tips: DataFrame, commits: DataFrame, clo: DataFrame) -> DataFrame:
+def fold_bases(tips: DataFrame, edges: DataFrame) -> DataFrame:
     """tips (vault_id, oid, k): the merge base of each step k > 1, whose left side holds all that tips before k reach.
 
     Known up front for all steps, since a step's left side never is an ancestor of a later tip.
     """
-    whole = inclusive(commits, clo)
-    reached = saved(tips.select("vault_id", "k", F.col("oid").alias("descendant")).join(whole, ["vault_id", "descendant"]).select("vault_id", "k", "ancestor"), "reached")
-    first = reached.groupBy("vault_id", "ancestor").agg(F.min("k").alias("first"))
-    common = saved(reached.join(first, ["vault_id", "ancestor"]).where("first < k").select("vault_id", "k", "ancestor"), "common")
-    below = common.join(clo.select("vault_id", F.col("descendant").alias("ancestor"), F.col("ancestor").alias("beneath")), ["vault_id", "ancestor"])
-    best = common.join(below.select("vault_id", "k", F.col("beneath").alias("ancestor")).distinct(), ["vault_id", "k", "ancestor"], "left_anti")
-    return tips.where("k > 1").join(best.groupBy("vault_id", "k").agg(F.min("ancestor").alias("base")), ["vault_id", "k"], "left")
-
-
-def reachable(roots: DataFrame, links: DataFrame, most_rounds: int = 100_000) -> DataFrame:
-    """(vault_id, oid) that roots reach over links (vault_id, src, dst), roots included: each round follows only what the
-    last one found."""
-    seen = saved(roots.select("vault_id", "oid").distinct(), "seen")
-    front = seen
+    seen = reachable(tips.select("vault_id", "k", "oid"), edges.select("vault_id", F.col("child").alias("src"), F.col("parent").alias("dst")), by=["k"])
+    first = seen.groupBy("vault_id", "oid").agg(F.min("k").alias("first"))
+    common = saved(seen.join(first, ["vault_id", "oid"]).where("first < k").select("vault_id", "k", "oid"), "common")
+    best = maximal(common, edges, ["k"]).groupBy("vault_id", "k").agg(F.min("oid").alias("base"))
+    return tips.where("k > 1").join(best, ["vault_id", "k"], "left")
+
+
+def reachable(roots: DataFrame, links: DataFrame, by: list[str] | None = None, most_rounds: int = 100_000) -> DataFrame:
+    """(vault_id, *by, oid) that roots reach over links (vault_id, src, dst), roots included; each label in `by` walks on its
+    own. A round follows only what the last one found, and no row is written twice."""
+    key = ["vault_id", *(by or []), "oid"]
+    onward = links.select("vault_id", F.col("src").alias("oid"), "dst")
+    parts = [saved(roots.select(*key).distinct(), "seen")]
     for _ in range(most_rounds):
-        step = front.join(links.select("vault_id", F.col("src").alias("oid"), "dst"), ["vault_id", "oid"]).select("vault_id", F.col("dst").alias("oid")).distinct()
-        front = saved(step.join(seen, ["vault_id", "oid"], "left_anti"), "front")
-        if front.isEmpty():
-            return seen
-        seen = saved(seen.unionByName(front), "seen")
+        step = parts[-1].join(onward, ["vault_id", "oid"]).select("vault_id", *(by or []), F.col("dst").alias("oid")).distinct()
+        new, found = saved_counted(step.join(_all(parts), key, "left_anti"), "seen")
+        if not found:
+            return _all(parts)
+        parts.append(new)
+        if len(parts) == 32:  # keeps plans short in deep histories; the rows are rewritten once in 32 rounds
+            whole = saved(_all(parts[:-1]), "seen")
+            forget(*parts[:-1])
+            parts = [whole, parts[-1]]
     raise RuntimeError("too many rounds")
 
 

@@ -57,12 +57,21 @@ def latest_touches(asked: DataFrame, touches: DataFrame, closure_incl: DataFrame
     return asked.join(best, ["vault_id", "oid", "path"], "left").select("vault_id", "oid", "path", F.col("t.kind").alias("kind"), F.col("t.t_oid").alias("touch_oid"))
 
 
-def ghost_adds(added: DataFrame, touches: DataFrame, closure_incl: DataFrame, readds: DataFrame, incomplete: DataFrame) -> DataFrame:
-    """Primitives to drop: added (vault_id, oid, parent, path) some path whose latest touch in the parent's closure is a delete
-    that readds (vault_id, oid, touch_oid) does not name. Commits in incomplete (vault_id, oid) are kept."""
-    asked = added.select("vault_id", F.col("parent").alias("oid"), "path").distinct()
-    last = latest_touches(asked, touches, closure_incl).where("kind = 'delete'").select("vault_id", F.col("oid").alias("parent"), "path", "touch_oid")
-    bad = added.join(last, ["vault_id", "parent", "path"]).join(readds, ["vault_id", "oid", "touch_oid"], "left_anti").select("vault_id", "oid").distinct()
+def latest_touches_on_lines(asked: DataFrame, touches: DataFrame, places: DataFrame) -> DataFrame:
+    """The same for histories without merges, in which a commit's ancestors are all commits at lower places (vault_id, oid,
+    place): one window per path, and no closure."""
+    rows = asked.join(places, ["vault_id", "oid"]).select("vault_id", "path", "place", F.lit(1).alias("asks"), "oid", F.lit(None).cast("struct<kind:string,touch_oid:string>").alias("t"))
+    told = touches.select("vault_id", "oid", "path", "kind").join(places, ["vault_id", "oid"]).select("vault_id", "path", "place", F.lit(0).alias("asks"), "oid", F.struct("kind", F.col("oid").alias("touch_oid")).alias("t"))
+    order = Window.partitionBy("vault_id", "path").orderBy("place", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.unionByName(told).withColumn("t", F.last("t", True).over(order)).where("asks = 1").select("vault_id", "oid", "path", "t.kind", "t.touch_oid")
+
+
+def ghost_adds(added: DataFrame, last: DataFrame, readds: DataFrame, incomplete: DataFrame) -> DataFrame:
+    """Primitives to drop: added (vault_id, oid, parent, path) some path whose latest touch at the parent, last (vault_id, oid,
+    path, kind, touch_oid), is a delete that readds (vault_id, oid, touch_oid) does not name. Commits in incomplete (vault_id,
+    oid) are kept."""
+    deleted = last.where("kind = 'delete'").select("vault_id", F.col("oid").alias("parent"), "path", "touch_oid")
+    bad = added.join(deleted, ["vault_id", "parent", "path"]).join(readds, ["vault_id", "oid", "touch_oid"], "left_anti").select("vault_id", "oid").distinct()
     return bad.join(incomplete, ["vault_id", "oid"], "left_anti")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import saved
 from ..operators.scope import ancestor_dirs, parent_dir
 
 KEY = ["vault_id", "path"]
@@ -43,6 +44,15 @@ def paths_added(parent: DataFrame, child: DataFrame) -> DataFrame:
     return child.join(parent, KEY, "left_anti").select(*KEY)
 
 
+def paths_toggled(asked: DataFrame, trees: DataFrame) -> DataFrame:
+    """asked (vault_id, oid, parent), trees (vault_id, oid, path, blob_oid): (vault_id, oid, path, kind) of the paths that
+    only one of a commit and its parent holds."""
+    own = asked.select("vault_id", "oid").join(trees, ["vault_id", "oid"]).select("vault_id", "oid", "path", F.lit(1).alias("n"))
+    was = asked.select("vault_id", "oid", "parent").join(trees.withColumnRenamed("oid", "parent"), ["vault_id", "parent"]).select("vault_id", "oid", "path", F.lit(-1).alias("n"))
+    toggled = own.unionByName(was).groupBy("vault_id", "oid", "path").agg(F.sum("n").alias("n")).where("n <> 0")
+    return toggled.select("vault_id", "oid", "path", F.when(F.col("n") > 0, "add").otherwise("delete").alias("kind"))
+
+
 def materialize(want: DataFrame, disk: DataFrame, last: DataFrame) -> DataFrame:
     """What a folder must do to become `want`, given what lies on disk and what was last written: op, and the state kept."""
     rows = lined_up(want=want, disk=disk, last=last)
@@ -101,23 +111,34 @@ def folders_to_make(files: DataFrame, there: DataFrame) -> DataFrame:
     return need.join(there, ["vault_id", "dir"], "left_anti").withColumn("depth", F.size(F.split("dir", "/")))
 
 
-def flat_tree_oids(tree: DataFrame) -> DataFrame:
-    """(vault_id, tree_oid) of nested trees, bottom up: each level's folders are hashed over their sorted entries, and become
-    entries of the level above. The loop runs over the depth of the deepest path."""
-    raw = lambda c: F.unhex(c)
-    entries = tree.select("vault_id", parent_dir(F.col("path")).alias("dir"), F.substring_index("path", "/", -1).alias("name"), F.lit("100644").alias("mode"), "blob_oid")
+#: The id of a tree without entries.
+EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
+
+
+def tree_objects(tree: DataFrame, by: tuple[str, ...] = ("vault_id",)) -> DataFrame:
+    """(*by, dir, tree_oid, payload) of the nested trees of flat (*by, path, blob_oid), bottom up: each level's folders are
+    hashed over their sorted entries, and become entries of the level above. The loop runs over the depth of the deepest path;
+    every level is written once and read once by the level above."""
+    by = list(by)
     depth_of = lambda d: F.when(d == "", 0).otherwise(F.size(F.split(d, "/")))
-    entries = entries.withColumn("depth", depth_of(F.col("dir")))
+    entries = tree.select(*by, parent_dir(F.col("path")).alias("dir"), F.substring_index("path", "/", -1).alias("name"), F.lit("100644").alias("mode"), "blob_oid")
+    entries = saved(entries.withColumn("depth", depth_of(F.col("dir"))), "entries")
     deepest = entries.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    levels, below = None, None
     for level in range(deepest, -1, -1):
-        here = entries.where(F.col("depth") == level)
+        here = entries.where(F.col("depth") == level).drop("depth")
+        if below is not None:
+            here = here.unionByName(below.select(*by, parent_dir(F.col("dir")).alias("dir"), F.substring_index("dir", "/", -1).alias("name"), F.lit("40000").alias("mode"), F.col("tree_oid").alias("blob_oid")))
         key = F.concat(F.col("name"), F.when(F.col("mode") == "40000", F.lit("/")).otherwise(F.lit(""))).cast("binary")
-        piece = F.concat(F.concat("mode", F.lit(" "), "name").cast("binary"), F.lit(bytes(1)), raw("blob_oid"))
-        listed = here.groupBy("vault_id", "dir").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), piece.alias("piece")))).alias("all"))
-        body = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["piece"]))
-        hashed = listed.withColumn("body", body).select("vault_id", "dir", F.sha1(F.concat(F.concat(F.lit("tree "), F.octet_length("body").cast("string")).cast("binary"), F.lit(bytes(1)), "body")).alias("blob_oid"))
-        if level == 0:
-            return hashed.select("vault_id", F.col("blob_oid").alias("tree_oid"))
-        up = hashed.select("vault_id", parent_dir(F.col("dir")).alias("dir0"), F.substring_index("dir", "/", -1).alias("name"), F.lit("40000").alias("mode"), "blob_oid").withColumnRenamed("dir0", "dir")
-        entries = entries.where(F.col("depth") < level).unionByName(up.withColumn("depth", depth_of(F.col("dir"))))
-    raise AssertionError("the root is level 0")
+        piece = F.concat(F.hex(F.concat("mode", F.lit(" "), "name").cast("binary")), F.lit("00"), F.col("blob_oid"))
+        listed = here.groupBy(*by, "dir").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), piece.alias("piece")))).alias("all"))
+        payload = listed.select(*by, "dir", F.unhex(F.array_join(F.transform("all", lambda x: x["piece"]), "")).alias("payload"))
+        framed = F.concat(F.concat(F.lit("tree "), F.octet_length("payload").cast("string")).cast("binary"), F.lit(bytes(1)), "payload")
+        below = saved(payload.select(*by, "dir", F.sha1(framed).alias("tree_oid"), "payload"), "level")
+        levels = below if levels is None else levels.unionByName(below)
+    return levels
+
+
+def flat_tree_oids(tree: DataFrame, by: tuple[str, ...] = ("vault_id",)) -> DataFrame:
+    """(*by, tree_oid): the ids of the root trees."""
+    return tree_objects(tree, by).where("dir = ''").select(*by, "tree_oid")

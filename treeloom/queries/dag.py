@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import dag, fold
+from ..functions.tables import saved
+from ..operators import dag
 from ..sources import fleet
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    commits = fleet.commits(spark, sf_dir).select("vault_id", "oid", "node_id", "counter", "author_time", "subject")
-    edges = fleet.edges(spark, sf_dir)
-    return commits, edges, dag.closure(edges)
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.commits(spark, sf_dir).select("vault_id", "oid", "node_id", "counter", "author_time", "subject")
 
 
-def _tips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    commits, _, clo = _parts(spark, sf_dir)
-    return dag.ranked(dag.frontier(commits, clo), "k").select("vault_id", "oid", "node_id", "counter", "author_time", "k"), commits, clo
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.edges(spark, sf_dir).select("vault_id", F.col("child").alias("src"), F.col("parent").alias("dst"))
+
+
+def _tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tips = dag.frontier(_commits(spark, sf_dir), fleet.edges(spark, sf_dir))
+    return dag.ranked(tips, "k").select("vault_id", "oid", "node_id", "counter", "author_time", "k")
 
 
 def g1_closure(spark, sf_dir):
-    return _parts(spark, sf_dir)[2]
+    return dag.closure(fleet.edges(spark, sf_dir))
 
 
 def j2_frontier(spark, sf_dir):
-    commits, _, clo = _parts(spark, sf_dir)
-    return dag.frontier(commits, clo).select("vault_id", "oid")
+    return dag.frontier(_commits(spark, sf_dir), fleet.edges(spark, sf_dir)).select("vault_id", "oid")
 
 
 def w1_order_rank(spark, sf_dir):
@@ -34,62 +36,62 @@ def w1_order_rank(spark, sf_dir):
 
 
 def w2_fold_position(spark, sf_dir):
-    return _tips(spark, sf_dir)[0].select("vault_id", "oid", "k")
+    return _tips(spark, sf_dir).select("vault_id", "oid", "k")
 
 
 def a2_merge_base(spark, sf_dir):
-    tips, commits, clo = _tips(spark, sf_dir)
     order = Window.partitionBy("vault_id").orderBy("k")
-    pairs = tips.select("vault_id", F.lag("oid").over(order).alias("a"), F.col("oid").alias("b")).where("a IS NOT NULL")
-    return dag.merge_bases(pairs, commits, clo)
+    pairs = _tips(spark, sf_dir).select("vault_id", F.lag("oid").over(order).alias("a"), F.col("oid").alias("b")).where("a IS NOT NULL")
+    return dag.merge_bases(pairs, fleet.edges(spark, sf_dir))
+
+
+def l5_maximal_bases(spark, sf_dir):
+    """How many maximal common ancestors neighbouring tips have, and the least of them, which is the base."""
+    order = Window.partitionBy("vault_id").orderBy("k")
+    tips = saved(_tips(spark, sf_dir).select("vault_id", "oid", "k", F.lag("oid").over(order).alias("a")), "tips").where("a IS NOT NULL")
+    links = _links(spark, sf_dir)
+    seen = dag.reachable(tips.select("vault_id", "k", "oid"), links, ["k"]).join(dag.reachable(tips.select("vault_id", "k", F.col("a").alias("oid")), links, ["k"]), ["vault_id", "k", "oid"])
+    best = dag.maximal(saved(seen, "common"), fleet.edges(spark, sf_dir), ["k"])
+    return best.groupBy("vault_id", "k").agg(F.count("*").alias("n"), F.min("oid").alias("base"))
 
 
 def z5_common_ancestors(spark, sf_dir):
-    tips, commits, clo = _tips(spark, sf_dir)
-    whole = dag.inclusive(commits, clo)
-    one = tips.where("k = 1").select("vault_id", F.col("oid").alias("descendant")).join(whole, ["vault_id", "descendant"]).select("vault_id", "ancestor")
-    two = tips.where("k = 2").select("vault_id", F.col("oid").alias("descendant")).join(whole, ["vault_id", "descendant"]).select("vault_id", "ancestor")
-    return one.intersect(two)
+    seen = dag.reachable(_tips(spark, sf_dir).where("k <= 2").select("vault_id", "k", "oid"), _links(spark, sf_dir), by=["k"])
+    return seen.groupBy("vault_id", F.col("oid").alias("ancestor")).agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
 def g3_fold_bases(spark, sf_dir):
-    return dag.fold_bases(*_tips(spark, sf_dir)).select("vault_id", "k", "oid", "base")
+    return dag.fold_bases(_tips(spark, sf_dir), fleet.edges(spark, sf_dir)).select("vault_id", "k", "oid", "base")
 
 
 def g2_reachable(spark, sf_dir):
-    tips, _, _ = _tips(spark, sf_dir)
-    links = fleet.edges(spark, sf_dir).select("vault_id", F.col("child").alias("src"), F.col("parent").alias("dst"))
-    return dag.reachable(tips.where("k = 1"), links)
+    return dag.reachable(_tips(spark, sf_dir).where("k = 1"), _links(spark, sf_dir))
 
 
 def z2_export_closure(spark, sf_dir):
     """Everything reachable from the tips of one node per vault, with what travels: the commits' rows in order of oid."""
-    tips, commits, clo = _tips(spark, sf_dir)
-    wanted = dag.inclusive(commits, clo).join(tips.where("k = 2").select("vault_id", F.col("oid").alias("descendant")), ["vault_id", "descendant"], "left_semi")
-    return commits.join(wanted.select("vault_id", F.col("ancestor").alias("oid")).distinct(), ["vault_id", "oid"], "left_semi").select("vault_id", "oid", "counter", "node_id")
+    wanted = dag.reachable(_tips(spark, sf_dir).where("k = 2"), _links(spark, sf_dir))
+    return _commits(spark, sf_dir).join(wanted, ["vault_id", "oid"], "left_semi").select("vault_id", "oid", "counter", "node_id")
 
 
 def z4_gc_unreachable(spark, sf_dir):
     """A report of commits that neither the first tip nor a snapshot (here: the oldest commit) reaches; nothing is deleted."""
-    tips, commits, clo = _tips(spark, sf_dir)
-    roots = tips.where("k = 1").select("vault_id", "oid").unionByName(commits.where("counter = 1").select("vault_id", "oid"))
-    kept = dag.inclusive(commits, clo).join(roots.withColumnRenamed("oid", "descendant"), ["vault_id", "descendant"], "left_semi").select("vault_id", F.col("ancestor").alias("oid")).distinct()
-    return commits.join(kept, ["vault_id", "oid"], "left_anti").select("vault_id", "oid")
+    commits = _commits(spark, sf_dir)
+    roots = _tips(spark, sf_dir).where("k = 1").select("vault_id", "oid").unionByName(commits.where("counter = 1").select("vault_id", "oid"))
+    return commits.join(dag.reachable(roots, _links(spark, sf_dir)), ["vault_id", "oid"], "left_anti").select("vault_id", "oid")
 
 
 def j14_missing_objects(spark, sf_dir):
     """What a receiver that holds the first half of each vault lacks of the first tip's closure."""
-    tips, commits, clo = _tips(spark, sf_dir)
-    wanted = dag.inclusive(commits, clo).join(tips.where("k = 1").select("vault_id", F.col("oid").alias("descendant")), ["vault_id", "descendant"], "left_semi").select("vault_id", F.col("ancestor").alias("oid"))
-    return wanted.join(commits.where("counter <= 10").select("vault_id", "oid"), ["vault_id", "oid"], "left_anti")
+    wanted = dag.reachable(_tips(spark, sf_dir).where("k = 1"), _links(spark, sf_dir))
+    return wanted.join(_commits(spark, sf_dir).where("counter <= 10").select("vault_id", "oid"), ["vault_id", "oid"], "left_anti")
 
 
 def j6_want_tips(spark, sf_dir):
     """Advertised tips that the receiver (all commits with an even counter, of which every third is not admitted) lacks."""
-    tips, commits, _ = _tips(spark, sf_dir)
-    held = commits.where("counter % 2 = 0").select("vault_id", "oid", "counter")
+    held = _commits(spark, sf_dir).where("counter % 2 = 0").select("vault_id", "oid", "counter")
     admitted = held.where("counter % 3 <> 0").select("vault_id", "oid")
-    return tips.join(admitted, ["vault_id", "oid"], "left_anti").select("vault_id", "oid")
+    return _tips(spark, sf_dir).join(admitted, ["vault_id", "oid"], "left_anti").select("vault_id", "oid")
 
 
 def f12_want_filter(spark, sf_dir):
@@ -112,18 +114,16 @@ def a1_next_counter(spark, sf_dir):
 
 def a11_snapshot(spark, sf_dir):
     """A snapshot is the ordered frontier at its making."""
-    tips = _tips(spark, sf_dir)[0]
+    tips = _tips(spark, sf_dir)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("counter", "node_id", "oid"))), lambda x: x["oid"])
     return tips.groupBy("vault_id").agg(F.array_join(ordered, ",").alias("frontier"))
 
 
 def j12_snapshot_subset(spark, sf_dir):
     """Commits of a snapshot's closure: the frontier of what was known at counter 12."""
-    commits, edges, clo = _parts(spark, sf_dir)
-    then = commits.where("counter <= 12")
-    snap = dag.frontier(then, clo).select("vault_id", F.col("oid").alias("descendant"))
-    inside = dag.inclusive(commits, clo).join(snap, ["vault_id", "descendant"], "left_semi").select("vault_id", F.col("ancestor").alias("oid")).distinct()
-    return commits.join(inside, ["vault_id", "oid"], "left_semi").select("vault_id", "oid", "counter")
+    commits = _commits(spark, sf_dir)
+    snap = dag.frontier(commits.where("counter <= 12"), fleet.edges(spark, sf_dir))
+    return commits.join(dag.reachable(snap, _links(spark, sf_dir)), ["vault_id", "oid"], "left_semi").select("vault_id", "oid", "counter")
 
 
 def z1_union_known(spark, sf_dir):
@@ -134,10 +134,11 @@ def z1_union_known(spark, sf_dir):
 
 def a13_convergence(spark, sf_dir):
     """Whether all nodes of a vault know the same commits: a node knows those of its closure."""
-    commits, _, clo = _parts(spark, sf_dir)
-    last = commits.groupBy("vault_id", "node_id").agg(F.max_by("oid", "counter").alias("descendant"))
-    known = last.join(dag.inclusive(commits, clo), ["vault_id", "descendant"]).groupBy("vault_id", "node_id").agg(F.count("*").alias("n"), F.min("ancestor").alias("lo"), F.max("ancestor").alias("hi"))
-    return known.groupBy("vault_id").agg(F.count("*").alias("nodes"), (F.countDistinct("n", "lo", "hi") == 1).alias("converged"))
+    last = _commits(spark, sf_dir).groupBy("vault_id", "node_id").agg(F.max_by("oid", "counter").alias("oid"))
+    seen = dag.reachable(last, _links(spark, sf_dir), by=["node_id"])
+    # A set is told by its size and an order-free sum of hashes.
+    known = seen.groupBy("vault_id", "node_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("oid").cast("decimal(38,0)")).alias("h"))
+    return known.groupBy("vault_id").agg(F.count("*").alias("nodes"), (F.countDistinct("n", "h") == 1).alias("converged"))
 
 
 def l3_export_order(spark, sf_dir):
@@ -147,11 +148,11 @@ def l3_export_order(spark, sf_dir):
 
 def g6_known_at(spark, sf_dir):
     """Point in time: the frontier of commits authored up to noon of their vault's day."""
-    commits, _, clo = _parts(spark, sf_dir)
-    return dag.frontier(commits.where("author_time % 86400 <= 43200"), clo).select("vault_id", "oid", "author_time")
+    early = _commits(spark, sf_dir).where("author_time % 86400 <= 43200")
+    return dag.frontier(early, fleet.edges(spark, sf_dir)).select("vault_id", "oid", "author_time")
 
 
-QUERIES = {f.__name__: f for f in (g1_closure, j2_frontier, w1_order_rank, w2_fold_position, a2_merge_base, z5_common_ancestors, g3_fold_bases, g2_reachable, z2_export_closure, z4_gc_unreachable, j14_missing_objects, j6_want_tips, f12_want_filter, g10_dangling, a1_next_counter, a11_snapshot, j12_snapshot_subset, z1_union_known, a13_convergence, l3_export_order, g6_known_at)}
+QUERIES = {f.__name__: f for f in (g1_closure, j2_frontier, w1_order_rank, w2_fold_position, a2_merge_base, l5_maximal_bases, z5_common_ancestors, g3_fold_bases, g2_reachable, z2_export_closure, z4_gc_unreachable, j14_missing_objects, j6_want_tips, f12_want_filter, g10_dangling, a1_next_counter, a11_snapshot, j12_snapshot_subset, z1_union_known, a13_convergence, l3_export_order, g6_known_at)}
 
 _CLO = "WITH RECURSIVE " + fleet.EDGES_SQL + """, clo AS (
   SELECT vault_id, child AS descendant, parent AS ancestor FROM d_edges
@@ -192,53 +193,13 @@ snap AS (SELECT * FROM early e WHERE NOT EXISTS (SELECT 1 FROM clo JOIN early f
 SELECT DISTINCT c.vault_id, c.oid, c.counter FROM d_commits c JOIN incl i ON i.vault_id = c.vault_id AND i.ancestor = c.oid JOIN snap s ON s.vault_id = i.vault_id AND s.oid = i.descendant""",
     "z1_union_known": _C + " SELECT vault_id, oid FROM d_commits WHERE counter % 3 <> 0 UNION SELECT vault_id, oid FROM d_commits WHERE counter % 2 = 0",
     "a13_convergence": _CLO + """, last AS (SELECT vault_id, node_id, arg_max(oid, counter) AS descendant FROM d_commits GROUP BY ALL),
-known AS (SELECT l.vault_id, node_id, count(*) AS n, min(ancestor) AS lo, max(ancestor) AS hi FROM last l JOIN incl i ON i.vault_id = l.vault_id AND i.descendant = l.descendant GROUP BY ALL)
-SELECT vault_id, count(*) AS nodes, count(DISTINCT (n, lo, hi)) = 1 AS converged FROM known GROUP BY vault_id""",
+known AS (SELECT l.vault_id, node_id, string_agg(ancestor, ',' ORDER BY ancestor) AS held FROM last l JOIN incl i ON i.vault_id = l.vault_id AND i.descendant = l.descendant GROUP BY ALL)
+SELECT vault_id, count(*) AS nodes, count(DISTINCT held) = 1 AS converged FROM known GROUP BY vault_id""",
+    "l5_maximal_bases": _CLO + """, pairs AS (SELECT vault_id, k, lag(oid) OVER (PARTITION BY vault_id ORDER BY k) AS a, oid AS b FROM tips QUALIFY a IS NOT NULL),
+common AS (SELECT p.vault_id, k, x.ancestor FROM pairs p JOIN incl x ON x.vault_id = p.vault_id AND x.descendant = a JOIN incl y ON y.vault_id = p.vault_id AND y.descendant = b AND y.ancestor = x.ancestor)
+SELECT vault_id, k::INTEGER AS k, count(*) AS n, min(ancestor) AS base FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN clo ON clo.vault_id = d.vault_id AND clo.descendant = d.ancestor
+  WHERE d.vault_id = c.vault_id AND d.k = c.k AND clo.ancestor = c.ancestor) GROUP BY ALL""",
     "l3_export_order": _C + " SELECT vault_id, oid, row_number() OVER (PARTITION BY vault_id ORDER BY oid)::INTEGER AS place FROM d_commits",
     "g6_known_at": _CLO + """, early AS (SELECT vault_id, oid, author_time FROM d_commits WHERE author_time % 86400 <= 43200)
 SELECT vault_id, oid, author_time FROM early e WHERE NOT EXISTS (SELECT 1 FROM clo JOIN early f ON f.vault_id = clo.vault_id AND f.oid = clo.descendant WHERE clo.vault_id = e.vault_id AND clo.ancestor = e.oid)""",
 }
-
-
-def _tree_rows(spark, sf_dir):
-    """A small tree per commit, by rule: which of six paths it holds, and in which version."""
-    c = fleet.commits(spark, sf_dir).select("vault_id", "oid", "counter", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("p"))
-    there = c.where("(counter * 7 + p * 5) % 11 < 8")
-    return there.select("vault_id", "oid", F.concat(F.lit("f"), F.col("p").cast("string"), F.lit(".md")).alias("path"), F.sha1(F.concat(F.expr("counter div 3").cast("string"), F.lit("/"), F.col("p").cast("string")).cast("binary")).alias("blob_oid"))
-
-
-def g3_compute_main(spark, sf_dir):
-    """The folded tree of every vault (files to merge line by line are marked, and hold the later tip's version)."""
-    tips, commits, clo = _tips(spark, sf_dir)
-    tips = tips.select("vault_id", "oid", "k", "counter")
-    bases = dag.fold_bases(tips, commits, clo).select("vault_id", "k", "base")
-    done = fold.folded(fold.steps_of(tips.select("vault_id", "oid", "k"), bases, _tree_rows(spark, sf_dir)))
-    return done.where("blob_oid IS NOT NULL")
-
-
-def g4_verify_folds(spark, sf_dir):
-    """Merge commits whose recorded parent time is wrong (every seventh), and all commits that build on one."""
-    commits, edges, clo = _parts(spark, sf_dir)
-    merges = edges.groupBy("vault_id", F.col("child").alias("oid")).agg(F.count("*").alias("n")).where("n = 2")
-    claimed = commits.join(merges, ["vault_id", "oid"], "left_semi").withColumn("claimed", F.when(F.col("counter") % 7 == 0, F.col("counter") + 1).otherwise(F.col("counter")))
-    known = edges.join(commits.select("vault_id", F.col("oid").alias("parent"), F.col("counter").alias("pc")), ["vault_id", "parent"]).groupBy("vault_id", F.col("child").alias("oid")).agg((F.max("pc") + 1).alias("due"))
-    bad = claimed.join(known, ["vault_id", "oid"]).where("claimed <> due")
-    return fold.poisoned(bad, clo)
-
-
-QUERIES |= {"g3_compute_main": g3_compute_main, "g4_verify_folds": g4_verify_folds}
-
-ORACLES |= {
-    "g3_compute_main": _CLO + """, reached AS (SELECT t.vault_id, k, ancestor FROM tips t JOIN incl i ON i.vault_id = t.vault_id AND descendant = oid),
-common AS (SELECT DISTINCT r.vault_id, r.k, r.ancestor FROM reached r JOIN reached q ON q.vault_id = r.vault_id AND q.ancestor = r.ancestor AND q.k < r.k),
-best AS (SELECT vault_id, k, min(ancestor) AS base FROM common c WHERE NOT EXISTS (SELECT 1 FROM common d JOIN clo ON clo.vault_id = d.vault_id AND clo.descendant = d.ancestor WHERE d.vault_id = c.vault_id AND d.k = c.k AND clo.ancestor = c.ancestor) GROUP BY ALL),
-trees AS (SELECT vault_id, oid, 'f' || p::VARCHAR || '.md' AS path, sha1((counter // 3)::VARCHAR || '/' || p::VARCHAR) AS blob_oid FROM d_commits, range(1, 7) r(p) WHERE (counter * 7 + p * 5) % 11 < 8),
-st AS (SELECT t.vault_id, t.k, 'f' || p::VARCHAR || '.md' AS path, (SELECT blob_oid FROM trees x WHERE x.vault_id = t.vault_id AND x.oid = t.oid AND x.path = 'f' || p::VARCHAR || '.md') AS tip,
-  (SELECT blob_oid FROM trees x WHERE x.vault_id = t.vault_id AND x.oid = b.base AND x.path = 'f' || p::VARCHAR || '.md') AS base FROM tips t LEFT JOIN best b ON b.vault_id = t.vault_id AND b.k = t.k, range(1, 7) r(p)),
-run AS (SELECT vault_id, path, k, tip AS o, false AS lines FROM st WHERE k = 1
-  UNION SELECT s.vault_id, s.path, s.k, CASE WHEN s.tip IS NOT DISTINCT FROM s.base THEN o ELSE s.tip END, lines OR coalesce(o <> s.tip AND o <> s.base AND s.tip <> s.base, false) FROM run r JOIN st s ON s.vault_id = r.vault_id AND s.path = r.path AND s.k = r.k + 1)
-SELECT vault_id, path, o AS blob_oid, lines FROM run r WHERE k = (SELECT max(k) FROM tips t WHERE t.vault_id = r.vault_id) AND o IS NOT NULL""",
-    "g4_verify_folds": _CLO + """, due AS (SELECT e.vault_id, e.child AS oid, max(c.counter) + 1 AS due, count(*) AS n FROM d_edges e JOIN d_commits c ON c.vault_id = e.vault_id AND c.oid = e.parent GROUP BY ALL),
-bad AS (SELECT c.vault_id, c.oid FROM d_commits c JOIN due d ON d.vault_id = c.vault_id AND d.oid = c.oid WHERE n = 2 AND CASE WHEN counter % 7 = 0 THEN counter + 1 ELSE counter END <> due)
-SELECT vault_id, oid FROM bad UNION SELECT b.vault_id, descendant FROM bad b JOIN clo ON clo.vault_id = b.vault_id AND clo.ancestor = b.oid""",
-}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import table
-from ..operators import dag, history
-from ..plans import trees
-from ..sources import fleet
+from ..functions.tables import saved, shared_dir, table
+from ..operators import history
+from ..sources import fleet, stores
+from ..streaming import live
 
 #: The name in trailers; callers pass their own protocol's.
 PROTOCOL = "sync"
@@ -94,26 +96,24 @@ def _touches(folder):
     return toggled.select("vault_id", "oid", "parent", "path", F.when(F.col("now"), "add").otherwise("delete").alias("kind"), "counter", "node_id")
 
 
-def _chain_closure(folder):
-    chain = folder.where("parent IS NOT NULL").select("vault_id", F.col("oid").alias("child"), "parent").distinct()
-    commits = folder.select("vault_id", "oid").distinct()
-    return dag.inclusive(commits, dag.closure(chain))
+def _places(folder):
+    return folder.select("vault_id", "oid", F.col("counter").alias("place")).distinct()
 
 
 def a3_most_recent_touch(spark, sf_dir):
     f = _folder(spark, sf_dir)
-    asked = f.where("counter % 4 = 0").select("vault_id", "oid", "path")
-    return history.latest_touches(asked, _touches(f), _chain_closure(f))
+    return history.latest_touches_on_lines(f.select("vault_id", "oid", "path"), _touches(f), _places(f))
 
 
 def a5_ghost_add_commits(spark, sf_dir):
-    f = _folder(spark, sf_dir)
-    t = _touches(f)
-    readds = t.where("kind = 'add' AND counter % 3 = 0").select("vault_id", "oid", F.col("path"))
-    named = history.latest_touches(t.where("kind = 'add' AND counter % 3 = 0").select("vault_id", F.col("parent").alias("oid"), "path"), t, _chain_closure(f)).select("vault_id", F.col("oid").alias("parent"), "path", "touch_oid")
-    readds = t.where("kind = 'add' AND counter % 3 = 0").join(named, ["vault_id", "parent", "path"]).select("vault_id", "oid", "touch_oid")
+    f = saved(_folder(spark, sf_dir), "folder")
+    t = saved(_touches(f), "touches")
+    added = t.where("kind = 'add'").select("vault_id", "oid", "parent", "path", "counter")
+    last = saved(history.latest_touches_on_lines(added.select("vault_id", F.col("parent").alias("oid"), "path"), t, _places(f)), "last")
+    named = last.select("vault_id", F.col("oid").alias("parent"), "path", "touch_oid")
+    readds = added.where("counter % 3 = 0").join(named, ["vault_id", "parent", "path"]).select("vault_id", "oid", "touch_oid")
     incomplete = f.where("counter % 8 = 1").select("vault_id", "oid").distinct()
-    return history.ghost_adds(t.where("kind = 'add'").select("vault_id", "oid", "parent", "path"), t, _chain_closure(f), readds, incomplete)
+    return history.ghost_adds(added.drop("counter"), last, readds, incomplete)
 
 
 def j16_classify_local_adds(spark, sf_dir):
@@ -121,7 +121,7 @@ def j16_classify_local_adds(spark, sf_dir):
     tip = f.groupBy("vault_id").agg(F.max_by("oid", "counter").alias("oid"))
     files = tip.select("vault_id", "oid", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("p")).select("vault_id", "oid", F.concat(F.lit("f"), F.col("p").cast("string"), F.lit(".md")).alias("path"))
     tree = f.join(tip, ["vault_id", "oid"]).where("now").select("vault_id", "path")
-    last = history.latest_touches(files, _touches(f), _chain_closure(f))
+    last = history.latest_touches_on_lines(files, _touches(f), _places(f))
     held = files.where("path IN ('f1.md', 'f3.md', 'f5.md')").select("vault_id", "path")
     return history.classify_adds(files.select("vault_id", "path"), tree, last, held)
 
@@ -235,10 +235,11 @@ def s11_merge_replica_state(spark, sf_dir):
 
 
 def s8_put_objects(spark, sf_dir):
-    """Objects that an idempotent write adds: once each, and none that is there."""
-    f = fleet.files(spark, sf_dir).select(fleet.blob_oid(F.col("content")).alias("oid"), "vault_id")
-    there = f.where("vault_id IN ('src1', 'src2', 'src3')").select("oid")
-    return f.select("oid").dropDuplicates(["oid"]).join(there, "oid", "left_anti")
+    """Objects that an idempotent write adds to a store that holds some: once each, and none that is there."""
+    f = fleet.files(spark, sf_dir).select("vault_id", fleet.blob_oid(F.col("content")).alias("oid"), F.col("content").cast("binary").alias("payload"))
+    store = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    stores.put_objects(f.where("vault_id IN ('src1', 'src2', 'src3')").select("oid", "payload"), store)
+    return stores.put_objects(f.select("oid", "payload"), store).select("oid")
 
 
 def z8_ls_tree(spark, sf_dir):
@@ -247,18 +248,10 @@ def z8_ls_tree(spark, sf_dir):
 
 
 def t7_lww_converge(spark, sf_dir):
-    r = fleet.room_updates(spark, sf_dir)
-    last = r.groupBy("room", "path").agg(F.max_by(F.struct("content", "deleted"), F.struct("rev", (-F.col("event_id")).alias("neg"))).alias("v"), F.max("rev").alias("rev"))
-    return last.select("room", "path", "rev", F.col("v.content").alias("content"), F.col("v.deleted").alias("deleted"))
-
-
-def g7_restore_snapshot(spark, sf_dir):
-    """Plan of a restore: all of the snapshot's tree is written, what it lacks is removed."""
-    base, ours, _ = fleet.trees(spark, sf_dir)
-    return trees.restore(base.where("vault_id < 'v3'"), ours.where("vault_id < 'v3'")).where("op = 'remove' OR path LIKE '%7.md'")
+    return live.last_writers(fleet.room_updates(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (f1_classify_commits, f2_parse_readds, s3_parse_commits, x2_commit_oid, g5_fsck_objects, x1_blob_oid, s10_history_json, f13_history_filters, a12_shortlog, a3_most_recent_touch, a5_ghost_add_commits, j16_classify_local_adds, a7_fold_commit_oid, a8_vault_status, a9_aggregate_status, a10_wire_stats, a14_file_inventory, a15_connection_state, w3_ring_buffer, x19_log_lines, w4_chunk_frames, w5_asof_snapshot, w7_settle_time, w8_handshake_failure_streak, w9_backoff_delay, s11_merge_replica_state, s8_put_objects, z8_ls_tree, t7_lww_converge, g7_restore_snapshot)}
+QUERIES = {f.__name__: f for f in (f1_classify_commits, f2_parse_readds, s3_parse_commits, x2_commit_oid, g5_fsck_objects, x1_blob_oid, s10_history_json, f13_history_filters, a12_shortlog, a3_most_recent_touch, a5_ghost_add_commits, j16_classify_local_adds, a7_fold_commit_oid, a8_vault_status, a9_aggregate_status, a10_wire_stats, a14_file_inventory, a15_connection_state, w3_ring_buffer, x19_log_lines, w4_chunk_frames, w5_asof_snapshot, w7_settle_time, w8_handshake_failure_streak, w9_backoff_delay, s11_merge_replica_state, s8_put_objects, z8_ls_tree, t7_lww_converge)}
 
 _M = "WITH RECURSIVE " + fleet.COMMITS_SQL + """, msg AS (SELECT *, subject || chr(10) || chr(10) || 'SYNC-Counter: ' || CASE WHEN counter % 6 = 0 THEN 'x' ELSE counter::VARCHAR END || chr(10) || 'SYNC-Node: ' || CASE WHEN counter % 7 = 0 THEN 'short' ELSE upper(node_id || left(node_id, 24)) END
   || CASE WHEN counter % 5 = 0 THEN chr(10) || 'SYNC-Readd: ' || oid || chr(10) || 'SYNC-Readd: zz' ELSE '' END || CASE WHEN counter % 10 = 0 THEN chr(10) || 'SYNC-Counter: 5' ELSE '' END AS message FROM d_commits)"""
@@ -282,7 +275,7 @@ ORACLES = {
     "s10_history_json": "WITH d_commits AS (SELECT strftime(ts, '%Y-%m-%d') || '-' || (user_id // 15)::VARCHAR AS vault_id, sha1('commit ' || event_id::VARCHAR) AS oid, sha1('node ' || user_id::VARCHAR) AS node_id, ts, event_type AS subject FROM events) SELECT vault_id, '{\"sha\":\"' || oid || '\",\"author\":\"' || node_id || '\",\"date\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\",\"subject\":\"' || subject || '\"}' AS line FROM d_commits",
     "f13_history_filters": "WITH " + fleet.EDGES_SQL + ", m AS (SELECT vault_id, child FROM d_edges GROUP BY ALL HAVING count(*) > 1), w AS (SELECT *, row_number() OVER (PARTITION BY vault_id ORDER BY author_time DESC, oid)::INTEGER AS n FROM d_commits c WHERE user_id % 3 <> 0 AND author_time % 86400 BETWEEN 20000 AND 70000 AND left(subject, 1) IN ('c', 'p', 'v') AND NOT EXISTS (SELECT 1 FROM m WHERE m.vault_id = c.vault_id AND m.child = c.oid)) SELECT vault_id, oid, subject, n FROM w WHERE n > 2 AND n <= 7",
     "a12_shortlog": _C + " SELECT vault_id, node_id, count(*) AS commits, min(author_time) AS since FROM d_commits GROUP BY ALL",
-    "a3_most_recent_touch": _FOLD + " SELECT f.vault_id, f.oid, f.path, arg_max(t.kind, t.counter) AS kind, arg_max(t.oid, t.counter) AS touch_oid FROM fol f LEFT JOIN tou t ON t.vault_id = f.vault_id AND t.path = f.path AND t.counter <= f.counter WHERE f.counter % 4 = 0 GROUP BY ALL",
+    "a3_most_recent_touch": _FOLD + " SELECT f.vault_id, f.oid, f.path, arg_max(t.kind, t.counter) AS kind, arg_max(t.oid, t.counter) AS touch_oid FROM fol f LEFT JOIN tou t ON t.vault_id = f.vault_id AND t.path = f.path AND t.counter <= f.counter GROUP BY ALL",
     "a5_ghost_add_commits": _FOLD + " SELECT DISTINCT a.vault_id, a.oid FROM tou a WHERE a.kind = 'add' AND a.counter % 3 <> 0 AND a.counter % 8 <> 1 AND 'delete' = (SELECT arg_max(t.kind, t.counter) FROM tou t WHERE t.vault_id = a.vault_id AND t.path = a.path AND t.counter < a.counter)",
     "j16_classify_local_adds": _FOLD + """, tip AS (SELECT vault_id, max(counter) AS counter FROM fol GROUP BY ALL), want AS (SELECT vault_id, counter, 'f' || p::VARCHAR || '.md' AS path FROM tip, range(1, 9) r(p)),
 st AS (SELECT w.vault_id, w.path, (SELECT bool_or(now) FROM fol f WHERE f.vault_id = w.vault_id AND f.counter = w.counter AND f.path = w.path) AS present,
@@ -312,5 +305,4 @@ c AS (SELECT *, lead(t) OVER (PARTITION BY vault_id ORDER BY t) AS nx FROM m WHE
     "s8_put_objects": "WITH " + fleet.FILES_SQL + ", f AS (SELECT vault_id, sha1('blob ' || strlen(content)::VARCHAR || chr(0) || content) AS oid FROM d_files) SELECT oid FROM f EXCEPT SELECT oid FROM f WHERE vault_id IN ('src1', 'src2', 'src3')",
     "z8_ls_tree": "WITH " + fleet.TREES_SQL + " SELECT vault_id, path, blob_oid FROM d_base WHERE starts_with(path, 'Brand#1')",
     "t7_lww_converge": "WITH " + fleet.ROOMS_SQL + " SELECT room, path, max(rev) AS rev, arg_max(content, (rev, -event_id)) AS content, arg_max(deleted, (rev, -event_id)) AS deleted FROM d_rooms GROUP BY ALL",
-    "g7_restore_snapshot": "WITH " + fleet.TREES_SQL + ", p AS (SELECT coalesce(b.vault_id, o.vault_id) AS vault_id, coalesce(b.path, o.path) AS path, b.blob_oid FROM d_base b FULL JOIN d_ours o ON o.vault_id = b.vault_id AND o.path = b.path) SELECT vault_id, path, CASE WHEN blob_oid IS NULL THEN 'remove' ELSE 'write' END AS op, blob_oid FROM p WHERE vault_id < 'v3' AND (blob_oid IS NULL OR path LIKE '%7.md')",
 }

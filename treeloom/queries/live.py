@@ -112,6 +112,7 @@ l AS (SELECT *, least(coalesce(min(s) OVER (PARTITION BY room, path ORDER BY ts,
     "t10_handshake_timeout": "WITH e AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y-%m-%d') AS session, floor(epoch(ts))::BIGINT AS t, event_type = 'purchase' AS ok FROM events) SELECT session, min(t) AS began, min(t) FILTER (ok) AS done, coalesce(min(t) FILTER (ok) > min(t) + 20000, true) AS timed_out FROM e GROUP BY ALL",
     "t9_live_delta": "WITH " + fleet.COMMITS_SQL + """, chain AS (SELECT *, lag(oid) OVER w AS parent, lag(counter) OVER w AS pc FROM d_commits WINDOW w AS (PARTITION BY vault_id ORDER BY counter)),
 t AS (SELECT vault_id, oid, counter, sha1('f' || p::VARCHAR || '.md@' || (counter // 4)::VARCHAR) AS b FROM d_commits, range(1, 7) r(p) WHERE (counter * 7 + p * 5) % 11 < 6)
-SELECT c.vault_id, c.oid, 'blob' AS kind, t.b AS object FROM chain c JOIN t ON t.vault_id = c.vault_id AND t.oid = c.oid WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t x WHERE x.vault_id = c.vault_id AND x.oid = c.parent AND x.b = t.b)
+SELECT vault_id, oid, 'blob' AS kind, b AS object FROM (SELECT c.vault_id, c.oid, t.b FROM chain c JOIN t ON t.vault_id = c.vault_id AND t.oid = c.oid WHERE parent IS NOT NULL
+  EXCEPT SELECT c.vault_id, c.oid, t.b FROM chain c JOIN t ON t.vault_id = c.vault_id AND t.oid = c.parent)
 UNION ALL SELECT vault_id, oid, 'commit', oid FROM chain WHERE parent IS NOT NULL""",
 }
