@@ -111,3 +111,40 @@ def when_seconds(text: Column) -> Column:
 def parse_bool(text: Column) -> Column:
     t = F.lower(F.trim(text))
     return F.when(t.isin("1", "true", "yes", "on"), True).when(t.isin("0", "false", "no", "off"), False)
+
+
+def derived_name(path: Column, home: Column) -> Column:
+    """A vault's name from its folder: the slug of the last part, empty for the root and for the home folder."""
+    last = F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)
+    return F.when((path == home) | last.isin("", "."), F.lit("")).otherwise(slug(last))
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def ext_of(path: Column) -> Column:
+    """The lower-cased extension of a path's last part; empty where there is none."""
+    return F.lower(F.regexp_extract(base_name(path), r"\.([^.]*)$", 1))
+
+
+def _utc(seconds: Column, pattern: str) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), pattern)
+
+
+def orphan_bucket(seconds: Column) -> Column:
+    """The name of the folder for files set aside at a time (UTC; the session's time zone must be UTC)."""
+    return _utc(seconds, "yyyy-MM-dd'T'HH-mm-ss'Z'")
+
+
+def rfc3339(seconds: Column) -> Column:
+    return F.concat(_utc(seconds, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def short_sha(oid: Column) -> Column:
+    return F.substring(oid, 1, 12)
+
+
+def clock_text(ts: Column) -> Column:
+    """Time of day to the millisecond."""
+    return F.date_format(ts, "HH:mm:ss.SSS")

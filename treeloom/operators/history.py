@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import clock_text
+from ..functions.tables import saved
+from . import dag
+from .chains import chained
+
 
 def lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -123,22 +128,62 @@ def inventory(versions: DataFrame) -> DataFrame:
 
 
 def chunk_frames(objects: DataFrame, limit: int) -> DataFrame:
-    """objects (session_id, seq, bytes) with frame: packed greedily in order, an oversize one rides alone; and is_last.
-
-    Greedy packing is a fold over a session's sizes; each session is folded on its own.
-    """
-    listed = objects.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("all"))
-    start = F.struct(F.lit(-1).alias("frame"), F.lit(0).cast("long").alias("fill"), F.array().cast("array<struct<seq:int,bytes:bigint,frame:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = (s["frame"] < 0) | (s["fill"] + x["bytes"] > limit)
-        frame = s["frame"] + fresh.cast("int")
-        return F.struct(frame.alias("frame"), F.when(fresh, x["bytes"]).otherwise(s["fill"] + x["bytes"]).alias("fill"), F.concat(s["out"], F.array(F.struct(x["seq"].cast("int").alias("seq"), x["bytes"].alias("bytes"), frame.alias("frame")))).alias("out"))
-
-    packed = listed.select("session_id", F.aggregate("all", start, step).alias("s"))
-    return packed.select("session_id", F.col("s.frame").alias("__last"), F.explode("s.out").alias("x")).select("session_id", "x.seq", "x.bytes", "x.frame", (F.col("x.frame") == F.col("__last")).alias("is_last"))
+    """objects (session_id, seq, bytes) with frame: packed greedily in order, an oversize one rides alone; and is_last. A frame
+    ends before the first object whose end lies more than limit behind the frame's begin."""
+    order = Window.partitionBy("session_id").orderBy("seq")
+    upto = objects.withColumns({"__end": F.sum("bytes").over(order), "__n": F.row_number().over(order)})
+    # What follows an oversize object is beyond its frame whatever its size, so ends are counted with one more for each row.
+    wide = F.lit(1 << 24)
+    rows = saved(upto.select("session_id", "seq", "bytes", F.col("seq").cast("long").alias("own"), (F.col("__end") * wide + F.col("__n")).alias("level"),
+        F.when(F.col("bytes") > limit, F.col("__end") * wide + F.col("__n")).otherwise((F.col("__end") - F.col("bytes") + limit + 1) * wide - 1).alias("bar"), F.lit(True).alias("candidate"), (F.col("__n") == 1).alias("first")), "sized")
+    begins = chained(rows, ["session_id"]).withColumn("begins", F.lit(1))
+    numbered = rows.select("session_id", "seq", "bytes", "own").join(begins, ["session_id", "own"], "left").withColumn("frame", (F.count("begins").over(order) - 1).cast("int"))
+    return numbered.select("session_id", "seq", "bytes", "frame", (F.col("frame") == F.max("frame").over(Window.partitionBy("session_id"))).alias("is_last"))
+
+
+def filtered(commits: DataFrame, edges: DataFrame, authors: list[str] | None = None, since: int | None = None, until: int | None = None, grep: str | None = None, merges: bool | None = None,
+             first_parent: DataFrame | None = None, skip: int = 0, max_count: int | None = None, reverse: bool = False) -> DataFrame:
+    """A vault's history as asked for: commits (vault_id, oid, node_id, time, subject) with n, their place in the answer. merges:
+    only those (true) or none (false); first_parent: starts (vault_id, oid), from which only first parents (edges with ord 0,
+    or all where edges have no ord) are followed. Newest first; skip and max_count apply to that order, reverse to what is left."""
+    wanted = commits
+    if authors is not None:
+        wanted = wanted.where(F.col("node_id").isin(authors))
+    if since is not None:
+        wanted = wanted.where(F.col("time") >= since)
+    if until is not None:
+        wanted = wanted.where(F.col("time") <= until)
+    if grep is not None:
+        wanted = wanted.where(F.col("subject").rlike(grep))
+    if merges is not None:
+        several = edges.groupBy("vault_id", F.col("child").alias("oid")).agg(F.count("*").alias("n")).where("n > 1").select("vault_id", "oid")
+        wanted = wanted.join(several, ["vault_id", "oid"], "left_semi" if merges else "left_anti")
+    if first_parent is not None:
+        links = (edges.where("ord = 0") if "ord" in edges.columns else edges).select("vault_id", F.col("child").alias("src"), F.col("parent").alias("dst"))
+        wanted = wanted.join(dag.reachable(first_parent, links), ["vault_id", "oid"], "left_semi")
+    newest = Window.partitionBy("vault_id").orderBy(F.desc("time"), "oid")
+    ranked = wanted.withColumn("n", F.row_number().over(newest)).where(F.col("n") > skip)
+    if max_count is not None:
+        ranked = ranked.where(F.col("n") <= skip + max_count)
+    if not reverse:
+        return ranked
+    return ranked.withColumn("n", F.row_number().over(Window.partitionBy("vault_id").orderBy(F.desc("n"))))
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """states (vault_id, replica, source, counter, observed, known, snapshots, materialized): what several savers of a replica's
+    state hold, source 0 the one that saves now. Known sets unite, counters and what was observed take the greatest, a
+    snapshot's name keeps the first source's, and materialised hashes are the saver's own. known: array of oids; snapshots and
+    materialized: arrays of (name, value)."""
+    key = ["vault_id", "replica"]
+    counts = states.groupBy(*key).agg(F.max("counter").alias("counter"), F.max("observed").alias("observed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("known")))).alias("known"))
+    named = states.select(*key, "source", F.explode("snapshots").alias("s")).groupBy(*key, F.col("s.name").alias("name")).agg(F.min_by("s.value", "source").alias("value"))
+    snaps = named.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("snapshots"))
+    own = states.where("source = 0").select(*key, "materialized")
+    none = F.array().cast(states.schema["snapshots"].dataType)
+    return counts.join(snaps, key, "left").join(own, key, "left").select(*key, "counter", "observed", "known", F.coalesce("snapshots", none).alias("snapshots"), F.coalesce("materialized", none).alias("materialized"))
 
 
 def log_text(source: Column, ts: Column, level: Column, message: Column) -> Column:
     """A log line as it is shown: source and time of day to the millisecond, errors marked."""
-    return F.concat(F.lit("["), source, F.lit(" "), F.date_format(ts, "HH:mm:ss.SSS"), F.lit("] "), F.when(level == "error", "ERROR ").otherwise(""), message)
+    return F.concat(F.lit("["), source, F.lit(" "), clock_text(ts), F.lit("] "), F.when(level == "error", "ERROR ").otherwise(""), message)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rules of a fresh vault, the control folder, the control file, the sentinel, and the extensions that sync.
@@ -95,3 +95,9 @@ def host_syncs(path: Column, globs: tuple[str, ...]) -> Column:
         quoted = _glob_body(F.lit(glob))
         matched = matched | F.regexp_like(path, F.concat(F.lit("(?s)\\A"), quoted, F.lit("\\z")))
     return F.when(is_control(path), False).when(matched, False).when(path == CONTROL_FILE, True).when(is_keep(path), True).otherwise(extension.isin(*TEXT_EXTENSIONS))
+
+
+def rule_lines(files: DataFrame) -> DataFrame:
+    """files (vault_id, file_rank, content), the control file before a node's own, as numbered rules (vault_id, ord, pattern)."""
+    lines = files.select("vault_id", "file_rank", F.posexplode(F.split("content", "\n")).alias("line_no", "pattern"))
+    return lines.select("vault_id", F.row_number().over(Window.partitionBy("vault_id").orderBy("file_rank", "line_no")).alias("ord"), "pattern")

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import short_sha
 from ..functions.tables import saved, shared_dir, table
-from ..operators import history
+from ..operators import fold, history
 from ..sources import fleet, stores
 from ..streaming import live
 
@@ -67,13 +68,33 @@ def s10_history_json(spark, sf_dir):
     return c.select("vault_id", F.to_json(F.struct(F.col("oid").alias("sha"), F.col("node_id").alias("author"), iso.alias("date"), "subject")).alias("line"))
 
 
+def _log_rows(spark, sf_dir):
+    return fleet.commits(spark, sf_dir).select("vault_id", "oid", "node_id", "user_id", F.col("author_time").alias("time"), "subject")
+
+
 def f13_history_filters(spark, sf_dir):
     """Non-merge commits of some authors in a time span that match a pattern; newest first, after a skip, up to a count."""
-    c = fleet.commits(spark, sf_dir)
-    merges = fleet.edges(spark, sf_dir).groupBy("vault_id", F.col("child").alias("oid")).agg(F.count("*").alias("n")).where("n > 1").select("vault_id", "oid")
-    wanted = c.where("user_id % 3 <> 0 AND author_time % 86400 BETWEEN 20000 AND 70000").where(F.col("subject").rlike("^(c|p|v)")).join(merges, ["vault_id", "oid"], "left_anti")
-    newest = Window.partitionBy("vault_id").orderBy(F.desc("author_time"), "oid")
-    return wanted.withColumn("n", F.row_number().over(newest)).where("n > 2 AND n <= 7").select("vault_id", "oid", "subject", "n")
+    c = _log_rows(spark, sf_dir).where("user_id % 3 <> 0 AND time % 86400 BETWEEN 20000 AND 70000")
+    return history.filtered(c, fleet.edges(spark, sf_dir), grep="^(c|p|v)", merges=False, skip=2, max_count=5).select("vault_id", "oid", "subject", "n")
+
+
+def l4_oldest_first(spark, sf_dir):
+    """The three newest merges but one of every vault since a day, oldest first."""
+    return history.filtered(_log_rows(spark, sf_dir), fleet.edges(spark, sf_dir), since=1704067200 + 86400, merges=True, skip=1, max_count=3, reverse=True).select("vault_id", "oid", "n")
+
+
+def f13_first_parents(spark, sf_dir):
+    """From each vault's newest commit back along first parents (here: the least of the parents)."""
+    c = _log_rows(spark, sf_dir)
+    first = fleet.edges(spark, sf_dir).withColumn("ord", F.row_number().over(Window.partitionBy("vault_id", "child").orderBy("parent")) - 1)
+    newest = c.groupBy("vault_id").agg(F.max_by("oid", F.struct("time", "oid")).alias("oid"))
+    return history.filtered(c, first, first_parent=newest).select("vault_id", "oid", "n")
+
+
+def x20_split_lines(spark, sf_dir):
+    """Every file's lines with their ends, numbered."""
+    f = fleet.files(spark, sf_dir)
+    return f.select("vault_id", "path", F.posexplode(fold.split_lines(F.col("content"))).alias("n", "line"))
 
 
 def a12_shortlog(spark, sf_dir):
@@ -141,7 +162,7 @@ def _status(spark, sf_dir):
 
 
 def a8_vault_status(spark, sf_dir):
-    return _status(spark, sf_dir).select("vault_id", "known", "nodes", F.substring("newest", 1, 12).alias("short_sha"))
+    return _status(spark, sf_dir).select("vault_id", "known", "nodes", short_sha(F.col("newest")).alias("short_sha"))
 
 
 def a9_aggregate_status(spark, sf_dir):
@@ -227,11 +248,17 @@ def w9_backoff_delay(spark, sf_dir):
 
 
 def s11_merge_replica_state(spark, sf_dir):
-    """Two saved states of each replica merged: union of known, the greater counter, the first snapshot of a name."""
+    """Two saved states of each replica merged: of its commits the saver has seen two thirds, the disk one half."""
     c = fleet.commits(spark, sf_dir)
-    a, b = c.where("counter % 3 <> 1"), c.where("counter % 2 = 1")
-    rows = a.select("vault_id", "node_id", "oid", "counter", "subject", F.lit(0).alias("rank")).unionByName(b.select("vault_id", "node_id", "oid", "counter", "subject", F.lit(1).alias("rank")))
-    return rows.groupBy("vault_id", "node_id").agg(F.max("counter").alias("counter"), F.countDistinct("oid").alias("known"), F.min_by("oid", F.struct("rank", "counter")).alias("first"))
+
+    def state(rows, source):
+        one = rows.groupBy("vault_id", "node_id", "subject").agg(F.min_by("oid", "counter").alias("first"), F.max_by("oid", "counter").alias("last"), F.collect_list("oid").alias("oids"), F.max("counter").alias("counter"))
+        pairs = lambda v: F.collect_list(F.struct(F.col("subject").alias("name"), F.col(v).alias("value")))
+        return one.groupBy("vault_id", F.col("node_id").alias("replica")).agg(F.max("counter").alias("counter"), (F.max("counter") * 2).alias("observed"), F.flatten(F.collect_list("oids")).alias("known"), pairs("first").alias("snapshots"), pairs("last").alias("materialized")).withColumn("source", F.lit(source))
+
+    done = history.merged_states(state(c.where("counter % 3 <> 1"), 0).unionByName(state(c.where("counter % 2 = 1"), 1)))
+    flat = lambda v: F.array_join(F.transform(F.array_sort(v), lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",")
+    return done.select("vault_id", "replica", "counter", "observed", F.array_join("known", ",").alias("known"), flat("snapshots").alias("snapshots"), flat("materialized").alias("materialized"))
 
 
 def s8_put_objects(spark, sf_dir):
@@ -251,7 +278,7 @@ def t7_lww_converge(spark, sf_dir):
     return live.last_writers(fleet.room_updates(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (f1_classify_commits, f2_parse_readds, s3_parse_commits, x2_commit_oid, g5_fsck_objects, x1_blob_oid, s10_history_json, f13_history_filters, a12_shortlog, a3_most_recent_touch, a5_ghost_add_commits, j16_classify_local_adds, a7_fold_commit_oid, a8_vault_status, a9_aggregate_status, a10_wire_stats, a14_file_inventory, a15_connection_state, w3_ring_buffer, x19_log_lines, w4_chunk_frames, w5_asof_snapshot, w7_settle_time, w8_handshake_failure_streak, w9_backoff_delay, s11_merge_replica_state, s8_put_objects, z8_ls_tree, t7_lww_converge)}
+QUERIES = {f.__name__: f for f in (f1_classify_commits, f2_parse_readds, s3_parse_commits, x2_commit_oid, g5_fsck_objects, x1_blob_oid, s10_history_json, f13_history_filters, l4_oldest_first, f13_first_parents, x20_split_lines, a12_shortlog, a3_most_recent_touch, a5_ghost_add_commits, j16_classify_local_adds, a7_fold_commit_oid, a8_vault_status, a9_aggregate_status, a10_wire_stats, a14_file_inventory, a15_connection_state, w3_ring_buffer, x19_log_lines, w4_chunk_frames, w5_asof_snapshot, w7_settle_time, w8_handshake_failure_streak, w9_backoff_delay, s11_merge_replica_state, s8_put_objects, z8_ls_tree, t7_lww_converge)}
 
 _M = "WITH RECURSIVE " + fleet.COMMITS_SQL + """, msg AS (SELECT *, subject || chr(10) || chr(10) || 'SYNC-Counter: ' || CASE WHEN counter % 6 = 0 THEN 'x' ELSE counter::VARCHAR END || chr(10) || 'SYNC-Node: ' || CASE WHEN counter % 7 = 0 THEN 'short' ELSE upper(node_id || left(node_id, 24)) END
   || CASE WHEN counter % 5 = 0 THEN chr(10) || 'SYNC-Readd: ' || oid || chr(10) || 'SYNC-Readd: zz' ELSE '' END || CASE WHEN counter % 10 = 0 THEN chr(10) || 'SYNC-Counter: 5' ELSE '' END AS message FROM d_commits)"""
@@ -301,7 +328,16 @@ SELECT session_id, seq, bytes, frame, frame = max(frame) OVER (PARTITION BY sess
 c AS (SELECT *, lead(t) OVER (PARTITION BY vault_id ORDER BY t) AS nx FROM m WHERE before IS NULL OR before <> main) SELECT vault_id, min(least(greatest(t + 5400, t0 + 3600), t0 + 40000) - t0) AS settled_after FROM c WHERE nx IS NULL OR nx > greatest(t + 5400, t0 + 3600) GROUP BY vault_id""",
     "w8_handshake_failure_streak": _SESS + " SELECT node, seq, streak, streak >= 5 AS terminal FROM k",
     "w9_backoff_delay": _SESS + " SELECT node, seq, CASE WHEN established THEN 250 ELSE least(30000, 500 * pow(2, least(streak - 1, 20)))::BIGINT END AS delay_ms FROM k",
-    "s11_merge_replica_state": _C + ", r AS (SELECT *, 0 AS rank FROM d_commits WHERE counter % 3 <> 1 UNION ALL SELECT *, 1 FROM d_commits WHERE counter % 2 = 1) SELECT vault_id, node_id, max(counter) AS counter, count(DISTINCT oid) AS known, arg_min(oid, (rank, counter)) AS first FROM r GROUP BY ALL",
+    "l4_oldest_first": "WITH " + fleet.EDGES_SQL + ", w AS (SELECT c.*, row_number() OVER (PARTITION BY vault_id ORDER BY author_time DESC, oid) AS n FROM d_commits c WHERE author_time >= 1704153600 AND (SELECT count(*) FROM d_edges e WHERE e.vault_id = c.vault_id AND e.child = c.oid) > 1) SELECT vault_id, oid, row_number() OVER (PARTITION BY vault_id ORDER BY n DESC)::INTEGER AS n FROM w WHERE n BETWEEN 2 AND 4",
+    "f13_first_parents": "WITH RECURSIVE " + fleet.EDGES_SQL + ", f AS (SELECT vault_id, child, min(parent) AS parent FROM d_edges GROUP BY ALL), w AS (SELECT vault_id, arg_max(oid, (author_time, oid)) AS oid FROM d_commits GROUP BY vault_id UNION ALL SELECT w.vault_id, f.parent FROM w JOIN f ON f.vault_id = w.vault_id AND f.child = w.oid) SELECT c.vault_id, c.oid, row_number() OVER (PARTITION BY c.vault_id ORDER BY author_time DESC, c.oid)::INTEGER AS n FROM d_commits c JOIN w ON w.vault_id = c.vault_id AND w.oid = c.oid",
+    "x20_split_lines": "WITH " + fleet.FILES_SQL + ", l AS (SELECT vault_id, path, content, string_split(content, chr(10)) AS ls FROM d_files WHERE content IS NOT NULL), e AS (SELECT vault_id, path, len(ls) AS k, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM l) SELECT vault_id, path, n::INTEGER AS n, line || CASE WHEN n < k - 1 THEN chr(10) ELSE '' END AS line FROM e WHERE n < k - 1 OR line <> ''",
+    "s11_merge_replica_state": _C + """, r AS (SELECT *, 0 AS src FROM d_commits WHERE counter % 3 <> 1 UNION ALL SELECT *, 1 FROM d_commits WHERE counter % 2 = 1),
+one AS (SELECT vault_id, node_id, src, subject, arg_min(oid, counter) AS first, arg_max(oid, counter) AS last FROM r GROUP BY ALL),
+sn AS (SELECT vault_id, node_id, subject, arg_min(first, src) AS first FROM one GROUP BY ALL),
+ss AS (SELECT vault_id, node_id, string_agg(subject || '=' || first, ',' ORDER BY subject) AS snapshots FROM sn GROUP BY ALL),
+ms AS (SELECT vault_id, node_id, string_agg(subject || '=' || last, ',' ORDER BY subject) AS materialized FROM one WHERE src = 0 GROUP BY ALL),
+ct AS (SELECT vault_id, node_id, max(counter) AS counter, max(counter) * 2 AS observed, string_agg(DISTINCT oid, ',' ORDER BY oid) AS known FROM r GROUP BY ALL)
+SELECT vault_id, node_id AS replica, counter, observed, known, snapshots, coalesce(materialized, '') AS materialized FROM ct LEFT JOIN ss USING (vault_id, node_id) LEFT JOIN ms USING (vault_id, node_id)""",
     "s8_put_objects": "WITH " + fleet.FILES_SQL + ", f AS (SELECT vault_id, sha1('blob ' || strlen(content)::VARCHAR || chr(0) || content) AS oid FROM d_files) SELECT oid FROM f EXCEPT SELECT oid FROM f WHERE vault_id IN ('src1', 'src2', 'src3')",
     "z8_ls_tree": "WITH " + fleet.TREES_SQL + " SELECT vault_id, path, blob_oid FROM d_base WHERE starts_with(path, 'Brand#1')",
     "t7_lww_converge": "WITH " + fleet.ROOMS_SQL + " SELECT room, path, max(rev) AS rev, arg_max(content, (rev, -event_id)) AS content, arg_max(deleted, (rev, -event_id)) AS deleted FROM d_rooms GROUP BY ALL",

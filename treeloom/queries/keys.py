@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.tables import table
-from ..operators import keys
+from ..operators import keys, scope
 from ..sources import fleet
 
 #: A fixed present for these queries: 2026-01-01 UTC.
@@ -43,23 +43,94 @@ def w6_first_key_per_node(spark, sf_dir):
 
 
 def x11_migrate_default_expiry(spark, sf_dir):
+    """Vaults with an even number keep a default of 90 days; the others have opted out, and nothing changes there."""
     k = _keys(spark, sf_dir)
-    new = F.when(F.col("kind") == "unset", C.with_expiry(F.col("raw"), F.lit("at"), C.expiry_from_ttl(F.lit(NOW), F.lit(90)))).otherwise(F.col("raw"))
-    return k.select("vault_id", "line_no", new.alias("raw"))
+    even = F.expr("cast(substring(vault_id, 2) as int) % 2 = 0")
+    both = keys.migrated(k.where(even), NOW, 90).unionByName(keys.migrated(k.where(~even), NOW, 0))
+    return both.select("vault_id", "line_no", "raw")
 
 
-def x12_extend_expiry(spark, sf_dir):
-    """Lines that name a user ending in 7 (any case), or a node by the start of its id, get a new expiry."""
+def _targets(spark, sf_dir):
+    """The start of a node id, a part of a line in any case, and a key line of the node of the vault's tenth line."""
     k = _keys(spark, sf_dir)
-    hit = F.col("node_id").isNotNull() & (F.col("node_id").startswith("ab") | F.contains(F.lower("raw"), F.lit("user17")))
-    return k.where(hit).select("vault_id", "line_no", C.with_expiry(F.col("raw"), F.lit("at"), C.expiry_from_ttl(F.lit(NOW), F.lit(30))).alias("raw"))
+    vaults = k.select("vault_id").distinct()
+    lines = k.where("node_id IS NOT NULL").groupBy("vault_id").agg(F.min_by("node_id", "line_no").alias("node_id"))
+    whole = lines.select("vault_id", C.key_of_node(F.col("node_id"), F.lit("elsewhere")).alias("target"))
+    return vaults.select("vault_id", F.explode(F.array(F.lit(" AB"), F.lit("User17"))).alias("target")).unionByName(whole)
+
+
+def x12_extend_expiry(spark, sf_dir):
+    return keys.extended(_keys(spark, sf_dir), _targets(spark, sf_dir), NOW, 30).select("vault_id", "line_no", "raw", "updated")
+
+
+def x12_extend_forever(spark, sf_dir):
+    return keys.extended(_keys(spark, sf_dir), _targets(spark, sf_dir), NOW, None).where("updated").select("vault_id", "line_no", "raw")
 
 
 def x13_revoke(spark, sf_dir):
-    """What is left after the keys of the first line of each vault are revoked by node."""
+    """What is left after the node of each vault's first key line, by another line of it, and a comment line are revoked."""
     k = _keys(spark, sf_dir)
-    gone = k.where("node_id IS NOT NULL").groupBy("vault_id").agg(F.min_by("node_id", "line_no").alias("node_id"))
-    return k.join(gone, ["vault_id", "node_id"], "left_anti").select("vault_id", "line_no")
+    first = k.where("node_id IS NOT NULL").groupBy("vault_id").agg(F.min_by("node_id", "line_no").alias("node_id"))
+    wanted = first.select("vault_id", F.explode(F.array(C.key_of_node(F.col("node_id"), F.lit("")), F.lit(" # comment "))).alias("target"))
+    return keys.revoked(k, wanted).select("vault_id", "line_no")
+
+
+def x13_revoke_fingerprint(spark, sf_dir):
+    """What is left after each vault's last key line is revoked by its fingerprint."""
+    k = _keys(spark, sf_dir)
+    last = k.where("node_id IS NOT NULL").groupBy("vault_id").agg(F.max_by("raw", "line_no").alias("raw"))
+    return keys.revoked(k, last.select("vault_id", C.fingerprint(F.col("raw")).alias("target"))).select("vault_id", "line_no")
+
+
+def z6_seed_keys(spark, sf_dir):
+    """Every vault is given its first node's key anew, a new one, a comment and a line that is no key."""
+    k = _keys(spark, sf_dir)
+    first = k.where("node_id IS NOT NULL").groupBy("vault_id").agg(F.min_by("node_id", "line_no").alias("node_id"))
+    new = F.sha2(F.concat(F.lit("seed "), F.col("vault_id")).cast("binary"), 256)
+    spec = F.concat(C.key_of_node(F.col("node_id"), F.lit("seeded")), F.lit(" expires=2027-01-01,# note\n\n no key at all,"), C.key_of_node(new, F.lit("fresh")))
+    return keys.seeded(k, first.select("vault_id", spec.alias("spec")))
+
+
+def x3_parse_pubkey(spark, sf_dir):
+    a = fleet.auth_lines(spark, sf_dir)
+    return a.select("vault_id", "line_no", C.node_of_key(F.col("raw")).alias("node_id"))
+
+
+def x6_duration_days(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.concat(F.when(k % 3 == 0, F.lit(" ")).otherwise(F.lit("")), F.when(k % 11 == 0, F.lit("never")).when(k % 13 == 0, F.lit("5m")).otherwise(F.concat((k % 50).cast("string"), F.element_at(F.array(F.lit(""), F.lit("d"), F.lit("w"), F.lit("y")), (k % 4 + 1).cast("int")))))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"), C.duration_days(text).alias("days"))
+
+
+def x8_expiry_from_ttl(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (fleet.seconds("o_orderdate") + F.col("o_orderkey") * 977 % 86400).alias("now"), (F.col("o_orderkey") % 400).alias("days"))
+    return o.select("o_orderkey", C.expiry_from_ttl(F.col("now"), F.col("days")).alias("at"))
+
+
+def x10_strip_and_build(spark, sf_dir):
+    k = _keys(spark, sf_dir).where("node_id IS NOT NULL")
+    return k.select("vault_id", "line_no", C.without_expiry(F.col("raw")).alias("bare"), C.with_expiry(F.col("raw"), F.lit("never"), F.lit(0)).alias("forever"))
+
+
+def x22_parse_bool(spark, sf_dir):
+    spelled = F.element_at(F.array(*[F.lit(x) for x in ("1", " TRUE", "yes ", "On", "0", "False", "no", "OFF", "maybe", "")]), (F.col("c_custkey") % 10 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.parse_bool(spelled).alias("value"))
+
+
+def x15_derive_name(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    path = F.when(F.col("page_id") % 7 == 0, F.lit("/")).when(F.col("page_id") % 7 == 1, F.lit("/home/me")).otherwise(F.concat(F.lit("/srv/"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/")))
+    return p.select("page_id", C.derived_name(path, F.lit("/home/me")).alias("name"))
+
+
+def x17_path_parts(spark, sf_dir):
+    f = fleet.files(spark, sf_dir).select("vault_id", "path")
+    return f.select("vault_id", "path", C.base_name(F.col("path")).alias("name"), C.ext_of(F.col("path")).alias("ext"), scope.parent_dir(F.col("path")).alias("dir"), scope.is_keep(F.col("path")).alias("is_keep"))
+
+
+def x18_orphan_bucket(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (fleet.seconds("o_orderdate") + F.col("o_orderkey") * 977 % 86400).alias("t"))
+    return o.select("o_orderkey", C.orphan_bucket(F.col("t")).alias("bucket"), C.rfc3339(F.col("t")).alias("rfc3339"))
 
 
 def x14_key_status(spark, sf_dir):
@@ -116,16 +187,14 @@ def x15_slugs(spark, sf_dir):
 
 def s13_config_layers(spark, sf_dir):
     """Effective settings of every customer's device: flag over environment over file over default."""
-    c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    flag, env, conf = F.when(k % 7 == 0, F.lit("Yes")), F.when(k % 5 == 0, F.lit(" off ")), F.when(k % 3 == 0, F.lit("true"))
-    ttl_flag, ttl_conf = F.when(k % 4 == 0, F.when(k % 8 == 0, "never").otherwise("2w")).when(k % 4 == 1, F.lit("soon")), F.when(k % 6 == 1, (k % 50).cast("int"))
-    zero = F.trim(ttl_flag).isin("never", "0")
-    return c.select("c_custkey", F.coalesce(C.parse_bool(flag), C.parse_bool(env), C.parse_bool(conf), F.lit(False)).alias("no_tofu"),
-                    F.coalesce(F.when(zero, 0), C.duration_days(ttl_flag), ttl_conf, F.lit(90)).cast("long").alias("ttl_days"))
+    layers = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k % 7 == 0, F.lit("Yes")).alias("no_tofu_flag"), F.when(k % 5 == 0, F.lit(" off ")).alias("no_tofu_env"), F.when(k % 3 == 0, F.lit("true")).alias("no_tofu_conf"),
+        F.when(k % 4 == 0, F.when(k % 8 == 0, "never").otherwise("2w")).when(k % 4 == 1, F.lit("soon")).alias("ttl_flag"), F.when(k % 6 == 1, (k % 50).cast("int")).alias("ttl_conf"))
+    return keys.effective_config(layers).select("c_custkey", "no_tofu", "ttl_days")
 
 
-QUERIES = {f.__name__: f for f in (s6_read_auth_lines, x4_pubkey_string, x5_fingerprint, x9_parse_expiry, f10_valid_keys, w6_first_key_per_node, x11_migrate_default_expiry, x12_extend_expiry, x13_revoke, x14_key_status, j11_admit_peers, f11_handshake_verdict, x7_dates, x16_parse_when, x15_slugs, s13_config_layers)}
+QUERIES = {f.__name__: f for f in (s6_read_auth_lines, x4_pubkey_string, x5_fingerprint, x9_parse_expiry, f10_valid_keys, w6_first_key_per_node, x11_migrate_default_expiry, x12_extend_expiry, x12_extend_forever, x13_revoke, x13_revoke_fingerprint, z6_seed_keys, x3_parse_pubkey, x6_duration_days, x8_expiry_from_ttl, x10_strip_and_build, x22_parse_bool, x15_derive_name, x17_path_parts, x18_orphan_bucket, x14_key_status, j11_admit_peers, f11_handshake_verdict, x7_dates, x16_parse_when, x15_slugs, s13_config_layers)}
 
 _K = "WITH RECURSIVE " + fleet.AUTH_SQL + r""", d_keys AS (SELECT vault_id, line_no, raw, CASE WHEN starts_with(raw, 'ssh-ed25519 ') THEN lower(hex(from_base64(string_split(raw, ' ')[2])[20:51])) END AS node_id,
   regexp_extract(raw, ' expires=(\S+)', 1) AS ex, regexp_extract(raw, ' added=(\S+)', 1) AS ad, regexp_extract(raw, ' ttl=([0-9]+)d', 1) AS ttl FROM d_auth),
@@ -133,6 +202,7 @@ keyed AS (SELECT vault_id, line_no, raw, node_id,
   CASE WHEN node_id IS NULL THEN NULL WHEN ex = 'never' THEN 'never' WHEN ex <> '' OR (ttl <> '' AND ttl <> '0') THEN 'at' ELSE 'unset' END AS kind,
   CASE WHEN node_id IS NULL OR ex = 'never' THEN NULL WHEN ex <> '' THEN epoch(ex::DATE)::BIGINT WHEN ttl <> '' AND ttl <> '0' THEN epoch(ad::DATE)::BIGINT + ttl::BIGINT * 86400 END AS expires_at FROM d_keys)"""
 _HEAD = r"regexp_replace(raw, ' (expires|ttl|added)=\S+', '', 'g')"
+_HIT = """, own AS (SELECT vault_id, arg_min(node_id, line_no) AS own FROM keyed WHERE node_id IS NOT NULL GROUP BY vault_id), hits AS (SELECT k.*, node_id IS NOT NULL AND (starts_with(node_id, 'ab') OR contains(lower(raw), 'user17') OR contains(lower(raw), 'ab') OR node_id = own) AS hit FROM keyed k LEFT JOIN own USING (vault_id))"""
 _ATT = """, att AS (SELECT 'v' || c_nationkey::VARCHAR AS vault_id, o_orderkey AS attempt_id, CASE WHEN o_orderkey % 53 <> 0 THEN sha256('key ' || (o_custkey % 997)::VARCHAR) END AS node_id,
   floor(epoch(o_orderdate))::BIGINT + 27 * 365 * 86400 AS ts, o_orderkey % 10 = 0 AS enrolled FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
@@ -143,9 +213,22 @@ ORACLES = {
     "x9_parse_expiry": _K + " SELECT vault_id, line_no, kind, expires_at FROM keyed",
     "f10_valid_keys": _K + f" SELECT vault_id, line_no, node_id FROM keyed WHERE node_id IS NOT NULL AND (kind <> 'at' OR {NOW} < expires_at)",
     "w6_first_key_per_node": _K + " SELECT vault_id, node_id, min(line_no) AS line_no FROM keyed WHERE node_id IS NOT NULL GROUP BY ALL",
-    "x11_migrate_default_expiry": _K + f" SELECT vault_id, line_no, CASE WHEN kind = 'unset' THEN {_HEAD} || ' expires=2026-04-02' ELSE raw END AS raw FROM keyed",
-    "x12_extend_expiry": _K + f" SELECT vault_id, line_no, {_HEAD} || ' expires=2026-02-01' AS raw FROM keyed WHERE node_id IS NOT NULL AND (starts_with(node_id, 'ab') OR contains(lower(raw), 'user17'))",
-    "x13_revoke": _K + " , gone AS (SELECT vault_id, arg_min(node_id, line_no) AS node_id FROM keyed WHERE node_id IS NOT NULL GROUP BY vault_id) SELECT vault_id, line_no FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.vault_id = k.vault_id AND g.node_id = k.node_id)",
+    "x11_migrate_default_expiry": _K + f" SELECT vault_id, line_no, CASE WHEN kind = 'unset' AND substr(vault_id, 2)::INTEGER % 2 = 0 THEN {_HEAD} || ' expires=2026-04-02' ELSE raw END AS raw FROM keyed",
+    "x12_extend_expiry": _K + _HIT + f" SELECT vault_id, line_no, CASE WHEN coalesce(hit, false) THEN {_HEAD} || ' expires=2026-02-01' ELSE raw END AS raw, coalesce(hit, false) AS updated FROM hits",
+    "x12_extend_forever": _K + _HIT + f" SELECT vault_id, line_no, {_HEAD} || ' expires=never' AS raw FROM hits WHERE hit",
+    "x13_revoke": _K + " , gone AS (SELECT vault_id, arg_min(node_id, line_no) AS node_id FROM keyed WHERE node_id IS NOT NULL GROUP BY vault_id) SELECT vault_id, line_no FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.vault_id = k.vault_id AND g.node_id = k.node_id) AND raw <> '# comment'",
+    "x13_revoke_fingerprint": _K + " , gone AS (SELECT vault_id, arg_max(node_id, line_no) AS node_id FROM keyed WHERE node_id IS NOT NULL GROUP BY vault_id) SELECT vault_id, line_no FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.vault_id = k.vault_id AND g.node_id = k.node_id)",
+    "z6_seed_keys": _K + r""", f AS (SELECT vault_id, arg_min(node_id, line_no) AS node_id, min(line_no) AS line_no FROM keyed WHERE node_id IS NOT NULL GROUP BY vault_id), top AS (SELECT vault_id, max(line_no) AS top FROM keyed GROUP BY vault_id)
+SELECT k.vault_id, k.line_no, CASE WHEN k.line_no = f.line_no THEN 'ssh-ed25519 ' || base64('\x00\x00\x00\x0Bssh-ed25519\x00\x00\x00\x20'::BLOB || unhex(f.node_id)) || ' seeded' ELSE raw END AS raw FROM keyed k LEFT JOIN f ON f.vault_id = k.vault_id
+UNION ALL SELECT vault_id, top + 1, 'ssh-ed25519 ' || base64('\x00\x00\x00\x0Bssh-ed25519\x00\x00\x00\x20'::BLOB || unhex(sha256('seed ' || vault_id))) || ' fresh' FROM top JOIN f USING (vault_id)""",
+    "x3_parse_pubkey": _K + " SELECT vault_id, line_no, node_id FROM keyed",
+    "x6_duration_days": "WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 11 = 0 THEN 'never' WHEN c_custkey % 13 = 0 THEN '5m' ELSE (c_custkey % 50)::VARCHAR || (['', 'd', 'w', 'y'])[c_custkey % 4 + 1] END AS text FROM customer) SELECT k AS c_custkey, text, CASE WHEN k % 11 <> 0 AND k % 13 <> 0 AND k % 50 > 0 THEN (k % 50) * ([1, 1, 7, 365])[k % 4 + 1] END::BIGINT AS days FROM t",
+    "x8_expiry_from_ttl": "SELECT o_orderkey, ((floor(epoch(o_orderdate))::BIGINT + o_orderkey * 977 % 86400 + (o_orderkey % 400) * 86400) // 86400 + 1) * 86400 AS at FROM orders",
+    "x10_strip_and_build": _K + f" SELECT vault_id, line_no, {_HEAD} AS bare, {_HEAD} || ' expires=never' AS forever FROM keyed WHERE node_id IS NOT NULL",
+    "x22_parse_bool": "SELECT c_custkey, ([true, true, true, true, false, false, false, false, NULL, NULL])[c_custkey % 10 + 1] AS value FROM customer",
+    "x15_derive_name": r"SELECT page_id, CASE WHEN page_id % 7 <= 1 THEN '' ELSE trim(regexp_replace(string_split(rtrim('/srv/' || regexp_replace(url, '^[a-z]+://', '') || '/', '/'), '/')[-1], '[^A-Za-z0-9._-]+', '-', 'g'), '-.') END AS name FROM pages",
+    "x17_path_parts": "WITH " + fleet.FILES_SQL + " SELECT vault_id, path, string_split(path, '/')[-1] AS name, string_split(path, '.')[-1] AS ext, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, false AS is_keep FROM d_files",
+    "x18_orphan_bucket": "WITH t AS (SELECT o_orderkey, to_timestamp(floor(epoch(o_orderdate))::BIGINT + o_orderkey * 977 % 86400) AT TIME ZONE 'UTC' AS t FROM orders) SELECT o_orderkey, strftime(t, '%Y-%m-%dT%H-%M-%SZ') AS bucket, strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') AS rfc3339 FROM t",
     "x14_key_status": _K + f" SELECT vault_id, line_no, CASE kind WHEN 'never' THEN 'never-expires' WHEN 'unset' THEN 'unmigrated' ELSE CASE WHEN {NOW} < expires_at THEN 'valid' ELSE 'expired' END END AS status, CASE WHEN kind = 'at' THEN floor((expires_at - {NOW}) / 86400.0)::BIGINT END AS remaining_days FROM keyed WHERE node_id IS NOT NULL",
     "j11_admit_peers": _K + _ATT + """, held AS (SELECT * FROM keyed WHERE node_id IS NOT NULL AND substr(vault_id, 2)::INTEGER >= 10 QUALIFY row_number() OVER (PARTITION BY vault_id, node_id ORDER BY line_no) = 1),
 firsts AS (SELECT vault_id, arg_min(attempt_id, (ts, attempt_id)) AS fa FROM att WHERE node_id IS NOT NULL GROUP BY vault_id),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import orphan_bucket
 from ..functions.tables import table
 from ..sources import fleet
 from ..streaming import live
@@ -79,12 +80,12 @@ def t9_live_delta(spark, sf_dir):
 
 
 def t12_quarantine_events(spark, sf_dir):
-    """The side output of the pre-publish guard: what goes to the orphan folder of its second."""
+    """The side output of the pre-publish guard: what goes to the orphan folder of the second in which the vault last moved."""
     from .history import j16_classify_local_adds
 
     q = j16_classify_local_adds(spark, sf_dir).where("step = 'quarantine'")
-    bucket = F.concat(F.substring("vault_id", 1, 10), F.lit("T00-00-00Z"))
-    return q.select("vault_id", "path", F.concat(F.lit(".context/orphans/"), bucket, F.lit("/"), "path").alias("to_path"))
+    when = fleet.commits(spark, sf_dir).groupBy("vault_id").agg(F.max("author_time").alias("t"))
+    return q.join(when, "vault_id").select("vault_id", "path", F.concat(F.lit(".context/orphans/"), orphan_bucket(F.col("t")), F.lit("/"), "path").alias("to_path"))
 
 
 QUERIES = {f.__name__: f for f in (t1_debounce_commits, t2_coalesce_leading, t3_integrate, t4_reassemble_batches, t5_relay, t6_bootstrap_gate, t8_suppress_self_writes, t9_live_delta, t10_handshake_timeout, t12_quarantine_events)}
@@ -116,3 +117,8 @@ SELECT vault_id, oid, 'blob' AS kind, b AS object FROM (SELECT c.vault_id, c.oid
   EXCEPT SELECT c.vault_id, c.oid, t.b FROM chain c JOIN t ON t.vault_id = c.vault_id AND t.oid = c.parent)
 UNION ALL SELECT vault_id, oid, 'commit', oid FROM chain WHERE parent IS NOT NULL""",
 }
+
+from .history import ORACLES as _PAST  # noqa: E402
+
+ORACLES["t12_quarantine_events"] = (
+    "WITH j AS (" + _PAST["j16_classify_local_adds"] + ") SELECT j.vault_id, path, '.context/orphans/' || strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H-%M-%SZ') || '/' || path AS to_path FROM j JOIN (SELECT strftime(ts, '%Y-%m-%d') || '-' || (user_id // 15)::VARCHAR AS vault_id, max(floor(epoch(ts))::BIGINT) AS t FROM events GROUP BY 1) m ON m.vault_id = j.vault_id WHERE step = 'quarantine'")

@@ -128,7 +128,7 @@ HOST_GLOBS = ("en/d1/*", "**/d7/**", "fr/d?/1*.md")
 
 def _rules(spark, sf_dir):
     given = spark.createDataFrame(RULES, "kind string, ord int, pattern string")
-    return fleet.page_paths(spark, sf_dir).select("vault_id").distinct().join(F.broadcast(given))
+    return fleet.page_paths(spark, sf_dir).select("vault_id").distinct().crossJoin(F.broadcast(given))  # eleven rules for every vault
 
 
 def f3_path_in_scope(spark, sf_dir):
@@ -188,17 +188,16 @@ def s7b_default_rules(spark, sf_dir):
 
 
 def s7_scope_rules(spark, sf_dir):
-    """Rule files (here: a conversation's turns, one text per vault and file) as numbered rules, control file first."""
-    v = fleet.versions(spark, sf_dir).where("turn < 2")
-    lines = v.select("vault_id", "path", F.col("turn").alias("file_rank"), F.posexplode(F.split("content", "\n")).alias("line_no", "pattern"))
-    return lines.select("vault_id", "path", F.row_number().over(Window.partitionBy("vault_id", "path").orderBy("file_rank", "line_no")).alias("ord"), "pattern")
+    """Rule files (here: a conversation's turns, a vault each, the turn as the file's rank) as numbered rules."""
+    v = fleet.versions(spark, sf_dir)
+    return scope.rule_lines(v.select(F.concat_ws(":", "vault_id", "path").alias("vault_id"), F.col("turn").alias("file_rank"), "content"))
 
 
 def z6_add_rules(spark, sf_dir):
     """Additive rule lists: includes are deduplicated, ignores are appended behind."""
     old = _rules(spark, sf_dir)
     more = spark.createDataFrame([("include", 90, "en/"), ("include", 91, "de/"), ("ignore", 90, "*.html"), ("ignore", 91, "x")], "kind string, ord int, pattern string")
-    new = old.select("vault_id").distinct().join(F.broadcast(more))
+    new = old.select("vault_id").distinct().crossJoin(F.broadcast(more))  # four rules for every vault
     both = old.unionByName(new.select(*old.columns))
     first = Window.partitionBy("vault_id", "kind", F.when(F.col("kind") == "include", F.col("pattern")).otherwise(F.col("ord").cast("string"))).orderBy("ord")
     kept = both.withColumn("n", F.row_number().over(first)).where("n = 1")
@@ -280,7 +279,7 @@ SELECT vault_id, {_DIR.format('path')} AS dir FROM kept WHERE ends_with(path, '/
     "f8_empty_dir_keeps": _F + f" SELECT vault_id, dir || '/.keep' AS path FROM (SELECT vault_id, unnest({_ANC.format('path')}) AS dir FROM d_files EXCEPT SELECT vault_id, unnest({_ANC.format('path')}) FROM d_files WHERE path LIKE '%.md')",
     "f9_should_sync": _F + f" SELECT vault_id, path, {_syncs_sql('path')} AS syncs FROM d_files",
     "s7b_default_rules": _F + " SELECT * FROM (SELECT DISTINCT vault_id FROM d_files), (VALUES ('include', 1, '*'), ('ignore', 2, '!*.md'), ('ignore', 3, '!.contextignore')) AS r(kind, ord, pattern)",
-    "s7_scope_rules": "WITH " + fleet.VERSIONS_SQL + ", l AS (SELECT vault_id, path, turn, string_split(content, chr(10)) AS ls FROM d_versions WHERE turn < 2), e AS (SELECT vault_id, path, turn, unnest(range(len(ls))) AS i, unnest(ls) AS pattern FROM l) SELECT vault_id, path, row_number() OVER (PARTITION BY vault_id, path ORDER BY turn, i)::INTEGER AS ord, pattern FROM e",
+    "s7_scope_rules": "WITH " + fleet.VERSIONS_SQL + ", l AS (SELECT vault_id || ':' || path AS vault_id, turn, string_split(content, chr(10)) AS ls FROM d_versions), e AS (SELECT vault_id, turn, unnest(range(len(ls))) AS i, unnest(ls) AS pattern FROM l) SELECT vault_id, row_number() OVER (PARTITION BY vault_id ORDER BY turn, i)::INTEGER AS ord, pattern FROM e",
     "z6_add_rules": _RULES + """, more AS (SELECT * FROM (SELECT DISTINCT vault_id FROM d_paths), (VALUES ('include', 90, 'en/'), ('include', 91, 'de/'), ('ignore', 90, '*.html'), ('ignore', 91, 'x')) AS r(kind, ord, pattern)),
 both_ AS (SELECT vault_id, kind, ord, pattern FROM rules UNION ALL SELECT * FROM more), one AS (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY vault_id, kind, CASE WHEN kind = 'include' THEN pattern ELSE ord::VARCHAR END ORDER BY ord) = 1)
 SELECT vault_id, kind, row_number() OVER (PARTITION BY vault_id, kind ORDER BY ord)::INTEGER AS ord, pattern FROM one""",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved
+from ..operators.chains import chained
 
 # ---- sessions and last writers: batch and stream alike ---------------------------------------------------------------
 
@@ -61,16 +62,13 @@ def reassemble_stream(frames: DataFrame) -> DataFrame:
 def coalesced_leading(events: DataFrame, span_ms: int) -> DataFrame:
     """events (vault_id, ms) -> passes: a timer starts at the first event, does not restart, and takes in all until it fires;
     the next event after that starts the next."""
-    listed = events.groupBy("vault_id").agg(F.array_sort(F.collect_list("ms")).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<first:bigint,n:bigint>>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        fresh = s["first"].isNull() | (t > s["first"] + span_ms)
-        closed = F.when(s["first"].isNull() | ~fresh, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), s["n"].alias("n")))))
-        return F.struct(F.when(fresh, t).otherwise(s["first"]).alias("first"), F.when(fresh, F.lit(1).cast("long")).otherwise(s["n"] + 1).alias("n"), closed.alias("out"))
-
-    done = F.aggregate("all", start, step, lambda s: F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), s["n"].alias("n")))))
-    return listed.select("vault_id", F.explode(done).alias("x")).select("vault_id", F.col("x.first").alias("started"), (F.col("x.first") + span_ms).alias("fires"), F.col("x.n").alias("events"))
+    times = saved(events.groupBy("vault_id", F.col("ms").cast("long").alias("own")).agg(F.count("*").alias("n")), "times")
+    lead = times.groupBy("vault_id").agg(F.min("own").alias("__first"))
+    rows = times.join(lead, "vault_id").select("vault_id", "own", F.col("own").alias("level"), (F.col("own") + span_ms).alias("bar"), F.lit(True).alias("candidate"), (F.col("own") == F.col("__first")).alias("first"))
+    starts = chained(rows, ["vault_id"]).withColumn("started", F.col("own"))
+    order = Window.partitionBy("vault_id").orderBy("own").rowsBetween(Window.unboundedPreceding, 0)
+    placed = times.join(starts, ["vault_id", "own"], "left").withColumn("started", F.last("started", True).over(order))
+    return placed.groupBy("vault_id", "started").agg(F.sum("n").alias("events")).select("vault_id", "started", (F.col("started") + span_ms).alias("fires"), "events")
 
 
 # ---- admission of batches --------------------------------------------------------------------------------------------
