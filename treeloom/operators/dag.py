@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.tables import forget, saved, saved_counted
 
 
+LONGEST_HOP = 8
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for more in parts[1:]:
@@ -52,7 +55,7 @@ def dominated(commits: DataFrame, edges: DataFrame, most_rounds: int = 100_000)
     its own parents are there from the start; where histories are whole this is one shuffle, and only stretches of commits
     that are left out are walked."""
     up = edges.select("vault_id", F.col("child").alias("oid"), "parent")
-    own = commits.select("vault_id", "oid")
+    own = saved(commits.select("vault_id", "oid"), "own")
     parts = [saved(up.join(own, ["vault_id", "oid"], "left_semi").select("vault_id", F.col("parent").alias("oid")).distinct(), "dominated")]
     for _ in range(most_rounds):
         front, left = saved_counted(parts[-1].join(own, ["vault_id", "oid"], "left_anti"), "front")
@@ -105,9 +108,10 @@ def fold_bases(tips: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reachable(roots: DataFrame, links: DataFrame, by: list[str] | None = None, most_rounds: int = 100_000) -> DataFrame:
     """(vault_id, *by, oid) that roots reach over links (vault_id, src, dst), roots included; each label in `by` walks on its
-    own. A round follows only what the last one found, and no row is written twice."""
+    own. A round follows only what the last one found, and no row is written twice. Where the walk goes on, rounds take two,
+    four, and then LONGEST_HOP links at once, so that a deep history needs fewer of them."""
     key = ["vault_id", *(by or []), "oid"]
-    onward = links.select("vault_id", F.col("src").alias("oid"), "dst")
+    onward, hop = links.select("vault_id", F.col("src").alias("oid"), "dst"), 1
     parts = [saved(roots.select(*key).distinct(), "seen")]
     for _ in range(most_rounds):
         step = parts[-1].join(onward, ["vault_id", "oid"]).select("vault_id", *(by or []), F.col("dst").alias("oid")).distinct()
@@ -115,6 +119,11 @@ def reachable(roots: DataFrame, links: DataFrame, by: list[str] | None = None, m
         if not found:
             return _all(parts)
         parts.append(new)
+        if hop < LONGEST_HOP:
+            further = onward.join(onward.select("vault_id", F.col("oid").alias("dst"), F.col("dst").alias("__next")), ["vault_id", "dst"]).select("vault_id", "oid", F.col("__next").alias("dst"))
+            longer = saved(onward.unionByName(further).distinct(), "hops")
+            forget(onward)
+            onward, hop = longer, hop * 2
         if len(parts) == 32:  # keeps plans short in deep histories; the rows are rewritten once in 32 rounds
             whole = saved(_all(parts[:-1]), "seen")
             forget(*parts[:-1])
