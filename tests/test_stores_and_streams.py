@@ -142,3 +142,78 @@ def test_integrate_each_is_idempotent(spark, tmp_path):
     admit(rows, 0)
     admit(rows, 0)
     assert [r.oid for r in spark.read.parquet(str(tmp_path / "known")).collect()] == ["a"]
+
+
+def run_stream(spark, rows, name, tmp_path, cut, form, watermark=None):
+    """form over a stream of the rows in as many files as cut has parts; what it gives, as a set."""
+    for part in cut:
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    stream = stream.withWatermark(watermark, "0 seconds") if watermark else stream
+    query = form(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-cp")).option("path", str(tmp_path / f"{name}-out")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {tuple(r) for r in spark.read.parquet(str(tmp_path / f"{name}-out")).collect()}
+
+
+def test_state_streams_equal_batches(spark, tmp_path):
+    rng = random.Random(3)
+    events = spark.createDataFrame([(rng.randint(1, 3), n, n * 37 + rng.randint(0, 30), rng.choice("ab"), rng.random() < 0.4, rng.random() < 0.1) for n in range(60)], "vault_id long, seq long, ms long, path string, own boolean, opens boolean").cache()
+    cut = [f"seq BETWEEN {a} AND {a + 19}" for a in (0, 20, 40)]
+    want = {tuple(r) for r in live.coalesced_leading(events.select("vault_id", "ms"), 200).collect()}
+    got = run_stream(spark, events.select("vault_id", "seq", F.col("ms").alias("at")), "leading", tmp_path, cut, lambda s: live.coalesce_leading_stream(s, 200))
+    assert got <= want and len(want - got) == 3  # each vault's last pass waits for its next event
+    tokens = events.select(F.col("vault_id").alias("room"), "path", F.col("ms").alias("ts"), "seq", "own")
+    got = run_stream(spark, tokens.withColumn("at", F.col("seq")), "tokens", tmp_path, cut, live.unsuppressed_stream)
+    assert got == {(r.room, r.path, r.seq) for r in live.unsuppressed(tokens).collect()} and got
+    edits = events.select("vault_id", F.col("ms").alias("ts"), "seq", "path", F.when(F.col("opens"), "ready").otherwise("edit").alias("kind"))
+    got = run_stream(spark, edits.withColumn("at", F.col("seq")), "gate", tmp_path, cut, live.gate_stream)
+    assert got == {tuple(r) for r in live.gated(edits).collect()} and got
+
+
+def test_handshakes_time_out_on_the_streams_clock(spark, tmp_path):
+    rows = [("quick", 0, False), ("slow", 1, False), ("never", 2, False), ("quick", 5, True), ("slow", 40, True), ("other", 60, True), ("other", 61, True)]
+    steps = spark.createDataFrame([(s, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=t), t, e) for s, t, e in rows], "session string, ts timestamp, at long, established boolean")
+    start = int(dt.datetime(2026, 1, 1, tzinfo=dt.UTC).timestamp())
+    steps = steps.withColumn("at", F.col("at") + start)
+    got = run_stream(spark, steps, "shakes", tmp_path, [f"at - {start} BETWEEN {a} AND {z}" for a, z in ((0, 4), (5, 39), (40, 59), (60, 60), (61, 99))], lambda s: live.timed_out_stream(s, 20), "ts")
+    batch = {r.session: r.timed_out for r in live.timed_out(steps.select("session", F.col("at").alias("t"), "established"), 20).collect()}
+    assert {s: late for s, _, late in got} == batch and len(got) == len(batch)
+
+
+def test_relay_and_repeated_batches(spark, tmp_path):
+    schema = "batch_id int, oid string, fold_ok boolean, sig_ok boolean"
+    one = spark.createDataFrame([(1, "a", True, True), (2, "b", False, True)], schema)
+    two = spark.createDataFrame([(3, "a", True, True), (4, "c", True, True), (4, "a", True, True)], schema)
+    relay = live.relay_each(str(tmp_path / "known"), str(tmp_path / "out"))
+    for rows, batch in ((one, 0), (one, 0), (two, 1), (two, 1)):
+        relay(rows, batch)
+    assert sorted((r.batch_id, r.admitted) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (4, 1)]
+    assert sorted(r.oid for r in spark.read.parquet(str(tmp_path / "known")).collect()) == ["a", "c"]
+
+
+def test_late_commits_recompute_only_their_vaults(spark, tmp_path):
+    rows = [(v, f"{v}{n}", n) for v in "xyz" for n in range(6)]
+    compute = lambda stored: stored.groupBy("vault_id").agg(F.count("*").alias("n"), F.max_by("oid", "counter").alias("tip"))
+    found = []
+    for seed in (1, 2):
+        mixed = random.Random(seed).sample(rows, len(rows)) + rows[:2]
+        each = live.main_each(compute, str(tmp_path / f"store{seed}"), str(tmp_path / f"out{seed}"), "vault_id string, oid string, counter int")
+        for batch, at in enumerate((0, 7, 14)):
+            each(spark.createDataFrame(mixed[at : at + 7], "vault_id string, oid string, counter int"), batch)
+        found.append({tuple(r) for r in live.current_mains(spark, str(tmp_path / f"out{seed}")).collect()})
+    assert found[0] == found[1] == {(v, 6, f"{v}5") for v in "xyz"}
+
+
+def test_live_deltas_of_a_stream(spark, tmp_path):
+    trees = spark.createDataFrame([("v", "1", "a", "A"), ("v", "2", "a", "A"), ("v", "2", "b", "B")], "vault_id string, oid string, path string, blob_oid string")
+    each = live.live_delta_each(trees, str(tmp_path / "out"))
+    each(spark.createDataFrame([("v", "2", "1")], "vault_id string, oid string, parent string"), 0)
+    each(spark.createDataFrame([("v", "2", "1")], "vault_id string, oid string, parent string"), 0)
+    assert sorted((r.kind, r.object) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("blob", "B"), ("commit", "2")]
+
+
+def test_frames_of_known_kinds(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"session_id": 1, "seq": 1, "kind": "Live", "oid": "x", "bytes": 5}\n{"session_id": 1, "seq": 2, "kind": "Other"}\n')
+    assert [(r.kind, r.oid) for r in stores.frames(spark, str(tmp_path / "in")).collect()] == [("Live", "x")]
+    assert stores.frames(spark, str(tmp_path / "in"), streaming=True).isStreaming
