@@ -31,7 +31,8 @@ def test_loose_objects_and_flattening(spark, tmp_path):
     found = {r.oid: r for r in stores.loose_objects(spark, str(root)).collect()}
     assert found[blob].ok and found[blob].kind == "blob" and bytes(found[blob].payload) == b"hello\n"
     assert found[top].ok and not found[cut].ok and not found["ff" + "0" * 38].ok
-    entries = spark.createDataFrame([(o, e.mode, e.name, e.oid) for o in (top, sub) for e in found[o].entries], "tree_oid string, mode string, name string, child_oid string")
+    entries = stores.tree_entries(stores.loose_objects(spark, str(root)))
+    assert {(r.tree_oid, r.place, r.name) for r in entries.collect()} == {(top, 0, "a.md"), (top, 1, "d"), (sub, 0, "b.md")}
     flat = stores.flattened(entries, spark.createDataFrame([(top,)], "tree_oid string"))
     assert {(r.path, r.blob_oid) for r in flat.collect()} == {("a.md", blob), ("d/b.md", blob)}
 
@@ -42,6 +43,10 @@ def test_working_trees(spark, tmp_path):
         (tmp_path / name).write_text(name)
     rows = stores.working_trees(spark, str(tmp_path)).collect()
     assert {(r.vault_id, r.path) for r in rows} == {("v1", "a.md"), ("v1", "d/b.md"), ("v2", "c.md")}
+    (tmp_path / "v1" / "z.md").write_bytes(b"a\x00b")
+    rules = spark.createDataFrame([("v1", "include", 1, "*"), ("v1", "ignore", 1, "d/")], "vault_id string, kind string, ord int, pattern string")
+    assert {r.path for r in stores.working_trees(spark, str(tmp_path), rules).collect()} == {"a.md", "z.md"}
+    assert {r.path for r in stores.working_trees(spark, str(tmp_path), rules, binary=False).collect()} == {"a.md"}
 
 
 def test_put_objects_adds_once(spark, tmp_path):
