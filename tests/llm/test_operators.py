@@ -510,7 +510,7 @@ def test_scores(spark):
 
 def test_hot_and_cold_words_give_the_same_base(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
-    monkeypatch.setattr(lm_scoring, "STEPS", 5)
+    monkeypatch.setattr(lm_scoring, "ENOUGH", 1)
     one = {r.doc_id: round(r.base_score, 6) for r in lm_scoring.score(docs, docs).collect()}
     monkeypatch.setattr(lm_scoring, "HOT_SHARE", 100)
     assert {r.doc_id: round(r.base_score, 6) for r in lm_scoring.score(docs, docs).collect()} == one
@@ -532,15 +532,77 @@ def test_training_reaches_every_token_of_every_text(spark, monkeypatch):
 def test_text_behind_any_prefix_moves_the_weights(spark):
     path, units = bpe.default_path(), lm_scoring.subwords(bpe.default_path())
     pairs = np.ones(units.size**2, np.int32)
-    models = [lm_scoring.train_on(spark.createDataFrame([(1, "same words " * 500 + end)], "doc_id long, text string"), path, pairs) for end in ("a cat sat here", "le chien dort")]
+    docs = [spark.createDataFrame([(1, "same words " * 500 + end)], "doc_id long, text string") for end in ("a cat sat here", "le chien dort")]
+    models = [lm_scoring.train_on(lm_scoring.counted(d, path)[2], path, pairs) for d in docs]
     assert not np.array_equal(models[0].p["e"], models[1].p["e"])
 
 
+def small_model(units: int = 150) -> lm_scoring.Model:
+    """A model whose weights are all of a size to matter."""
+    rng = np.random.default_rng(5)
+    model = lm_scoring.Model(units)
+    model.place(rng.permutation(units), rng.integers(1, 50, units))
+    for name, w in model.p.items():
+        w += np.where(w > -1e3, rng.normal(0, 0.2, w.shape), 0).astype(np.float32)
+    return model
+
+
+def told_plainly(model: lm_scoring.Model, ids: list[int], begin: int) -> float:
+    """log10 of a text's probability, one token and one place at a time, in double precision."""
+    p, half, total = {n: w.astype(float) for n, w in model.p.items()}, lm_scoring.HALF, 0.0
+    inputs = [begin, *ids]
+    for t, target in enumerate(ids):
+        base = (t // half - 1) * half
+        x = {j: p["e"][inputs[j]] + p["pos"][j - base] for j in range(max(base, 0), t + 1)}
+        bare = {j: math.exp(float((x[t] @ p["q"]) @ (x[j] @ p["k"])) / math.sqrt(lm_scoring.KEYS)) for j in x}
+        gathered = sum(bare[j] * (x[j] @ p["v"]) for j in x) / sum(bare.values())
+        h = np.maximum(np.concatenate([x[t], gathered]) @ p["w"] + p["wb"], 0)
+        c, m = model.class_of[target], model.member_of[target]
+        told, among = h @ p["c"] + p["cb"], h @ p["m"][c] + p["mb"][c]
+        total += told[c] - math.log(sum(math.exp(v) for v in told)) + among[m] - math.log(sum(math.exp(v) for v in among))
+    return total / math.log(10)
+
+
+def test_score_is_that_of_plain_loops():
+    model, rng = small_model(), np.random.default_rng(6)
+    texts = [rng.integers(0, 149, n).tolist() for n in (1, 2, 7, 8, 9, 16, 17, 60)]
+    ids, sizes = np.concatenate(texts).astype(np.int32), np.array([len(t) for t in texts])
+    assert model.log10s(ids, sizes, 149) == pytest.approx([told_plainly(model, t, 149) for t in texts], rel=1e-4)
+
+
+def test_slopes_of_the_language_model_are_finite_differences():
+    model, rng = small_model(90), np.random.default_rng(7)
+    sizes = np.array([5, 20, 33])
+    ids = rng.integers(0, 89, sizes.sum()).astype(np.int32)
+    seen = model.windows(ids, sizes, 89)
+    loss = lambda: -model.log10s(ids, sizes, 89).sum() * math.log(10) / len(ids)
+    for name, slope in model.slopes(*seen).items():
+        w = model.p[name]
+        for at in {int(np.abs(slope).argmax()), int(rng.integers(w.size))}:
+            at = np.unravel_index(at, w.shape)
+            kept = w[at]
+            if kept < -1e3:
+                continue
+            w[at] = kept + 0.01
+            up = loss()
+            w[at] = kept - 0.01
+            down = loss()
+            w[at] = kept
+            assert slope[at] == pytest.approx((up - down) / 0.02, abs=2e-4, rel=0.03), (name, at)
+
+
 def test_model_is_a_probability():
-    units = lm_scoring.subwords(bpe.default_path())
-    model = lm_scoring.train([b"the cat sat on the mat. " * 20, b"le chat dort sur le lit. " * 20], bpe.default_path(), np.zeros(units.size**2, np.int32), steps=5)
-    told = [model.log10s(np.array([i], np.int32), np.array([1]), units.begin)[0] for i in range(units.size)]
-    assert abs(sum(10**t for t in told) - 1) < 1e-3
+    model = small_model()
+    told = [model.log10s(np.array([3, 5, i], np.int32), np.array([3]), 149)[0] for i in range(150)]
+    short = model.log10s(np.array([3, 5], np.int32), np.array([2]), 149)[0]
+    assert abs(sum(10**t for t in told) / 10**short - 1) < 1e-4
+
+
+def test_held_out_score_is_no_worse_than_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scored = lm_scoring.score(docs, docs.where(~lm_scoring.held_out())).where(lm_scoring.held_out())
+    told = scored.selectExpr("sum(score)", "sum(base_score)").first()
+    assert told[0] > told[1]
 
 
 def test_subwords_give_the_text_back():

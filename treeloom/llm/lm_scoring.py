@@ -1,24 +1,26 @@
 """Scores of texts under a causal self-attention model over subword ids, beside an add-one unigram base.
 
 Words (ASCII letters lower-cased, white space of no further account) are cut greedily into the public vocabulary's short,
-frequent subwords; a blank is the last byte of a word's last subword. One attention layer over a window of the last tokens
-predicts the class of the next subword; corpus-wide counts predict the subword within its class after the one before, so the
-product is a probability of the text. Windows overlap by half: each scores its second half, batched and masked, with its
-first half as context, so every token is scored once.
-
-The attention weights are trained in numpy on every window of every training document, where its rows lie: the documents are
-dealt over ROUNDS rounds, in a round every partition makes its steps from the broadcast weights over its share of the round,
-and the weights (of fixed size) are averaged by tokens in a tree. Classes come from the counts of subword pairs; these and
-the counts of words cover all training documents. Word counts meet texts in two ways: words that make up at least
-1 / HOT_SHARE of all tokens (so at most HOT_SHARE of them) are broadcast, all others are joined by hash.
+frequent subwords; a blank is the last byte of a word's last subword. One attention layer over a window of the last tokens and
+one rectified layer predict the next subword among all, by its class and its place in the class, so the product over a text is
+a probability of the text. Windows overlap by half: each scores its second half, batched and masked, with its first half as
+context, so every token is scored once.
+
+All weights are trained in numpy on every target of every window of every training document: the documents are cut once, their
+ids written, and dealt over ROUNDS rounds; in a round every partition makes its steps from the broadcast weights over its share
+of the round, and the weights (of fixed size) are averaged by tokens in a tree. Corpus-wide counts of subwords and their pairs
+only say which subwords share a class and how the biases start. The counts of words cover all training documents; they meet
+texts in two ways: words that make up at least 1 / HOT_SHARE of all tokens (so at most HOT_SHARE of them) are broadcast, all
+others are joined by hash.
 
 Cases: a null text counts as empty and has one token, its end; very long texts go window by window; repeated rows repeat
-their result; without training documents every count is 0 and the model is uniform within its classes; an empty table gives
+their result; without training documents every count is 0 and the model is as it was drawn, near uniform; an empty table gives
 an empty result; further columns are not read. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import copy
 import functools
 import json
 from collections.abc import Iterator
@@ -30,26 +32,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_path
-from .common import _SPACE, crc_rest, mix64, saved, utf8
+from .common import _SPACE, crc_rest, forget, mix64, saved, utf8
 from .substring_dedup import _raws
 
 HOT_SHARE = 1 << 21
 MERGES = 3000
-LONGEST = 8
+LONGEST = 4
 CLASSES = 64
-WIDTH, KEYS, VALUES = 16, 8, 16
-HALF = 16
-BATCH = 1024
+WIDTH, KEYS, VALUES, HIDDEN = 16, 8, 16, 32
+HALF = 8
+BATCH = 512
 #: Bytes of text that a task has in hand at once (a longer single text is taken alone).
 READ_CHARS = 1_000_000
-STEPS = 1200
 ROUNDS = 8
 #: Windows of a step; a small corpus is gone over until about ENOUGH windows were seen, MOST_PASSES times at most.
 STEP_WINDOWS = 512
-ENOUGH, MOST_PASSES = 150_000, 10
-RATE = 0.004
-#: Pseudo-counts by which the pair counts are led back to the subword's share of its class.
-BACK_OFF = 8.0
+ENOUGH, MOST_PASSES = 1_200_000, 10
+RATE = 0.01
+#: Logits are held within this, so that no sum of their exponentials leaves the single precision.
+MOST_LOGIT = 80.0
 END_WORD = np.uint64(0x5EED)
 
 
@@ -138,12 +139,38 @@ class Read:
 
 
 class Model:
+    """One causal attention layer, one rectified layer, and a softmax over all subwords in two steps: the class, then the
+    member of the class. All of it is learned; classes are of equal size."""
+
     def __init__(self, units: int, seed: int = 7):
+        self.units, members = units, -(-units // CLASSES)
         rng = np.random.default_rng(seed)
-        small = lambda *shape: rng.normal(0, 0.3 / np.sqrt(shape[-1]), shape).astype(np.float32)
-        self.p = {"e": small(units, WIDTH) * 4, "pos": small(2 * HALF, WIDTH), "q": small(WIDTH, KEYS) * 3, "k": small(WIDTH, KEYS) * 3, "v": small(WIDTH, VALUES) * 3, "u": small(VALUES, CLASSES), "t": np.zeros((units, CLASSES), np.float32)}
-        self.class_of = np.arange(units) % CLASSES
-        self.within = np.zeros((units, units), np.float32)
+        small = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
+        self.p = {
+            "e": small(0.4, units, WIDTH),
+            "pos": small(0.1, 2 * HALF, WIDTH),
+            "q": small(WIDTH**-0.5, WIDTH, KEYS),
+            "k": small(WIDTH**-0.5, WIDTH, KEYS),
+            "v": small(WIDTH**-0.5, WIDTH, VALUES),
+            "w": small(WIDTH**-0.5, WIDTH + VALUES, HIDDEN),
+            "wb": np.zeros(HIDDEN, np.float32),
+            "c": small(0.3 * HIDDEN**-0.5, HIDDEN, CLASSES),
+            "cb": np.zeros(CLASSES, np.float32),
+            "m": small(0.3 * HIDDEN**-0.5, CLASSES, HIDDEN, members),
+            "mb": np.zeros((CLASSES, members), np.float32),
+        }
+        self.place(np.arange(units), np.ones(units))
+
+    def place(self, order: np.ndarray, counts: np.ndarray) -> None:
+        """Units in this order fill the classes; biases start as logs of the units' shares."""
+        members = self.p["mb"].shape[1]
+        self.class_of, self.member_of = np.empty(self.units, np.int64), np.empty(self.units, np.int64)
+        self.class_of[order], self.member_of[order] = np.divmod(np.arange(self.units), members)
+        share = (counts + 0.5) / (counts + 0.5).sum()
+        within = np.bincount(self.class_of, share, CLASSES)
+        self.p["cb"] = np.log(within + 1e-30).astype(np.float32)
+        self.p["mb"] = np.full((CLASSES, members), -1e4, np.float32)  # a place without a unit has no probability
+        self.p["mb"][self.class_of, self.member_of] = np.log(share / within[self.class_of])
 
     def windows(self, ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts: inputs (windows, 2 * HALF), targets (windows, HALF; -1 where there is none), and whether a window
@@ -161,20 +188,35 @@ class Model:
         return inputs, targets, number == 0
 
     def attend(self, inputs: np.ndarray, first: np.ndarray) -> tuple:
-        p = self.p
-        x = p["e"][inputs] + p["pos"]
-        q, k, v = x[:, HALF:] @ p["q"], x @ p["k"], x @ p["v"]
-        s = (q @ k.transpose(0, 2, 1)) * np.float32(KEYS**-0.5)
+        """Embeddings, queries, keys, values, masked weights, and what was gathered, for every place of the second half."""
+        p, n = self.p, len(inputs)
+        x = p["e"][inputs]
+        x += p["pos"]
+        flat = x.reshape(-1, WIDTH)
+        q = (x[:, HALF:].reshape(-1, WIDTH) @ (p["q"] * np.float32(KEYS**-0.5))).reshape(n, HALF, KEYS)
+        k, v = (flat @ p["k"]).reshape(n, 2 * HALF, KEYS), (flat @ p["v"]).reshape(n, 2 * HALF, VALUES)
+        s = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= MASK
         s[first, :, :HALF] = 0
-        s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
-        return x, q, k, v, s, o
-
-    def class_logits(self, inputs: np.ndarray, o: np.ndarray) -> np.ndarray:
-        return o.reshape(-1, VALUES) @ self.p["u"] + self.p["t"][inputs[:, HALF:].ravel()]
+        s /= summed(s)
+        return x, q, k, v, s, np.matmul(s, v).reshape(-1, VALUES)
+
+    def hidden(self, x: np.ndarray, o: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rectified layer of the places in hand, and its input."""
+        z = np.concatenate([x[:, HALF:].reshape(-1, WIDTH)[live], o[live]], axis=1)
+        h = z @ self.p["w"]
+        h += self.p["wb"]
+        return np.maximum(h, 0, out=h), z
+
+    def member_logits(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Logits of the members of each row's class; rows come sorted by class."""
+        out = np.empty((len(h), self.p["mb"].shape[1]), np.float32)
+        for c, a, z in parts(classes):
+            np.matmul(h[a:z], self.p["m"][c], out=out[a:z])
+            out[a:z] += self.p["mb"][c]
+        return out
 
     def log10s(self, ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
         """Of each text its log10 probability."""
@@ -182,111 +224,134 @@ class Model:
         inputs, targets, first = self.windows(ids, sizes, begin)
         done = 0
         for a in range(0, len(inputs), BATCH):
-            x, y = inputs[a : a + BATCH], targets[a : a + BATCH].ravel()
-            o = self.attend(x, first[a : a + BATCH])[-1]
-            logits = self.class_logits(x, o)
+            y = targets[a : a + BATCH].ravel()
+            x, *_, o = self.attend(inputs[a : a + BATCH], first[a : a + BATCH])
             real = np.flatnonzero(y >= 0)
-            y = y[real]
-            picked = logits[real, self.class_of[y]]
-            np.exp(logits, out=logits)
-            told = picked - np.log(logits.sum(axis=1)[real]) + self.within[x[:, HALF:].ravel()[real], y]
+            order = np.argsort(self.class_of[y[real]].astype(np.uint8), kind="stable")
+            h, _ = self.hidden(x, o, real[order])
+            y = y[real[order]]
+            told = np.empty(len(y), np.float32)
+            told[order] = picked(h @ self.p["c"] + self.p["cb"], self.class_of[y]) + picked(self.member_logits(h, self.class_of[y]), self.member_of[y])
             out[done : done + len(y)] = told
             done += len(y)
         starts = np.cumsum(sizes) - sizes
         return np.add.reduceat(out, starts) / np.log(10) if len(sizes) else np.zeros(0)
 
-    def fit(self, ids: np.ndarray, sizes: np.ndarray, begin: int, steps: int = STEPS, windows: int = 128, rate: float = 0.004, seed: int = 9) -> None:
-        """Adam on the cross entropy of the next subword's class."""
-        inputs, targets, first = self.windows(ids, sizes, begin)
-        if not len(inputs):
-            return
-        rng = np.random.default_rng(seed)
-        good = targets >= 0
-        pairs = np.zeros((len(self.p["e"]), CLASSES))
-        np.add.at(pairs, (inputs[:, HALF:][good], self.class_of[targets[good]]), 1)
-        self.set_table(pairs)
-        state = self.fresh()
-        for step in range(1, steps + 1):
-            pick = rng.integers(0, len(inputs), windows)
-            self.descend(inputs[pick], targets[pick], first[pick], state, rate * min(1.0, step / 30) * (1 - 0.9 * step / steps))
-
-    def set_table(self, counts: np.ndarray) -> None:
-        """Start of the table from a subword to the next one's class: logs of its share, from counts."""
-        pairs = counts + 0.05
-        pairs = pairs + 3 * pairs.sum(axis=0) / pairs.sum()
-        self.p["t"] = np.log(pairs / pairs.sum(axis=1, keepdims=True)).astype(np.float32)
-
     def fresh(self) -> dict:
         """Adam's state before the first step."""
         return {"step": 0, "mean": {n: np.zeros_like(w) for n, w in self.p.items()}, "var": {n: np.zeros_like(w) for n, w in self.p.items()}}
 
-    def descend(self, x_ids: np.ndarray, targets: np.ndarray, one: np.ndarray, state: dict, pace: float) -> None:
-        """One step of Adam on the cross entropy of the next subword's class."""
+    def slopes(self, x_ids: np.ndarray, targets: np.ndarray, one: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradient of the mean cross entropy of the next subword, over all targets of these windows."""
         p, y = self.p, targets.ravel()
         x, q, k, v, s, o = self.attend(x_ids, one)
-        logits = self.class_logits(x_ids, o)
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
         live = np.flatnonzero(y >= 0)
-        logits[y < 0] = 0
-        logits[live, self.class_of[y[live]]] -= 1
-        logits /= max(len(live), 1)
-        g = {"t": gathered(x_ids[:, HALF:].ravel(), logits), "u": o.reshape(-1, VALUES).T @ logits}
-        d_o = (logits @ p["u"].T).reshape(o.shape)
-        d_v = s.transpose(0, 2, 1) @ d_o
-        d_s = d_o @ v.transpose(0, 2, 1)
-        d_s = s * (d_s - (d_s * s).sum(axis=2, keepdims=True)) * np.float32(KEYS**-0.5)
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
+        live = live[np.argsort(self.class_of[y[live]].astype(np.uint8), kind="stable")]
+        y = y[live]
+        own, rows = self.class_of[y], np.arange(len(y))
+        h, z = self.hidden(x, o, live)
+        told, among = softmax(h @ p["c"] + p["cb"]), softmax(self.member_logits(h, own))
+        told[rows, own] -= 1
+        among[rows, self.member_of[y]] -= 1
+        told /= np.float32(max(len(y), 1))
+        among /= np.float32(max(len(y), 1))
+        g = {"c": h.T @ told, "cb": told.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
+        d_h = told @ p["c"].T
+        for c, a, b in parts(own):
+            g["m"][c] = h[a:b].T @ among[a:b]
+            g["mb"][c] = among[a:b].sum(axis=0)
+            d_h[a:b] += among[a:b] @ p["m"][c].T
+        d_h *= h > 0
+        g["w"], g["wb"] = z.T @ d_h, d_h.sum(axis=0)
+        d_z = d_h @ p["w"].T
+        n = len(x_ids)
+        d_o, d_late = np.zeros((n * HALF, VALUES), np.float32), np.zeros((n * HALF, WIDTH), np.float32)
+        d_late[live], d_o[live] = d_z[:, :WIDTH], d_z[:, WIDTH:]
+        d_o = d_o.reshape(n, HALF, VALUES)
+        d_v = np.matmul(s.transpose(0, 2, 1), d_o).reshape(-1, VALUES)
+        d_s = np.matmul(d_o, v.transpose(0, 2, 1))
+        d_s *= s
+        s *= summed(d_s)
+        d_s -= s
+        d_q = np.matmul(d_s, k).reshape(-1, KEYS)
+        d_q *= np.float32(KEYS**-0.5)
+        d_k = np.matmul(d_s.transpose(0, 2, 1), q).reshape(-1, KEYS)
         flat, late = x.reshape(-1, WIDTH), x[:, HALF:].reshape(-1, WIDTH)
-        g["q"], g["k"], g["v"] = late.T @ d_q.reshape(-1, KEYS), flat.T @ d_k.reshape(-1, KEYS), flat.T @ d_v.reshape(-1, VALUES)
-        d_x = d_k @ p["k"].T + d_v @ p["v"].T
-        d_x[:, HALF:] += d_q @ p["q"].T
-        g["e"] = gathered(x_ids.ravel(), d_x.reshape(-1, WIDTH))
+        g["q"], g["k"], g["v"] = late.T @ d_q, flat.T @ d_k, flat.T @ d_v
+        d_x = (d_k @ p["k"].T + d_v @ p["v"].T).reshape(x.shape)
+        d_x[:, HALF:] += (d_late + d_q @ p["q"].T).reshape(n, HALF, WIDTH)
         g["pos"] = d_x.sum(axis=0)
+        g["e"] = np.zeros_like(p["e"])
+        met, sums = gathered(x_ids.ravel(), d_x.reshape(-1, WIDTH))
+        g["e"][met] = sums
+        return g
+
+    def descend(self, x_ids: np.ndarray, targets: np.ndarray, one: np.ndarray, state: dict, pace: float) -> None:
+        """One step of Adam."""
+        g = self.slopes(x_ids, targets, one)
         state["step"] += 1
-        step, mean, var = state["step"], state["mean"], state["var"]
-        for n in p:
-            at, d = g[n] if isinstance(g[n], tuple) else (slice(None), g[n])  # of the tables only rows that the step met
-            m = mean[n][at] = np.float32(0.9) * mean[n][at] + np.float32(0.1) * d
-            w = var[n][at] = np.float32(0.99) * var[n][at] + np.float32(0.01) * d * d
-            p[n][at] -= np.float32(pace / (1 - 0.9**step)) * m / (np.sqrt(w * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
-
-    def set_classes(self, counts: np.ndarray, seed: int = 4) -> None:
-        """Classes of subwords with alike neighbours: k-means on the leading directions of the counts of pairs (before, after)."""
-        units = len(self.class_of)
-        # Neighbours are told apart only if they are frequent: 512 to either side.
-        frequent = np.argsort(-counts.sum(axis=0, dtype=np.int64), kind="stable")[:512]
-        after, ahead = counts[:, frequent], counts[frequent].T
-        both = np.sqrt(np.hstack([after, ahead]))
-        norm = np.linalg.norm(both, axis=1)
-        often = np.flatnonzero(norm > 3)
-        if len(often) <= CLASSES:
-            return
-        both = both[often] / norm[often, None]
-        _, directions = np.linalg.eigh(both.T @ both)
-        points = both @ directions[:, -24:]
-        rng = np.random.default_rng(seed)
-        centres = points[rng.choice(len(points), CLASSES - 1, replace=False)]
-        for _ in range(25):
-            near = ((points[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            for c in range(CLASSES - 1):
-                if (near == c).any():
-                    centres[c] = points[near == c].mean(axis=0)
-        self.class_of = np.full(units, CLASSES - 1)
-        self.class_of[often] = near
-
-    def set_within(self, pairs: np.ndarray) -> None:
-        """Natural logs of the probability of a subword given its class and the one before, from counts of pairs."""
-        units = len(self.class_of)
-        counts = pairs.reshape(units, units)
-        member = np.eye(CLASSES)[self.class_of]
-        alone = counts.sum(axis=0) + 0.5
-        share = alone / (alone @ member)[self.class_of]
-        self.within = np.empty((units, units), np.float32)
-        for a in range(0, units, 128):
-            some = counts[a : a + 128].astype(np.float64)
-            self.within[a : a + 128] = np.log((some + BACK_OFF * share) / ((some @ member)[:, self.class_of] + BACK_OFF))
+        step = state["step"]
+        for n, w in self.p.items():
+            mean, var, d = state["mean"][n], state["var"][n], g[n]
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * d
+            var *= np.float32(0.99)
+            np.multiply(d, d, out=d)
+            var += np.float32(0.01) * d
+            np.multiply(var, np.float32(1 / (1 - 0.99**step)), out=d)
+            np.sqrt(d, out=d)
+            d += np.float32(1e-8)
+            np.divide(mean, d, out=d)
+            d *= np.float32(pace / (1 - 0.9**step))
+            w -= d
+
+    def set_classes(self, counts: np.ndarray) -> None:
+        """Classes of subwords with alike neighbours, from the counts of pairs (before, after): halved again and again along the
+        leading direction of what is in hand, until each part is a class or less."""
+        # Neighbours are told apart only if they are frequent: 128 to either side.
+        often = counts.sum(axis=0, dtype=np.int64)
+        frequent = np.argsort(-often, kind="stable")[:128]
+        both = np.sqrt(np.hstack([counts[:, frequent], counts[frequent].T]).astype(np.float32))
+        both /= np.maximum(np.linalg.norm(both, axis=1), 1)[:, None]
+        members = self.p["mb"].shape[1]
+        order = np.arange(self.units)
+        parts_left = [(0, CLASSES)]
+        while parts_left:
+            a, z = parts_left.pop()
+            if z - a < 2:
+                continue
+            half = (a + z) // 2
+            here = order[a * members : z * members]
+            rows = both[here] - both[here].sum(axis=0) / max(len(here), 1)
+            order[a * members : z * members] = here[np.argsort(rows @ np.linalg.eigh(rows.T @ rows)[1][:, -1], kind="stable")]
+            parts_left += [(a, half), (half, z)]
+        self.place(order, often)
+
+
+def parts(classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(class, from, to) of the runs of sorted classes."""
+    bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
+    return ((c, int(bounds[c]), int(bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds)))
+
+
+def summed(values: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, which stays."""
+    return (values.reshape(-1, values.shape[-1]) @ np.ones(values.shape[-1], np.float32)).reshape(*values.shape[:-1], 1)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    np.clip(logits, -MOST_LOGIT, MOST_LOGIT, out=logits)
+    np.exp(logits, out=logits)
+    logits /= summed(logits)
+    return logits
+
+
+def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the natural log of the probability of the place at."""
+    np.clip(logits, -MOST_LOGIT, MOST_LOGIT, out=logits)
+    told = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    return told - np.log(summed(logits)[:, 0])
 
 
 def gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,54 +372,56 @@ def before(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
-def counted(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of all docs: (hash, n) of their words and ends, and (pair, n) of neighbouring subwords. Sub-batches and tasks
-    pre-aggregate; both tables are saved."""
+def counted(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of all docs: (hash, n) of their words and ends, (pair, n) of neighbouring subwords, and (turn, ids) of every document,
+    ids as 16-bit numbers. Sub-batches and tasks pre-aggregate; texts are read once, and what is found is saved."""
+
+    def made(kind: int, keys: np.ndarray, n: np.ndarray, turns: pa.Array | None = None, ids: list[bytes] | None = None) -> pa.RecordBatch:
+        size = len(keys)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, kind, np.int32)), pa.array(keys), pa.array(n), pa.nulls(size, pa.int32()) if turns is None else turns, pa.array(ids or [None] * size, pa.binary())],
+            names=["kind", "key", "n", "turn", "ids"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = subwords(path)
         pairs = np.zeros(units.size**2, np.int32)
         for batch in batches:
-            for raws in _raws(batch.column(0), READ_CHARS):
+            at = 0
+            for raws in _raws(batch.column(1), READ_CHARS):
                 read = Read(raws, units)
                 words, n = np.unique(read.words, return_counts=True)
                 words, n = np.append(words, END_WORD), np.append(n, len(raws))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(words.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
-                np.add.at(pairs, before(read.ids, read.sizes, units.begin).astype(np.int64) * units.size + read.ids, 1)
+                yield made(0, words.view(np.int64), n)
+                met, n = np.unique(before(read.ids, read.sizes, units.begin).astype(np.int64) * units.size + read.ids, return_counts=True)
+                pairs[met] += n.astype(np.int32)
+                none = np.zeros(len(raws), np.int64)
+                cuts = np.split(read.ids.astype(np.uint16), np.cumsum(read.sizes)[:-1])
+                yield made(2, none, none, batch.column(0).slice(at, len(raws)), [c.tobytes() for c in cuts])
+                at += len(raws)
         found = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.array(pairs[found].astype(np.int64))], names=["kind", "key", "n"])
+        for a in range(0, len(found), 1 << 16):
+            yield made(1, found[a : a + (1 << 16)], pairs[found[a : a + (1 << 16)]].astype(np.int64))
 
-    totals = saved(docs.select(utf8(text)).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    return totals.where("kind = 0").select(F.col("key").alias("hash"), "n"), totals.where("kind = 1").select(F.col("key").alias("pair"), "n")
+    turn = F.pmod(F.xxhash64("doc_id", text), F.lit(ROUNDS)).cast("int")
+    parts_of = saved(docs.select(turn.alias("turn"), utf8(text)).mapInArrow(run, "kind int, key long, n long, turn int, ids binary"), "parts")
+    totals = saved(parts_of.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    coded = parts_of.where("kind = 2").select("turn", "ids")
+    coded.__dict__["_saved_at"] = parts_of.__dict__["_saved_at"]
+    return totals.where("kind = 0").select(F.col("key").alias("hash"), "n"), totals.where("kind = 1").select(F.col("key").alias("pair"), "n"), coded
 
 
-def train(texts: list[bytes], path: str, pairs: np.ndarray, **options) -> Model:
-    """A model of texts in hand."""
-    units = subwords(path)
-    model = Model(units.size)
-    if texts:
-        read = Read(texts, units)
-        left = before(read.ids, read.sizes, units.begin).astype(np.int64)
-        model.set_classes(np.bincount(left * units.size + read.ids, minlength=units.size**2).reshape(units.size, units.size))
-        model.fit(read.ids, read.sizes, units.begin, **options)
-    model.set_within(pairs)
-    return model
-
-
-def train_on(docs: DataFrame, path: str, pairs: np.ndarray, text: str = "text") -> Model:
-    """A model of all docs, whose pair counts are given. Only weights travel, and their size is fixed."""
+def train_on(coded: DataFrame, path: str, pairs: np.ndarray) -> Model:
+    """A model of the documents of coded (turn, ids), whose pair counts are given. Only weights travel, and their size is fixed."""
     units = subwords(path)
     model = Model(units.size)
     counts = pairs.reshape(units.size, units.size)
     tokens = int(counts.sum(dtype=np.int64))
     if tokens:
         model.set_classes(counts)
-        model.set_table(counts @ np.eye(CLASSES)[model.class_of])
         passes = min(MOST_PASSES, max(1, -(-ENOUGH * HALF // tokens)))
-        turn = F.pmod(F.xxhash64("doc_id", text), F.lit(ROUNDS))
         for number in range(ROUNDS):
-            averaged(docs.where(turn == number).select(utf8(text)), model, path, passes, RATE * (1 - 0.9 * number / ROUNDS))
-    model.set_within(pairs)
+            averaged(coded.where(F.col("turn") == number).select("ids"), model, path, passes, RATE * (1 - 0.9 * number / ROUNDS))
     return model
 
 
@@ -362,19 +429,18 @@ def averaged(docs: DataFrame, model: Model, path: str, passes: int, rate: float)
     """One round: steps over all windows of docs in every partition, then the mean of the weights by tokens. Returns the tokens."""
     names, shapes = list(model.p), [w.shape for w in model.p.values()]
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model.p, model.class_of))
+    shared = context.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = subwords(path)
-        own = Model.__new__(Model)
-        weights, own.class_of = shared.value
-        own.p = {n: w.copy() for n, w in weights.items()}
+        begin = subwords(path).begin
+        own = copy.copy(shared.value)
+        own.p = {n: w.copy() for n, w in own.p.items()}
         state, seen, rng = own.fresh(), 0, np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for raws in _raws(batch.column(0), READ_CHARS):
-                read = Read(raws, cut)
-                inputs, targets, first = own.windows(read.ids, read.sizes, cut.begin)
-                seen += len(read.ids)
+                ids = np.frombuffer(b"".join(raws), np.uint16).astype(np.int32)
+                inputs, targets, first = own.windows(ids, np.array([len(r) // 2 for r in raws]), begin)
+                seen += len(ids)
                 for _ in range(passes):
                     mixed = rng.permutation(len(inputs))
                     for a in range(0, len(mixed), STEP_WINDOWS):
@@ -403,12 +469,13 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     path = path or default_path()
     units = subwords(path)
     spark = docs.sparkSession
-    words, pair_counts = counted(learn, path)
+    words, pair_counts, coded = counted(learn, path)
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pairs = np.zeros(units.size**2, np.int32)
     met = pair_counts.toArrow()  # at most the square of the vocabulary's size, and fitted by no data
     pairs[met["pair"].to_numpy()] = np.minimum(met["n"].to_numpy(), np.iinfo(np.int32).max)
-    model = train_on(learn, path, pairs)
+    model = train_on(coded, path, pairs)
+    forget(coded)
     hot_rows = words.where(F.col("n") * HOT_SHARE >= F.lit(int(total))).toArrow()
     hot = hot_rows["hash"].to_numpy().view(np.uint64)
     by = np.argsort(hot)
