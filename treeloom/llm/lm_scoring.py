@@ -7,7 +7,7 @@ a probability of the text. Windows overlap by half: each scores its second half,
 context, so every token is scored once.
 
 All weights are trained in numpy on every target of every window of every training document: the documents are cut once, their
-ids written, and dealt over ROUNDS rounds; in a round every partition makes its steps from the broadcast weights over its share
+ids written, and dealt over ROUNDS rounds (a small corpus goes over all of them several times, in rounds of their own); in a round every partition makes its steps from the broadcast weights over its share
 of the round, and the weights (of fixed size) are averaged by tokens in a tree. Corpus-wide counts of subwords and their pairs
 only say which subwords share a class and how the biases start. The counts of words cover all training documents; they meet
 texts in two ways: words that make up at least 1 / HOT_SHARE of all tokens (so at most HOT_SHARE of them) are broadcast, all
@@ -48,7 +48,7 @@ ROUNDS = 8
 #: Windows of a step; a small corpus is gone over until about ENOUGH windows were seen, MOST_PASSES times at most.
 STEP_WINDOWS = 512
 ENOUGH, MOST_PASSES = 1_200_000, 10
-RATE = 0.01
+RATE = 0.02
 #: Logits are held within this, so that no sum of their exponentials leaves the single precision.
 MOST_LOGIT = 80.0
 END_WORD = np.uint64(0x5EED)
@@ -420,12 +420,14 @@ def train_on(coded: DataFrame, path: str, pairs: np.ndarray) -> Model:
     if tokens:
         model.set_classes(counts)
         passes = min(MOST_PASSES, max(1, -(-ENOUGH * HALF // tokens)))
-        for number in range(ROUNDS):
-            averaged(coded.where(F.col("turn") == number).select("ids"), model, path, passes, RATE * (1 - 0.9 * number / ROUNDS))
+        shares = max(1, ROUNDS // passes)
+        rounds = shares * passes
+        for number in range(rounds):
+            averaged(coded.where(F.col("turn") % shares == number % shares).select("ids"), model, path, RATE * (1 - 0.9 * number / rounds), number)
     return model
 
 
-def averaged(docs: DataFrame, model: Model, path: str, passes: int, rate: float) -> int:
+def averaged(docs: DataFrame, model: Model, path: str, rate: float, seed: int) -> int:
     """One round: steps over all windows of docs in every partition, then the mean of the weights by tokens. Returns the tokens."""
     names, shapes = list(model.p), [w.shape for w in model.p.values()]
     context = docs.sparkSession.sparkContext
@@ -435,17 +437,16 @@ def averaged(docs: DataFrame, model: Model, path: str, passes: int, rate: float)
         begin = subwords(path).begin
         own = copy.copy(shared.value)
         own.p = {n: w.copy() for n, w in own.p.items()}
-        state, seen, rng = own.fresh(), 0, np.random.default_rng(TaskContext.get().partitionId())
+        state, seen, rng = own.fresh(), 0, np.random.default_rng([TaskContext.get().partitionId(), seed])
         for batch in batches:
             for raws in _raws(batch.column(0), READ_CHARS):
                 ids = np.frombuffer(b"".join(raws), np.uint16).astype(np.int32)
                 inputs, targets, first = own.windows(ids, np.array([len(r) // 2 for r in raws]), begin)
                 seen += len(ids)
-                for _ in range(passes):
-                    mixed = rng.permutation(len(inputs))
-                    for a in range(0, len(mixed), STEP_WINDOWS):
-                        pick = mixed[a : a + STEP_WINDOWS]
-                        own.descend(inputs[pick], targets[pick], first[pick], state, rate * min(1.0, (state["step"] + 1) / 10))
+                mixed = rng.permutation(len(inputs))
+                for a in range(0, len(mixed), STEP_WINDOWS):
+                    pick = mixed[a : a + STEP_WINDOWS]
+                    own.descend(inputs[pick], targets[pick], first[pick], state, rate * min(1.0, (state["step"] + 1) / 10))
         if seen:
             flat = np.concatenate([own.p[n].ravel() for n in names])
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat.tobytes()], pa.binary())], names=["tokens", "weights"])
