@@ -406,8 +406,8 @@ def counted(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame,
     turn = F.pmod(F.xxhash64("doc_id", text), F.lit(ROUNDS)).cast("int")
     parts_of = saved(docs.select(turn.alias("turn"), utf8(text)).mapInArrow(run, "kind int, key long, n long, turn int, ids binary"), "parts")
     totals = saved(parts_of.where("kind < 2").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    coded = parts_of.where("kind = 2").select("turn", "ids")
-    coded.__dict__["_saved_at"] = parts_of.__dict__["_saved_at"]
+    coded = saved(parts_of.where("kind = 2").select("turn", "ids"), "coded")  # the rounds read it again and again
+    forget(parts_of)
     return totals.where("kind = 0").select(F.col("key").alias("hash"), "n"), totals.where("kind = 1").select(F.col("key").alias("pair"), "n"), coded
 
 
