@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import forget, saved, shared_dir, table  # noqa: F401  (for the operators of this folder)
@@ -88,3 +88,18 @@ def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = out * np.uint64(0x100000001B3) + hashes[i : len(hashes) - n + 1 + i]
     return mix64(out)
+
+
+def placed(rows: DataFrame, group: str, within: list[Column], ties: list[Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `place`, their number (from 0) in their group's order, and `total`, the size of the group (a column that is
+    never null). The order is within, then ties; rows are dealt over the tasks by ranges of group and within, so that a group of
+    any size is spread, and only rows that agree in both meet. Range bounds are found on samples of group and within alone,
+    which should be short; the rows themselves are written once, in order, without the columns to drop."""
+    order = [F.col(group), *within]
+    ranged = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order, *ties).drop(*drop).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33).alias("__part")
+    counts = ranged.groupBy(F.col(group), part).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    along = Window.partitionBy(group).orderBy("__part")
+    starts = counts.withColumns({"__before": F.sum("__n").over(along) - F.col("__n"), "total": F.sum("__n").over(Window.partitionBy(group))}).drop("__n")
+    found = ranged.withColumn("__part", part).join(saved(starts, "starts"), [group, "__part"])
+    return found.withColumn("place", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, lm_scoring, mixing, ngram_join, substring_dedup, token_counts, url_filter, vectors
+from . import bpe, chat_format, language_id, lm_scoring, merkle, mixing, ngram_join, prefix_trie, substring_dedup, token_counts, url_filter, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.formatted(chat_format.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return merkle.proofs(merkle.manifest(docs, merkle.tampered()))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,4 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_mix": op8_mix,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_format": op12_chat_format,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
