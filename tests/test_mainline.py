@@ -224,3 +224,21 @@ def test_deep_folders_and_long_histories(spark):
     assert dag.closure(chain).count() == 70 * 71 // 2
     seen = dag.reachable(spark.createDataFrame([("v", "70")], "vault_id string, oid string"), chain.selectExpr("vault_id", "child AS src", "parent AS dst"))
     assert seen.count() == 71
+
+
+def test_ids_of_many_steps_over_many_files(spark):
+    """500 tips over 5,000 files in 50 folders: each step changes a file, every 25th takes one away; rows grow with the changes."""
+    first = [("v", 1, f"d{i % 50}/f{i}.md", f"{i:040x}") for i in range(5_000)]
+    later = [("v", k, f"d{k % 50}/f{k}.md", None if k % 25 == 0 else f"{k + 9000:040x}") for k in range(2, 501)]
+    found = plans.step_tree_oids(spark.createDataFrame(first + later, "vault_id string, k int, path string, blob_oid string")).collect()
+    assert len(found) == 50 + 1 + 2 * 499
+    roots = {r.k: r.tree_oid for r in found if r.dir == ""}
+    files = {p: b for _, _, p, b in first}
+    for k in range(1, 501):
+        for _, step, p, b in later[k - 2 : k - 1] if k > 1 else []:
+            assert step == k
+            files.pop(p) if b is None else files.update({p: b})
+        if k % 100 == 0 or k < 4:
+            assert roots[k] == tree_id(files), k
+    gone = plans.step_tree_oids(spark.createDataFrame([("v", 1, "a/b.md", "a" * 40), ("v", 3, "a/b.md", None)], "vault_id string, k int, path string, blob_oid string"))
+    assert sorted((r.k, r.dir, r.tree_oid) for r in gone.collect() if r.dir == "")[1] == (3, "", None)

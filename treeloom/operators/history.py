@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clock_text
 from ..functions.tables import saved
-from . import dag
+from . import cover, dag
 from .chains import chained
 
 
@@ -62,6 +62,14 @@ def latest_touches(asked: DataFrame, touches: DataFrame, closure_incl: DataFrame
     return asked.join(best, ["vault_id", "oid", "path"], "left").select("vault_id", "oid", "path", F.col("t.kind").alias("kind"), F.col("t.t_oid").alias("touch_oid"))
 
 
+def latest_touches_on_cover(asked: DataFrame, touches: DataFrame, covered: cover.Cover) -> DataFrame:
+    """The same on any DAG, from the chain-cover labels of its primitives: no closure is built, and rows are the questions times
+    the writers that touched the path."""
+    key = F.struct("counter", "node_id", F.col("oid").alias("t_oid"), "kind")
+    best = cover.latest(covered, asked, touches, ["path"], key)
+    return asked.join(best, ["vault_id", "oid", "path"], "left").select("vault_id", "oid", "path", F.col("best.kind").alias("kind"), F.col("best.t_oid").alias("touch_oid"))
+
+
 def latest_touches_on_lines(asked: DataFrame, touches: DataFrame, places: DataFrame) -> DataFrame:
     """The same for histories without merges, in which a commit's ancestors are all commits at lower places (vault_id, oid,
     place): one window per path, and no closure."""

@@ -7,27 +7,30 @@ blob_oid) of every commit, blobs (blob_oid, content). The protocol's short name
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved
-from ..plans.trees import EMPTY_TREE, flat_tree_oids, paths_toggled
-from . import dag, fold
-from .history import commit_payload, ghost_adds, latest_touches, object_oid
+from ..plans.trees import EMPTY_TREE, paths_toggled, step_tree_oids
+from . import cover, dag, fold
+from .history import commit_payload, ghost_adds, latest_touches_on_cover, object_oid
 
 
 class Main(NamedTuple):
     """mains (vault_id, main_oid, tree_oid, tips), files (vault_id, path, blob_oid) of the main tree, folds (vault_id, k, oid,
     tree_oid, parents, time) made on the way, texts (blob_oid, content) that merges
-    of lines made, and states (vault_id, k, path, blob_oid): the whole tree after every step."""
+    of lines made, and changes (vault_id, path, k, blob_oid): what each step changes; fold.standing() spreads them out."""
 
     mains: DataFrame
     files: DataFrame
     folds: DataFrame
     texts: DataFrame
-    states: DataFrame
+    changes: DataFrame
 
 
 def fold_oid(tree: Column, parents: Column, time: Column, protocol: str, kind: str = "fold") -> Column:
@@ -51,17 +54,18 @@ def ghosts(commits: DataFrame, edges: DataFrame, trees: DataFrame, readds: DataF
     """(vault_id, oid) of primitives that bring back a path whose latest touch before them is a delete that they do not name in
     readds (vault_id, oid, touch_oid). Where a commit's history is not whole nothing is proven and it stays."""
     told = saved(touches(commits, edges, trees), "touches")
-    added = told.where("kind = 'add'")
-    links = edges.select("vault_id", F.col("child").alias("src"), F.col("parent").alias("dst"))
-    asked = added.select("vault_id", F.col("parent").alias("descendant")).distinct()
-    seen = dag.reachable(asked.select("vault_id", "descendant", F.col("descendant").alias("oid")), links, by=["descendant"]).withColumnRenamed("oid", "ancestor")
-    torn = dag.dangling(edges, commits).select("vault_id", F.col("parent").alias("ancestor")).distinct()
-    incomplete = seen.join(torn, ["vault_id", "ancestor"], "left_semi").select("vault_id", F.col("descendant").alias("parent")).distinct()
-    incomplete = added.select("vault_id", "oid", "parent").join(incomplete, ["vault_id", "parent"]).select("vault_id", "oid").distinct()
+    # Only a path that was deleted at some time can be brought back by mistake.
+    deleted = told.where("kind = 'delete'").select("vault_id", "path").distinct()
+    added = saved(told.where("kind = 'add'").join(deleted, ["vault_id", "path"], "left_semi").select("vault_id", "oid", "parent", "path"), "added")
+    known = cover.covered(commits, edges)
+    last = latest_touches_on_cover(added.select("vault_id", F.col("parent").alias("oid"), "path").distinct(), told, known)
     if readds is None:
         readds = added.select("vault_id", "oid", F.lit(None).cast("string").alias("touch_oid")).limit(0)
-    last = latest_touches(added.select("vault_id", F.col("parent").alias("oid"), "path").distinct(), told, seen)
-    return ghost_adds(added.select("vault_id", "oid", "parent", "path"), last, readds, incomplete)
+    none = added.select("vault_id", "oid").limit(0)
+    bad = saved(ghost_adds(added, last, readds, none), "bad")
+    unproven = cover.incomplete(known, added.join(bad, ["vault_id", "oid"], "left_semi").select("vault_id", F.col("parent").alias("oid")))
+    kept = added.join(unproven.withColumnRenamed("oid", "parent"), ["vault_id", "parent"], "left_semi").select("vault_id", "oid")
+    return bad.join(kept, ["vault_id", "oid"], "left_anti")
 
 
 def fold_tips(tips: DataFrame, bases: DataFrame, trees: DataFrame, blobs: DataFrame, protocol: str) -> Main:
@@ -71,30 +75,47 @@ def fold_tips(tips: DataFrame, bases: DataFrame, trees: DataFrame, blobs: DataFr
     done = saved(fold.folded(fold.steps_of(tips, bases.select("vault_id", F.col("k").cast("int").alias("k"), "base"), trees)), "steps")
     merged = saved(fold.folded_lines(done.where("lines"), blobs), "merged")
     states = done.where("NOT lines").select("vault_id", "path", "k", "blob_oid").unionByName(merged.select("vault_id", "path", "k", "blob_oid"))
-    stood = saved(fold.standing(states, tips), "stood")
-    last = tips.groupBy("vault_id").agg(F.max("k").alias("last"))
-    # The tree after the first of several tips is that tip's own, and no commit is made of it.
-    needed = stood.join(last, "vault_id").where("k > 1 OR last = 1").drop("last")
-    ids = flat_tree_oids(needed, ("vault_id", "k"))
-    whole = tips.join(ids, ["vault_id", "k"], "left").withColumn("tree_oid", F.coalesce("tree_oid", F.lit(EMPTY_TREE)))
-    listed = whole.groupBy("vault_id").agg(F.array_sort(F.collect_list(F.struct("k", "oid", "time", "tree_oid"))).alias("s"))
-    head = F.col("s")[0]
-    made = "array<struct<k:int,oid:string,tree_oid:string,parents:array<string>,time:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        time = F.greatest(acc["time"], x["time"])
-        parents = F.array(acc["oid"], x["oid"])
-        oid = fold_oid(x["tree_oid"], parents, time, protocol)
-        one = F.struct(x["k"].alias("k"), oid.alias("oid"), x["tree_oid"].alias("tree_oid"), parents.alias("parents"), time.alias("time"))
-        return F.struct(oid.alias("oid"), time.alias("time"), F.concat(acc["made"], F.array(one)).alias("made"))
-
-    start = F.struct(head["oid"].alias("oid"), head["time"].alias("time"), F.array().cast(made).alias("made"))
-    alone = F.array(F.struct(head["k"].alias("k"), fold_oid(head["tree_oid"], F.array(head["oid"]), head["time"], protocol).alias("oid"), head["tree_oid"].alias("tree_oid"), F.array(head["oid"]).alias("parents"), head["time"].alias("time")))
-    chain = F.when(F.size("s") == 1, alone).otherwise(F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))), start, step)["made"])
-    folds = saved(listed.select("vault_id", F.inline(chain)), "folds")
-    mains = folds.join(last.withColumnRenamed("last", "k"), ["vault_id", "k"]).select("vault_id", F.col("oid").alias("main_oid"), "tree_oid", F.col("k").alias("tips"))
-    files = stood.join(last.withColumnRenamed("last", "k"), ["vault_id", "k"]).select("vault_id", "path", "blob_oid")
-    return Main(mains, files, folds, merged.where("content IS NOT NULL").select("blob_oid", "content").dropDuplicates(["blob_oid"]), stood)
+    changed = saved(fold.changes(states), "changes")
+    roots = step_tree_oids(changed).where("dir = ''").select("vault_id", "k", F.coalesce("tree_oid", F.lit(EMPTY_TREE)).alias("tree_oid"))
+    along = Window.partitionBy("vault_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    whole = tips.join(roots, ["vault_id", "k"], "left").withColumn("tree_oid", F.coalesce(F.last("tree_oid", True).over(along), F.lit(EMPTY_TREE)))
+    folds = saved(_chain(whole, protocol), "folds")
+    last = folds.groupBy("vault_id").agg(F.max("k").alias("k"))
+    mains = folds.join(last, ["vault_id", "k"]).select("vault_id", F.col("oid").alias("main_oid"), "tree_oid", F.col("k").alias("tips"))
+    files = changed.groupBy("vault_id", "path").agg(F.max_by(F.struct("blob_oid"), "k").alias("now")).select("vault_id", "path", "now.blob_oid").where("blob_oid IS NOT NULL")
+    return Main(mains, files, folds, merged.where("content IS NOT NULL").select("blob_oid", "content").dropDuplicates(["blob_oid"]), changed)
+
+
+def _chain(whole: DataFrame, protocol: str) -> DataFrame:
+    """whole (vault_id, k, oid, time, tree_oid of every step) -> the fold commits (vault_id, k, oid, tree_oid, parents, time). Each is
+    a parent of the next, so a vault's steps stream by in order; only the latest fold is held. One tip is wrapped as it is."""
+    fields = [("vault_id", pa.string()), ("k", pa.int32()), ("oid", pa.string()), ("tree_oid", pa.string()), ("parents", pa.list_(pa.string())), ("time", pa.int64())]
+    schema = pa.schema(fields)
+
+    def made(vault: str, k: int, tree: str, parents: list[str], time: int) -> tuple:
+        who = f"{protocol} <{protocol}@localhost> {time} +0000\n"
+        body = (f"tree {tree}\n" + "".join(f"parent {p}\n" for p in parents) + f"author {who}committer {who}\n{protocol}: fold\n").encode()
+        return vault, k, hashlib.sha1(b"commit %d\x00" % len(body) + body).hexdigest(), tree, parents, time
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, acc, since, first = None, None, None, None
+        for batch in batches:
+            out = []
+            for vault, k, oid, time, tree in zip(*(c.to_pylist() for c in batch.columns)):
+                if vault != at:
+                    out += [first] if first else []
+                    at, acc, since, first = vault, oid, time, made(vault, k, tree, [oid], time)
+                    continue
+                first, since = None, max(since, time)
+                out.append(made(vault, k, tree, [acc, oid], since))
+                acc = out[-1][2]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(first, schema)], schema=schema)
+
+    ordered = whole.select("vault_id", "k", "oid", "time", "tree_oid").repartition("vault_id").sortWithinPartitions("vault_id", "k")
+    return ordered.mapInArrow(run, "vault_id string, k int, oid string, tree_oid string, parents array<string>, time long")
 
 
 def tips_of(known: DataFrame, edges: DataFrame, dropped: DataFrame | None = None) -> DataFrame:

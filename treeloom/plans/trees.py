@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import saved
+from ..functions.tables import forget, saved
 from ..operators.scope import ancestor_dirs, parent_dir
 
 KEY = ["vault_id", "path"]
@@ -142,3 +147,60 @@ def tree_objects(tree: DataFrame, by: tuple[str, ...] = ("vault_id",)) -> DataFr
 def flat_tree_oids(tree: DataFrame, by: tuple[str, ...] = ("vault_id",)) -> DataFrame:
     """(*by, tree_oid): the ids of the root trees."""
     return tree_objects(tree, by).where("dir = ''").select(*by, "tree_oid")
+
+
+def step_tree_oids(changes: DataFrame) -> DataFrame:
+    """changes (vault_id, k, path, blob_oid; null where the path goes): what each of a vault's steps changes -> (vault_id, dir, k,
+    tree_oid) of every folder after every step that changes something below it, null where nothing is left in it.
+
+    Folders are hashed from the deepest level up, each only at the steps that touch it: its changes stream by in order of
+    steps over the entries that stand, and an id that comes out is a change of the folder above. So rows grow with the changes,
+    not with steps times files; a task holds one folder's entries."""
+    depth_of = lambda d: F.when(d == "", 0).otherwise(F.size(F.split(d, "/")))
+    entries = changes.select("vault_id", parent_dir(F.col("path")).alias("dir"), F.col("k").cast("int").alias("k"), F.substring_index("path", "/", -1).alias("name"), F.lit("100644").alias("mode"), F.col("blob_oid").alias("oid"))
+    entries = saved(entries.withColumn("depth", depth_of(F.col("dir"))), "entries")
+    deepest = entries.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    schema = pa.schema([("vault_id", pa.string()), ("dir", pa.string()), ("k", pa.int32()), ("tree_oid", pa.string())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step, was, order, held = None, None, None, [], {}
+
+        def told() -> list[tuple]:
+            body = b"".join(held[n] for n in order)
+            now = hashlib.sha1(b"tree %d\x00" % len(body) + body).hexdigest() if held else None
+            return [] if now == was else [(*at, step, now)]
+
+        for batch in batches:
+            out = []
+            for vault, folder, k, name, mode, oid in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (vault, folder) or step != k:
+                    if at is not None:
+                        done = told()
+                        out += done
+                        was = done[0][3] if done else was
+                    if at != (vault, folder):
+                        at, was, order, held = (vault, folder), None, [], {}
+                    step = k
+                key = name.encode() + (b"/" if mode == "40000" else b"")
+                if oid is None:
+                    if held.pop(key, None) is not None:
+                        del order[bisect.bisect_left(order, key)]
+                else:
+                    if key not in held:
+                        bisect.insort(order, key)
+                    held[key] = f"{mode} {name}".encode() + b"\x00" + bytes.fromhex(oid)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if at is not None and (done := told()):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+
+    levels, below = None, None
+    for level in range(deepest, -1, -1):
+        here = entries.where(F.col("depth") == level).drop("depth")
+        if below is not None:
+            here = here.unionByName(below.select("vault_id", parent_dir(F.col("dir")).alias("dir"), "k", F.substring_index("dir", "/", -1).alias("name"), F.lit("40000").alias("mode"), F.col("tree_oid").alias("oid")))
+        ordered = here.repartition("vault_id", "dir").sortWithinPartitions("vault_id", "dir", "k").select("vault_id", "dir", "k", "name", "mode", "oid")
+        below = saved(ordered.mapInArrow(hashed, "vault_id string, dir string, k int, tree_oid string"), "level")
+        levels = below if levels is None else levels.unionByName(below)
+    forget(entries)
+    return levels

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved
-from ..operators import dag, history, mainline
+from ..operators import dag, fold, history, mainline
 from ..plans import trees as plans
 from ..sources import fleet
 from .history import PROTOCOL, _messages
@@ -100,7 +100,7 @@ def g4_verify_folds(spark, sf_dir):
     sent = saved(_recorded(done), "sent")
     commits = f.commits.select("vault_id", "oid", "time").unionByName(sent.select("vault_id", "oid", "time"))
     edges = f.edges.unionByName(sent.select("vault_id", F.col("oid").alias("child"), F.explode("parents").alias("parent")))
-    trees = f.trees.unionByName(done.states.join(sent.where("k <> 3").select("vault_id", "k", "oid"), ["vault_id", "k"]).select("vault_id", "oid", "path", "blob_oid"))
+    trees = f.trees.unionByName(fold.standing(done.changes, done.folds).join(sent.where("k <> 3").select("vault_id", "k", "oid"), ["vault_id", "k"]).select("vault_id", "oid", "path", "blob_oid"))
     return mainline.wrong_folds(sent, commits, edges, trees, f.blobs, PROTOCOL)
 
 
