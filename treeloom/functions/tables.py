@@ -39,10 +39,10 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def saved_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """saved(), and the number of rows, which is told by the same job."""
+def saved_counted(df: DataFrame, name: str, of: str = "true") -> tuple[DataFrame, int]:
+    """saved(), and the number of rows (of those that a condition holds for), which is told by the same job."""
     seen = Observation()
-    df_ = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    df_ = df.observe(seen, F.count_if(F.expr(of)).alias("n"))
     out = saved(df_, name)
     return out, seen.get["n"]
 

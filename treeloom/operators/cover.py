@@ -22,14 +22,13 @@ from ..functions.tables import forget, saved, saved_counted
 
 class Cover(NamedTuple):
     """spots (vault_id, oid, chain, spot) of primitives, labels (vault_id, chain, spot, other, reach: from this spot of chain on, the
-    spots of other up to reach come before), torn (vault_id, oid) of primitives above which a parent is missing before any
-    other primitive, and the commits and edges they were made of."""
+    spots of other up to reach come before), above (vault_id, oid, above): the nearest primitives above every synthetic commit, and
+    torn (vault_id, oid) of commits, primitive or not, above which a parent is missing before any other primitive."""
 
     spots: DataFrame
     labels: DataFrame
+    above: DataFrame
     torn: DataFrame
-    commits: DataFrame
-    edges: DataFrame
 
 
 def nearest(asked: DataFrame, commits: DataFrame, edges: DataFrame, most_rounds: int = 100_000) -> tuple[DataFrame, DataFrame]:
@@ -44,11 +43,12 @@ def nearest(asked: DataFrame, commits: DataFrame, edges: DataFrame, most_rounds:
         step = front.join(up, ["vault_id", "at"]).select(*key).distinct()
         for earlier in rounds:
             step = step.join(earlier.where("NOT is_primitive"), key, "left_anti")
-        rounds.append(saved(step.join(kinds, ["vault_id", "above"], "left").select(*key, "is_primitive"), "nearest"))
+        told, left = saved_counted(step.join(kinds, ["vault_id", "above"], "left").select(*key, "is_primitive"), "nearest", "NOT is_primitive")
+        rounds.append(told)
         if len(rounds) == 16:
             rounds = [saved(_all(rounds[:-1]), "nearest"), rounds[-1]]
-        front = rounds[-1].where("NOT is_primitive").select("vault_id", "oid", F.col("above").alias("at"))
-        if front.isEmpty():
+        front = told.where("NOT is_primitive").select("vault_id", "oid", F.col("above").alias("at"))
+        if not left:
             whole = _all(rounds)
             return whole.where("is_primitive").select(*key).distinct(), whole.where("is_primitive IS NULL").select("vault_id", "oid").distinct()
     raise RuntimeError("too many rounds")
@@ -81,20 +81,18 @@ def _risen(labels: DataFrame) -> DataFrame:
 def _composed(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """links as labels -> all labels: what a chain reaches in a second one, from there in a third, until nothing rises."""
     labels = saved(_risen(links.withColumn("new", F.lit(0))), "labels")
-    for _ in range(most_rounds):
+    for turn in range(1, most_rounds + 1):
         on = labels.select("vault_id", F.col("chain").alias("other"), F.col("other").alias("third")).distinct()
         asks = labels.select("vault_id", "chain", "spot", "other", "reach").join(on, ["vault_id", "other"])
         asks = asks.select("vault_id", F.col("other").alias("via"), "third", F.col("reach").alias("at"), "chain", "spot")
         facts = labels.select("vault_id", F.col("chain").alias("via"), F.col("other").alias("third"), F.col("spot").alias("at"), "reach")
         further = last_before(asks, facts, ["vault_id", "via", "third"], "at", "reach").where("reach IS NOT NULL AND NOT (third = chain AND reach <= spot)")
-        both = labels.unionByName(further.select("vault_id", "chain", "spot", F.col("third").alias("other"), "reach", F.lit(1).alias("new")))
-        risen, _ = saved_counted(_risen(both), "labels")
-        grown = not risen.where("new = 1").isEmpty()
+        both = labels.unionByName(further.select("vault_id", "chain", "spot", F.col("third").alias("other"), "reach", F.lit(turn).alias("new")))
+        risen, grown = saved_counted(_risen(both), "labels", f"new = {turn}")
         forget(labels)
-        labels = saved(risen.withColumn("new", F.lit(0)), "labels") if grown else risen
         if not grown:
-            return labels.drop("new")
-        forget(risen)
+            return risen.drop("new")
+        labels = risen
     raise RuntimeError("labels do not settle")
 
 
@@ -102,8 +100,10 @@ def covered(commits: DataFrame, edges: DataFrame, most_cuts: int = 1000) -> Cove
     """commits (vault_id, oid, node_id, counter, is_primitive), edges (vault_id, child, parent): the cover of the primitives."""
     commits = commits.select("vault_id", "oid", "node_id", "counter", "is_primitive")
     prims = commits.where("is_primitive")
-    links, torn = nearest(prims.select("vault_id", "oid"), commits, edges)
-    links = saved(links, "links")
+    found, torn = nearest(commits, commits, edges)
+    links = saved(found.join(commits.select("vault_id", "oid", "is_primitive"), ["vault_id", "oid"]), "links")
+    above = links.where("NOT is_primitive").drop("is_primitive")
+    links = links.where("is_primitive").drop("is_primitive")
     own = Window.partitionBy("vault_id", "node_id").orderBy("counter", "oid")
     numbered = saved(prims.select("vault_id", "oid", "node_id", F.row_number().over(own).cast("long").alias("spot")), "numbered")
     cuts = numbered.select("vault_id", "oid").limit(0)
@@ -125,7 +125,7 @@ def covered(commits: DataFrame, edges: DataFrame, most_cuts: int = 1000) -> Cove
         held = by_parent.unionByName(through).where("got = spot - 1 OR got >= spot").select("vault_id", "oid")
         more, wrong = saved_counted(spots.where("goes_on").select("vault_id", "oid").join(held, ["vault_id", "oid"], "left_anti"), "cuts")
         if not wrong:
-            return Cover(spots.drop("goes_on"), labels, saved(torn, "torn"), commits, edges)
+            return Cover(spots.drop("goes_on"), labels, above, saved(torn, "torn"))
         cuts = saved(cuts.unionByName(more), "all_cuts")
         forget(labels, spots, placed)
     raise RuntimeError("the chains do not settle")
@@ -136,10 +136,7 @@ def starts(cover: Cover, asked: DataFrame) -> DataFrame:
     nearest primitives above it."""
     asked = asked.select("vault_id", "oid").distinct()
     own = asked.join(cover.spots, ["vault_id", "oid"]).select("vault_id", "oid", "chain", "spot")
-    others = asked.join(cover.spots, ["vault_id", "oid"], "left_anti")
-    if others.isEmpty():
-        return own
-    found, _ = nearest(others, cover.commits, cover.edges)
+    found = asked.join(cover.above, ["vault_id", "oid"])
     return own.unionByName(found.join(cover.spots.withColumnRenamed("oid", "above"), ["vault_id", "above"]).select("vault_id", "oid", "chain", "spot"))
 
 
@@ -176,6 +173,4 @@ def reaching(cover: Cover, asked: DataFrame, marks: DataFrame) -> DataFrame:
 def incomplete(cover: Cover, asked: DataFrame) -> DataFrame:
     """asked (vault_id, oid) whose history is not whole."""
     asked = asked.select("vault_id", "oid").distinct()
-    others = asked.join(cover.spots, ["vault_id", "oid"], "left_anti")
-    _, torn = nearest(others, cover.commits, cover.edges)
-    return reaching(cover, asked, cover.torn).unionByName(torn).distinct()
+    return reaching(cover, asked, cover.torn).unionByName(asked.join(cover.torn, ["vault_id", "oid"], "left_semi")).distinct()

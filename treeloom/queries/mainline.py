@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import saved
-from ..operators import dag, fold, history, mainline
+from ..operators import cover, dag, fold, history, mainline
 from ..plans import trees as plans
 from ..sources import fleet
 from .history import PROTOCOL, _messages
@@ -71,6 +71,14 @@ def a5_effective_known(spark, sf_dir):
     return mainline.ghosts(f.commits, f.edges, f.trees, f.readds)
 
 
+def a3_touch_on_dag(spark, sf_dir):
+    """For every commit, synthetic ones and merges too, and every path of its vault the latest touch on or before it."""
+    f = _fleet(spark, sf_dir)
+    told = saved(mainline.touches(f.commits, f.edges, f.trees), "touches")
+    asked = f.commits.select("vault_id", "oid").join(told.select("vault_id", "path").distinct(), "vault_id")
+    return history.latest_touches_on_cover(asked, told, cover.covered(f.commits, f.edges))
+
+
 def a4_commit_touches(spark, sf_dir):
     """What every primitive with a sole parent adds and deletes."""
     f = _fleet(spark, sf_dir)
@@ -172,7 +180,7 @@ def l1_frontier_order(spark, sf_dir):
     return mainline.tips_of(f.commits, f.edges).select("vault_id", "k", "oid")
 
 
-QUERIES = {f.__name__: f for f in (g3_compute_main, g3_main_files, u1_line_merges, a5_effective_known, a4_commit_touches, a7_main_folds, g4_verify_folds, g6_restore_at, g7_restore_snapshot, s9_write_trees, g2_reachable_objects, z4_gc_objects, z3_export_primitives, l1_frontier_order)}
+QUERIES = {f.__name__: f for f in (g3_compute_main, g3_main_files, u1_line_merges, a5_effective_known, a3_touch_on_dag, a4_commit_touches, a7_main_folds, g4_verify_folds, g6_restore_at, g7_restore_snapshot, s9_write_trees, g2_reachable_objects, z4_gc_objects, z3_export_primitives, l1_frontier_order)}
 
 _BLOB = "sha1('blob ' || strlen({0})::VARCHAR || chr(0) || {0})"
 _FACTS = "WITH RECURSIVE " + fleet.EDGES_SQL + f""", clo AS (
@@ -237,6 +245,9 @@ ORACLES = {
     "g3_compute_main": _ALL + f" SELECT vault_id, oid AS main_oid, tree_oid, k AS tips FROM folds JOIN lastk USING (vault_id) WHERE k = last UNION ALL SELECT DISTINCT vault_id, {_GENESIS}, '{plans.EMPTY_TREE}', 0 FROM d_commits WHERE vault_id NOT IN (SELECT vault_id FROM tips)",
     "g3_main_files": _ALL + " SELECT vault_id, path, blob_oid FROM files",
     "a5_effective_known": _FACTS + " SELECT vault_id, oid FROM ghost",
+    "a3_touch_on_dag": _FACTS + """, asked AS (SELECT c.vault_id, c.oid, p.path FROM d_commits c JOIN (SELECT DISTINCT vault_id, path FROM tou) p USING (vault_id)),
+best AS (SELECT i.vault_id, i.descendant AS oid, t.path, arg_max(struct_pack(kind := t.kind, touch := t.oid), (t.counter, t.node, t.oid)) AS b FROM incl i JOIN tou t ON t.vault_id = i.vault_id AND t.oid = i.ancestor GROUP BY ALL)
+SELECT a.vault_id, a.oid, a.path, b.kind AS kind, b.touch AS touch_oid FROM asked a LEFT JOIN best USING (vault_id, oid, path)""",
     "a4_commit_touches": _FACTS + " SELECT vault_id, oid, path, kind FROM tou",
     "a7_main_folds": _ALL + " SELECT vault_id, k, oid, tree_oid, parents, time FROM folds",
     "g4_verify_folds": _ALL + f" SELECT vault_id, CASE WHEN k = 3 THEN {_commit_sql(chr(39) + plans.EMPTY_TREE + chr(39), chr(39) + 'parent ' + chr(39) + ' || string_split(parents, chr(44))[1] || chr(10) || ' + chr(39) + 'parent ' + chr(39) + ' || string_split(parents, chr(44))[2] || chr(10)', 'time')} ELSE oid END AS oid FROM folds WHERE k >= 3",
