@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag, history, keys, live, mainline, trees
+from .queries import dag, history, keys, live, mainline, objects, trees
 
-AREAS = (dag, trees, keys, history, live, mainline)
+AREAS = (dag, trees, keys, history, live, mainline, objects)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
