@@ -25,9 +25,49 @@ def compiled(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
     kept = kept.withColumn("negated", F.col("__p").startswith("!"))
     kept = kept.withColumn("__p", F.when(F.col("negated"), F.expr("substring(__p, 2)")).otherwise(F.col("__p")))
     kept = kept.withColumn("__p", F.regexp_replace("__p", "/\\z", ""))
-    body = _glob_body(F.regexp_replace("__p", "^/+", ""))
-    anywhere = F.when(F.contains(F.col("__p"), F.lit("/")), F.lit("")).otherwise(F.lit("(?:.*/)?"))
-    return kept.withColumn("rule_re", F.concat(F.lit("(?s)\\A"), anywhere, body, F.lit("(?:/.*)?\\z"))).drop("__p")
+    literal = F.regexp_replace("__p", "^/+", "")
+    anchored = F.contains(F.col("__p"), F.lit("/"))
+    anywhere = F.when(anchored, F.lit("")).otherwise(F.lit("(?:.*/)?"))
+    kept = kept.withColumn("rule_re", F.concat(F.lit("(?s)\\A"), anywhere, _glob_body(literal), F.lit("(?:/.*)?\\z")))
+    return kept.withColumn("rule_key", _rule_key(literal, anchored)).drop("__p")
+
+
+def _rule_key(body: Column, anchored: Column) -> Column:
+    """What any path that a glob matches has among its path_keys(): the literal first segment or name, else the extension, the first or
+    the last character of a segment; `*` (all paths) where the glob tells nothing. A match begins and ends with a segment."""
+    wild = body.rlike("[*?]")
+    first = F.regexp_extract(body, "(?s)^[^/]*", 0)
+    head = F.regexp_extract(body, "(?s)^[^*?/]", 0)
+    tail = F.regexp_extract(body, "(?s)[^*?/]*$", 0)
+    return (
+        F.when(anchored & ~first.rlike("[*?]"), F.concat(F.lit("f:"), first)).when(~wild, F.concat(F.lit("n:"), body))
+        .when(F.contains(tail, F.lit(".")), F.concat(F.lit("e:"), F.substring_index(tail, ".", -1)))
+        .when(head != "", F.concat(F.when(anchored, F.lit("g:")).otherwise(F.lit("h:")), head))
+        .when(tail != "", F.concat(F.lit("t:"), F.right(tail, F.lit(1)))).otherwise(F.lit("*")))
+
+
+def path_keys(path: Column) -> Column:
+    """All keys under which a rule that matches the path can be filed."""
+    parts = F.split(path, "/")
+    tagged = lambda tag, value: F.transform(parts, lambda c: F.concat(F.lit(tag), value(c)))
+    first = F.get(parts, F.lit(0))
+    extensions = F.transform(F.filter(parts, lambda c: F.contains(c, F.lit("."))), lambda c: F.concat(F.lit("e:"), F.substring_index(c, ".", -1)))
+    own = F.array(F.lit("*"), F.concat(F.lit("f:"), first), F.concat(F.lit("g:"), F.left(first, F.lit(1))))
+    return F.array_distinct(F.concat(own, extensions, tagged("n:", lambda c: c), tagged("h:", lambda c: F.left(c, F.lit(1))), tagged("t:", lambda c: F.right(c, F.lit(1)))))
+
+
+def candidates(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """paths (vault_id, path) with the rules (compiled) of their vault that are filed under one of their keys: an equi-join on vault
+    and key. A rule has one key, so no pair comes twice."""
+    each = paths.select("vault_id", "path").distinct().withColumn("rule_key", F.explode(path_keys(F.col("path"))))
+    return each.join(rules, ["vault_id", "rule_key"])
+
+
+def rule_hits(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(vault_id, path, kind, ord, negated) of every rule (vault_id, kind, ord, pattern) that matches a path. Expressions run only on
+    candidates from the index, so not on every rule with every path."""
+    ready = compiled(rules).select("vault_id", "kind", "ord", "negated", "rule_re", "rule_key")
+    return candidates(paths, ready).where(F.expr("path RLIKE rule_re")).select("vault_id", "path", "kind", "ord", "negated")
 
 
 def is_control(path: Column) -> Column:
@@ -37,12 +77,10 @@ def is_control(path: Column) -> Column:
 def decisions(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """paths (vault_id, path) with included, ignored (the last matching rule decides) and in_scope.
 
-    The rules of a vault meet its distinct paths by an equi-join on the vault with the regex on top; what matched is
-    pre-aggregated to one row a path, and missing matches count as not included and not ignored.
+    What matched (rule_hits) is pre-aggregated to one row a path, and missing matches count as not included and not ignored.
     """
     each = paths.select("vault_id", "path").distinct()
-    ready = compiled(rules).select("vault_id", "kind", "ord", "negated", "rule_re")
-    hits = each.join(ready, "vault_id").where(F.expr("path RLIKE rule_re"))
+    hits = rule_hits(each, rules)
     told = hits.groupBy("vault_id", "path").agg(
         F.max(F.col("kind") == "include").alias("included"),
         F.max_by(F.when(F.col("kind") == "ignore", ~F.col("negated")), F.when(F.col("kind") == "ignore", F.col("ord"))).alias("ignored"))

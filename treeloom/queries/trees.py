@@ -148,9 +148,7 @@ def f5_glob_to_rlike(spark, sf_dir):
 
 def j8_rule_hits(spark, sf_dir):
     """Rules against paths: how many distinct paths of a vault each rule matches."""
-    ready = scope.compiled(_rules(spark, sf_dir))
-    paths = fleet.page_paths(spark, sf_dir).select("vault_id", "path").distinct()
-    return paths.join(ready, "vault_id").where(F.expr("path RLIKE rule_re")).groupBy("vault_id", "kind", "ord").agg(F.count("*").alias("hits"))
+    return scope.rule_hits(fleet.page_paths(spark, sf_dir), _rules(spark, sf_dir)).groupBy("vault_id", "kind", "ord").agg(F.count("*").alias("hits"))
 
 
 def f6_is_binary(spark, sf_dir):
