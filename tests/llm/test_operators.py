@@ -350,7 +350,7 @@ def test_mined_rules_are_those_of_enumeration(spark):
     held = lambda i, *some: all(t in tokens[i] for t in some)
     toxic = [int(held(i, "p:p", "p:q", "p:r", "d:x.test") or held(i, "p:s", "q:k1") or rng.random() < 0.1) for i in range(400)]
     labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
-    want = rules_by_enumeration([(tokens[i], toxic[i]) for i in range(400)], url_filter.MIN_SUPPORT, url_filter.MIN_CONFIDENCE, url_filter.MIN_LIFT)
+    want = rules_by_enumeration([(tokens[i], toxic[i]) for i in range(400)], url_filter.MIN_PAGES / 400, url_filter.MIN_CONFIDENCE, url_filter.MIN_LIFT)
     rows = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
     assert any(len(s) > 1 for s in want)
     assert rows == {i: "block" if any(set(s) <= set(t) for s in want) else "allow" for i, t in tokens.items()}
@@ -359,6 +359,18 @@ def test_mined_rules_are_those_of_enumeration(spark):
     assert {tuple(sorted(r.antecedent)) for r in mined} <= want and all(r.index_token in r.antecedent for r in mined)
 
 
+def test_a_bound_on_combinations_keeps_rules_of_one_token(spark):
+    """Many tokens that each miss on some pages: combinations are mined from more pages on, single tokens still from MIN_PAGES."""
+    rng = np.random.default_rng(3)
+    urls = ["http://h.test/" + "/".join(chr(97 + k) for k in range(14) if rng.random() < 0.8) + ("/bad" if i < 8 else "/worse/too" if i < 40 else "") for i in range(300)]
+    pages = url_filter.parsed(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(300)], "doc_id long, quality int, toxic int")
+    apart, least = url_filter.combinable(pages.withColumn("page", F.col("page_id")).withColumn("bad", F.lit(True)), url_filter.MIN_PAGES, 60_000)
+    assert least > url_filter.MIN_PAGES and 0 < apart.agg(F.sum(F.pow(F.lit(2.0), F.size("tokens")))).first()[0] <= 60_000
+    mined = {tuple(r.antecedent) for r in url_filter.mine(pages, labels, most_itemsets=60_000).collect()}
+    assert {("p:bad",), ("p:too",)} <= mined
+
+
 def test_a_long_url_in_many_copies_makes_no_flood_of_rules(spark):
     long = "http://h.test/" + "/".join(f"{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(60))
     pages = spark.createDataFrame([(i, long if i % 2 else f"http://o{i}.test/n") for i in range(300)], "page_id long, url string")
@@ -492,6 +504,15 @@ def test_the_sample_is_bounded_distinct_and_whole(spark):
     assert [t.endswith("end") for _, t in whole if "text 7" in t] == [True]
 
 
+def test_the_sample_knows_every_language_within_its_bytes(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "w" * 1000, f"l{i % 50}") for i in range(1000)], "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _ in language_id.labelled_sample(docs, per_lang=5))  # a bound on hashes leaves some languages a row short
+    assert set(found) == {f"l{i}" for i in range(50)} and max(found.values()) == 5
+    assert Counter(lang for lang, _ in language_id.labelled_sample(docs, per_lang=5, most_bytes=50 * 2500)).keys() == found.keys()
+    assert Counter(lang for lang, _ in language_id.labelled_sample(docs, per_lang=5, most_bytes=50 * 2500)).most_common(1)[0][1] == 2
+    assert Counter(lang for lang, _ in language_id.labelled_sample(docs, per_lang=5, most_bytes=1)) == {f"l{i}": 1 for i in range(50)}
+
+
 def test_scores(spark):
     docs = odd_docs(spark).select("doc_id", "text")
     learn = docs.where(~lm_scoring.held_out())
@@ -510,14 +531,12 @@ def test_scores(spark):
 
 def test_hot_and_cold_words_give_the_same_base(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60)
-    monkeypatch.setattr(lm_scoring, "ENOUGH", 1)
     one = {r.doc_id: round(r.base_score, 6) for r in lm_scoring.score(docs, docs).collect()}
     monkeypatch.setattr(lm_scoring, "HOT_SHARE", 100)
     assert {r.doc_id: round(r.base_score, 6) for r in lm_scoring.score(docs, docs).collect()} == one
 
 
 def test_training_reaches_every_token_of_every_text(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "ENOUGH", 1)
     trained, averaged = [], lm_scoring.averaged
     monkeypatch.setattr(lm_scoring, "averaged", lambda *given: trained.append(averaged(*given)))
     rng = np.random.default_rng(1)
@@ -665,5 +684,9 @@ def test_op8_and_op7_sql(spark, sf_dir):
         assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(sql, sf_dir)
 
 
-def test_crc_of_ids():
-    assert zlib.crc32(b"1") % 4 in range(4)
+def test_held_out_ids(spark):
+    ids = spark.createDataFrame([(i,) for i in [*range(-5, 300), 10**12, None]], "doc_id long")
+    rows = ids.select("doc_id", language_id.held_out().alias("four"), lm_scoring.held_out().alias("seven")).collect()
+    text = lambda i: b"" if i is None else str(i).encode()
+    assert [(r.four, r.seven) for r in rows] == [(zlib.crc32(text(r.doc_id)) % 4 == 2, zlib.crc32(text(r.doc_id)) % 7 == 2) for r in rows]
+    assert any(r.four for r in rows) and any(r.seven for r in rows)

@@ -5,11 +5,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import duck_rows, spark_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from treeloom.llm import chat_format, merkle, oracles, prefix_trie, queries, templates
+from treeloom.llm import chat_format, merkle, prefix_trie, templates
 from treeloom.llm.templates import Node, Template, TemplateError
 
 CONVS = "conv_id long, turn long, role string, text string, place string, total string, n string"
@@ -247,8 +246,3 @@ def test_versions_share_nodes():
     again = tree.version(made[-1], 12, sha("12"))
     assert tree.digests[again[-1]] == tree.digests[root]  # the old content has the old digest
     assert tree.steps(root, 3) == tree.steps(made[-1], 3)[:3] + [tree.steps(root, 3)[3]]
-
-
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_chat_format", "op13_merkle_manifest"])
-def test_sql_agrees(spark, sf_dir, name):
-    assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(oracles.ORACLES[name], sf_dir)

@@ -5,8 +5,9 @@ n-grams at a border are affixes) and of its membership in learned lexicons. Lear
 forward-backward gives each word's distribution, so a code-switched text gets a label per word. A text's language is the one
 with the largest mean over its words, and that mean is the score.
 
-The field is trained in numpy on a bounded sample of labelled rows (SAMPLE_DOCS distinct ones in each of the SAMPLE_LANGS most
-frequent languages, whole texts); prediction reads every whole text and shuffles nothing.
+The field is trained in numpy on a bounded sample of labelled rows: of every language SAMPLE_DOCS distinct ones, whole texts, of
+together SAMPLE_BYTES at most, of which each language has an equal share and at least one text; prediction reads every whole
+text and shuffles nothing.
 
 Cases: a null text, or one without a letter (of Unicode's category L), is `und` with score 0; very long texts are followed word by word to their end;
 repeated rows repeat their result; ties go to the language that sorts first; without a labelled row everything is `und`;
@@ -29,7 +30,7 @@ from .bpe import sub_batches
 from .common import crc_rest, mix64, utf8
 
 SAMPLE_DOCS = 400
-SAMPLE_LANGS = 32
+SAMPLE_BYTES = 64_000_000
 BUCKETS = 1 << 17
 GRAMS = (1, 2, 3, 4, 5)
 STEPS = 24
@@ -219,19 +220,22 @@ def train(sample: list[tuple[str, str]], seed: int = 5, passes: int = 2, rate: f
     return field
 
 
-def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_lang distinct documents in each of the SAMPLE_LANGS most frequent languages, by a hash of id
-    and text. Each language's count sets a bound on the hash that about twice as many rows pass, so that only these are
-    ranked, however many rows a language has; rows that repeat collapse before they are shuffled."""
+def labelled_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """(lang, text) of at most per_lang distinct documents in every language, by a hash of id and text, as far as the language's
+    equal share of most_bytes goes (one document in any case). Each language's count sets a bound on the hash that about twice
+    as many rows pass, so that only these are ranked, however many rows a language has; rows that repeat collapse before they
+    are shuffled."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("__order"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # a row per class to be learned
     if not counts:
         return []
     bounds = [(r["lang"], min((1 << 63) - 1, (2 * per_lang << 63) // r["n"])) for r in counts]
     bound = docs.sparkSession.createDataFrame(bounds, "lang string, __bound long")
     few = known.join(F.broadcast(bound), "lang").where("__order <= __bound").groupBy("lang", "__order").agg(F.min("text").alias("text"))
-    best = few.withColumn("__rank", F.row_number().over(Window.partitionBy("lang").orderBy("__order"))).where(F.col("__rank") <= per_lang)
-    return [(r["lang"], r["text"]) for r in best.orderBy("__order", "lang").collect()]
+    along = Window.partitionBy("lang").orderBy("__order")
+    sized = few.withColumns({"__rank": F.row_number().over(along), "__bytes": F.sum(F.octet_length("text").cast("long")).over(along)})
+    best = sized.where((F.col("__rank") <= per_lang) & ((F.col("__rank") == 1) | (F.col("__bytes") <= most_bytes // len(counts))))
+    return [(r["lang"], r["text"]) for r in best.orderBy("__order", "lang").select("lang", "text").collect()]
 
 
 def fit(docs: DataFrame, **options) -> Field:

@@ -7,8 +7,8 @@ a probability of the text. Windows overlap by half: each scores its second half,
 context, so every token is scored once.
 
 All weights are trained in numpy on every target of every window of every training document: the documents are cut once, their
-ids written, and dealt over ROUNDS rounds (a small corpus goes over all of them several times, in rounds of their own); in a round every partition makes its steps from the broadcast weights over its share
-of the round, and the weights (of fixed size) are averaged by tokens in a tree. Corpus-wide counts of subwords and their pairs
+ids written, and dealt over ROUNDS rounds, the same at every size of the corpus; in a round every partition makes its steps from
+the broadcast weights over its share of the round, and the weights (of fixed size) are averaged by tokens in a tree. Corpus-wide counts of subwords and their pairs
 only say which subwords share a class and how the biases start. The counts of words cover all training documents; they meet
 texts in two ways: words that make up at least 1 / HOT_SHARE of all tokens (so at most HOT_SHARE of them) are broadcast, all
 others are joined by hash.
@@ -45,9 +45,9 @@ BATCH = 512
 #: Bytes of text that a task has in hand at once (a longer single text is taken alone).
 READ_CHARS = 1_000_000
 ROUNDS = 8
-#: Windows of a step; a small corpus is gone over until about ENOUGH windows were seen, MOST_PASSES times at most.
+#: Windows of a step, and how often training goes over the corpus, whatever its size.
 STEP_WINDOWS = 512
-ENOUGH, MOST_PASSES = 1_200_000, 10
+PASSES = 1
 RATE = 0.02
 #: Logits are held within this, so that no sum of their exponentials leaves the single precision.
 MOST_LOGIT = 80.0
@@ -419,11 +419,8 @@ def train_on(coded: DataFrame, path: str, pairs: np.ndarray) -> Model:
     tokens = int(counts.sum(dtype=np.int64))
     if tokens:
         model.set_classes(counts)
-        passes = min(MOST_PASSES, max(1, -(-ENOUGH * HALF // tokens)))
-        shares = max(1, ROUNDS // passes)
-        rounds = shares * passes
-        for number in range(rounds):
-            averaged(coded.where(F.col("turn") % shares == number % shares).select("ids"), model, path, RATE * (1 - 0.9 * number / rounds), number)
+        for number in range(ROUNDS * PASSES):
+            averaged(coded.where(F.col("turn") == number % ROUNDS).select("ids"), model, path, RATE * (1 - 0.9 * number / (ROUNDS * PASSES)), number)
     return model
 
 
