@@ -13,6 +13,7 @@ empty; repeated rows are documents of their own; further columns of the input ar
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,69 +24,82 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import saved, utf8
+from .common import saved, shared_dir, utf8
 
 #: <|endoftext|> of the vocabulary word_bpe_49k.
 END_OF_DOCUMENT = 49407
 BLOCK_TOKENS = 1 << 18
 
-FLAT = "kind int, file long, at long, tokens binary, docs array<long>"
+FLAT = "kind int, file long, at long, path string, docs array<long>"
 
 
-def flatten(docs: DataFrame, path: str | None = None, end: int = END_OF_DOCUMENT, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token files of docs, one per partition: rows of kind 0 are the file's blocks (at: which), in uint16; rows of kind 1
-    list the documents that were written (at: the first one's place in the file). Special tokens in a text are plain text."""
+def _opened(address: str) -> tuple[fs.FileSystem, str]:
+    """The store of an address and the place in it; it must be one that pyarrow opens by its address (file, hdfs, s3, gs)."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", address))
+
+
+def flatten(docs: DataFrame, folder: str, path: str | None = None, end: int = END_OF_DOCUMENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes docs to flat token files of uint16 below folder (which all tasks must reach), one per partition, and tells of them:
+    rows of kind 0 are the files (at: the length in bytes), rows of kind 1 list the documents that were written (at: the first
+    one's place in the file). Each attempt of a task writes a file of its own, so a lost one leaves no more than a file that no
+    row names; save the rows, since to read them again is to write again. Special tokens in a text are plain text."""
     path = path or bpe.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, file = bpe.coder(path), TaskContext.get().partitionId()
-        schema = pa.schema([("kind", pa.int32()), ("file", pa.int64()), ("at", pa.int64()), ("tokens", pa.binary()), ("docs", pa.list_(pa.int64()))])
+        own, task = bpe.coder(path), TaskContext.get()
+        schema = pa.schema([("kind", pa.int32()), ("file", pa.int64()), ("at", pa.int64()), ("path", pa.string()), ("docs", pa.list_(pa.int64()))])
         stop = np.array([end], np.uint16).tobytes()
-        size, block, place, held = 2 * block_tokens, 0, 0, bytearray()
+        name = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}.bin"
+        out, place, length = None, 0, 0
 
-        def rows(kind: int, at: list[int], tokens: list, ids: list) -> pa.RecordBatch:
-            n = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([file] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(tokens, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], schema=schema)
+        def row(kind: int, at: int, ids: list[int] | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([task.partitionId()], pa.int64()), pa.array([at], pa.int64()), pa.array([name]), pa.array([ids], pa.list_(pa.int64()))], schema=schema)
 
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for texts in bpe.sub_batches(batch.column(1)):
-                for coded in own.encode_texts(texts, False):
-                    held += np.frombuffer(coded, np.int32).astype(np.uint16).tobytes() + stop
-                while len(held) >= size:
-                    yield rows(0, [block], [bytes(held[:size])], [None])
-                    del held[:size]
-                    block += 1
-                yield rows(1, [place], [None], [ids[at : at + len(texts)]])
+                if out is None:
+                    store, inner = _opened(name)
+                    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(inner)
+                coded = b"".join(np.frombuffer(c, np.int32).astype(np.uint16).tobytes() + stop for c in own.encode_texts(texts, False))
+                out.write(coded)
+                length += len(coded)
+                yield row(1, place, ids[at : at + len(texts)])
                 at, place = at + len(texts), place + len(texts)
-        if held:
-            yield rows(0, [block], [bytes(held)], [None])
+        if out is not None:
+            out.close()
+            yield row(0, length, None)
         own.memo.clear()
 
     return docs.select(F.col(key).cast("long"), utf8(text)).mapInArrow(run, FLAT)
 
 
-def blocks_of_files(spark: SparkSession, path: str, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, at, tokens) of raw flat files of any length below path; file is the file's path. Spark lists the files and
-    their lengths, deals out the byte ranges of all blocks, and each task reads its ranges; the store must be one that pyarrow
-    opens by its address (file, hdfs, s3, gs)."""
+def blocks_of(files: DataFrame, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """files (file, path, length in bytes) of any length -> blocks (file, at, tokens). The byte ranges of all blocks are dealt out, and
+    each task reads its ranges."""
     size = np.dtype(dtype).itemsize * block_tokens
-    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
-    ranges = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("at"))
-    dealt = ranges.repartition(F.col("file"), F.col("at"))
+    kind = dict(files.dtypes)["file"]
+    ranges = files.where("length > 0").select("file", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("at"))
+    dealt = ranges.repartition(F.col("path"), F.col("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, length, at in zip(*(c.to_pylist() for c in batch.columns)):
-                address = re.sub(r"^file:/+", "file:///", name)
-                store, inner = fs.FileSystem.from_uri(address)
+            for row, (name, length, at) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                store, inner = _opened(name)
                 with store.open_input_file(inner) as f:
                     raw = f.read_at(min(size, length - at * size), at * size)
                 if len(raw) != min(size, length - at * size):
                     raise OSError(f"{name} ends before its listed length")
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int64()), pa.array([raw], pa.binary())], names=["file", "at", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([at], pa.int64()), pa.array([raw], pa.binary())], names=["file", "at", "tokens"])
 
-    return dealt.mapInArrow(run, "file string, at long, tokens binary")
+    return dealt.mapInArrow(run, f"file {kind}, at long, tokens binary")
+
+
+def blocks_of_files(spark: SparkSession, path: str, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of all raw flat files that Spark lists below path; file is the file's path."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "path", "length")
+    return blocks_of(listed, dtype, block_tokens)
 
 
 def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, dtype: str = "uint16") -> DataFrame:
@@ -120,9 +134,11 @@ def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT, dtype: str = "uint16") -
 
 
 def token_counts(docs: DataFrame, path: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id and n_tokens of each document: its flat files are written to the shared folder, then scanned."""
-    flat = saved(flatten(docs, path, block_tokens=block_tokens), "flat")
-    counted = saved(scan(flat.where("kind = 0").select("file", "at", "tokens")), "counted")
+    """doc_id and n_tokens of each document: its flat files are written to the shared folder, then read in blocks and scanned."""
+    folder = f"{shared_dir(docs.sparkSession)}/treeloom-{uuid.uuid4().hex}/tokens"
+    flat = saved(flatten(docs, folder, path), "flat")
+    files = flat.where("kind = 0").select("file", "path", F.col("at").alias("length"))
+    counted = saved(scan(blocks_of(files, block_tokens=block_tokens)), "counted")
     listed = flat.where("kind = 1").select("file", "at", F.posexplode("docs").alias("i", "doc_id")).select("file", (F.col("at") + F.col("i")).alias("place"), "doc_id")
     lost = F.raise_error(F.lit("a document's separator is missing")).cast("long")
     return listed.join(counted, ["file", "place"], "left").select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens"))
