@@ -69,3 +69,26 @@ def test_new_objects_are_a_difference_of_sets(spark):
         old, new = commits.get(a, {}), commits[b]
         assert got.get(i, set()) == held(ids.get(b)) - held(a and ids.get(a)), i
         assert told.get(i, set()) == {(p, old.get(p), new.get(p)) for p in {*old, *new} if old.get(p) != new.get(p)}, i
+
+
+def test_shared_subtrees_are_spread_out_once(spark, monkeypatch):
+    """60 roots of which each differs from the next in one of 40 folders; a tree without files and one that holds the same twice."""
+    from treeloom.sources import stores
+
+    base = {f"d{i}/e/f{j}": blob((i, j)) for i in range(40) for j in range(2)}
+    commits = {str(c): base | {f"d{c % 40}/e/f0": blob(("new", c))} for c in range(60)} | {"twice": {"a/x": blob(1), "b/x": blob(1), "top": blob(2)}}
+    roots, entries = objects.stored_trees(tree_of(spark, commits))
+    ids = {r.oid: r.tree_oid for r in roots.collect()}
+    counted, spread = stores.saved, []
+    monkeypatch.setattr(stores, "saved", lambda df, name: spread.append(counted(df, name)) or spread[-1] if name == "spread" else counted(df, name))
+    entries = entries.drop("vault_id").distinct()
+    found = stores.flattened(entries, roots.select("tree_oid"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.tree_oid, {})[r.path] = r.blob_oid
+    assert got == {ids[o]: files for o, files in commits.items()}
+    # Two levels: d folders once each (base and changed ones), then the roots themselves.
+    assert [t.count() for t in spread] == [2 * (40 + 60) + 3, 60 * 80] or sum(t.count() for t in spread) == 2 * (40 + 60) + 60 * 80 + 3
+    hollow = spark.createDataFrame([("r", "40000", "empty", "e"), ("r", "100644", "f", "1"), ("s", "40000", "only", "r")], "tree_oid string, mode string, name string, child_oid string")
+    rows = stores.flattened(hollow, spark.createDataFrame([("r",), ("s",)], "tree_oid string")).collect()
+    assert sorted(map(tuple, rows)) == [("r", "f", "1"), ("s", "only/f", "1")]
