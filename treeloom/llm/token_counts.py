@@ -29,6 +29,8 @@ from .common import saved, shared_dir, utf8
 #: <|endoftext|> of the vocabulary word_bpe_49k.
 END_OF_DOCUMENT = 49407
 BLOCK_TOKENS = 1 << 18
+#: Blocks that a task reads, one after the other, about.
+TASK_BLOCKS = 64
 
 FLAT = "kind int, file long, at long, path string, docs array<long>"
 
@@ -81,7 +83,9 @@ def blocks_of(files: DataFrame, dtype: str = "uint16", block_tokens: int = BLOCK
     size = np.dtype(dtype).itemsize * block_tokens
     kind = dict(files.dtypes)["file"]
     ranges = files.where("length > 0").select("file", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("at"))
-    dealt = ranges.repartition(F.col("path"), F.col("at"))
+    # The rows are few and small whatever they stand for: their number of tasks comes from the bytes to read.
+    tasks = 1 + int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // (TASK_BLOCKS * size)
+    dealt = ranges.repartition(tasks, F.col("path"), F.col("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
