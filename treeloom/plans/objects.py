@@ -113,3 +113,18 @@ def new_objects(diff: Diff, entries: DataFrame) -> DataFrame:
     within = inside.join(wanted, ["vault_id", "oid"], "left_semi").join(tops, ["vault_id", "top"]).select("vault_id", "id", "oid")
     held = was.unionByName(stayed).unionByName(within).distinct()
     return fresh.join(held, ["vault_id", "id", "oid"], "left_anti")
+
+
+def fsck(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """objects (vault_id, oid, kind, declared, payload; both null where the bytes are not at hand) and links (vault_id, src, dst) ->
+    (vault_id, oid, fault, other): `length` where the declared length is not the payload's, `id` where the id is not that of the
+    bytes, and `dangling` where an object that is there names one (other) that is not."""
+    size = F.octet_length("payload").cast("long")
+    framed = F.concat(F.concat("kind", F.lit(" "), size.cast("string")).cast("binary"), F.lit(bytes(1)), "payload")
+    none = F.lit(None).cast("string").alias("other")
+    read = objects.where("payload IS NOT NULL").select("vault_id", "oid", F.explode(F.array_compact(F.array(
+        F.when(F.col("declared") != size, F.lit("length")), F.when(F.sha1(framed) != F.col("oid"), F.lit("id"))))).alias("fault"), none)
+    there = saved(objects.select("vault_id", "oid").distinct(), "there")
+    named = links.join(there.withColumnRenamed("oid", "src"), ["vault_id", "src"], "left_semi").distinct()
+    lost = named.join(there.withColumnRenamed("oid", "dst"), ["vault_id", "dst"], "left_anti")
+    return read.unionByName(lost.select("vault_id", F.col("src").alias("oid"), F.lit("dangling").alias("fault"), F.col("dst").alias("other")))

@@ -83,7 +83,21 @@ def z4_gc_from_roots(spark, sf_dir):
     return objects.all_objects(f.commits, roots, entries).join(kept.unionByName(folded).distinct(), ["vault_id", "oid"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (g2_object_graph, z2_export_objects, j14_missing_graph, z3_export_new_objects, j3_added_by_objects, z7_diff_by_objects, z4_gc_from_roots)}
+def g5_fsck_objects_whole(spark, sf_dir):
+    """Faults of the fleet's objects, of which every eleventh commit is lost, blobs whose length is a multiple of five declare a byte
+    too many, and those whose id ends in 0 have grown by a byte."""
+    f, roots, entries = _stored(spark, sf_dir)
+    raw, size = F.col("content").cast("binary"), F.octet_length("content").cast("long")
+    blobs = f.trees.select("vault_id", "blob_oid").distinct().join(f.blobs, "blob_oid").select(
+        "vault_id", F.col("blob_oid").alias("oid"), F.lit("blob").alias("kind"), (size + (size % 5 == 0).cast("long")).alias("declared"),
+        F.when(F.col("blob_oid").endswith("0"), F.concat(raw, F.lit(b"x"))).otherwise(raw).alias("payload"))
+    lost = lines.fleet.commits(spark, sf_dir).where("counter % 11 = 0").select("vault_id", "oid")
+    rest = objects.all_objects(f.commits, roots, entries).where("kind <> 'blob'").join(lost, ["vault_id", "oid"], "left_anti")
+    rest = rest.select("vault_id", "oid", "kind", F.lit(None).cast("long").alias("declared"), F.lit(None).cast("binary").alias("payload"))
+    return objects.fsck(blobs.unionByName(rest), objects.object_links(f.edges, roots, entries))
+
+
+QUERIES = {f.__name__: f for f in (g2_object_graph, z2_export_objects, j14_missing_graph, z3_export_new_objects, j3_added_by_objects, z7_diff_by_objects, z4_gc_from_roots, g5_fsck_objects_whole)}
 
 _SUB = f"SELECT vault_id, oid, {lines._tree_sql('body')} AS tree FROM (SELECT vault_id, oid, string_agg(hex(('100644 f' || p::VARCHAR || '.md')::BLOB) || '00' || upper(blob_oid), '' ORDER BY p) AS body FROM trees WHERE p > 3 GROUP BY ALL)"
 _TOP = f"""SELECT vault_id, oid, {lines._tree_sql('body')} AS tree FROM (SELECT vault_id, oid, string_agg(e, '' ORDER BY n) AS body FROM (SELECT vault_id, oid, 'd/' AS n, hex('40000 d'::BLOB) || '00' || upper(tree) AS e FROM csub
@@ -112,4 +126,7 @@ WHERE h.kind = 'commit' OR NOT EXISTS (SELECT 1 FROM holds w WHERE w.vault_id =
     "z4_gc_from_roots": lines._ALL + _HOLDS + """, early AS (SELECT vault_id, oid FROM d_commits WHERE counter <= 12),
 kept AS (""" + _below("SELECT vault_id, oid FROM tips UNION SELECT vault_id, arg_max(oid, (counter, oid)) FROM prim GROUP BY vault_id, node UNION SELECT vault_id, oid FROM early") + """)
 SELECT vault_id, object AS oid, kind FROM holds EXCEPT SELECT vault_id, oid, kind FROM kept EXCEPT SELECT vault_id, oid, 'tree' FROM sub EXCEPT SELECT vault_id, tree, 'tree' FROM tid EXCEPT SELECT vault_id, o, 'blob' FROM run""",
+    "g5_fsck_objects_whole": lines._FACTS + """, b AS (SELECT DISTINCT t.vault_id, t.blob_oid AS oid, strlen(h.content) AS n FROM held h JOIN trees t ON t.vault_id = h.vault_id AND t.oid = h.oid AND t.p = h.p)
+SELECT vault_id, oid, 'length' AS fault, NULL::VARCHAR AS other FROM b WHERE (n % 5 = 0) <> (right(oid, 1) = '0') UNION ALL SELECT vault_id, oid, 'id', NULL FROM b WHERE right(oid, 1) = '0'
+UNION ALL SELECT e.vault_id, e.child, 'dangling', e.parent FROM d_edges e JOIN d_commits p ON p.vault_id = e.vault_id AND p.oid = e.parent JOIN d_commits c ON c.vault_id = e.vault_id AND c.oid = e.child WHERE p.counter % 11 = 0 AND c.counter % 11 <> 0""",
 }
