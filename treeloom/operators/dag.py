@@ -134,3 +134,14 @@ def reachable(roots: DataFrame, links: DataFrame, by: list[str] | None = None, m
 def dangling(edges: DataFrame, commits: DataFrame) -> DataFrame:
     """Edges whose parent is not among the commits."""
     return edges.join(commits.select("vault_id", F.col("oid").alias("parent")), ["vault_id", "parent"], "left_anti")
+
+
+def well_formed(tips: DataFrame) -> DataFrame:
+    """tips whose oid is one (forty hexadecimal digits), in lower case; malformed ones are ignored."""
+    return tips.where(F.col("oid").rlike("^[0-9a-fA-F]{40}\\z")).withColumn("oid", F.lower("oid"))
+
+
+def wanted_tips(shown: DataFrame, held: DataFrame, known: DataFrame) -> DataFrame:
+    """Advertised tips (vault_id, oid) that the receiver does not hold, or holds but has not admitted as known."""
+    admitted = held.select("vault_id", "oid").join(known.select("vault_id", "oid"), ["vault_id", "oid"], "left_semi")
+    return well_formed(shown).select("vault_id", "oid").distinct().join(admitted, ["vault_id", "oid"], "left_anti")

@@ -192,6 +192,16 @@ def merged_states(states: DataFrame) -> DataFrame:
     return counts.join(snaps, key, "left").join(own, key, "left").select(*key, "counter", "observed", "known", F.coalesce("snapshots", none).alias("snapshots"), F.coalesce("materialized", none).alias("materialized"))
 
 
+def snapshots_as_of(snapshots: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """asked (*key, at, ...) with the newest snapshot (*key, created, place: the order in which they were made, name) created by then;
+    of equally old ones the first made. One window over both: no row is paired with another."""
+    told = F.struct("created", (-F.col("place")).alias("place"), "name")
+    facts = snapshots.select(*key, F.col("created").alias("at"), told.alias("snap"))
+    order = Window.partitionBy(*key).orderBy("at")  # equally old ones count together
+    found = cover.last_before(asked, facts.withColumn("snap", F.max("snap").over(order)), key, "at", "snap")
+    return found.withColumn("name", F.col("snap.name")).drop("snap")
+
+
 def log_text(source: Column, ts: Column, level: Column, message: Column) -> Column:
     """A log line as it is shown: source and time of day to the millisecond, errors marked."""
     return F.concat(F.lit("["), source, F.lit(" "), clock_text(ts), F.lit("] "), F.when(level == "error", "ERROR ").otherwise(""), message)

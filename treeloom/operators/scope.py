@@ -139,3 +139,13 @@ def rule_lines(files: DataFrame) -> DataFrame:
     """files (vault_id, file_rank, content), the control file before a node's own, as numbered rules (vault_id, ord, pattern)."""
     lines = files.select("vault_id", "file_rank", F.posexplode(F.split("content", "\n")).alias("line_no", "pattern"))
     return lines.select("vault_id", F.row_number().over(Window.partitionBy("vault_id").orderBy("file_rank", "line_no")).alias("ord"), "pattern")
+
+
+def rules_added(rules: DataFrame, more: DataFrame) -> DataFrame:
+    """rules and more (vault_id, kind, ord, pattern) as one list, numbered anew: includes that are there already are not added again,
+    ignores are appended behind whatever they say, since the last one that matches decides."""
+    both = rules.withColumn("__late", F.lit(0)).unionByName(more.withColumn("__late", F.lit(1)))
+    own = F.when(F.col("kind") == "include", F.concat(F.lit("p"), F.col("pattern"))).otherwise(F.concat_ws("/", F.col("__late").cast("string"), F.col("ord").cast("string")))
+    first = Window.partitionBy("vault_id", "kind", own).orderBy("__late", "ord")
+    kept = both.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return kept.select("vault_id", "kind", F.row_number().over(Window.partitionBy("vault_id", "kind").orderBy("__late", "ord")).alias("ord"), "pattern")

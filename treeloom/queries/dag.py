@@ -90,15 +90,14 @@ def j14_missing_objects(spark, sf_dir):
 def j6_want_tips(spark, sf_dir):
     """Advertised tips that the receiver (all commits with an even counter, of which every third is not admitted) lacks."""
     held = _commits(spark, sf_dir).where("counter % 2 = 0").select("vault_id", "oid", "counter")
-    admitted = held.where("counter % 3 <> 0").select("vault_id", "oid")
-    return _tips(spark, sf_dir).join(admitted, ["vault_id", "oid"], "left_anti").select("vault_id", "oid")
+    return dag.wanted_tips(_tips(spark, sf_dir), held, held.where("counter % 3 <> 0"))
 
 
 def f12_want_filter(spark, sf_dir):
     """Malformed tip ids are left out before the anti-join."""
     c = fleet.commits(spark, sf_dir)
     shown = c.select("vault_id", F.when(F.col("counter") % 5 == 0, F.concat("oid", F.lit("x"))).when(F.col("counter") % 7 == 0, F.upper("oid")).otherwise(F.col("oid")).alias("oid"))
-    return shown.where(F.col("oid").rlike("^[0-9a-fA-F]{40}\\z")).select("vault_id", F.lower("oid").alias("oid"))
+    return dag.well_formed(shown)
 
 
 def g10_dangling(spark, sf_dir):

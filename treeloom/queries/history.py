@@ -216,13 +216,9 @@ def w5_asof_snapshot(spark, sf_dir):
     """Of each user the newest purchase up to noon of every day on which it was active; ties go to the earlier event."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", fleet.seconds("ts").alias("t"))
     asked = e.select("user_id", F.expr("t div 86400").alias("day")).distinct()
-    snaps = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("t").alias("created"), F.expr("t div 86400").alias("day"))
-    noon = F.col("day") * 86400 + 43200
-    # Snapshots and questions in one order: the last snapshot before each question.
-    both = snaps.select("user_id", F.col("created").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("day"), F.struct(F.col("created"), (-F.col("event_id")).alias("neg")).alias("snap")).unionByName(
-        asked.select("user_id", noon.alias("at"), F.lit(1).alias("asks"), "day", F.lit(None).cast("struct<created:bigint,neg:bigint>").alias("snap")))
-    order = Window.partitionBy("user_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("best", F.max("snap").over(order)).where("asks = 1").select("user_id", "day", (-F.col("best.neg")).alias("event_id"))
+    snaps = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("created"), F.col("event_id").alias("place"), F.col("event_id").alias("name"))
+    noon = asked.withColumn("at", F.col("day") * 86400 + 43200)
+    return history.snapshots_as_of(snaps, noon, ["user_id"]).select("user_id", "day", F.col("name").alias("event_id"))
 
 
 def _log(spark, sf_dir):

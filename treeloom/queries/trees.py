@@ -196,10 +196,7 @@ def z6_add_rules(spark, sf_dir):
     old = _rules(spark, sf_dir)
     more = spark.createDataFrame([("include", 90, "en/"), ("include", 91, "de/"), ("ignore", 90, "*.html"), ("ignore", 91, "x")], "kind string, ord int, pattern string")
     new = old.select("vault_id").distinct().crossJoin(F.broadcast(more))  # four rules for every vault
-    both = old.unionByName(new.select(*old.columns))
-    first = Window.partitionBy("vault_id", "kind", F.when(F.col("kind") == "include", F.col("pattern")).otherwise(F.col("ord").cast("string"))).orderBy("ord")
-    kept = both.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return kept.select("vault_id", "kind", F.row_number().over(Window.partitionBy("vault_id", "kind").orderBy("ord")).alias("ord"), "pattern")
+    return scope.rules_added(old, new.select(*old.columns))
 
 
 QUERIES = {f.__name__: f for f in (j1_merge_trees, j3_paths_added, j4_path_present, a4_touches, j5_materialize_plan, j7_reconcile_plan, j13_restore_delta, j15_removed_since, j17_change_detect, z7_diff, z3_export_primitive, z8_grep, l2_tree_entry_sort, a6_tree_oids, j9_folder_expand, j10_rename_quadrant, g8_prune_empty_dirs, g9_ensure_folders, f3_path_in_scope, f4_ignore_decision, f5_glob_to_rlike, j8_rule_hits, f6_is_binary, f7_canonicalize_keeps, f8_empty_dir_keeps, f9_should_sync, s7b_default_rules, s7_scope_rules, z6_add_rules)}
