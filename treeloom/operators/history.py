@@ -53,18 +53,10 @@ def parsed(objects: DataFrame) -> DataFrame:
         F.regexp_extract(author, r"> ([0-9]+)", 1).try_cast("long").alias("author_time"), F.expr("substring(payload, instr(payload, '\n\n') + 2)").alias("message"))
 
 
-def latest_touches(asked: DataFrame, touches: DataFrame, closure_incl: DataFrame) -> DataFrame:
-    """asked (vault_id, oid, path) with the touch (kind, touch_oid) of the greatest order key in the closure of oid, oid
-    included; null where the path was never touched. touches: vault_id, oid, path, kind, counter, node_id."""
-    seen = asked.join(closure_incl.select("vault_id", F.col("descendant").alias("oid"), F.col("ancestor").alias("t_oid")), ["vault_id", "oid"])
-    met = seen.join(touches.select("vault_id", F.col("oid").alias("t_oid"), "path", "kind", "counter", "node_id"), ["vault_id", "t_oid", "path"])
-    best = met.groupBy("vault_id", "oid", "path").agg(F.max(F.struct("counter", "node_id", "t_oid", "kind")).alias("t"))
-    return asked.join(best, ["vault_id", "oid", "path"], "left").select("vault_id", "oid", "path", F.col("t.kind").alias("kind"), F.col("t.t_oid").alias("touch_oid"))
-
-
 def latest_touches_on_cover(asked: DataFrame, touches: DataFrame, covered: cover.Cover) -> DataFrame:
-    """The same on any DAG, from the chain-cover labels of its primitives: no closure is built, and rows are the questions times
-    the writers that touched the path."""
+    """asked (vault_id, oid, path) with the touch (kind, touch_oid) of the greatest order key on oid or before it; null where the path
+    was never touched. touches: vault_id, oid, path, kind, counter, node_id. On any DAG, from the chain-cover labels of its
+    primitives: no closure is built, and rows are the questions times the writers that touched the path."""
     key = F.struct("counter", "node_id", F.col("oid").alias("t_oid"), "kind")
     best = cover.latest(covered, asked, touches, ["path"], key)
     return asked.join(best, ["vault_id", "oid", "path"], "left").select("vault_id", "oid", "path", F.col("best.kind").alias("kind"), F.col("best.t_oid").alias("touch_oid"))
