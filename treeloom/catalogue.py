@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import dag, history, keys, live, mainline, objects, trees
+from .queries import dag, history, keys, live, mainline, objects, status, trees
 
-AREAS = (dag, trees, keys, history, live, mainline, objects)
+AREAS = (dag, trees, keys, history, live, mainline, objects, status)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -126,6 +126,12 @@ def tips_of(known: DataFrame, edges: DataFrame, dropped: DataFrame | None = None
     return dag.ranked(dag.frontier(effective, edges), "k").select("vault_id", "oid", "k", "time")
 
 
+def folded_tips(folds: DataFrame) -> DataFrame:
+    """(vault_id, oid, k) of the tips that folds are made of: each step's last parent, and the first one's other."""
+    own = folds.select("vault_id", F.element_at("parents", -1).alias("oid"), "k")
+    return own.unionByName(folds.where("k = 2").select("vault_id", F.col("parents")[0].alias("oid"), F.lit(1).alias("k")))
+
+
 def compute_main(known: DataFrame, edges: DataFrame, trees: DataFrame, blobs: DataFrame, protocol: str, readds: DataFrame | None = None, history: DataFrame | None = None) -> Main:
     """Of every vault with known commits the main line: ghosts go, the frontier of what is left is folded. history: all stored
     commits, if more than the known ones (restores). A vault with no tip has the genesis."""

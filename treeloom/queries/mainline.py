@@ -101,15 +101,20 @@ def _recorded(done: mainline.Main) -> DataFrame:
     return after.unionByName(sent.where("size(parents) = 1").select("vault_id", "k", "oid", "parents", "time"))
 
 
+def _check_tables(f: Fleet, done: mainline.Main, sent: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Recorded folds, and the commits, edges and trees that they are checked against."""
+    commits = f.commits.select("vault_id", "oid", "time").unionByName(sent.select("vault_id", "oid", "time"))
+    edges = f.edges.unionByName(sent.select("vault_id", F.col("oid").alias("child"), F.explode("parents").alias("parent")))
+    trees = f.trees.unionByName(fold.standing(done.changes, done.folds).join(sent.where("k <> 3").select("vault_id", "k", "oid"), ["vault_id", "k"]).select("vault_id", "oid", "path", "blob_oid"))
+    return sent, commits, edges, trees
+
+
 def g4_verify_folds(spark, sf_dir):
     """Recorded folds that do not come out of their own parents, and those that build on one."""
     f = _fleet(spark, sf_dir)
     done = _main(f, f.commits)
     sent = saved(_recorded(done), "sent")
-    commits = f.commits.select("vault_id", "oid", "time").unionByName(sent.select("vault_id", "oid", "time"))
-    edges = f.edges.unionByName(sent.select("vault_id", F.col("oid").alias("child"), F.explode("parents").alias("parent")))
-    trees = f.trees.unionByName(fold.standing(done.changes, done.folds).join(sent.where("k <> 3").select("vault_id", "k", "oid"), ["vault_id", "k"]).select("vault_id", "oid", "path", "blob_oid"))
-    return mainline.wrong_folds(sent, commits, edges, trees, f.blobs, PROTOCOL)
+    return mainline.wrong_folds(*_check_tables(f, done, sent), f.blobs, PROTOCOL)
 
 
 def g6_restore_at(spark, sf_dir):
