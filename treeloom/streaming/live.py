@@ -194,7 +194,7 @@ def timed_out(steps: DataFrame, budget_seconds: int) -> DataFrame:
 
 
 # ---- states of their own: the streaming forms of what batches say with windows -----------------------------------------
-# A key's rows must come in order; a stream out of order is sorted by its source or kept back by a watermark.
+# A key's rows must come in order here; `ordered` has the forms for streams out of order.
 
 
 def _stateful(rows: DataFrame, key: list[str], step: Callable, out: str, state: str, timeout: str = "NoTimeout") -> DataFrame:
