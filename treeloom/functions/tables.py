@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_open: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("treeloom_scratch", default=None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +42,23 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_saved_at"] = path
+    if (mine := _open.get()) is not None:
+        mine.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that saved() writes inside are deleted at the end; what is to last has to be written by then."""
+    mine: list[DataFrame] = []
+    token = _open.set(mine)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        forget(*mine)
+
+
 def saved_counted(df: DataFrame, name: str, of: str = "true") -> tuple[DataFrame, int]:
     """saved(), and the number of rows (of those that a condition holds for), which is told by the same job."""
     seen = Observation()

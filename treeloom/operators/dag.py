@@ -50,13 +50,14 @@ def inclusive(commits: DataFrame, clo: DataFrame) -> DataFrame:
     return clo.unionByName(commits.select("vault_id", F.col("oid").alias("descendant"), F.col("oid").alias("ancestor")))
 
 
-def dominated(commits: DataFrame, edges: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+def dominated(commits: DataFrame, edges: DataFrame, most_rounds: int = 100_000, ends: DataFrame | None = None) -> DataFrame:
     """(vault_id, oid) of all ancestors of commits. A parent that is itself among the commits is not followed any further, since
     its own parents are there from the start; where histories are whole this is one shuffle, and only stretches of commits
-    that are left out are walked."""
+    that are left out are walked. ends: the commits that are not followed, if more than these."""
     up = edges.select("vault_id", F.col("child").alias("oid"), "parent")
-    own = saved(commits.select("vault_id", "oid"), "own")
-    parts = [saved(up.join(own, ["vault_id", "oid"], "left_semi").select("vault_id", F.col("parent").alias("oid")).distinct(), "dominated")]
+    own = saved((commits if ends is None else ends).select("vault_id", "oid"), "own")
+    begin = own if ends is None else commits
+    parts = [saved(up.join(begin.select("vault_id", "oid"), ["vault_id", "oid"], "left_semi").select("vault_id", F.col("parent").alias("oid")).distinct(), "dominated")]
     for _ in range(most_rounds):
         front, left = saved_counted(parts[-1].join(own, ["vault_id", "oid"], "left_anti"), "front")
         if not left:

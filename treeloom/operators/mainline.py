@@ -53,10 +53,19 @@ def touches(commits: DataFrame, edges: DataFrame, trees: DataFrame) -> DataFrame
 def ghosts(commits: DataFrame, edges: DataFrame, trees: DataFrame, readds: DataFrame | None = None) -> DataFrame:
     """(vault_id, oid) of primitives that bring back a path whose latest touch before them is a delete that they do not name in
     readds (vault_id, oid, touch_oid). Where a commit's history is not whole nothing is proven and it stays."""
-    told = saved(touches(commits, edges, trees), "touches")
+    return ghosts_of(saved(touches(commits, edges, trees), "touches"), commits, edges, readds)
+
+
+def ghosts_of(told: DataFrame, commits: DataFrame, edges: DataFrame, readds: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """ghosts() of the touches of all commits; only the commits of asked (vault_id, oid), if given, and then only the vaults in which one
+    of them adds what was deleted are labelled."""
     # Only a path that was deleted at some time can be brought back by mistake.
     deleted = told.where("kind = 'delete'").select("vault_id", "path").distinct()
     added = saved(told.where("kind = 'add'").join(deleted, ["vault_id", "path"], "left_semi").select("vault_id", "oid", "parent", "path"), "added")
+    if asked is not None:
+        added = saved(added.join(asked.select("vault_id", "oid"), ["vault_id", "oid"], "left_semi"), "asked")
+        near = saved(added.select("vault_id").distinct(), "near")
+        commits, edges, told = (saved(t.join(near, "vault_id", "left_semi"), "near") for t in (commits, edges, told))
     known = cover.covered(commits, edges)
     last = latest_touches_on_cover(added.select("vault_id", F.col("parent").alias("oid"), "path").distinct(), told, known)
     if readds is None:
@@ -68,22 +77,42 @@ def ghosts(commits: DataFrame, edges: DataFrame, trees: DataFrame, readds: DataF
     return bad.join(kept, ["vault_id", "oid"], "left_anti")
 
 
-def fold_tips(tips: DataFrame, bases: DataFrame, trees: DataFrame, blobs: DataFrame, protocol: str) -> Main:
+class Begun(NamedTuple):
+    """Where a fold goes on: folds (vault_id, oid, k from 2, time) made before, and files (vault_id, path, k, blob_oid) of their trees."""
+
+    folds: DataFrame
+    files: DataFrame
+
+
+def fold_tips(tips: DataFrame, bases: DataFrame, trees: DataFrame, blobs: DataFrame, protocol: str, begun: Begun | None = None) -> Main:
     """Folds tips (vault_id, oid, k from 1, time) with bases (vault_id, k, base; the empty tree where there is none) left to right.
-    One tip is wrapped as it is."""
-    tips = saved(tips.select("vault_id", "oid", F.col("k").cast("int").alias("k"), "time"), "tips")
-    done = saved(fold.folded(fold.steps_of(tips, bases.select("vault_id", F.col("k").cast("int").alias("k"), "base"), trees)), "steps")
+    One tip is wrapped as it is. Vaults that begun names go on from there: their tips are those behind, mains, folds and changes tell
+    the new steps, and files the whole tree."""
+    tips = tips.select("vault_id", "oid", F.col("k").cast("int").alias("k"), "time")
+    steps = fold.steps_of(tips, bases.select("vault_id", F.col("k").cast("int").alias("k"), "base"), trees)
+    if begun is not None:
+        # What stands is a step of its own, which takes all that it holds.
+        start = begun.folds.select("vault_id", "oid", F.col("k").cast("int").alias("k"), "time")
+        tips = tips.unionByName(start)
+        steps = steps.unionByName(begun.files.select("vault_id", "path", F.col("k").cast("int").alias("k"), F.col("blob_oid").alias("tip"), F.lit(None).cast("string").alias("base")))
+    tips = saved(tips, "tips")
+    done = saved(fold.folded(steps), "steps")
     merged = saved(fold.folded_lines(done.where("lines"), blobs), "merged")
     states = done.where("NOT lines").select("vault_id", "path", "k", "blob_oid").unionByName(merged.select("vault_id", "path", "k", "blob_oid"))
     changed = saved(fold.changes(states), "changes")
     roots = step_tree_oids(changed).where("dir = ''").select("vault_id", "k", F.coalesce("tree_oid", F.lit(EMPTY_TREE)).alias("tree_oid"))
     along = Window.partitionBy("vault_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     whole = tips.join(roots, ["vault_id", "k"], "left").withColumn("tree_oid", F.coalesce(F.last("tree_oid", True).over(along), F.lit(EMPTY_TREE)))
-    folds = saved(_chain(whole, protocol), "folds")
+    folds = _chain(whole, protocol)
+    made = changed
+    if begun is not None:
+        old = begun.folds.select("vault_id", F.col("k").cast("int").alias("k"))
+        folds, made = (t.join(old, ["vault_id", "k"], "left_anti") for t in (folds, made))
+    folds = saved(folds, "folds")
     last = folds.groupBy("vault_id").agg(F.max("k").alias("k"))
     mains = folds.join(last, ["vault_id", "k"]).select("vault_id", F.col("oid").alias("main_oid"), "tree_oid", F.col("k").alias("tips"))
     files = changed.groupBy("vault_id", "path").agg(F.max_by(F.struct("blob_oid"), "k").alias("now")).select("vault_id", "path", "now.blob_oid").where("blob_oid IS NOT NULL")
-    return Main(mains, files, folds, merged.where("content IS NOT NULL").select("blob_oid", "content").dropDuplicates(["blob_oid"]), changed)
+    return Main(mains, files, folds, merged.where("content IS NOT NULL").select("blob_oid", "content").dropDuplicates(["blob_oid"]), made)
 
 
 def _chain(whole: DataFrame, protocol: str) -> DataFrame:
