@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import saved
+from ..functions.tables import saved, shared_dir
 from ..operators import cover, dag, fold, history, mainline
 from ..plans import trees as plans
 from ..sources import fleet
+from ..streaming import maintained
 from .history import PROTOCOL, _messages
 
 
@@ -52,6 +54,23 @@ def g3_compute_main(spark, sf_dir):
     return _main(f, f.commits).mains
 
 
+def t11_maintained_mains(spark, sf_dir):
+    """The same mains, kept up to date: the fleet's commits come in two batches, in the second of which every vault goes on from the
+    steps that the first one stored."""
+    f = _fleet(spark, sf_dir)
+    order = Window.partitionBy("vault_id").orderBy("time", "counter", "oid")
+    dealt = saved(f.commits.withColumn("part", F.when(F.percent_rank().over(order) < 0.7, 0).otherwise(1)), "dealt")
+    root = f"{shared_dir(spark)}/treeloom-{uuid.uuid4().hex}/mains"
+    for batch in (0, 1):
+        own = dealt.where(F.col("part") == batch)
+        oids = own.select("vault_id", "oid")
+        trees = f.trees.join(oids, ["vault_id", "oid"], "left_semi").select("vault_id", "oid", "path", "blob_oid")
+        blobs = trees.select("vault_id", "blob_oid").distinct().join(f.blobs, "blob_oid").select("vault_id", "blob_oid", "content")
+        edges = f.edges.select("vault_id", "child", "parent").join(oids.withColumnRenamed("oid", "child"), ["vault_id", "child"], "left_semi")
+        maintained.advance(maintained.Arrived(own.drop("part"), edges, trees, blobs, f.readds), root, batch, PROTOCOL, 64)
+    return maintained.mains(spark, root)
+
+
 def g3_main_files(spark, sf_dir):
     """The files of every vault's main tree."""
     f = _fleet(spark, sf_dir)
@@ -185,7 +204,7 @@ def l1_frontier_order(spark, sf_dir):
     return mainline.tips_of(f.commits, f.edges).select("vault_id", "k", "oid")
 
 
-QUERIES = {f.__name__: f for f in (g3_compute_main, g3_main_files, u1_line_merges, a5_effective_known, a3_touch_on_dag, a4_commit_touches, a7_main_folds, g4_verify_folds, g6_restore_at, g7_restore_snapshot, s9_write_trees, g2_reachable_objects, z4_gc_objects, z3_export_primitives, l1_frontier_order)}
+QUERIES = {f.__name__: f for f in (g3_compute_main, t11_maintained_mains, g3_main_files, u1_line_merges, a5_effective_known, a3_touch_on_dag, a4_commit_touches, a7_main_folds, g4_verify_folds, g6_restore_at, g7_restore_snapshot, s9_write_trees, g2_reachable_objects, z4_gc_objects, z3_export_primitives, l1_frontier_order)}
 
 _BLOB = "sha1('blob ' || strlen({0})::VARCHAR || chr(0) || {0})"
 _FACTS = "WITH RECURSIVE " + fleet.EDGES_SQL + f""", clo AS (
@@ -266,3 +285,4 @@ SELECT vault_id, 'd' AS dir, {_tree_sql('body')} AS tree_oid, body AS payload FR
     "z3_export_primitives": _FACTS + ", own AS (SELECT p.vault_id, p.oid, parent FROM prim p JOIN sole s ON s.vault_id = p.vault_id AND s.oid = p.oid) SELECT o.vault_id, o.oid, 'blob' AS kind, t.blob_oid AS object FROM own o JOIN trees t ON t.vault_id = o.vault_id AND t.oid = o.oid LEFT JOIN trees b ON b.vault_id = o.vault_id AND b.oid = o.parent AND b.blob_oid = t.blob_oid WHERE b.oid IS NULL GROUP BY ALL UNION ALL SELECT vault_id, oid, 'commit', oid FROM own",
     "l1_frontier_order": _PLAIN_TIPS + " SELECT vault_id, k, oid FROM tips",
 }
+ORACLES["t11_maintained_mains"] = ORACLES["g3_compute_main"]
