@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from treeloom.llm import bpe, language_id, lm_scoring, mixing, ngram_join, queries, substring_dedup, token_counts, url_filter, vectors
+from treeloom.llm.common import lean
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, `__key` string, ids string, removed_words int"
 LONG = "One long text of many words. " * 4000
@@ -65,6 +68,27 @@ def test_special_and_long_words(coder, library, text):
     assert np.frombuffer(coder.encode_texts([text])[0], np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_sub_batch_of_words_builds_no_nodes(coder):
+    """The walk over sorted words holds the path at hand alone: its peak is below what a node for every prefix would take."""
+    rng = np.random.default_rng(1)
+    units = {"".join(x) for x in rng.choice(list("etaoinshrdlu"), (20_000, 12))}
+    own = bpe.TrieBpe(bpe.default_path())
+    own.learn(units)  # pairs and steps are known from here on
+    own.memo.clear()
+    tracemalloc.start()
+    try:
+        own.learn(units)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(own.memo) == len(units) and peak < 15_000_000
+
+
+def test_a_lean_task_keeps_its_rows():
+    batches = [pa.RecordBatch.from_arrays([pa.array([i])], names=["x"]) for i in range(3)]
+    assert list(lean(lambda given: (b for b in given))(iter(batches))) == batches
+
+
 def test_bpe_query_on_odd_rows(spark, library):
     docs = odd_docs(spark)
     rows = bpe.digests(bpe.encode(docs.select("doc_id", "text"), keep=["doc_id"])).collect()

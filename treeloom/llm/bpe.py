@@ -1,9 +1,11 @@
 """BPE encoding and decoding by prefix sharing.
 
-The distinct words of a batch go into a trie. A depth-first walk gives every node its last token: the encoding of a prefix
-is the encoding of a shorter prefix plus one token, and the token fits where its pair with that shorter prefix's last token
-is what BPE itself makes of the two. Prefixes shared by words are so encoded once, and a word's ids are read backwards from
-its leaf. Each Spark task works on the texts of its partition in bounded sub-batches; no row is shuffled.
+The distinct words of a batch, sorted, are the depth-first walk of their trie, and are taken as that: a word goes on at the
+letter at which it leaves the one before, and no nodes are built. The walk gives every prefix its last token: the encoding of a
+prefix is the encoding of a shorter prefix plus one token, and the token fits where its pair with that shorter prefix's last
+token is what BPE itself makes of the two. Which tokens end at a letter, longest first, is told by one step of an automaton over
+the vocabulary. Prefixes shared by words are so encoded once, and a word's ids are read backwards from its leaf. Each Spark task
+works on the texts of its partition in bounded sub-batches; no row is shuffled.
 
 Cases: a null text counts as empty and has no ids; very long words are walked without recursion; repeated rows repeat their
 result; an empty table gives an empty result; special tokens in a text become their ids unless `specials` is off; columns
@@ -13,10 +15,9 @@ that are carried along keep their names, and `ids` and `decoded` are named by pa
 from __future__ import annotations
 
 import functools
-import gc
 import json
 import re
-from array import array
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -27,13 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import lean, utf8
 
 #: Characters of text that one sub-batch holds at most (a longer single text is a sub-batch of its own).
 BATCH_CHARS = 2_000_000
 #: Entries of the per-worker memo of units; the rarer ones go when it is full, which changes time and never results.
 MEMO = 250_000
 PAIRS = 1_000_000
+#: Steps of the automaton that are kept besides the vocabulary's own.
+STEPS = 250_000
+#: Codes of a letter: a byte, or FINAL more where a word ends. A state is told by its number times CODES.
+FINAL, CODES = 256, 512
 #: Texts with other characters than these take the tokenizers library's own normaliser and splitter.
 PLAIN = re.compile("[\x00\x01\x1c-\x1f]|[^\x00-ɏ]")
 SUFFIX = "</w>"
@@ -53,21 +58,8 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-END = 3
-
-
-def sizes_by_end(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
-    """Which lengths, longest first, tokens have that end with the same END letters; below END letters, with all of them."""
-    found: dict[str, set[int]] = {}
-    for t in tokens:
-        for n in range(min(len(t), END), 0, -1):
-            found.setdefault(t[-n:], set()).add(len(t))
-    shorter = {end: {k for n in range(1, len(end)) for k in found.get(end[-n:], ()) if k <= n} for end in found}
-    return {end: tuple(sorted(found[end] | shorter[end], reverse=True)) for end in found}
-
-
 class TrieBpe:
-    """Encodes words (strings of byte letters) of a vocabulary whose last letter carries an end mark."""
+    """Encodes words (as UTF-8) of a vocabulary whose last letter carries an end mark."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -77,11 +69,7 @@ class TrieBpe:
         vocab: dict[str, int] = described["model"]["vocab"]
         self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in described["added_tokens"] if t["special"]}
-        self.names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.inner = {s: i for s, i in vocab.items() if not s.endswith(SUFFIX)}
-        self.final = {s[: -len(SUFFIX)]: i for s, i in vocab.items() if s.endswith(SUFFIX)}
-        self.inner_sizes, self.final_sizes = sizes_by_end(self.inner), sizes_by_end(self.final)
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.build(vocab)
         self.merged, self.halves, self.rank = {}, {}, {}
         for rank, pair in enumerate(described["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -90,10 +78,11 @@ class TrieBpe:
             self.halves[made], self.rank[made] = (vocab[a], vocab[b]), rank
         splitter = described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(splitter).findall
-        self.letters = dict(enumerate(byte_letters()))
         self.pair_ok: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
-        table = [self.names.get(i, "").encode() + b" " for i in range(max(self.names) + 1)]
+        names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        table = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
+        self.id_bytes = [int(i).to_bytes(4, sys.byteorder) for i in range(len(table))]
         self.name_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.name_sizes = np.array([len(x) for x in table])
         self.name_at = np.cumsum(self.name_sizes) - self.name_sizes
@@ -126,52 +115,81 @@ class TrieBpe:
         self.pair_ok[key] = fine
         return fine
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of each distinct word. Trie keys: a letter, or a letter and '/' where a word ends."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in word[:-1]:
-                node = node.setdefault(letter, {})
-            node[word[-1] + "/"] = word
-        found: dict[str, list[int]] = {}
-        inner, final, longest, fits, pair_ok = self.inner.get, self.final.get, self.longest, self.fits, self.pair_ok
-        inner_sizes, final_sizes = self.inner_sizes, self.final_sizes
+    def build(self, vocab: dict[str, int]) -> None:
+        """The automaton over the vocabulary (Aho and Corasick's). A state stands for the longest prefix of a token that the
+        letters so far end with; step leads from a state and a letter's code to the next state and the tokens that end there,
+        linked from the longest to the shortest: (id, length, the next shorter)."""
+        self.bytes_of = {ord(letter): chr(byte) for byte, letter in enumerate(byte_letters())}
+        tokens: dict[str, int] = {}  # a character is a letter's code
+        for name, i in vocab.items():
+            body = name.removesuffix(SUFFIX).translate(self.bytes_of)
+            tokens[body[:-1] + chr(ord(body[-1]) + FINAL) if name.endswith(SUFFIX) else body] = i
+        prefixes = sorted({t[:n] for t in tokens for n in range(1, len(t) + 1)}, key=len)
+        number = {"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        ending: list[tuple | None] = [None] * len(number)
+        self.fail, self.step, self.added = [0] * len(number), {}, []
+        for i, p in enumerate(prefixes, 1):
+            rest = p[1:]
+            while rest not in number:
+                rest = rest[1:]
+            self.fail[i] = number[rest]
+            ending[i] = (tokens[p], len(p), ending[number[rest]]) if p in tokens else ending[number[rest]]
+            self.step[number[p[:-1]] * CODES + ord(p[-1])] = (i * CODES, ending[i])
+
+    def move(self, key: int) -> tuple:
+        """The step at key (a state times CODES plus a code) where the vocabulary has none: that of the state's longest end."""
+        state, code = divmod(key, CODES)
+        while (found := self.step.get(state * CODES + code)) is None:
+            state = self.fail[state]
+        if len(self.added) >= STEPS:
+            for old in self.added:
+                del self.step[old]
+            self.added.clear()
+        self.step[key] = found
+        self.added.append(key)
+        return found
+
+    def encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each distinct word, as int32 bytes."""
+        found: dict[bytes, bytes] = {}
+        step, move, fits, pair_ok, id_bytes = self.step.get, self.move, self.fits, self.pair_ok.get, self.id_bytes
         deepest = max(map(len, words), default=0) + 1
-        ids, lengths = [-1] * deepest, [0] * deepest  # of the path from the root to the node at hand
-        stack: list[tuple] = [(root, 0, "", -1, 0)]
-        while stack:
-            node, depth, prefix, ids[depth], lengths[depth] = stack.pop()
+        ids, sizes, states = [-1] * deepest, [0] * deepest, [0] * deepest  # of the path from the root to the letter at hand
+        last, known = b"", 0  # the word before, and how much of it lies on the path
+        for word in sorted(words):
+            inner, depth = len(word) - 1, 0
+            most = min(known, inner)
+            while depth < most and word[depth] == last[depth]:
+                depth += 1
+            state = states[depth]
+            for letter in word[depth:inner]:
+                key = state + letter
+                state, (token, size, shorter) = step(key) or move(key)
+                depth += 1
+                pair = ids[depth - size] * 65536 + token
+                while not ((ok := pair_ok(pair)) or (ok is None and fits(ids[depth - size], token))):
+                    token, size, shorter = shorter
+                    pair = ids[depth - size] * 65536 + token
+                ids[depth], sizes[depth], states[depth] = token, size, state
+            key = state + FINAL + word[inner]
+            _, (token, size, shorter) = step(key) or move(key)
             depth += 1
-            for key, below in node.items():
-                letter = key[0]
-                tail = prefix + letter
-                ends = key != letter
-                look, sizes = (final, final_sizes) if ends else (inner, inner_sizes)
-                n = len(tail)
-                for size in sizes.get(tail[-3:]) or sizes.get(tail[-2:]) or sizes[letter]:
-                    if size <= n:
-                        token = look(tail[n - size :])
-                        if token is not None:
-                            before = ids[depth - size]
-                            known = pair_ok.get(before * 65536 + token)
-                            if known or (known is None and fits(before, token)):
-                                break
-                if ends:
-                    out, at = [token], depth - size
-                    while at:
-                        out.append(ids[at])
-                        at -= lengths[at]
-                    found[below] = out[::-1]
-                else:
-                    stack.append((below, depth, tail[-longest:], token, size))
+            pair = ids[depth - size] * 65536 + token
+            while not ((ok := pair_ok(pair)) or (ok is None and fits(ids[depth - size], token))):
+                token, size, shorter = shorter
+                pair = ids[depth - size] * 65536 + token
+            at = depth - size
+            if at:
+                out = [id_bytes[token]]
+                while at:
+                    out.append(id_bytes[ids[at]])
+                    at -= sizes[at]
+                found[word] = b"".join(out[::-1])
+            else:
+                found[word] = id_bytes[token]
+            last, known = word, inner
         return found
 
-    def letters_of(self, word: str) -> str:
-        if word.isascii() and word.isprintable():
-            return word
-        return word.encode("utf-8").decode("latin-1").translate(self.letters)
-
     def units(self, text: str, specials: bool) -> list[str]:
         """Pieces whose encodings are independent: chunks between white space, or \\x00 and a split word, or \\x01 and a special."""
         if specials and "<|" in text and any(s in text for s in self.special):
@@ -184,11 +202,21 @@ class TrieBpe:
 
     def learn(self, units: set[str]) -> None:
         """Adds units to the memo, through one trie over all their words."""
-        words = {u: [u[1:]] if u[0] == "\x00" else [self.letters_of(w) for w in self.split(u)] for u in units if u[0] != "\x01"}
-        ids = self.encode_words({w for ws in words.values() for w in ws})
+        whole, cut = {}, {}
         for u in units:
-            own = [self.special[u[1:]]] if u[0] == "\x01" else [i for w in words[u] for i in ids[w]]
-            self.memo[u] = array("i", own).tobytes()
+            if u.isalpha():  # a run of letters is one word to the splitter
+                whole[u] = u.encode()
+            elif u[0] == "\x00":
+                whole[u] = u[1:].translate(self.bytes_of).encode("latin-1")
+            elif u[0] == "\x01":
+                self.memo[u] = self.id_bytes[self.special[u[1:]]]
+            else:
+                cut[u] = [w.encode() for w in self.split(u)]
+        ids = self.encode_words({*whole.values(), *(w for ws in cut.values() for w in ws)})
+        for u, w in whole.items():
+            self.memo[u] = ids[w]
+        for u, ws in cut.items():
+            self.memo[u] = b"".join([ids[w] for w in ws])
 
     def encode_texts(self, texts: list[str], specials: bool = True) -> list[bytes]:
         """Of each text its ids as int32 bytes."""
@@ -201,13 +229,7 @@ class TrieBpe:
                 del memo[u]
             new = {u for units in cut for u in units if u not in memo}
         if new:
-            collecting = gc.isenabled()
-            gc.disable()  # a trie has no cycles, and walking it over and over costs more than building it
-            try:
-                self.learn(new)
-            finally:
-                if collecting:
-                    gc.enable()
+            self.learn(new)
         return [b"".join(map(memo.__getitem__, units)) for units in cut]
 
     def decode_lists(self, lists: list[bytes]) -> list[bytes]:
@@ -216,7 +238,10 @@ class TrieBpe:
         ids = np.frombuffer(b"".join(lists), np.int32)
         sizes = self.name_sizes[ids]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.name_bytes[np.arange(ends[-1]) + np.repeat(self.name_at[ids] - ends[:-1], sizes)].tobytes()
+        place = np.int32 if ends[-1] + len(self.name_bytes) < 1 << 31 else np.int64
+        at = np.repeat((self.name_at[ids] - ends[:-1]).astype(place), sizes)
+        at += np.arange(ends[-1], dtype=place)
+        out = self.name_bytes[at].tobytes()
         last = ends[np.cumsum([0] + [len(x) // 4 for x in lists])].tolist()
         return [out[a : max(a, b - 1)] for a, b in zip(last, last[1:])]
 
@@ -269,7 +294,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", p
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists(done), pa.array(shown, pa.binary()).cast(pa.string())], names=[*keep, ids, decoded])
         own.memo.clear()  # workers outlive their tasks, and other stages need the memory
 
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(lean(run), schema)
 
 
 def digests(coded: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
