@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import sub_batches
-from .common import crc_rest, mix64, utf8
+from .common import crc_rest, lean, mix64, utf8
 
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 64_000_000
@@ -296,7 +296,7 @@ def identify(docs: DataFrame, field: Field, keep: list[str], text: str = "text",
                 columns = [*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores)] + ([pa.array(runs, arrow_spans)] if spans else [])
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return fed.mapInArrow(run, schema)
+    return fed.mapInArrow(lean(run), schema)
 
 
 def held_out(modulus: int = 4, rest: int = 2, key: str = "doc_id"):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import sub_batches
-from .common import hashed_words, mix64, runs_of, saved, shielded, utf8
+from .common import hashed_words, lean, mix64, runs_of, saved, shielded, utf8
 from .components import components
 
 NGRAM = 5
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame, bands: int, rows: int = ROWS, n: int = NGRAM) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["__key", "__text", "__named", "set_a", "set_b", "size", "short", "bands"])
 
     fed = docs.select(row_key().alias("__key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__text"), utf8().alias("__raw"), F.col("doc_id").isNotNull().alias("__named"))
-    return fed.mapInArrow(run, "__key long, __text long, __named boolean, set_a long, set_b long, size long, short binary, bands array<long>")
+    return fed.mapInArrow(lean(run), "__key long, __text long, __named boolean, set_a long, set_b long, size long, short binary, bands array<long>")
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -257,7 +257,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 
     fed = docs.select(row_key().alias("__key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("__text"), utf8().alias("__raw"))
     exact = fed.join(member.select(F.col("rep.__key").alias("__key"), F.col("rep.__text").alias("__text"), "cid").hint("shuffle_hash"), ["__key", "__text"])
-    grams = exact.select("cid", "__raw").mapInArrow(sets_again, "cid long, set_a long, grams binary").select("cid", F.col("grams").alias("set")).dropDuplicates(["cid"])
+    grams = exact.select("cid", "__raw").mapInArrow(lean(sets_again), "cid long, set_a long, grams binary").select("cid", F.col("grams").alias("set")).dropDuplicates(["cid"])
     units = max(1, member.count() // (BLOCK // 2)) if not grouped.isEmpty() else 1
     n_blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("long")
     dealt = _dealt(member.select("cid", "root", "copies", "members", "grams"), "root", n_blocks, n_blocks <= 1, units)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BATCH_CHARS
-from .common import _SPACE, mix64, saved, shielded, utf8
+from .common import _SPACE, lean, mix64, saved, shielded, utf8
 
 MIN_SENTENCES = 2
 MIN_WORDS = 14
@@ -134,7 +134,7 @@ def spans_of(docs: DataFrame, min_words: int = MIN_WORDS, lone_words: int = LONE
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(docs_[at + owner], pa.int64()), pa.array(place, pa.int64())], names=["hash", "doc", "place"])
                 at += len(raws)
 
-    return fed.mapInArrow(run, "hash long, doc long, place long")
+    return fed.mapInArrow(lean(run), "hash long, doc long, place long")
 
 
 @shielded
@@ -172,4 +172,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, lone_words: int = LONE_WO
                 texts[i] = whole.rstrip(b" \t\n\r\x0b\x0c") if sentences[i] else texts[i]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(sentences, pa.int32()), pa.array(words, pa.int32())], names=schema.names)
 
-    return fed.mapInArrow(rewrite, schema).select(*[f"`{c}`" for c in names], "removed_sentences", "removed_words")
+    return fed.mapInArrow(lean(rewrite), schema).select(*[f"`{c}`" for c in names], "removed_sentences", "removed_words")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import saved, shared_dir, utf8
+from .common import lean, saved, shared_dir, utf8
 
 #: <|endoftext|> of the vocabulary word_bpe_49k.
 END_OF_DOCUMENT = 49407
@@ -74,7 +74,7 @@ def flatten(docs: DataFrame, folder: str, path: str | None = None, end: int = EN
             yield row(0, length, None)
         own.memo.clear()
 
-    return docs.select(F.col(key).cast("long"), utf8(text)).mapInArrow(run, FLAT)
+    return docs.select(F.col(key).cast("long"), utf8(text)).mapInArrow(lean(run), FLAT)
 
 
 def blocks_of(files: DataFrame, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
