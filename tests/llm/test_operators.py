@@ -690,6 +690,28 @@ def test_windows_score_each_token_once():
     assert inputs[np.flatnonzero(first), lm_scoring.HALF].tolist() == [49] * 4
 
 
+def test_frequent_pairs_of_subwords_are_units_of_their_own(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEAST_MET", 2)
+    units = lm_scoring.subwords(bpe.default_path())
+    rng = np.random.default_rng(3)
+    texts = [b"", b"x", b"abab " * 40, *(b" ".join(bytes(rng.choice(list(b"abc"), 9)) for _ in range(n)) for n in (1, 30, 200))]
+    read = lm_scoring.Read(texts, units)
+    pairs = np.zeros((units.size, units.size), np.int32)
+    np.add.at(pairs, (lm_scoring.before(read.ids, read.sizes, units.begin), read.ids), 1)
+    joined = lm_scoring.joined_of(pairs.ravel(), units.end)
+    assert len(joined) and pairs.ravel()[joined].min() >= 2
+    ids, sizes = lm_scoring.Joins(units.size, joined)(read.ids, read.sizes)
+    assert sizes.sum() == len(ids) < 0.7 * len(read.ids)
+    back = [[i] if i < units.size else list(divmod(joined[i - units.size], units.size)) for i in ids.tolist()]
+    assert sum(back, []) == read.ids.tolist()
+    assert (ids[np.cumsum(sizes) - 1] == units.end).all() and (ids == units.end).sum() == len(texts)
+    model = lm_scoring.Model(units.size, joined=joined)
+    model.set_classes(pairs)
+    given = ids[sizes[0] : sizes[0] + sizes[1]][:1].tolist()
+    told = [model.log10s(np.array([*given, i], np.int32), np.array([2]), units.begin)[0] for i in range(model.units)]
+    assert sum(10**t for t in told) == pytest.approx(10 ** model.log10s(np.array(given, np.int32), np.array([1]), units.begin)[0], rel=1e-3)
+
+
 # ---- the pipeline ----------------------------------------------------------------------------------------------------
 
 

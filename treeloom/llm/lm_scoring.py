@@ -1,15 +1,16 @@
 """Scores of texts under a causal self-attention model over subword ids, beside an add-one unigram base.
 
 Words (ASCII letters lower-cased, white space of no further account) are cut greedily into the public vocabulary's short,
-frequent subwords; a blank is the last byte of a word's last subword. One attention layer over a window of the last tokens and
-one rectified layer predict the next subword among all, by its class and its place in the class, so the product over a text is
+frequent subwords; a blank is the last byte of a word's last subword. Pairs of subwords that the training documents have most
+often are units of their own, so that a text has fewer places to predict. One attention layer over a window of the last tokens and
+one rectified layer predict the next unit among all, by its class and its place in the class, so the product over a text is
 a probability of the text. Windows overlap by half: each scores its second half, batched and masked, with its first half as
-context, so every token is scored once.
+context, so every unit is scored once.
 
 All weights are trained in numpy on every target of every window of every training document: the documents are cut once, their
 ids written, and dealt over ROUNDS rounds (a small corpus goes over all of them several times, in rounds of their own); in a round every partition makes its steps from the broadcast weights over its share
 of the round, and the weights (of fixed size) are averaged by tokens in a tree. Corpus-wide counts of subwords and their pairs
-only say which subwords share a class and how the biases start. The counts of words cover all training documents; they meet
+only say which pairs are joined, which units share a class and how the biases start. The counts of words cover all training documents; they meet
 texts in two ways: words that make up at least 1 / HOT_SHARE of all tokens (so at most HOT_SHARE of them) are broadcast, all
 others are joined by hash.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 import copy
 import functools
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ HOT_SHARE = 1 << 21
 MERGES = 3000
 LONGEST = 4
 CLASSES = 64
-WIDTH, KEYS, VALUES, HIDDEN = 16, 8, 16, 32
+WIDTH, KEYS, VALUES, HIDDEN = 16, 8, 16, 29
+#: Columns of the rectified layer's output: what it has, a one for the biases, and zeros up to a multiple of eight.
+COLUMNS = -(-(HIDDEN + 1) // 8) * 8
 HALF = 8
 BATCH = 512
 #: Bytes of text that a task has in hand at once (a longer single text is taken alone).
@@ -48,9 +52,11 @@ ROUNDS = 8
 #: Windows of a step; a small corpus is gone over until about ENOUGH windows were seen, MOST_PASSES times at most.
 STEP_WINDOWS = 512
 ENOUGH, MOST_PASSES = 1_200_000, 10
-RATE = 0.02
+RATE = 0.03
+#: So many of the most frequent pairs of subwords, each met LEAST_MET times or more, are units of their own.
+JOINS, LEAST_MET = 2000, 400
 #: Logits are held within this, so that no sum of their exponentials leaves the single precision.
-MOST_LOGIT = 80.0
+MOST_LOGIT, LEAST_SUM = 80.0, np.float32(1e-30)
 END_WORD = np.uint64(0x5EED)
 
 
@@ -142,8 +148,9 @@ class Model:
     """One causal attention layer, one rectified layer, and a softmax over all subwords in two steps: the class, then the
     member of the class. All of it is learned; classes are of equal size."""
 
-    def __init__(self, units: int, seed: int = 7):
-        self.units, members = units, -(-units // CLASSES)
+    def __init__(self, subwords: int, seed: int = 7, joined: np.ndarray = np.zeros(0, np.int64)):
+        self.joined, units = joined, subwords + len(joined)
+        self.units, width = units, -(-units // CLASSES)
         rng = np.random.default_rng(seed)
         small = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
         self.p = {
@@ -156,20 +163,20 @@ class Model:
             "wb": np.zeros(HIDDEN, np.float32),
             "c": small(0.3 * HIDDEN**-0.5, HIDDEN, CLASSES),
             "cb": np.zeros(CLASSES, np.float32),
-            "m": small(0.3 * HIDDEN**-0.5, CLASSES, HIDDEN, members),
-            "mb": np.zeros((CLASSES, members), np.float32),
+            "m": small(0.3 * HIDDEN**-0.5, CLASSES, HIDDEN, width),
+            "mb": np.zeros((CLASSES, width), np.float32),
         }
         self.place(np.arange(units), np.ones(units))
 
     def place(self, order: np.ndarray, counts: np.ndarray) -> None:
         """Units in this order fill the classes; biases start as logs of the units' shares."""
-        members = self.p["mb"].shape[1]
-        self.class_of, self.member_of = np.empty(self.units, np.int64), np.empty(self.units, np.int64)
-        self.class_of[order], self.member_of[order] = np.divmod(np.arange(self.units), members)
+        width = self.p["mb"].shape[1]
+        self.class_of, self.member_of = np.empty(self.units, np.uint8), np.empty(self.units, np.int64)
+        self.class_of[order], self.member_of[order] = np.divmod(np.arange(self.units), width)
         share = (counts + 0.5) / (counts + 0.5).sum()
         within = np.bincount(self.class_of, share, CLASSES)
         self.p["cb"] = np.log(within + 1e-30).astype(np.float32)
-        self.p["mb"] = np.full((CLASSES, members), -1e4, np.float32)  # a place without a unit has no probability
+        self.p["mb"] = np.full((CLASSES, width), -1e4, np.float32)  # a place without a unit has no probability
         self.p["mb"][self.class_of, self.member_of] = np.log(share / within[self.class_of])
 
     def windows(self, ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,112 +185,125 @@ class Model:
         counts = -(-sizes // HALF)
         text = np.repeat(np.arange(len(sizes)), counts)
         number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = (np.cumsum(sizes) - sizes)[text]
-        place = number[:, None] * HALF + np.arange(-HALF, HALF)[None, :]
-        source = start[:, None] + place - 1
-        inputs = ids[np.clip(source, 0, max(len(ids) - 1, 0))]
-        inputs[place == 0] = begin
-        late = place[:, HALF:]
-        targets = np.where(late < sizes[text][:, None], ids[np.clip(start[:, None] + late, 0, max(len(ids) - 1, 0))], -1)
-        return inputs, targets, number == 0
-
-    def attend(self, inputs: np.ndarray, first: np.ndarray) -> tuple:
-        """Embeddings, queries, keys, values, masked weights, and what was gathered, for every place of the second half."""
+        start = (np.cumsum(sizes) - sizes)[text] + number * HALF
+        first, last = number == 0, np.flatnonzero(number == counts[text] - 1)
+        if not len(ids):
+            return np.zeros((0, 2 * HALF), np.int32), np.zeros((0, HALF), np.int32), first
+        inputs = np.take(ids, (start - HALF - 1)[:, None] + np.arange(2 * HALF), mode="clip")
+        inputs[first, HALF] = begin
+        inputs[number == 1, 0] = begin
+        targets = np.take(ids, start[:, None] + np.arange(HALF), mode="clip")
+        late = (number[last] * HALF)[:, None] + np.arange(HALF)
+        targets[last] = np.where(late < sizes[text[last]][:, None], targets[last], -1)
+        return inputs, targets, first
+
+    def attend(self, inputs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings of every place; for every place of the second half its query against embeddings (the products with queries
+        and keys in one), its masked weights, and its own embedding beside those gathered by these weights, a one, and zeros."""
         p, n = self.p, len(inputs)
-        x = p["e"][inputs]
+        x = np.take(p["e"], inputs, axis=0, mode="clip")
         x += p["pos"]
-        flat = x.reshape(-1, WIDTH)
-        q = (x[:, HALF:].reshape(-1, WIDTH) @ (p["q"] * np.float32(KEYS**-0.5))).reshape(n, HALF, KEYS)
-        k, v = (flat @ p["k"]).reshape(n, 2 * HALF, KEYS), (flat @ p["v"]).reshape(n, 2 * HALF, VALUES)
-        s = np.matmul(q, k.transpose(0, 2, 1))
+        u = (x[:, HALF:].reshape(-1, WIDTH) @ (p["q"] @ p["k"].T * np.float32(KEYS**-0.5))).reshape(n, HALF, WIDTH)
+        s = np.matmul(u, x.transpose(0, 2, 1))
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= MASK
         s[first, :, :HALF] = 0
-        s /= summed(s)
-        return x, q, k, v, s, np.matmul(s, v).reshape(-1, VALUES)
-
-    def hidden(self, x: np.ndarray, o: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rectified layer of the places in hand, and its input."""
-        z = np.concatenate([x[:, HALF:].reshape(-1, WIDTH)[live], o[live]], axis=1)
-        h = z @ self.p["w"]
-        h += self.p["wb"]
-        return np.maximum(h, 0, out=h), z
-
-    def member_logits(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Logits of the members of each row's class; rows come sorted by class."""
-        out = np.empty((len(h), self.p["mb"].shape[1]), np.float32)
-        for c, a, z in parts(classes):
-            np.matmul(h[a:z], self.p["m"][c], out=out[a:z])
-            out[a:z] += self.p["mb"][c]
+        s *= 1 / summed(s)
+        z = np.zeros((n, HALF, 2 * WIDTH + 8), np.float32)
+        z[:, :, :WIDTH], z[:, :, 2 * WIDTH] = x[:, HALF:], 1
+        np.matmul(s, x, out=z[:, :, WIDTH : 2 * WIDTH])
+        return x, u, s, z.reshape(n * HALF, -1)
+
+    def inward(self) -> np.ndarray:
+        """The rectified layer's weights for what attend gives (values are a product of what is gathered), its biases, and a one."""
+        out = np.zeros((2 * WIDTH + 8, COLUMNS), np.float32)
+        out[:WIDTH, :HIDDEN], out[WIDTH : 2 * WIDTH, :HIDDEN] = self.p["w"][:WIDTH], self.p["v"] @ self.p["w"][WIDTH:]
+        out[2 * WIDTH, :HIDDEN], out[2 * WIDTH, HIDDEN] = self.p["wb"], 1
         return out
 
+    def hidden(self, z: np.ndarray, inward: np.ndarray) -> np.ndarray:
+        """The rectified layer of the places in hand, a column of ones for biases, and zeros."""
+        h = z @ inward
+        return np.maximum(h, 0, out=h)
+
+    def outward(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of members, each with its biases as a last row."""
+        c, m = np.zeros((COLUMNS, CLASSES), np.float32), np.zeros((CLASSES, COLUMNS, self.p["m"].shape[2]), np.float32)
+        c[:HIDDEN], c[HIDDEN], m[:, :HIDDEN], m[:, HIDDEN] = self.p["c"], self.p["cb"], self.p["m"], self.p["mb"]
+        return c, m
+
     def log10s(self, ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
         """Of each text its log10 probability."""
         out = np.zeros(len(ids))
         inputs, targets, first = self.windows(ids, sizes, begin)
+        inward, (to_class, to_member) = self.inward(), self.outward()
         done = 0
         for a in range(0, len(inputs), BATCH):
             y = targets[a : a + BATCH].ravel()
-            x, *_, o = self.attend(inputs[a : a + BATCH], first[a : a + BATCH])
+            *_, z = self.attend(inputs[a : a + BATCH], first[a : a + BATCH])
             real = np.flatnonzero(y >= 0)
-            order = np.argsort(self.class_of[y[real]].astype(np.uint8), kind="stable")
-            h, _ = self.hidden(x, o, real[order])
+            order = np.argsort(self.class_of[y[real]], kind="stable")
+            h = self.hidden(np.take(z, real[order], axis=0, mode="clip"), inward)
             y = y[real[order]]
+            own = self.class_of[y]
             told = np.empty(len(y), np.float32)
-            told[order] = picked(h @ self.p["c"] + self.p["cb"], self.class_of[y]) + picked(self.member_logits(h, self.class_of[y]), self.member_of[y])
+            told[order] = picked(h @ to_class, own) + picked(members(h, to_member, own), self.member_of[y])
             out[done : done + len(y)] = told
             done += len(y)
         starts = np.cumsum(sizes) - sizes
         return np.add.reduceat(out, starts) / np.log(10) if len(sizes) else np.zeros(0)
 
     def fresh(self) -> dict:
-        """Adam's state before the first step."""
+        """Adam's state before the first step: sums of slopes and of their squares that fade, not yet scaled."""
         return {"step": 0, "mean": {n: np.zeros_like(w) for n, w in self.p.items()}, "var": {n: np.zeros_like(w) for n, w in self.p.items()}}
 
     def slopes(self, x_ids: np.ndarray, targets: np.ndarray, one: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean cross entropy of the next subword, over all targets of these windows."""
         p, y = self.p, targets.ravel()
-        x, q, k, v, s, o = self.attend(x_ids, one)
+        x, u, s, z = self.attend(x_ids, one)
         live = np.flatnonzero(y >= 0)
-        live = live[np.argsort(self.class_of[y[live]].astype(np.uint8), kind="stable")]
+        live = live[np.argsort(self.class_of[y[live]], kind="stable")]
         y = y[live]
-        own, rows = self.class_of[y], np.arange(len(y))
-        h, z = self.hidden(x, o, live)
-        told, among = softmax(h @ p["c"] + p["cb"]), softmax(self.member_logits(h, own))
-        told[rows, own] -= 1
-        among[rows, self.member_of[y]] -= 1
-        told /= np.float32(max(len(y), 1))
-        among /= np.float32(max(len(y), 1))
-        g = {"c": h.T @ told, "cb": told.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
-        d_h = told @ p["c"].T
+        own, rows, each = self.class_of[y], np.arange(len(y)), np.float32(1 / max(len(y), 1))
+        inward, (to_class, to_member) = self.inward(), self.outward()
+        z = np.take(z, live, axis=0, mode="clip")
+        h = self.hidden(z, inward)
+        told, among = softmax(h @ to_class, each), softmax(members(h, to_member, own), each)
+        told[rows, own] -= each
+        among[rows, self.member_of[y]] -= each
+        g, g_class, g_member = {}, h.T @ told, np.zeros_like(to_member)
+        g["c"], g["cb"] = g_class[:HIDDEN], g_class[HIDDEN]
+        d_h = told @ to_class.T
         for c, a, b in parts(own):
-            g["m"][c] = h[a:b].T @ among[a:b]
-            g["mb"][c] = among[a:b].sum(axis=0)
-            d_h[a:b] += among[a:b] @ p["m"][c].T
+            np.matmul(h[a:b].T, among[a:b], out=g_member[c])
+            d_h[a:b] += among[a:b] @ to_member[c].T
+        g["m"], g["mb"] = g_member[:, :HIDDEN], g_member[:, HIDDEN]
         d_h *= h > 0
-        g["w"], g["wb"] = z.T @ d_h, d_h.sum(axis=0)
-        d_z = d_h @ p["w"].T
+        g_in = (z.T @ d_h)[:, :HIDDEN]
+        g["w"], g["wb"] = np.concatenate([g_in[:WIDTH], p["v"].T @ g_in[WIDTH : 2 * WIDTH]]), g_in[2 * WIDTH]
         n = len(x_ids)
-        d_o, d_late = np.zeros((n * HALF, VALUES), np.float32), np.zeros((n * HALF, WIDTH), np.float32)
-        d_late[live], d_o[live] = d_z[:, :WIDTH], d_z[:, WIDTH:]
-        d_o = d_o.reshape(n, HALF, VALUES)
-        d_v = np.matmul(s.transpose(0, 2, 1), d_o).reshape(-1, VALUES)
-        d_s = np.matmul(d_o, v.transpose(0, 2, 1))
+        d_z = np.zeros((n * HALF, 2 * WIDTH), np.float32)
+        d_z[live] = d_h[:, :HIDDEN] @ inward[: 2 * WIDTH, :HIDDEN].T
+        d_z = d_z.reshape(n, HALF, 2 * WIDTH)
+        # What comes back through the weights (with the slopes of what they gather) and through the products (with the queries).
+        back, by = np.empty((n, 2 * HALF, WIDTH), np.float32), np.empty((n, 2 * HALF, 2 * HALF), np.float32)
+        back[:, :HALF], back[:, HALF:] = d_z[:, :, WIDTH:], u
+        d_s = np.matmul(back[:, :HALF], x.transpose(0, 2, 1))
         d_s *= s
+        by[:, :HALF] = s
         s *= summed(d_s)
         d_s -= s
-        d_q = np.matmul(d_s, k).reshape(-1, KEYS)
-        d_q *= np.float32(KEYS**-0.5)
-        d_k = np.matmul(d_s.transpose(0, 2, 1), q).reshape(-1, KEYS)
-        flat, late = x.reshape(-1, WIDTH), x[:, HALF:].reshape(-1, WIDTH)
-        g["q"], g["k"], g["v"] = late.T @ d_q, flat.T @ d_k, flat.T @ d_v
-        d_x = (d_k @ p["k"].T + d_v @ p["v"].T).reshape(x.shape)
-        d_x[:, HALF:] += (d_late + d_q @ p["q"].T).reshape(n, HALF, WIDTH)
-        g["pos"] = d_x.sum(axis=0)
-        g["e"] = np.zeros_like(p["e"])
-        met, sums = gathered(x_ids.ravel(), d_x.reshape(-1, WIDTH))
-        g["e"][met] = sums
+        by[:, HALF:] = d_s
+        d_x = np.matmul(by.transpose(0, 2, 1), back)
+        d_u = np.matmul(d_s, x).reshape(-1, WIDTH)
+        d_u *= np.float32(KEYS**-0.5)
+        g_qk = x[:, HALF:].reshape(-1, WIDTH).T @ d_u
+        g["q"], g["k"], g["v"] = g_qk @ p["k"], g_qk.T @ p["q"], g_in[WIDTH : 2 * WIDTH] @ p["w"][WIDTH:].T
+        d_x[:, HALF:] += d_z[:, :, :WIDTH]
+        d_x[:, HALF:] += (d_u @ (p["k"] @ p["q"].T)).reshape(n, HALF, WIDTH)
+        g["pos"] = (np.ones(n, np.float32) @ d_x.reshape(n, -1)).reshape(2 * HALF, WIDTH)
+        g["e"] = gathered(x_ids.ravel(), d_x.reshape(-1, WIDTH), self.units)
         return g
 
     def descend(self, x_ids: np.ndarray, targets: np.ndarray, one: np.ndarray, state: dict, pace: float) -> None:
@@ -291,29 +311,39 @@ class Model:
         g = self.slopes(x_ids, targets, one)
         state["step"] += 1
         step = state["step"]
-        for n, w in self.p.items():
-            mean, var, d = state["mean"][n], state["var"][n], g[n]
-            mean *= np.float32(0.9)
-            mean += np.float32(0.1) * d
-            var *= np.float32(0.99)
-            np.multiply(d, d, out=d)
-            var += np.float32(0.01) * d
-            np.multiply(var, np.float32(1 / (1 - 0.99**step)), out=d)
-            np.sqrt(d, out=d)
-            d += np.float32(1e-8)
-            np.divide(mean, d, out=d)
-            d *= np.float32(pace / (1 - 0.9**step))
-            w -= d
+        spread = math.sqrt(0.01 / (1 - 0.99**step))
+        pace, least = np.float32(pace * 0.1 / (1 - 0.9**step) / spread), np.float32(1e-8 / spread)
+        for n, whole in self.p.items():
+            flat = [v.reshape(-1) for v in (whole, state["mean"][n], state["var"][n], np.ascontiguousarray(g[n]))]
+            for a in range(0, whole.size, 1 << 14):  # what fits the cache
+                w, mean, var, d = (v[a : a + (1 << 14)] for v in flat)
+                mean *= np.float32(0.9)
+                mean += d
+                var *= np.float32(0.99)
+                np.multiply(d, d, out=d)
+                var += d
+                np.sqrt(var, out=d)
+                d += least
+                np.divide(mean, d, out=d)
+                d *= pace
+                w -= d
 
     def set_classes(self, counts: np.ndarray) -> None:
-        """Classes of subwords with alike neighbours, from the counts of pairs (before, after): halved again and again along the
-        leading direction of what is in hand, until each part is a class or less."""
-        # Neighbours are told apart only if they are frequent: 128 to either side.
+        """Classes of units with alike neighbours, from the counts of pairs of subwords (before, after): halved again and again
+        along the leading direction of what is in hand, until each part is a class or less. A joined pair has the neighbours
+        before its first and after its last subword."""
         often = counts.sum(axis=0, dtype=np.int64)
+        # Neighbours are told apart only if they are frequent: 128 to either side.
         frequent = np.argsort(-often, kind="stable")[:128]
-        both = np.sqrt(np.hstack([counts[:, frequent], counts[frequent].T]).astype(np.float32))
+        one, two = np.divmod(self.joined, len(counts))
+        follow, come = counts[:, frequent], counts[frequent].T
+        both = np.sqrt(np.hstack([np.concatenate([follow, follow[two]]), np.concatenate([come, come[one]])]).astype(np.float32))
         both /= np.maximum(np.linalg.norm(both, axis=1), 1)[:, None]
-        members = self.p["mb"].shape[1]
+        met = counts[one, two].astype(np.int64)
+        np.subtract.at(often, one, met)
+        np.subtract.at(often, two, met)
+        often = np.concatenate([np.maximum(often, 0), met])
+        width = self.p["mb"].shape[1]
         order = np.arange(self.units)
         parts_left = [(0, CLASSES)]
         while parts_left:
@@ -321,13 +351,45 @@ class Model:
             if z - a < 2:
                 continue
             half = (a + z) // 2
-            here = order[a * members : z * members]
+            here = order[a * width : z * width]
             rows = both[here] - both[here].sum(axis=0) / max(len(here), 1)
-            order[a * members : z * members] = here[np.argsort(rows @ np.linalg.eigh(rows.T @ rows)[1][:, -1], kind="stable")]
+            order[a * width : z * width] = here[np.argsort(rows @ np.linalg.eigh(rows.T @ rows)[1][:, -1], kind="stable")]
             parts_left += [(a, half), (half, z)]
         self.place(order, often)
 
 
+class Joins:
+    """Joins neighbouring subwords to one unit where their pair is one of the model's, from the left of each run of such pairs."""
+
+    def __init__(self, subwords: int, joined: np.ndarray):
+        self.subwords, self.found = subwords, None
+        if len(joined):
+            self.found = np.full(subwords * subwords, -1, np.int16)
+            self.found[joined] = subwords + np.arange(len(joined))
+
+    def __call__(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units of texts and their number in each, from subwords. The end is in no pair, so none reaches over two texts."""
+        if self.found is None or len(ids) < 2:
+            return ids, sizes
+        unit = np.take(self.found, ids[:-1] * np.int32(self.subwords) + ids[1:])
+        at = np.flatnonzero(unit >= 0)
+        number = np.arange(len(at))
+        begins = np.ones(len(at), bool)
+        begins[1:] = at[1:] != at[:-1] + 1
+        at = at[(number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0]
+        out, stays = ids.copy(), np.ones(len(ids), bool)
+        out[at], stays[at + 1] = unit[at], False
+        return out[stays], np.add.reduceat(stays, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
+def joined_of(pairs: np.ndarray, end: int) -> np.ndarray:
+    """The JOINS most frequent pairs (before * subwords + after) met LEAST_MET times or more, without the end and the begin."""
+    counts = pairs.copy().reshape(end + 2, end + 2)
+    counts[end:], counts[:, end:] = 0, 0
+    met = np.flatnonzero(counts.ravel() >= LEAST_MET)
+    return met[np.argsort(-counts.ravel()[met].astype(np.int64), kind="stable")[:JOINS]]
+
+
 def parts(classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(class, from, to) of the runs of sorted classes."""
     bounds = np.searchsorted(classes, np.arange(CLASSES + 1))
@@ -339,27 +401,41 @@ def summed(values: np.ndarray) -> np.ndarray:
     return (values.reshape(-1, values.shape[-1]) @ np.ones(values.shape[-1], np.float32)).reshape(*values.shape[:-1], 1)
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    np.clip(logits, -MOST_LOGIT, MOST_LOGIT, out=logits)
-    np.exp(logits, out=logits)
-    logits /= summed(logits)
+def members(h: np.ndarray, to_member: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Logits of the members of each row's class; rows come sorted by class."""
+    out = np.empty((len(h), to_member.shape[2]), np.float32)
+    for c, a, z in parts(classes):
+        np.matmul(h[a:z], to_member[c], out=out[a:z])
+    return out
+
+
+def bounded(logits: np.ndarray) -> np.ndarray:
+    """The logits, in place, none above MOST_LOGIT."""
+    if len(logits) and logits.max() > MOST_LOGIT:
+        np.minimum(logits, MOST_LOGIT, out=logits)
+    return logits
+
+
+def softmax(logits: np.ndarray, times: np.float32) -> np.ndarray:
+    """Each row's probabilities, times this."""
+    np.exp(bounded(logits), out=logits)
+    logits *= times / np.maximum(summed(logits), LEAST_SUM)
     return logits
 
 
 def picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each row the natural log of the probability of the place at."""
-    np.clip(logits, -MOST_LOGIT, MOST_LOGIT, out=logits)
-    told = logits[np.arange(len(at)), at]
+    told = bounded(logits)[np.arange(len(at)), at]
     np.exp(logits, out=logits)
-    return told - np.log(summed(logits)[:, 0])
+    return told - np.log(np.maximum(summed(logits)[:, 0], LEAST_SUM))
 
 
-def gathered(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sums of each one's values."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    own = rows[order]
-    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[heads], np.add.reduceat(values[order], heads, axis=0)
+def gathered(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values of each row from 0 to size; two neighbouring columns are added as one complex number."""
+    half = values.shape[1] // 2
+    out = np.zeros(size * half, np.complex64)
+    np.add.at(out, (rows.astype(np.int64)[:, None] * half + np.arange(half)).ravel(), np.ascontiguousarray(values).view(np.complex64).ravel())
+    return out.view(np.float32).reshape(size, -1)
 
 
 MASK = (np.arange(2 * HALF)[None, :] <= np.arange(HALF, 2 * HALF)[:, None]).astype(np.float32)
@@ -414,7 +490,7 @@ def counted(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame,
 def train_on(coded: DataFrame, path: str, pairs: np.ndarray) -> Model:
     """A model of the documents of coded (turn, ids), whose pair counts are given. Only weights travel, and their size is fixed."""
     units = subwords(path)
-    model = Model(units.size)
+    model = Model(units.size, joined=joined_of(pairs, units.end))
     counts = pairs.reshape(units.size, units.size)
     tokens = int(counts.sum(dtype=np.int64))
     if tokens:
@@ -437,11 +513,12 @@ def averaged(docs: DataFrame, model: Model, path: str, rate: float, seed: int) -
         begin = subwords(path).begin
         own = copy.copy(shared.value)
         own.p = {n: w.copy() for n, w in own.p.items()}
+        joins = Joins(subwords(path).size, own.joined)
         state, seen, rng = own.fresh(), 0, np.random.default_rng([TaskContext.get().partitionId(), seed])
         for batch in batches:
             for raws in _raws(batch.column(0), READ_CHARS):
                 ids = np.frombuffer(b"".join(raws), np.uint16).astype(np.int32)
-                inputs, targets, first = own.windows(ids, np.array([len(r) // 2 for r in raws]), begin)
+                inputs, targets, first = own.windows(*joins(ids, np.array([len(r) // 2 for r in raws])), begin)
                 seen += len(ids)
                 mixed = rng.permutation(len(inputs))
                 for a in range(0, len(mixed), STEP_WINDOWS):
@@ -486,6 +563,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known, n_known = shared.value
         cut = subwords(path)
+        joins = Joins(cut.size, own.joined)
         row = TaskContext.get().partitionId() << 40
         logs = np.log10(n_known + 1.0)
         for batch in batches:
@@ -500,7 +578,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
                 rest = read.words[~hit].view(np.int64)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(text[~hit], minlength=len(raws)))])
                 tail = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest))
-                told = own.log10s(read.ids, read.sizes, cut.begin)
+                told = own.log10s(*joins(read.ids, read.sizes), cut.begin)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(raws))), batch.column(0).slice(at, len(raws)), pa.array(np.diff(read.bounds) + 1), pa.array(found), pa.array(base), pa.array(told), tail], names=["row", "doc_id", "n_tokens", "found", "base", "score", "tail"])
                 row += len(raws)
                 at += len(raws)
