@@ -759,3 +759,23 @@ def test_held_out_ids(spark):
     text = lambda i: b"" if i is None else str(i).encode()
     assert [(r.four, r.seven) for r in rows] == [(zlib.crc32(text(r.doc_id)) % 4 == 2, zlib.crc32(text(r.doc_id)) % 7 == 2) for r in rows]
     assert any(r.four for r in rows) and any(r.seven for r in rows)
+
+
+def test_products_batched_equal_one_by_one_and_copies_of_queries_are_not_broadcast(spark):
+    import numpy as np
+
+    from treeloom.llm import vectors
+
+    rng = np.random.default_rng(5)
+    for high in (2, 300, 1 << 24, 1 << 29):
+        rows, ids = rng.integers(-high, high + 1, (1300, 12)), rng.permutation(4000)[:1300].astype(np.int64)
+        queries, own = rows[:40], ids[:40]
+        shard = vectors.Shard(ids, rows)
+        at, found, scores = shard.search_all(queries, own, 5)
+        for k in range(40):
+            one = [x.tolist() for x in shard.search(queries[k], int(own[k]), 5)]
+            assert [found[at == k].tolist(), scores[at == k].tolist()] == one
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)], "vec_id long, embedding array<float>")
+    asked = vectors.top_products(table)
+    asked.collect()
+    assert "BroadcastHashJoin" not in asked._jdf.queryExecution().executedPlan().toString()

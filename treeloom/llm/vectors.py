@@ -264,6 +264,54 @@ class Shard:
                 best_ids, best = best_ids[keep], best[keep]
         return best_ids, best
 
+    def search_all(self, queries: np.ndarray, own: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """search() of many queries at once: (places of the queries, ids, scores). Each query keeps its own non-essential terms, which are
+        zero in its column of one product in double precision, exact below 2**53; where sums could leave that, queries go one by one."""
+        if int(np.abs(self.rows).max(initial=0)) * int(np.abs(queries).max(initial=0)) * queries.shape[1] >= 1 << 52:
+            each = [self.search(q, o, top) for q, o in zip(queries, own.tolist())]
+            return (np.repeat(np.arange(len(each)), [len(i) for i, _ in each]), *(np.concatenate([e[k] for e in each]) for k in (0, 1)))
+        least = np.where(queries >= 0, queries * self.low, queries * self.high)
+        bound = np.where(queries >= 0, queries * self.high, queries * self.low) - least
+        base = least.sum(axis=1)
+        order = np.argsort(bound, axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        upto = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
+        held = np.concatenate([np.zeros((len(queries), 1), np.int64), upto], axis=1)
+        none = np.iinfo(np.int64).min
+        need = np.full(len(queries), none)
+        at, best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for k in range(0, len(self.ids), CHUNK):
+            ids, rows = self.ids[k : k + CHUNK], self.rows[k : k + CHUNK]
+            some = need > none
+            spare = np.where(some, (upto <= np.where(some, need - base, 0)[:, None]).sum(axis=1), 0)
+            essential = place >= spare[:, None]
+            product = rows.astype(np.float64) @ np.where(essential, queries, 0).T.astype(np.float64)
+            product += np.where(essential, 0, least).sum(axis=1)
+            bar = np.where(some, need - held[np.arange(len(queries)), spare], none).astype(np.float64)
+            if not some.all() and len(ids) > top + 1:  # a row below the best of its own chunk, the query's own included, can't win
+                few = np.flatnonzero(~some)
+                bar[few] = np.partition(product[:, few], len(ids) - top - 1, axis=0)[len(ids) - top - 1] - 1
+            row, q = np.nonzero(product > bar)
+            mine = ids[row] != own[q]
+            row, q = row[mine], q[mine]
+            score = product[row, q]
+            rest = np.flatnonzero(spare[q] > 0)
+            if len(rest) * 32 > product.size:  # many rows may still win: the other terms are one more product
+                score[rest] = (rows.astype(np.float64) @ queries.T.astype(np.float64))[row[rest], q[rest]]
+            else:
+                score[rest] = (rows[row[rest]] * queries[q[rest]]).sum(axis=1)
+            won = score > need[q]
+            row, q, score = row[won], q[won], score[won].astype(np.int64)
+            if len(q):
+                at, best_ids, best = np.concatenate([at, q]), np.concatenate([best_ids, ids[row]]), np.concatenate([best, score])
+                by = np.lexsort((best_ids, -best, at))
+                at, best_ids, best = at[by], best_ids[by], best[by]
+                nth = np.arange(len(at)) - np.searchsorted(at, at)
+                keep = nth < top
+                need[at[nth == top - 1]] = best[nth == top - 1]
+                at, best_ids, best = at[keep], best_ids[keep], best[keep]
+        return at, best_ids, best
+
 
 def _exactly(x: float) -> int:
     """floor(256 * x) for a component of any size."""
@@ -303,7 +351,8 @@ def top_products(table: DataFrame, top: int = TOP, every: int = EVERY, v: str =
     candidates = sized.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("dim", "big", "part").applyInArrow(pack, kinds)
     asking = sized.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ask_blocks))).groupBy("dim", "big", "part").applyInArrow(pack, kinds)
     everywhere = asking.select("dim", F.col("big").alias("ask_big"), F.col("ids").alias("ask_ids"), F.col("rows").alias("ask_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    work = candidates.join(everywhere, ["dim", "part"]).select("big", "ids", "rows", "ask_big", "ask_ids", "ask_rows")
+    # The sizes that Spark estimates don't know of the copies: it would gather all of them in the driver to broadcast them.
+    work = candidates.hint("merge").join(everywhere.hint("merge"), ["dim", "part"]).select("big", "ids", "rows", "ask_big", "ask_ids", "ask_rows")
 
     def whole_numbers(rows_: np.ndarray, big: bool) -> np.ndarray:
         out = np.empty(rows_.shape, object)
@@ -315,17 +364,16 @@ def top_products(table: DataFrame, top: int = TOP, every: int = EVERY, v: str =
             for big, ids, rows_, ask_big, ask_ids, ask_rows in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, ask_ids = np.frombuffer(ids, np.int64), np.frombuffer(ask_ids, np.int64)
                 rows_, ask_rows = np.frombuffer(rows_).reshape(len(ids), -1), np.frombuffer(ask_rows).reshape(len(ask_ids), -1)
-                out = []
                 if big or ask_big:
+                    out = []
                     theirs = whole_numbers(rows_, big)
                     for q, row in zip(ask_ids.tolist(), whole_numbers(ask_rows, ask_big)):
                         best = sorted((-s, i) for s, i in zip((theirs @ row).tolist(), ids.tolist()) if i != q)[:top]
                         out += [(q, i, *_ranked(-s)) for s, i in best]
+                    columns = list(zip(*out)) or [()] * 5
                 else:
-                    shard = Shard(ids, rows_.astype(np.int64))
-                    for q, row in zip(ask_ids.tolist(), ask_rows.astype(np.int64)):
-                        out += [(q, i, 0, "", s) for i, s in zip(*(x.tolist() for x in shard.search(row, q, top)))]
-                columns = list(zip(*out)) or [()] * 5
+                    at, near, score = Shard(ids, rows_.astype(np.int64)).search_all(ask_rows.astype(np.int64), ask_ids, top)
+                    columns = [ask_ids[at], near, np.zeros(len(at), np.int32), [""] * len(at), score]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()))], names=["query_id", "vec_id", "beyond", "digits", "score"])
 
     found = work.mapInArrow(run, "query_id long, vec_id long, beyond int, digits string, score long")
