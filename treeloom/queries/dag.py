@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import saved
 from ..operators import dag
 from ..sources import fleet
 
@@ -48,11 +47,8 @@ def a2_merge_base(spark, sf_dir):
 def l5_maximal_bases(spark, sf_dir):
     """How many maximal common ancestors neighbouring tips have, and the least of them, which is the base."""
     order = Window.partitionBy("vault_id").orderBy("k")
-    tips = saved(_tips(spark, sf_dir).select("vault_id", "oid", "k", F.lag("oid").over(order).alias("a")), "tips").where("a IS NOT NULL")
-    links = _links(spark, sf_dir)
-    seen = dag.reachable(tips.select("vault_id", "k", "oid"), links, ["k"]).join(dag.reachable(tips.select("vault_id", "k", F.col("a").alias("oid")), links, ["k"]), ["vault_id", "k", "oid"])
-    best = dag.maximal(saved(seen, "common"), fleet.edges(spark, sf_dir), ["k"])
-    return best.groupBy("vault_id", "k").agg(F.count("*").alias("n"), F.min("oid").alias("base"))
+    tips = _tips(spark, sf_dir).select("vault_id", "oid", "k", F.lag("oid").over(order).alias("a")).where("a IS NOT NULL")
+    return dag.maximal_bases(tips.select("vault_id", "k", "a", F.col("oid").alias("b")), fleet.edges(spark, sf_dir), ["k"])
 
 
 def z5_common_ancestors(spark, sf_dir):
@@ -134,10 +130,7 @@ def z1_union_known(spark, sf_dir):
 def a13_convergence(spark, sf_dir):
     """Whether all nodes of a vault know the same commits: a node knows those of its closure."""
     last = _commits(spark, sf_dir).groupBy("vault_id", "node_id").agg(F.max_by("oid", "counter").alias("oid"))
-    seen = dag.reachable(last, _links(spark, sf_dir), by=["node_id"])
-    # A set is told by its size and an order-free sum of hashes.
-    known = seen.groupBy("vault_id", "node_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("oid").cast("decimal(38,0)")).alias("h"))
-    return known.groupBy("vault_id").agg(F.count("*").alias("nodes"), (F.countDistinct("n", "h") == 1).alias("converged"))
+    return dag.agreeing(last, fleet.edges(spark, sf_dir))
 
 
 def l3_export_order(spark, sf_dir):
