@@ -12,15 +12,20 @@ DEBOUNCE_MS = 1000
 TTL_DAYS = 90
 
 
+def key_counts(keys: DataFrame, now: Column, by: str = "vault_id") -> DataFrame:
+    """keys (by, node_id, kind, at) -> (by, authorized_keys: nodes with a key line that is valid now, any_key: true)."""
+    return keys.where("node_id IS NOT NULL").groupBy(by).agg(F.countDistinct(F.when(C.is_valid(F.col("kind"), F.col("at"), now), F.col("node_id"))).alias("authorized_keys"), F.lit(True).alias("any_key"))
+
+
 def vault_status(vaults: DataFrame, known: DataFrame, mains: DataFrame, tips: DataFrame, keys: DataFrame, peers: DataFrame, now: Column) -> DataFrame:
     """One row for each of vaults (vault_id), also where the other tables have none of it: known_primitives, of known (vault_id, oid,
     is_primitive); main_oid and main_short, of mains (vault_id, main_oid); frontier_tips and how many, of tips (vault_id, oid, k: their
     order); authorized_keys, the nodes with a key line that is valid now, of keys (vault_id, node_id, kind, at), a node's first line
-    alone; no_keys_yet, where no line is a key at all; peers, of (vault_id, peer), each once in order. A vault's tips and peers are
+    alone (keys may be the result of key_counts() too); no_keys_yet, where no line is a key at all; peers, of (vault_id, peer), each once in order. A vault's tips and peers are
     listed in its row, as its status shows them; all else is counted."""
     counts = known.groupBy("vault_id").agg(F.count_if("is_primitive").alias("known_primitives"))
     ends = tips.groupBy("vault_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "oid"))), lambda t: t["oid"]).alias("frontier_tips"))
-    held = keys.where("node_id IS NOT NULL").groupBy("vault_id").agg(F.countDistinct(F.when(C.is_valid(F.col("kind"), F.col("at"), now), F.col("node_id"))).alias("authorized_keys"), F.lit(True).alias("any_key"))
+    held = keys if "authorized_keys" in keys.columns else key_counts(keys, now)
     to = peers.where("peer IS NOT NULL").groupBy("vault_id").agg(F.array_sort(F.collect_set("peer")).alias("peers"))
     rows = vaults.select("vault_id").distinct()
     for part in (counts, mains.select("vault_id", "main_oid"), ends, held, to):
