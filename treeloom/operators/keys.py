@@ -105,9 +105,9 @@ def admissions(attempts: DataFrame, keys: DataFrame, config: DataFrame, ttl_days
     placed = saved(placed.withColumn("__opens", F.coalesce(opens, F.lit(False))), "attempts")
     begin = placed.where("__opens").groupBy(*node).agg(F.min("own").alias("__begin"))
     until = C.expiry_from_ttl(F.col("ts"), F.lit(ttl_days))
-    rows = placed.join(begin, node).select(*node, "own", F.col("ts").alias("level"), (until - 1).alias("bar"), F.col("enrolled").alias("candidate"), (F.col("own") == F.col("__begin")).alias("first"))
+    rows = placed.hint("merge").join(begin.hint("merge"), node).select(*node, "own", F.col("ts").alias("level"), (until - 1).alias("bar"), F.col("enrolled").alias("candidate"), (F.col("own") == F.col("__begin")).alias("first"))
     made = chained(rows, node).withColumn("made", F.lit(True))
-    known = placed.join(made, [*node, "own"], "left").withColumn("__at", F.last(F.when(F.col("made"), until), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    known = placed.hint("merge").join(made.hint("merge"), [*node, "own"], "left").withColumn("__at", F.last(F.when(F.col("made"), until), True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     kind = F.when(F.col("__at").isNotNull(), "at").otherwise(F.col("kind"))
     valid = F.coalesce(C.is_valid(kind, F.coalesce("__at", "at"), F.col("ts")), F.lit(False))
     verdict = F.when(F.col("made"), F.when(kind.isNotNull(), "refresh").when(F.col("enrolled"), "enrol").otherwise("tofu")).when(valid, "accept").otherwise("reject")

@@ -143,7 +143,7 @@ def _attempts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     node = F.sha2(F.concat(F.lit("key "), (F.col("o_custkey") % 997).cast("string")).cast("binary"), 256)
-    return o.join(c, "o_custkey").select(
+    return o.join(c.hint("merge"), "o_custkey").select(
         F.concat(F.lit("v"), F.col("c_nationkey").cast("string")).alias("vault_id"), F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderkey") % 53 != 0, node).alias("node_id"),
         (fleet.seconds("o_orderdate") + 27 * 365 * C.DAY).alias("ts"), (F.col("o_orderkey") % 10 == 0).alias("enrolled"))
 
