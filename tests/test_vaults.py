@@ -51,8 +51,13 @@ def test_a_task_gives_up_a_vault_beyond_its_rows(spark):
     assert [tuple(r) for r in told.collect()] == [("few", "3")] and [r.vault_id for r in large.collect()] == ["many"]
 
 
-def test_chains_and_admissions_broadcast_nothing_that_grows(spark):
-    from treeloom.operators.chains import chained
+def test_chains_are_never_broadcast(spark, monkeypatch):
+    from treeloom.operators import chains
 
+    plans = []
+    for name in ("saved", "saved_counted"):
+        real = getattr(chains, name)
+        monkeypatch.setattr(chains, name, lambda df, *rest, real=real: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *rest))[1])
     rows = spark.createDataFrame([("v", i, i * 10, i * 10 + 25, True, i == 0) for i in range(50)], "vault_id string, own long, level long, bar long, candidate boolean, first boolean")
-    assert sorted(r.own for r in chained(rows, ["vault_id"]).collect()) == list(range(0, 50, 3))
+    assert sorted(r.own for r in chains.chained(rows, ["vault_id"]).collect()) == list(range(0, 50, 3))
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
